@@ -76,3 +76,80 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*[F.lit(g) for g in R.GENRES]), R.genre_index_expr() + 1).alias("genre"),
     )
     return b.join(docs, "first_doc_id").groupBy("genre").agg(F.count("*").alias("n_blocks"))
+
+
+# --------------------------------------------------------------------------- A: sources
+
+
+def _genre_col() -> F.Column:
+    return F.element_at(F.array(*[F.lit(g) for g in R.GENRES]), R.genre_index_expr() + 1)
+
+
+@register("a_registry")
+def a_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry rows (A1) with the documents and characters each source offers."""
+    reg = R.documents_registry(sf_dir)
+    sizes = R.read_sources(spark, reg, reg.genres).groupBy("genre").agg(
+        F.count("*").alias("n_docs"), F.sum(F.length("text")).cast("long").alias("n_chars")
+    )
+    specs = reg.to_frame(spark).select(
+        "genre", "name", "text_column", F.array_join("available_splits", ",").alias("splits")
+    )
+    return specs.join(F.broadcast(sizes), "genre", "left")
+
+
+@register("a_read_source")
+def a_read_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source, one split, only its text column (A2, A3, B1)."""
+    return R.read_source(spark, R.documents_registry(sf_dir), P.MIX_GENRE, "train")
+
+
+@register("a_preview")
+def a_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First three rows of every source, 100-character previews (A5)."""
+    reg = R.documents_registry(sf_dir)
+    return R.preview(R.read_sources(spark, reg, reg.genres), 3, "Sample")
+
+
+# --------------------------------------------------------------------------- C: mixing
+
+
+@register("c_presets")
+def c_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preset weights (C1) next to the documents each genre holds."""
+    from quire.operators import mix as M
+
+    reg = R.documents_registry(sf_dir)
+    sizes = R.read_sources(spark, reg, reg.genres).groupBy("genre").agg(F.count("*").alias("n_docs"))
+    return M.presets_frame(spark).join(F.broadcast(sizes), "genre", "left")
+
+
+def _mixed(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
+    from quire.operators import mix as M
+
+    reg = R.documents_registry(sf_dir)
+    return M.mixed(spark, reg, M.recommended_mix(P.MIX_PRESET), seed=P.SEED, strategy=strategy)
+
+
+@register("c_first")
+def c_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir, "first_exhausted").select("k", "genre", "doc_id")
+
+
+@register("c_all")
+def c_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir, "all_exhausted").select("k", "genre", "doc_id")
+
+
+@register("c_without_replacement")
+def c_without_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir, "all_exhausted_without_replacement").select("k", "genre", "doc_id")
+
+
+@register("c_single")
+def c_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import mix as M
+    from quire.operators import order as D
+
+    src = M.mixed(spark, R.documents_registry(sf_dir), P.SINGLE_GENRE, strategy="first_exhausted")
+    return D.stream_positions(src.select("doc_id"), "doc_id").select("pos", "doc_id")

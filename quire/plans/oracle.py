@@ -147,3 +147,103 @@ SELECT CASE pmod(CAST(substr(d.source, 4) AS INTEGER), 6)
 FROM blocks b JOIN documents d ON b.first_doc_id = d.doc_id GROUP BY 1
 """.replace("pmod(CAST(substr(d.source, 4) AS INTEGER), 6)", "(CAST(substr(d.source, 4) AS INTEGER) % 6)"),
 )
+
+
+# --------------------------------------------------------------------------- A / C
+
+GENRES = ("literature", "wiki", "textbook", "research", "web", "cc100")
+GENRE_CASE = (
+    "CASE CAST(substr(source, 4) AS INTEGER) % 6 "
+    + " ".join(f"WHEN {i} THEN '{g}'" for i, g in enumerate(GENRES))
+    + " END"
+)
+CTE_GDOCS = f"gdocs AS (SELECT doc_id, text, {GENRE_CASE} AS genre FROM documents)"
+
+
+def _dbl(x: float) -> str:
+    return f"CAST('{x!r}' AS DOUBLE)"
+
+
+def cte_mix(preset: str, seed: int, strategy: str) -> str:
+    """The interleave law in plain windows: draws, occurrences, exhaustion points."""
+    from quire.operators.mix import PRESETS, cumulative
+
+    mix = PRESETS[preset]
+    genres, weights = list(mix), list(mix.values())
+    cum = cumulative(weights)
+    mix_rows = ", ".join(f"({i}, '{g}', {_dbl(w)})" for i, (g, w) in enumerate(zip(genres, weights)))
+    case = "CASE " + " ".join(f"WHEN u < {_dbl(c)} THEN {i}" for i, c in enumerate(cum)) + f" ELSE {len(cum) - 1} END"
+    if strategy == "first_exhausted":
+        cut, row, extra = "min(ks)", "o.occ", ""
+    elif strategy == "all_exhausted":
+        cut, row, extra = "max(ks)", "o.occ % o.n", ""
+    else:
+        cut, row, extra = "max(ks)", "o.occ", " AND o.occ < o.n"
+    return f"""
+{CTE_GDOCS},
+mixw(gi, genre, w) AS (VALUES {mix_rows}),
+ncount AS (SELECT genre, count(*) AS n FROM gdocs GROUP BY genre),
+ndraw AS (SELECT CAST(4 * ceil(max(ncount.n / mixw.w)) + 1000 AS BIGINT) AS nd FROM ncount JOIN mixw USING (genre)),
+draws AS (
+  SELECT k, CAST(('0x' || substr(md5('{seed}:' || CAST(k AS VARCHAR)), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
+  FROM (SELECT unnest(range(nd)) AS k FROM ndraw)
+),
+src AS (SELECT k, {case} AS gi FROM draws),
+occ AS (
+  SELECT s.k, s.gi, m.genre, c.n, row_number() OVER (PARTITION BY s.gi ORDER BY s.k) - 1 AS occ
+  FROM src s JOIN mixw m USING (gi) JOIN ncount c ON c.genre = m.genre
+),
+kss AS (SELECT gi, min(k) AS ks FROM occ WHERE occ = n - 1 GROUP BY gi),
+cut AS (SELECT {cut} AS kc FROM kss),
+granked AS (SELECT genre, doc_id, text, row_number() OVER (PARTITION BY genre ORDER BY doc_id) - 1 AS rnk FROM gdocs),
+mixed AS (
+  SELECT o.k, o.genre, o.occ, r.doc_id, r.text
+  FROM occ o JOIN cut ON o.k <= cut.kc JOIN granked r ON r.genre = o.genre AND r.rnk = {row}
+  WHERE TRUE{extra}
+)
+"""
+
+
+ORACLE["a_registry"] = f"""
+WITH {CTE_GDOCS},
+reg(genre, name, text_column, splits) AS (VALUES
+  {", ".join(f"('{g}', {repr('ja') if g == 'cc100' else 'NULL'}, 'text', 'train')" for g in GENRES)}),
+sizes AS (SELECT genre, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM gdocs GROUP BY genre)
+SELECT r.genre, CAST(r.name AS VARCHAR) AS name, r.text_column, r.splits, s.n_docs, s.n_chars
+FROM reg r LEFT JOIN sizes s USING (genre)
+"""
+
+ORACLE["a_read_source"] = f"WITH {CTE_GDOCS} SELECT doc_id, genre, text FROM gdocs WHERE genre = 'wiki'"
+
+ORACLE["a_preview"] = f"""
+WITH {CTE_GDOCS},
+r AS (SELECT genre, text, row_number() OVER (PARTITION BY genre ORDER BY doc_id) AS i FROM gdocs)
+SELECT genre, CAST(i AS BIGINT) AS i, 'Sample ' || CAST(i AS VARCHAR) || ': ' || substr(text, 1, 100) || '...' AS line
+FROM r WHERE i <= 3
+"""
+
+
+def _presets_sql() -> str:
+    from quire.operators.mix import PRESETS
+
+    rows = ", ".join(f"('{p}', '{g}', {_dbl(w)})" for p, m in PRESETS.items() for g, w in m.items())
+    return f"""
+WITH {CTE_GDOCS},
+pr(preset, genre, weight) AS (VALUES {rows}),
+sizes AS (SELECT genre, count(*) AS n_docs FROM gdocs GROUP BY genre)
+SELECT p.genre, p.preset, p.weight, s.n_docs FROM pr p LEFT JOIN sizes s USING (genre)
+"""
+
+
+ORACLE["c_presets"] = _presets_sql()
+for _name, _strategy in (
+    ("c_first", "first_exhausted"),
+    ("c_all", "all_exhausted"),
+    ("c_without_replacement", "all_exhausted_without_replacement"),
+):
+    ORACLE[_name] = "WITH " + cte_mix(P.MIX_PRESET, P.SEED, _strategy).strip() + "\nSELECT k, genre, doc_id FROM mixed"
+
+ORACLE["c_single"] = f"""
+WITH {CTE_GDOCS}
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id FROM gdocs WHERE genre = 'literature'
+"""
