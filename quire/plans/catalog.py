@@ -153,3 +153,112 @@ def c_single(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     src = M.mixed(spark, R.documents_registry(sf_dir), P.SINGLE_GENRE, strategy="first_exhausted")
     return D.stream_positions(src.select("doc_id"), "doc_id").select("pos", "doc_id")
+
+
+# --------------------------------------------------------------------------- D: order, shards, limits
+
+
+def _shuffled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import order as D
+
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return D.seeded_shuffle(docs, P.SEED, ["doc_id"], out="pos")
+
+
+@register("d_shuffle")
+def d_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded full shuffle after mixing (D1): the without-replacement mix, re-ordered."""
+    from quire.operators import order as D
+
+    mixed = _mixed(spark, sf_dir, "all_exhausted_without_replacement").select("k", "doc_id")
+    return D.seeded_shuffle(mixed, P.SEED, ["doc_id", "k"], out="spos").select("spos", "doc_id")
+
+
+@register("d_block_shuffle")
+def d_block_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buffered shuffle in block form (D2) over the doc_id-ordered stream."""
+    from quire.operators import order as D
+
+    st = D.stream_positions(C.table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    return D.buffered_shuffle(st, P.SEED, P.SHUFFLE_BUFFER).select("spos", "doc_id")
+
+
+@register("d_shard_contig")
+def d_shard_contig(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contiguous shards over 3 workers (D3)."""
+    from quire.operators import order as D
+
+    docs = C.table(spark, sf_dir, "documents").select("doc_id")
+    n = docs.count()
+    st = D.stream_positions(docs, "doc_id", n_rows=n)
+    return st.select("doc_id", "pos", D.contiguous_shard(F.col("pos"), n, 3).alias("shard"))
+
+
+@register("d_shard_mod")
+def d_shard_mod(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Round-robin shards over 3 workers."""
+    from quire.operators import order as D
+
+    st = D.stream_positions(C.table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    return st.select("doc_id", "pos", D.round_robin_shard(F.col("pos"), 3).alias("shard"))
+
+
+@register("d_limit")
+def d_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usable rows only, then the first MAX_SAMPLES per shard (B2 before D5)."""
+    from quire.operators import order as D
+
+    usable = C.token_stream(spark, sf_dir)
+    return D.per_shard_limit(usable, P.MAX_SAMPLES).select("shard", "doc_id", F.col("shard_pos").cast("long").alias("shard_pos"))
+
+
+@register("d_corpus_rows")
+def d_corpus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus document cap over the shuffled stream."""
+    from quire.operators import order as D
+
+    return D.corpus_row_cap(_shuffled_docs(spark, sf_dir), P.MAX_DOCUMENTS).select("pos", "doc_id")
+
+
+@register("d_corpus_bytes")
+def d_corpus_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus byte cap, checked every BYTE_CHECK_EVERY rows (D7), on corpus lines."""
+    from quire.operators import order as D
+
+    sh = _shuffled_docs(spark, sf_dir).withColumn("line", T.sentence_break(F.col("text")))
+    n = C.table(spark, sf_dir, "documents").count()
+    bk = O.dense_range_bucketing("pos", 0, max(n, 1), max(1, n // O.TARGET_ROWS_PER_BUCKET))
+    capped = D.corpus_byte_cap(sh, P.MAX_BYTES, bk, max_documents=1_000_000, check_every=P.BYTE_CHECK_EVERY)
+    return capped.select("pos", "doc_id", "cum_bytes")
+
+
+def _eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation texts (benchmark) tokenized and truncated (F5), in item order, batched."""
+    from quire.operators import encode as E
+    from quire.operators import order as D
+
+    bench = C.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    enc = C.encode(spark, sf_dir, bench)
+    enc = enc.select(F.col("doc_id").alias("item_id"), E.truncate_single(F.col("ids"), P.EVAL_MAX_LEN).alias("ids"))
+    st = D.stream_positions(enc, "item_id")
+    return st.withColumn("batch_id", F.floor(F.col("pos") / P.EVAL_BATCH).cast("long"))
+
+
+@register("d_eval_batches")
+def d_eval_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First MAX_EVAL_BATCHES batches (D8) and the fixed hold-out batch."""
+    from quire.operators import order as D
+
+    rows = D.first_batches(_eval_rows(spark, sf_dir), P.MAX_EVAL_BATCHES)
+    return rows.select("item_id", "batch_id", (F.col("batch_id") == 0).alias("holdout"))
+
+
+@register("d_every_nth")
+def d_every_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric rows of every CHECKPOINT_INTERVAL-th step (D10); step = event id."""
+    from quire.operators import order as D
+
+    ev = C.table(spark, sf_dir, "events")
+    return ev.where(D.every_nth(F.col("event_id"), P.CHECKPOINT_INTERVAL)).select(
+        F.col("event_id").alias("step"), F.col("event_type").alias("tag"), "value"
+    )

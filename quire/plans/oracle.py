@@ -247,3 +247,93 @@ ORACLE["c_single"] = f"""
 WITH {CTE_GDOCS}
 SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id FROM gdocs WHERE genre = 'literature'
 """
+
+
+# --------------------------------------------------------------------------- D
+
+
+ORACLE["d_shuffle"] = (
+    "WITH "
+    + cte_mix(P.MIX_PRESET, P.SEED, "all_exhausted_without_replacement").strip()
+    + f"""
+SELECT row_number() OVER (ORDER BY md5('{P.SEED}:' || CAST(doc_id AS VARCHAR) || ':' || CAST(k AS VARCHAR)), doc_id, k) - 1 AS spos,
+       doc_id
+FROM mixed"""
+)
+
+ORACLE["d_block_shuffle"] = f"""
+WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)
+SELECT (pos // {P.SHUFFLE_BUFFER}) * {P.SHUFFLE_BUFFER}
+       + row_number() OVER (PARTITION BY pos // {P.SHUFFLE_BUFFER}
+                            ORDER BY md5('{P.SEED}:' || CAST(doc_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR)), pos) - 1 AS spos,
+       doc_id
+FROM p
+"""
+
+_SHARD3 = """
+CAST(CASE WHEN n // 3 = 0 THEN pos
+          WHEN pos < (n % 3) * (n // 3 + 1) THEN pos // (n // 3 + 1)
+          ELSE (n % 3) + (pos - (n % 3) * (n // 3 + 1)) // (n // 3) END AS INTEGER)"""
+
+ORACLE["d_shard_contig"] = f"""
+WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents)
+SELECT doc_id, pos, {_SHARD3} AS shard FROM p
+"""
+
+ORACLE["d_shard_mod"] = """
+WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)
+SELECT doc_id, pos, CAST(pos % 3 AS INTEGER) AS shard FROM p
+"""
+
+ORACLE["d_limit"] = _q(
+    CTE_WORDS, CTE_VOCAB, cte_encode(), CTE_STREAM,
+    body=f"""
+SELECT shard, doc_id, shard_pos FROM (
+  SELECT shard, doc_id, row_number() OVER (PARTITION BY shard ORDER BY pos) - 1 AS shard_pos FROM st) t
+WHERE shard_pos < {P.MAX_SAMPLES}
+""",
+)
+
+CTE_SHUF = f"""
+shuf AS (
+  SELECT doc_id, text, row_number() OVER (ORDER BY md5('{P.SEED}:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS pos
+  FROM documents
+)
+"""
+
+ORACLE["d_corpus_rows"] = _q(CTE_SHUF, body=f"SELECT pos, doc_id FROM shuf WHERE pos < {P.MAX_DOCUMENTS}")
+
+ORACLE["d_corpus_bytes"] = _q(
+    CTE_SHUF,
+    f"""
+lines AS (
+  SELECT pos, doc_id,
+         sum(octet_length(encode(replace(text, '。', '。' || chr(10)) || chr(10))))
+           OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cum_bytes
+  FROM shuf
+),
+stop AS (SELECT min(pos) AS s FROM lines WHERE pos % {P.BYTE_CHECK_EVERY} = 0 AND cum_bytes >= {P.MAX_BYTES})
+""",
+    body="SELECT pos, doc_id, CAST(cum_bytes AS BIGINT) AS cum_bytes FROM lines, stop WHERE (stop.s IS NULL OR pos <= stop.s) AND pos < 1000000",
+)
+
+CTE_EVAL = _q(
+    CTE_WORDS, CTE_VOCAB, words_of("benchmark", "item_id", "text", "bw"), cte_encode("bw", "item_id", "benc"),
+    f"""
+ev AS (
+  SELECT item_id, [1] || ids[1:{P.EVAL_MAX_LEN - 2}] || [2] AS ids,
+         CAST((row_number() OVER (ORDER BY item_id) - 1) // {P.EVAL_BATCH} AS BIGINT) AS batch_id
+  FROM benc
+)
+""",
+    body="",
+)[len("WITH "):]
+
+ORACLE["d_eval_batches"] = (
+    "WITH " + CTE_EVAL
+    + f"SELECT item_id, batch_id, batch_id = 0 AS holdout FROM ev WHERE batch_id < {P.MAX_EVAL_BATCHES}"
+)
+
+ORACLE["d_every_nth"] = f"""
+SELECT event_id AS step, event_type AS tag, value FROM events WHERE (event_id + 1) % {P.CHECKPOINT_INTERVAL} = 0
+"""
