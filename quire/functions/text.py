@@ -71,7 +71,11 @@ def utf8_byte_ids(s: Column) -> Column:
 
 def collapse_whitespace(text: Column) -> Column:
     """Trim and collapse runs of whitespace to one space (extra-whitespace removal)."""
-    return F.regexp_replace(F.trim(F.regexp_replace(text, WHITESPACE_RE, " ")), "^ +| +$", "")
+    return F.trim(F.regexp_replace(text, WHITESPACE_RE, " "))
+
+
+# The custom normalisation table used by the tests (source -> target).
+CUSTOM_RULES = [("«", '"'), ("»", '"'), ("…", "..."), ("’", "'")]
 
 
 def apply_rules(text: Column, rules: list[tuple[str, str]]) -> Column:

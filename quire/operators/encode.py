@@ -132,5 +132,5 @@ def render_chat(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     return (
         messages.select(conv_col, turn_col, msg.alias("m"))
         .groupBy(conv_col)
-        .agg(F.listagg("m", F.lit("")).withinGroup(F.col(turn_col)).alias("chat"))
+        .agg(F.expr(f"listagg(m, '') WITHIN GROUP (ORDER BY {turn_col})").alias("chat"))
     )

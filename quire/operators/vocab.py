@@ -64,6 +64,7 @@ def word_vocabulary(texts: DataFrame, vocab_size: int, text_col: str = "text") -
 def char_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return (
         texts.select(F.explode(T.chars(F.col(text_col))).alias("ch"))
+        .where(F.col("ch") != "")
         .groupBy("ch")
         .agg(F.count("*").alias("cnt"))
     )
@@ -144,3 +145,77 @@ def token_stats(encoded: DataFrame, ids_col: str = "ids") -> DataFrame:
 
 def log_share(cnt: int, total: int) -> float:
     return math.log(cnt / total)
+
+
+# --------------------------------------------------------------------------- pair merges (E5)
+
+OPEN, CLOSE = "\x02", "\x03"  # symbol brackets; never part of whitespace-split words
+
+
+def symbol_string(word: F.Column) -> F.Column:
+    """``▁word`` as bracketed symbols: one ``\\x02c\\x03`` per character."""
+    return F.concat(
+        F.array_join(F.transform(T.chars(F.concat(F.lit(T.WORD_BOUNDARY), word)), lambda c: F.concat(F.lit(OPEN), c, F.lit(CLOSE))), "")
+    )
+
+
+def _symbols(s: F.Column) -> F.Column:
+    return F.regexp_extract_all(s, F.lit(OPEN + "([^" + CLOSE + "]*)" + CLOSE), 1)
+
+
+def pair_counts(words_df: DataFrame) -> DataFrame:
+    """Adjacent symbol pairs weighted by word frequency: ``(l, r, cnt)``."""
+    syms = words_df.select(_symbols(F.col("s")).alias("y"), "freq")
+    pairs = syms.select(
+        F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("y") - 1, F.lit(1))), lambda i: F.struct(F.col("y")[i - 1].alias("l"), F.col("y")[i].alias("r")))).alias("p"),
+        "freq",
+    ).where(F.col("p.r").isNotNull())
+    return pairs.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("freq").cast("long").alias("cnt"))
+
+
+def bpe_merges(texts: DataFrame, n_merges: int, *, checkpoint_every: int = 8, text_col: str = "text") -> list[tuple[int, str, str, int]]:
+    """Pair-merge vocabulary (E5), one exact merge per round.
+
+    The (word, freq, symbols) table is distributed; each round counts pairs
+    with a map-side partial aggregate, fetches only the winning pair (ties:
+    left, then right symbol, ascending) and rewrites symbols with a string
+    replace, which merges non-overlapping occurrences left to right. Lineage
+    is cut with a reliable checkpoint every few rounds.
+    """
+    wc = word_counts(texts, text_col).select(symbol_string(F.col("word")).alias("s"), F.col("cnt").alias("freq"))
+    merges: list[tuple[int, str, str, int]] = []
+    cur = wc
+    for i in range(n_merges):
+        best = pair_counts(cur).orderBy(F.desc("cnt"), F.asc("l"), F.asc("r")).limit(1).collect()
+        if not best:
+            break
+        l, r, cnt = best[0]["l"], best[0]["r"], int(best[0]["cnt"])
+        merges.append((i, l, r, cnt))
+        cur = cur.withColumn("s", F.replace(F.col("s"), F.lit(OPEN + l + CLOSE + OPEN + r + CLOSE), F.lit(OPEN + l + r + CLOSE)))
+        if checkpoint_every and (i + 1) % checkpoint_every == 0:
+            cur = cur.checkpoint(eager=True)
+    return merges
+
+
+# --------------------------------------------------------------------------- unigram seeds
+
+
+def seed_pieces(texts: DataFrame, n_seeds: int, max_len: int = 16, text_col: str = "text") -> DataFrame:
+    """Seed sub-strings of the unigram trainer: every sub-string of a distinct
+    word up to ``max_len`` characters, counted with the word's frequency.
+    Kept: the ``n_seeds`` best by frequency x length (then piece)."""
+    wc = word_counts(texts, text_col).where(~F.col("word").isin(*T.USER_DEFINED))
+    starts = wc.select("word", "cnt", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("st"))
+    subs = starts.select(
+        "cnt",
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(1), F.least(F.lit(max_len), F.length("word") - F.col("st") + 1)),
+                lambda n: F.substring(F.col("word"), F.col("st"), n),
+            )
+        ).alias("piece"),
+    )
+    agg = subs.groupBy("piece").agg(F.sum("cnt").cast("long").alias("freq"))
+    scored = agg.withColumn("score", F.col("freq") * F.length("piece"))
+    w = Window.orderBy(F.desc("score"), F.asc("piece"))
+    return scored.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= n_seeds).drop("rk")

@@ -262,3 +262,172 @@ def d_every_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.where(D.every_nth(F.col("event_id"), P.CHECKPOINT_INTERVAL)).select(
         F.col("event_id").alias("step"), F.col("event_type").alias("tag"), "value"
     )
+
+
+# --------------------------------------------------------------------------- B: text clean-up
+
+
+@register("b_usable")
+def b_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with text that gives tokens (B2), with their token counts."""
+    from quire.operators import clean as B
+
+    enc = C.encode(spark, sf_dir, C.table(spark, sf_dir, "documents"))
+    return B.usable(enc).select("doc_id", F.size("ids").alias("n_tokens"))
+
+
+@register("b_sentences")
+def b_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus lines after the sentence break."""
+    from quire.operators import clean as B
+
+    lines = B.sentence_lines(C.table(spark, sf_dir, "documents"))
+    return lines.select("doc_id", F.col("line_no").cast("int").alias("line_no"), "line")
+
+
+@register("b_normalise")
+def b_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identity rule + custom table + whitespace steps."""
+    from quire.operators import clean as B
+
+    docs = C.table(spark, sf_dir, "documents")
+    norm = B.normalise(F.col("text"))
+    return docs.select("doc_id", F.md5(norm).alias("norm_md5"), F.length(norm).alias("n_chars"))
+
+
+@register("b_nfkc")
+def b_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nmt_nfkc normalisation (B5, NFKC part) through an Arrow UDF; rows-only check."""
+    from quire.operators import clean as B
+
+    docs = C.table(spark, sf_dir, "documents")
+    norm = B.normalise_by_rule(F.col("text"), "nmt_nfkc", T.CUSTOM_RULES)
+    return docs.select("doc_id", F.md5(norm).alias("norm_md5"), F.length(norm).alias("n_chars"))
+
+
+@register("b_prompt_crop")
+def b_prompt_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EOS + prompt (B6), then the last CROP tokens (B7), for evaluation prompts."""
+    from quire.operators import encode as E
+
+    bench = C.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    enc = C.encode(spark, sf_dir, bench)
+    ids = E.crop_last(E.prompt_frame(F.col("ids")), P.CROP)
+    return enc.select(F.col("doc_id").alias("item_id"), T.ids_text(ids).alias("ids"))
+
+
+# --------------------------------------------------------------------------- E: vocabularies
+
+
+@register("e_alphabet")
+def e_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import vocab as V
+
+    return V.alphabet(C.table(spark, sf_dir, "documents"), P.COVERAGE).select("ch", "cnt")
+
+
+@register("e_chars")
+def e_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import vocab as V
+
+    cv = V.char_vocabulary(C.table(spark, sf_dir, "documents"), P.COVERAGE)
+    return cv.select("id", "piece", F.round("score", 6).alias("score"))
+
+
+@register("e_merges3")
+def e_merges3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First BPE_MERGES pair merges (E5), exact order."""
+    from quire.operators import vocab as V
+
+    merges = V.bpe_merges(C.table(spark, sf_dir, "documents"), P.BPE_MERGES)
+    return spark.createDataFrame(merges, "merge_idx int, l string, r string, cnt long")
+
+
+@register("e_seeds")
+def e_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram seed sub-strings (E6 seeds)."""
+    from quire.operators import vocab as V
+
+    return V.seed_pieces(C.table(spark, sf_dir, "documents"), P.SEED_PIECES, P.SEED_MAX_LEN)
+
+
+@register("e_special")
+def e_special(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole piece table (E7 layout): specials, bytes, learned words."""
+    pt = C.pieces(spark, sf_dir)
+    return pt.select("id", "piece", "type", F.round("score", 6).alias("score"))
+
+
+@register("e_stats")
+def e_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and total tokens per document."""
+    from quire.operators import vocab as V
+
+    return V.token_stats(C.encode(spark, sf_dir, C.table(spark, sf_dir, "documents")))
+
+
+# --------------------------------------------------------------------------- F: tokenizer
+
+
+def _bench_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bench = C.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return C.encode(spark, sf_dir, bench).withColumnRenamed("doc_id", "item_id")
+
+
+@register("f_single")
+def f_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import encode as E
+
+    return _bench_ids(spark, sf_dir).select("item_id", T.ids_text(E.template_single(F.col("ids"))).alias("ids"))
+
+
+@register("f_pair")
+def f_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair template (F4): a user turn and the turn after it."""
+    from quire.operators import encode as E
+
+    conv = C.table(spark, sf_dir, "conversations")
+    enc = C.encode(spark, sf_dir, conv, id_col="conv_id", keep=("turn", "role"))
+    a = enc.where(F.col("role") == "user").select("conv_id", "turn", F.col("ids").alias("a"))
+    b = enc.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ids").alias("b"))
+    ids, types = E.template_pair(F.col("a"), F.col("b"))
+    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", T.ids_text(ids).alias("ids"), T.ids_text(types).alias("type_ids"))
+
+
+@register("f_truncate")
+def f_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truncation to SEQ_LEN including <s> and </s>."""
+    from quire.operators import encode as E
+
+    enc = C.encode(spark, sf_dir, C.table(spark, sf_dir, "documents"))
+    return enc.select("doc_id", T.ids_text(E.truncate_single(F.col("ids"), P.SEQ_LEN)).alias("ids"))
+
+
+@register("f_decode")
+def f_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decode of every encoded document, specials skipped."""
+    from quire.operators import encode as E
+
+    enc = C.encode(spark, sf_dir, C.table(spark, sf_dir, "documents"))
+    dec = E.decode_ids(enc, C.pieces(spark, sf_dir), C.pieces_bound())
+    return dec.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
+
+
+@register("f_pad_choice")
+def f_pad_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pad id of the learned piece table."""
+    from quire.operators import vocab as V
+
+    return V.pad_choice(C.pieces(spark, sf_dir))
+
+
+@register("f_chat")
+def f_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat rendering (F8) and the token count of each rendered conversation."""
+    from quire.operators import encode as E
+
+    chats = E.render_chat(C.table(spark, sf_dir, "conversations"))
+    enc = C.encode(spark, sf_dir, chats, id_col="conv_id", text_col="chat")
+    return chats.join(enc, "conv_id").select(
+        "conv_id", F.md5("chat").alias("chat_md5"), F.length("chat").alias("n_chars"), F.size("ids").alias("n_ids")
+    )

@@ -337,3 +337,196 @@ ORACLE["d_eval_batches"] = (
 ORACLE["d_every_nth"] = f"""
 SELECT event_id AS step, event_type AS tag, value FROM events WHERE (event_id + 1) % {P.CHECKPOINT_INTERVAL} = 0
 """
+
+
+# --------------------------------------------------------------------------- B
+
+
+ORACLE["b_usable"] = _q(
+    CTE_WORDS, CTE_VOCAB, cte_encode(),
+    body="SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_tokens FROM enc WHERE len(ids) > 0",
+)
+
+ORACLE["b_sentences"] = """
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, line FROM (
+  SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM (
+    SELECT doc_id, string_split(replace(text, '。', '。' || chr(10)) || chr(10), chr(10)) AS ls
+    FROM documents WHERE text IS NOT NULL) a) b
+WHERE line <> '' AND octet_length(encode(line)) <= 4192
+"""
+
+
+def _rules_sql(x: str) -> str:
+    from quire.functions.text import CUSTOM_RULES
+
+    for src, tgt in CUSTOM_RULES:
+        x = f"replace({x}, '{src}', '{tgt.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+_NORM = f"trim(regexp_replace({_rules_sql('text')}, '[ \\t\\n\\r]+', ' ', 'g'))"
+ORACLE["b_normalise"] = f"""
+WITH n AS (SELECT doc_id, {_NORM} AS x FROM documents)
+SELECT doc_id,
+       md5(CASE WHEN length(x) > 0 THEN '▁' || replace(x, ' ', '▁') ELSE x END) AS norm_md5,
+       CAST(length(CASE WHEN length(x) > 0 THEN '▁' || replace(x, ' ', '▁') ELSE x END) AS INTEGER) AS n_chars
+FROM n
+"""
+
+CTE_BENC = [CTE_WORDS, CTE_VOCAB, words_of("benchmark", "item_id", "text", "bw"), cte_encode("bw", "item_id", "benc")]
+
+ORACLE["b_prompt_crop"] = _q(
+    *CTE_BENC,
+    body=f"""
+SELECT item_id, array_to_string(x[greatest(len(x) - {P.CROP - 1}, 1):], ' ') AS ids
+FROM (SELECT item_id, [2] || ids AS x FROM benc) t
+""",
+)
+
+# --------------------------------------------------------------------------- E
+
+CTE_CHARS = """
+cc AS (SELECT ch, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS ch FROM documents) a
+       WHERE ch <> '' GROUP BY ch),
+cr AS (
+  SELECT ch, cnt,
+         coalesce(sum(cnt) OVER (ORDER BY cnt DESC, ch ASC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         sum(cnt) OVER () AS total,
+         row_number() OVER (ORDER BY cnt DESC, ch ASC) AS rk
+  FROM cc
+)
+"""
+_COV = int(round(P.COVERAGE * 1_000_000))
+
+ORACLE["e_alphabet"] = _q(CTE_CHARS, body=f"SELECT ch, cnt FROM cr WHERE before * 1000000 < total * {_COV}")
+ORACLE["e_chars"] = _q(
+    CTE_CHARS,
+    body=f"SELECT CAST(262 + rk AS INTEGER) AS id, ch AS piece, round(ln(cnt / total), 6) AS score FROM cr WHERE before * 1000000 < total * {_COV}",
+)
+
+
+def _merges_sql(n: int) -> str:
+    o, c = "chr(2)", "chr(3)"
+    parts = [
+        CTE_WORDS.strip(),
+        f"""m0 AS (
+  SELECT array_to_string(list_transform(regexp_extract_all('▁' || word, '(?s).'), lambda ch: {o} || ch || {c}), '') AS s,
+         count(*) AS freq
+  FROM w GROUP BY word)""",
+    ]
+    sel = []
+    for i in range(n):
+        parts.append(
+            f"""y{i} AS (SELECT regexp_extract_all(s, {o} || '([^' || {c} || ']*)' || {c}, 1) AS y, freq FROM m{i}),
+p{i} AS (SELECT y[i] AS l, y[i + 1] AS r, freq FROM (SELECT y, freq, unnest(range(1, len(y))) AS i FROM y{i}) t),
+b{i} AS (SELECT l, r, CAST(sum(freq) AS BIGINT) AS cnt FROM p{i} GROUP BY l, r ORDER BY cnt DESC, l ASC, r ASC LIMIT 1),
+m{i + 1} AS (SELECT replace(s, {o} || b{i}.l || {c} || {o} || b{i}.r || {c}, {o} || b{i}.l || b{i}.r || {c}) AS s, freq FROM m{i}, b{i})"""
+        )
+        sel.append(f"SELECT CAST({i} AS INTEGER) AS merge_idx, l, r, cnt FROM b{i}")
+    return "WITH " + ",\n".join(parts) + "\n" + "\nUNION ALL\n".join(sel)
+
+
+ORACLE["e_merges3"] = _merges_sql(P.BPE_MERGES)
+
+ORACLE["e_seeds"] = _q(
+    CTE_WORDS, CTE_VOCAB,
+    f"""
+st AS (SELECT word, cnt, unnest(range(1, length(word) + 1)) AS st FROM wc),
+subs AS (SELECT cnt, substr(word, st, n) AS piece
+         FROM (SELECT word, cnt, st, unnest(range(1, least({P.SEED_MAX_LEN}, length(word) - st + 1) + 1)) AS n FROM st) t),
+agg AS (SELECT piece, CAST(sum(cnt) AS BIGINT) AS freq FROM subs GROUP BY piece)
+""",
+    body=f"""
+SELECT piece, freq, score FROM (
+  SELECT piece, freq, freq * length(piece) AS score,
+         row_number() OVER (ORDER BY freq * length(piece) DESC, piece ASC) AS rk FROM agg) t
+WHERE rk <= {P.SEED_PIECES}
+""",
+)
+
+_SPECIAL_ROWS = ", ".join(
+    f"({i}, '{p}', '{t}')"
+    for i, p, t in [
+        (0, "<unk>", "UNKNOWN"), (1, "<s>", "CONTROL"), (2, "</s>", "CONTROL"), (3, "<pad>", "USER_DEFINED"),
+        (4, "<mask>", "USER_DEFINED"), (5, "<|im_start|>", "USER_DEFINED"), (6, "<|im_end|>", "USER_DEFINED"),
+    ]
+)
+CTE_PIECES = f"""
+specials(id, piece, type) AS (VALUES {_SPECIAL_ROWS}),
+pt AS (
+  SELECT CAST(id AS INTEGER) AS id, piece, type, CAST(0 AS DOUBLE) AS score FROM specials
+  UNION ALL
+  SELECT CAST(7 + b AS INTEGER), '<0x' || printf('%02X', b) || '>', 'BYTE', CAST(0 AS DOUBLE) FROM range(256) t(b)
+  UNION ALL
+  SELECT id, '▁' || word, 'NORMAL', ln(cnt / (SELECT count(*) FROM w)) FROM vocab
+)
+"""
+
+ORACLE["e_special"] = _q(CTE_WORDS, CTE_VOCAB, CTE_PIECES, body="SELECT id, piece, type, round(score, 6) AS score FROM pt")
+
+ORACLE["e_stats"] = _q(
+    CTE_WORDS, CTE_VOCAB, cte_encode(),
+    body="SELECT count(*) AS n_docs, CAST(sum(len(ids)) AS BIGINT) AS total_tokens, round(avg(len(ids)), 6) AS mean_tokens FROM enc",
+)
+
+# --------------------------------------------------------------------------- F
+
+ORACLE["f_single"] = _q(*CTE_BENC, body="SELECT item_id, array_to_string([1] || ids || [2], ' ') AS ids FROM benc")
+
+CTE_MSG = "msg AS (SELECT conv_id * 1000000 + turn AS mid, conv_id, turn, role, text FROM conversations)"
+ORACLE["f_pair"] = _q(
+    CTE_WORDS, CTE_VOCAB, CTE_MSG, words_of("msg", "mid", "text", "mw"), cte_encode("mw", "mid", "menc"),
+    """
+me AS (SELECT m.conv_id, m.turn, m.role, e.ids FROM menc e JOIN msg m USING (mid))
+""",
+    body="""
+SELECT a.conv_id, a.turn,
+       array_to_string([1] || a.ids || [2] || b.ids || [2], ' ') AS ids,
+       array_to_string(list_transform(range(len(a.ids) + 2), lambda x: 0) || list_transform(range(len(b.ids) + 1), lambda x: 1), ' ') AS type_ids
+FROM me a JOIN me b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+WHERE a.role = 'user'
+""",
+)
+
+ORACLE["f_truncate"] = _q(
+    CTE_WORDS, CTE_VOCAB, cte_encode(),
+    body=f"SELECT doc_id, array_to_string([1] || ids[1:{S - 2}] || [2], ' ') AS ids FROM enc",
+)
+
+ORACLE["f_decode"] = _q(
+    CTE_WORDS, CTE_VOCAB, cte_encode(), CTE_PIECES,
+    """
+hx AS (
+  SELECT id AS tid, CASE WHEN type = 'BYTE' THEN substr(piece, 4, 2) ELSE hex(encode(piece)) END AS h
+  FROM pt WHERE id NOT IN (0, 1, 2, 3, 4)
+),
+dt AS (SELECT doc_id, unnest(ids) AS tid, unnest(range(len(ids))) AS p FROM enc),
+dj AS (SELECT dt.doc_id, replace(decode(unhex(string_agg(hx.h, '' ORDER BY dt.p))), '▁', ' ') AS raw
+       FROM dt JOIN hx USING (tid) GROUP BY dt.doc_id),
+dd AS (SELECT doc_id, CASE WHEN starts_with(raw, ' ') THEN substr(raw, 2) ELSE raw END AS text FROM dj)
+""",
+    body="SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS n_chars FROM dd",
+)
+
+ORACLE["f_pad_choice"] = _q(
+    CTE_WORDS, CTE_VOCAB, CTE_PIECES,
+    body="""
+SELECT CAST(coalesce(max(CASE WHEN piece = '<pad>' THEN id END), max(CASE WHEN piece = '</s>' THEN id END),
+                max(CASE WHEN piece = '<unk>' THEN id END)) AS INTEGER) AS pad_id FROM pt
+""",
+)
+
+ORACLE["f_chat"] = _q(
+    CTE_WORDS, CTE_VOCAB,
+    """
+chats AS (
+  SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS chat
+  FROM conversations GROUP BY conv_id
+)
+""",
+    words_of("chats", "conv_id", "chat", "cw"), cte_encode("cw", "conv_id", "cenc"),
+    body="""
+SELECT c.conv_id, md5(c.chat) AS chat_md5, CAST(length(c.chat) AS INTEGER) AS n_chars, CAST(len(e.ids) AS INTEGER) AS n_ids
+FROM chats c JOIN cenc e USING (conv_id)
+""",
+)
