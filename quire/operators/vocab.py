@@ -166,10 +166,8 @@ def _symbols(s: F.Column) -> F.Column:
 def pair_counts(words_df: DataFrame) -> DataFrame:
     """Adjacent symbol pairs weighted by word frequency: ``(l, r, cnt)``."""
     syms = words_df.select(_symbols(F.col("s")).alias("y"), "freq")
-    pairs = syms.select(
-        F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("y") - 1, F.lit(1))), lambda i: F.struct(F.col("y")[i - 1].alias("l"), F.col("y")[i].alias("r")))).alias("p"),
-        "freq",
-    ).where(F.col("p.r").isNotNull())
+    n = F.size("y") - 1
+    pairs = syms.select(F.explode(F.arrays_zip(F.slice("y", 1, n).alias("l"), F.slice("y", 2, n).alias("r"))).alias("p"), "freq")
     return pairs.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("freq").cast("long").alias("cnt"))
 
 

@@ -431,3 +431,150 @@ def f_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.join(enc, "conv_id").select(
         "conv_id", F.md5("chat").alias("chat_md5"), F.length("chat").alias("n_chars"), F.size("ids").alias("n_ids")
     )
+
+
+# --------------------------------------------------------------------------- G: packing tail, batches, collation
+
+
+@register("g_pack_tail")
+def g_pack_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Padded tail block of every shard when drop_last is false."""
+    b = packed(spark, sf_dir, drop_last=False).where("is_tail")
+    return b.select(
+        "shard",
+        "block_id",
+        T.ids_text(F.col("input_ids")).alias("input_ids"),
+        T.ids_text(F.col("labels")).alias("labels"),
+        T.ids_text(F.col("attention_mask")).alias("attention_mask"),
+    )
+
+
+@register("g_batches")
+def g_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of BATCH_SIZE packed samples per shard (G6) and planned steps."""
+    b = G.batches(packed(spark, sf_dir), P.BATCH_SIZE)
+    sizes = b.groupBy("shard", "batch_id").agg(F.count("*").alias("n_samples"))
+    steps = b.groupBy("shard").agg(G.total_steps(F.count("*"), P.BATCH_SIZE).alias("total_steps"))
+    return sizes.join(F.broadcast(steps), "shard")
+
+
+def _collated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _eval_rows(spark, sf_dir).select("item_id", "batch_id", "ids")
+    return G.collate(rows)
+
+
+@register("g_collate")
+def g_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pad to the longest row of each batch (G7), pad labels masked."""
+    c = _collated(spark, sf_dir)
+    return c.select(
+        "item_id", "batch_id",
+        T.ids_text(F.col("input_ids")).alias("input_ids"),
+        T.ids_text(F.col("attention_mask")).alias("attention_mask"),
+        T.ids_text(F.col("labels")).alias("labels"),
+    )
+
+
+@register("g_shift")
+def g_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels shifted at use (G9) and the valid-token count (H6)."""
+    c = _collated(spark, sf_dir)
+    sh = G.shift_at_use(F.col("labels"))
+    return c.select("item_id", "batch_id", T.ids_text(sh).alias("labels"), G.valid_tokens(sh).alias("n_valid"))
+
+
+# --------------------------------------------------------------------------- H: scoring and metrics
+
+
+def _model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import lm as L
+
+    return L.fit_bigram(C.encode(spark, sf_dir, C.table(spark, sf_dir, "documents")))
+
+
+def _batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import evaluate as H
+    from quire.operators import lm as L
+
+    pairs = H.eval_pairs(_collated(spark, sf_dir))
+    return L.score_pairs(pairs, _model(spark, sf_dir), P.ALPHA, C.pieces_bound(), ("batch_id",))
+
+
+@register("h_bigram")
+def h_bigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram counts and smoothed log-probabilities (H1)."""
+    from quire.operators import lm as L
+
+    m = L.with_log_prob(_model(spark, sf_dir), P.ALPHA, C.pieces_bound())
+    return m.select("a", "b", F.col("cnt").cast("long").alias("cnt"), F.round("logp", 6).alias("logp"))
+
+
+@register("h_batch_loss")
+def h_batch_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import evaluate as H
+
+    return H.batch_loss(_batch_scores(spark, sf_dir)).select("batch_id", F.round("loss", 6).alias("loss"))
+
+
+@register("h_update_loss")
+def h_update_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import evaluate as H
+
+    u = H.update_loss(H.batch_loss(_batch_scores(spark, sf_dir)), P.ACCUMULATE)
+    return u.select("update_id", F.round("loss", 6).alias("loss"))
+
+
+@register("h_logppl")
+def h_logppl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-perplexity over the first MAX_EVAL_BATCHES batches (H4), of the
+    hold-out batch (H5), and the valid-token count (H6)."""
+    from quire.operators import evaluate as H
+
+    s = _batch_scores(spark, sf_dir).where(F.col("batch_id") < P.MAX_EVAL_BATCHES)
+    hold = F.col("batch_id") == 0
+    agg = s.agg(
+        F.sum("nll").alias("nll"), F.sum("n_tokens").alias("n"),
+        F.sum(F.when(hold, F.col("nll"))).alias("nll0"), F.sum(F.when(hold, F.col("n_tokens"))).alias("n0"),
+    )
+    return agg.select(
+        F.round(H.log_perplexity(F.col("nll"), F.col("n")), 6).alias("log_ppl"),
+        F.round(H.log_perplexity(F.col("nll0"), F.col("n0")), 6).alias("const_log_ppl"),
+        F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_valid"),
+    )
+
+
+def _event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = C.table(spark, sf_dir, "events")
+    return ev.select(F.col("event_type").alias("tag"), F.col("event_id").alias("step"), "value")
+
+
+@register("h_best")
+def h_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best-so-far flag per metric series (H7); events stand for the metric stream."""
+    from quire.operators import evaluate as H
+
+    m = _event_metrics(spark, sf_dir)
+    bk = O.quantile_bucketing(m, "step")
+    return H.best_so_far(m, bk, max_tags=1000).select("tag", "step", "value", "is_best")
+
+
+@register("h_log")
+def h_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training rows every step plus a validation row every CHECKPOINT_INTERVAL steps (H8)."""
+    from quire.operators import evaluate as H
+
+    train = C.table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), "value")
+    log = H.metric_log(train, P.CHECKPOINT_INTERVAL)
+    return log.select("step", "tag", F.round("value", 6).alias("value"))
+
+
+@register("a_metric_long")
+def a_metric_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide per-batch evaluation scalars unpivoted to the long metric log."""
+    from quire.operators import evaluate as H
+
+    s = _batch_scores(spark, sf_dir).select(
+        "batch_id", (F.col("nll") / F.col("n_tokens")).alias("loss"), F.col("n_tokens").cast("double").alias("tokens")
+    )
+    long = H.metric_long(s, "batch_id", {"loss": "Loss/Validation", "tokens": "Tokens/Validation"})
+    return long.select("step", "tag", F.round("value", 6).alias("value"))

@@ -530,3 +530,126 @@ SELECT c.conv_id, md5(c.chat) AS chat_md5, CAST(length(c.chat) AS INTEGER) AS n_
 FROM chats c JOIN cenc e USING (conv_id)
 """,
 )
+
+
+# --------------------------------------------------------------------------- G / H
+
+ORACLE["g_pack_tail"] = _q(
+    CTE_WORDS, CTE_VOCAB, cte_encode(), CTE_STREAM,
+    f"""
+tails AS (
+  SELECT shard, nb, list(t ORDER BY p) AS tt FROM tokb WHERE p >= nb * {S}
+  GROUP BY shard, nb, tot HAVING tot - nb * {S} > 1
+)
+""",
+    body=f"""
+SELECT shard, CAST(nb AS BIGINT) AS block_id,
+  array_to_string(tt || list_transform(range({S} - len(tt)), lambda x: 3), ' ') AS input_ids,
+  array_to_string(tt[2:] || list_transform(range({S} - len(tt) + 1), lambda x: -100), ' ') AS labels,
+  array_to_string(list_transform(range(len(tt)), lambda x: 1) || list_transform(range({S} - len(tt)), lambda x: 0), ' ') AS attention_mask
+FROM tails
+""",
+)
+
+ORACLE["g_batches"] = _q(
+    CTE_WORDS, CTE_VOCAB, cte_encode(), CTE_STREAM, CTE_BLOCKS,
+    f"steps AS (SELECT shard, CAST(count(*) // {P.BATCH_SIZE} AS BIGINT) AS total_steps FROM blocks GROUP BY shard)",
+    body=f"""
+SELECT b.shard, CAST(b.block_id // {P.BATCH_SIZE} AS BIGINT) AS batch_id, count(*) AS n_samples, s.total_steps
+FROM blocks b JOIN steps s USING (shard) GROUP BY b.shard, b.block_id // {P.BATCH_SIZE}, s.total_steps
+""",
+)
+
+CTE_COLLATE = """
+col AS (SELECT item_id, batch_id, ids, len(ids) AS n, max(len(ids)) OVER (PARTITION BY batch_id) AS m FROM ev),
+colp AS (
+  SELECT item_id, batch_id,
+         ids || list_transform(range(m - n), lambda x: 3) AS input_ids,
+         list_transform(range(n), lambda x: 1) || list_transform(range(m - n), lambda x: 0) AS attention_mask,
+         list_transform(ids || list_transform(range(m - n), lambda x: 3), lambda x: CASE WHEN x = 3 THEN -100 ELSE x END) AS labels
+  FROM col
+)
+"""
+
+ORACLE["g_collate"] = "WITH " + CTE_EVAL.rstrip() + ",\n" + CTE_COLLATE.strip() + """
+SELECT item_id, batch_id, array_to_string(input_ids, ' ') AS input_ids,
+       array_to_string(attention_mask, ' ') AS attention_mask, array_to_string(labels, ' ') AS labels FROM colp
+"""
+
+ORACLE["g_shift"] = "WITH " + CTE_EVAL.rstrip() + ",\n" + CTE_COLLATE.strip() + """
+SELECT item_id, batch_id, array_to_string(labels[2:], ' ') AS labels,
+       CAST(len(list_filter(labels[2:], lambda x: x <> -100)) AS INTEGER) AS n_valid FROM colp
+"""
+
+_ALPHA = _dbl(P.ALPHA)
+_ALPHA_V = _dbl(P.ALPHA * (263 + P.VOCAB_SIZE))
+CTE_MODEL = f"""
+seqs AS (SELECT doc_id, [2] || ids || [2] AS s FROM enc),
+bpairs AS (SELECT s[i] AS a, s[i + 1] AS b FROM (SELECT s, unnest(range(1, len(s))) AS i FROM seqs) t),
+model AS (SELECT a, b, count(*) AS cnt FROM bpairs GROUP BY a, b),
+ctot AS (SELECT a, sum(cnt) AS ca FROM model GROUP BY a)
+"""
+
+ORACLE["h_bigram"] = _q(
+    CTE_WORDS, CTE_VOCAB, cte_encode(), CTE_MODEL,
+    body=f"""
+SELECT m.a, m.b, m.cnt, round(ln((m.cnt + {_ALPHA}) / (c.ca + {_ALPHA_V})), 6) AS logp
+FROM model m JOIN ctot c USING (a)
+""",
+)
+
+CTE_SCORES = CTE_EVAL.rstrip() + ",\n" + CTE_COLLATE.strip() + ",\n" + ",\n".join(
+    c.strip() for c in (cte_encode(), CTE_MODEL)
+) + f""",
+ep AS (
+  SELECT batch_id, input_ids[i] AS a, labels[i + 1] AS b
+  FROM (SELECT batch_id, input_ids, labels, unnest(range(1, len(input_ids))) AS i FROM colp) t
+  WHERE labels[i + 1] <> -100
+),
+bsc AS (
+  SELECT ep.batch_id, sum(-ln((coalesce(m.cnt, 0) + {_ALPHA}) / (coalesce(c.ca, 0) + {_ALPHA_V}))) AS nll, count(*) AS n_tokens
+  FROM ep LEFT JOIN model m ON m.a = ep.a AND m.b = ep.b LEFT JOIN ctot c ON c.a = ep.a
+  GROUP BY ep.batch_id
+)
+"""
+# the eval CTE already defines wl/w/vocab; the document encoder adds enc
+
+ORACLE["h_batch_loss"] = "WITH " + CTE_SCORES + "SELECT batch_id, round(nll / n_tokens, 6) AS loss FROM bsc"
+
+ORACLE["h_update_loss"] = "WITH " + CTE_SCORES + f"""
+SELECT CAST(batch_id // {P.ACCUMULATE} AS BIGINT) AS update_id, round(avg(nll / n_tokens), 6) AS loss
+FROM bsc GROUP BY batch_id // {P.ACCUMULATE} HAVING count(*) = {P.ACCUMULATE}
+"""
+
+ORACLE["h_logppl"] = "WITH " + CTE_SCORES + f"""
+, t AS (
+  SELECT sum(nll) AS nll, sum(n_tokens) AS n,
+         sum(CASE WHEN batch_id = 0 THEN nll END) AS nll0, sum(CASE WHEN batch_id = 0 THEN n_tokens END) AS n0
+  FROM bsc WHERE batch_id < {P.MAX_EVAL_BATCHES}
+)
+SELECT round(CASE WHEN coalesce(n, 0) > 0 THEN nll / n ELSE -100 END, 6) AS log_ppl,
+       round(CASE WHEN coalesce(n0, 0) > 0 THEN nll0 / n0 ELSE -100 END, 6) AS const_log_ppl,
+       CAST(coalesce(n, 0) AS BIGINT) AS n_valid
+FROM t
+"""
+
+ORACLE["a_metric_long"] = "WITH " + CTE_SCORES + """
+SELECT batch_id AS step, 'Loss/Validation' AS tag, round(nll / n_tokens, 6) AS value FROM bsc
+UNION ALL
+SELECT batch_id, 'Tokens/Validation', round(CAST(n_tokens AS DOUBLE), 6) FROM bsc
+"""
+
+ORACLE["h_best"] = """
+SELECT tag, step, value, (pm IS NULL OR value < pm) AS is_best FROM (
+  SELECT event_type AS tag, event_id AS step, value,
+         min(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm
+  FROM events WHERE value <> -100) t
+"""
+
+ORACLE["h_log"] = f"""
+SELECT event_id AS step, 'Loss/Train' AS tag, round(value, 6) AS value FROM events
+UNION ALL
+SELECT CAST((g + 1) * {P.CHECKPOINT_INTERVAL} - 1 AS BIGINT), 'Loss/Validation', round(v, 6) FROM (
+  SELECT event_id // {P.CHECKPOINT_INTERVAL} AS g, avg(value) AS v, count(*) AS n FROM events GROUP BY 1) t
+WHERE n = {P.CHECKPOINT_INTERVAL}
+"""
