@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -578,3 +578,101 @@ def a_metric_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     long = H.metric_long(s, "batch_id", {"loss": "Loss/Validation", "tokens": "Tokens/Validation"})
     return long.select("step", "tag", F.round("value", 6).alias("value"))
+
+
+# --------------------------------------------------------------------------- I: candidate filters
+
+
+@register("i_scores")
+def i_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top SCORE_TOP_K items per context vector by normed inner product."""
+    from quire.operators import candidates as I
+
+    emb = C.table(spark, sf_dir, "embeddings")
+    out = I.inner_product_top_k(spark, emb, emb, P.SCORE_TOP_K)
+    return out.select(F.col("vec_id").alias("ctx_id"), "rank", "item_id", F.round("score", 6).alias("score"))
+
+
+def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation prompts framed with EOS (B6): ``(ctx_id, ids)``."""
+    from quire.operators import encode as E
+
+    bench = C.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    enc = C.encode(spark, sf_dir, bench)
+    return enc.select(F.col("doc_id").alias("ctx_id"), E.prompt_frame(F.col("ids")).alias("ids"))
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next-token logits of each prompt under the bigram model, after the
+    repetition penalty (I1). Candidates of a context are the observed
+    successors of its last (cropped, B7) token: at most one row per
+    vocabulary entry and context."""
+    from quire.operators import candidates as I
+    from quire.operators import encode as E
+    from quire.operators import lm as L
+
+    prompts = _prompts(spark, sf_dir)
+    last = prompts.select("ctx_id", F.element_at(E.crop_last(F.col("ids"), P.CROP), -1).alias("a"))
+    model = L.with_log_prob(_model(spark, sf_dir), P.ALPHA, C.pieces_bound())
+    cands = last.join(model.select("a", F.col("b").alias("token_id"), F.col("logp").alias("logit")), "a").drop("a")
+    seen = prompts.select("ctx_id", F.explode(F.array_distinct("ids")).alias("token_id"))
+    return I.repetition_penalty(cands, seen, P.PENALTY)
+
+
+@register("i_penalty")
+def i_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir).select("ctx_id", "token_id", F.round("logit", 6).alias("logit"))
+
+
+@register("i_greedy")
+def i_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import candidates as I
+
+    return I.greedy(_candidates(spark, sf_dir))
+
+
+def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import candidates as I
+
+    return I.top_k(I.temperature(_candidates(spark, sf_dir), P.TEMPERATURE), P.TOP_K)
+
+
+@register("i_topk")
+def i_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Temperature (I3) then top-k keeping ties (I4)."""
+    return _topk(spark, sf_dir).select("ctx_id", "token_id", F.round("logit", 6).alias("logit"))
+
+
+def _topp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import candidates as I
+
+    return I.softmax(I.top_p(_topk(spark, sf_dir), P.TOP_P))
+
+
+@register("i_topp")
+def i_topp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nucleus filter (I5) and the renormalised softmax."""
+    return _topp(spark, sf_dir).select("ctx_id", "token_id", F.round("prob", 6).alias("prob"))
+
+
+@register("i_draw")
+def i_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One seeded categorical draw per context."""
+    from quire.operators import candidates as I
+
+    return I.draw(_topp(spark, sf_dir), P.SEED)
+
+
+@register("i_eos")
+def i_eos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EOS propagation over packed rows and the length each batch runs to (I8)."""
+    from quire.operators import candidates as I
+
+    b = packed(spark, sf_dir).withColumn("batch_id", F.floor(F.col("block_id") / P.BATCH_SIZE).cast("long"))
+    w = Window.partitionBy("shard", "batch_id")
+    return b.select(
+        "shard",
+        "block_id",
+        T.ids_text(I.propagate_eos(F.col("input_ids"))).alias("ids"),
+        F.max(I.finished_length(F.col("input_ids"))).over(w).alias("batch_len"),
+    )

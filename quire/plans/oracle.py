@@ -653,3 +653,84 @@ SELECT CAST((g + 1) * {P.CHECKPOINT_INTERVAL} - 1 AS BIGINT), 'Loss/Validation',
   SELECT event_id // {P.CHECKPOINT_INTERVAL} AS g, avg(value) AS v, count(*) AS n FROM events GROUP BY 1) t
 WHERE n = {P.CHECKPOINT_INTERVAL}
 """
+
+
+# --------------------------------------------------------------------------- I
+
+ORACLE["i_scores"] = f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+),
+c AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x)) / len(v) + 1e-6) AS rms FROM v),
+sc AS (SELECT c.vec_id AS ctx_id, i.vec_id AS item_id, list_dot_product(c.v, i.v) / c.rms AS score FROM c, v i),
+r AS (SELECT *, row_number() OVER (PARTITION BY ctx_id ORDER BY score DESC, item_id ASC) AS rk FROM sc)
+SELECT ctx_id, CAST(rk AS INTEGER) AS rank, item_id, round(score, 6) AS score FROM r WHERE rk <= {P.SCORE_TOP_K}
+"""
+
+_PEN = _dbl(P.PENALTY)
+CTE_CANDS = ",\n".join(
+    c.strip() for c in (CTE_WORDS, CTE_VOCAB, cte_encode(), CTE_MODEL, words_of("benchmark", "item_id", "text", "bw"), cte_encode("bw", "item_id", "benc"))
+) + f""",
+prompts AS (SELECT item_id AS ctx_id, [2] || ids AS ids FROM benc),
+lastt AS (SELECT ctx_id, ids[greatest(len(ids) - {P.CROP - 1}, 1):][-1] AS a FROM prompts),
+seen AS (SELECT DISTINCT ctx_id, unnest(ids) AS token_id FROM prompts),
+raw AS (
+  SELECT l.ctx_id, m.b AS token_id, ln((m.cnt + {_ALPHA}) / (c.ca + {_ALPHA_V})) AS logit
+  FROM lastt l JOIN model m ON m.a = l.a JOIN ctot c ON c.a = m.a
+),
+cands AS (
+  SELECT r.ctx_id, r.token_id,
+         CASE WHEN s.token_id IS NULL THEN r.logit WHEN r.logit < 0 THEN r.logit * {_PEN} ELSE r.logit / {_PEN} END AS logit
+  FROM raw r LEFT JOIN seen s ON s.ctx_id = r.ctx_id AND s.token_id = r.token_id
+),
+tk AS (
+  SELECT ctx_id, token_id, logit FROM (
+    SELECT ctx_id, token_id, logit / {_dbl(P.TEMPERATURE)} AS logit,
+           rank() OVER (PARTITION BY ctx_id ORDER BY logit / {_dbl(P.TEMPERATURE)} DESC) AS r FROM cands) t
+  WHERE r <= {P.TOP_K}
+),
+sm AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY ctx_id)) AS e FROM tk),
+sm2 AS (SELECT ctx_id, token_id, logit, e / sum(e) OVER (PARTITION BY ctx_id) AS p FROM sm),
+tp AS (
+  SELECT ctx_id, token_id, logit FROM (
+    SELECT *, sum(p) OVER (PARTITION BY ctx_id ORDER BY logit DESC, token_id ASC
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM sm2) t
+  WHERE before IS NULL OR before <= {_dbl(P.TOP_P)}
+),
+tpe AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY ctx_id)) AS e FROM tp),
+probs AS (SELECT ctx_id, token_id, e / sum(e) OVER (PARTITION BY ctx_id) AS prob FROM tpe)
+"""
+
+ORACLE["i_penalty"] = "WITH " + CTE_CANDS + "SELECT ctx_id, token_id, round(logit, 6) AS logit FROM cands"
+ORACLE["i_greedy"] = "WITH " + CTE_CANDS + """
+SELECT ctx_id, token_id FROM (
+  SELECT ctx_id, token_id, row_number() OVER (PARTITION BY ctx_id ORDER BY logit DESC, token_id ASC) AS r FROM cands) t
+WHERE r = 1
+"""
+ORACLE["i_topk"] = "WITH " + CTE_CANDS + "SELECT ctx_id, token_id, round(logit, 6) AS logit FROM tk"
+ORACLE["i_topp"] = "WITH " + CTE_CANDS + "SELECT ctx_id, token_id, round(prob, 6) AS prob FROM probs"
+ORACLE["i_draw"] = "WITH " + CTE_CANDS + f"""
+, cdf AS (
+  SELECT ctx_id, token_id,
+         sum(prob) OVER (PARTITION BY ctx_id ORDER BY token_id ROWS UNBOUNDED PRECEDING) AS c,
+         CAST(('0x' || substr(md5('{P.SEED}:' || CAST(ctx_id AS VARCHAR)), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
+  FROM probs
+)
+SELECT ctx_id, coalesce(min(CASE WHEN c > u THEN token_id END), max(token_id)) AS token_id FROM cdf GROUP BY ctx_id
+"""
+
+ORACLE["i_eos"] = _q(
+    CTE_WORDS, CTE_VOCAB, cte_encode(), CTE_STREAM, CTE_BLOCKS,
+    f"""
+bl AS (
+  SELECT shard, block_id, list_transform(string_split(input_ids, ' '), lambda x: CAST(x AS INTEGER)) AS ids FROM blocks
+),
+fe AS (SELECT shard, block_id, ids, list_position(ids, 2) AS f FROM bl)
+""",
+    body=f"""
+SELECT shard, block_id,
+       array_to_string(CASE WHEN f IS NOT NULL THEN ids[1:f] || list_transform(range(len(ids) - f), lambda x: 2) ELSE ids END, ' ') AS ids,
+       CAST(max(CASE WHEN f IS NOT NULL THEN f ELSE len(ids) END) OVER (PARTITION BY shard, block_id // {P.BATCH_SIZE}) AS INTEGER) AS batch_len
+FROM fe
+""",
+)
