@@ -676,3 +676,71 @@ def i_eos(spark: SparkSession, sf_dir: str) -> DataFrame:
         T.ids_text(I.propagate_eos(F.col("input_ids"))).alias("ids"),
         F.max(I.finished_length(F.col("input_ids"))).over(w).alias("batch_len"),
     )
+
+
+# --------------------------------------------------------------------------- J: streaming, A4
+
+
+def _stage(df: DataFrame, base: str) -> DataFrame:
+    """Write once to the shared folder and read back (cuts lineage, survives executor loss)."""
+    df.write.mode("overwrite").parquet(base)
+    return df.sparkSession.read.parquet(base)
+
+
+def _feed(staged: DataFrame, src_dir: str, order_col: str, n_chunks: int) -> None:
+    """Arrivals for a file stream: one write job per ``order_col`` range, in order,
+    so files arrive in stream order."""
+    lo, hi = staged.agg(F.min(order_col), F.max(order_col)).first()
+    width = max(1, -(-(hi - lo + 1) // n_chunks))
+    for c in range(n_chunks):
+        part = staged.where((F.col(order_col) >= lo + c * width) & (F.col(order_col) < lo + (c + 1) * width))
+        part.coalesce(1).write.mode("append").parquet(src_dir)
+
+
+@register("j_pack")
+def j_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streaming pack with per-shard state (J1), limit counter (J3) and tail flush."""
+    from quire.session import shared_path
+    from quire.streaming import pack_stream as J
+
+    base = shared_path(spark, "jpack")
+    staged = _stage(C.token_stream(spark, sf_dir).select("shard", "pos", "doc_id", "ids"), f"{base}/staged")
+    _feed(staged, f"{base}/source", "pos", 4)
+    src = spark.readStream.schema(staged.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/source")
+    out = J.run_available(spark, J.stream_pack(src, P.SEQ_LEN), f"{base}/sink", f"{base}/checkpoint")
+    blocks = J.flush_tails(out, P.SEQ_LEN, drop_last=True)
+    return blocks.select(
+        "shard", "block_id",
+        T.ids_text(F.col("input_ids")).alias("input_ids"),
+        T.ids_text(F.col("labels")).alias("labels"),
+        T.ids_text(F.col("attention_mask")).alias("attention_mask"),
+    )
+
+
+@register("j_metrics")
+def j_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streaming metric log with a best-so-far flag kept in keyed state."""
+    from quire.session import shared_path
+    from quire.streaming import pack_stream as J
+
+    base = shared_path(spark, "jmetrics")
+    staged = _stage(_event_metrics(spark, sf_dir), f"{base}/staged")
+    _feed(staged, f"{base}/source", "step", 4)
+    src = spark.readStream.schema(staged.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/source")
+    return J.run_available(spark, J.stream_best(src), f"{base}/sink", f"{base}/checkpoint")
+
+
+@register("a_stream")
+def a_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incremental read of a source (A4): file stream, text column only, parquet sink."""
+    from quire.session import shared_path
+    from quire.streaming import pack_stream as J
+
+    base = shared_path(spark, "astream")
+    path = f"{sf_dir.rstrip('/')}/documents.parquet"
+    schema = spark.read.parquet(path).schema
+    # a file stream watches a folder or a glob; the glob names just this table
+    glob = f"{sf_dir.rstrip('/')}/documents*.parquet"
+    src = spark.readStream.schema(schema).parquet(glob).select("doc_id", "text")
+    out = J.run_available(spark, src, f"{base}/sink", f"{base}/checkpoint")
+    return out.select("doc_id", F.length("text").alias("n_chars"))
