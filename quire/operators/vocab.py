@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 
 MODEL_TYPES = ("unigram", "bpe", "word", "char")
+FIRST_ID = T.FIRST_LEARNED_ID
 PIECE_SCHEMA = "id int, piece string, score double, type string"
 
 
@@ -199,10 +200,15 @@ def bpe_merges(texts: DataFrame, n_merges: int, *, checkpoint_every: int = 8, te
 
 
 def seed_pieces(texts: DataFrame, n_seeds: int, max_len: int = 16, text_col: str = "text") -> DataFrame:
-    """Seed sub-strings of the unigram trainer: every sub-string of a distinct
-    word up to ``max_len`` characters, counted with the word's frequency.
-    Kept: the ``n_seeds`` best by frequency x length (then piece)."""
+    """Seed sub-strings of the unigram trainer over whitespace words (E6 seeds)."""
     wc = word_counts(texts, text_col).where(~F.col("word").isin(*T.USER_DEFINED))
+    return seed_pieces_from_counts(wc, n_seeds, max_len)
+
+
+def seed_pieces_from_counts(wc: DataFrame, n_seeds: int, max_len: int = 16) -> DataFrame:
+    """Every sub-string of a distinct word up to ``max_len`` characters, counted
+    with the word's frequency. Kept: the ``n_seeds`` best by frequency x length
+    (then piece). ``wc``: ``(word, cnt)``."""
     starts = wc.select("word", "cnt", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("st"))
     subs = starts.select(
         "cnt",

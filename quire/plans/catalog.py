@@ -744,3 +744,49 @@ def a_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = spark.readStream.schema(schema).parquet(glob).select("doc_id", "text")
     out = J.run_available(spark, src, f"{base}/sink", f"{base}/checkpoint")
     return out.select("doc_id", F.length("text").alias("n_chars"))
+
+
+# --------------------------------------------------------------------------- sinks, sub-word model
+
+
+@register("a_sinks")
+def a_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus text (A6), training blocks (A7) and piece table (A8) written to the
+    shared folder and read back; one row per sink with its row count."""
+    from quire.session import shared_path
+    from quire.sources import sinks as K
+
+    base = shared_path(spark, "sinks")
+    reg = R.documents_registry(sf_dir)
+    lines = K.corpus_lines(spark, reg, max_documents=P.MAX_DOCUMENTS, max_bytes=P.MAX_BYTES, seed=P.SEED,
+                           check_every=P.BYTE_CHECK_EVERY)
+    K.write_corpus(lines, f"{base}/corpus")
+    K.write_blocks(packed(spark, sf_dir), f"{base}/blocks")
+    K.write_pieces(C.pieces(spark, sf_dir), f"{base}/pieces")
+    corpus = spark.read.text(f"{base}/corpus").select(F.lit("corpus_lines").alias("sink"))
+    blocks = spark.read.parquet(f"{base}/blocks").select(F.lit("blocks").alias("sink"))
+    pieces = spark.read.json(f"{base}/pieces/json").select(F.lit("pieces").alias("sink"))
+    return corpus.unionByName(blocks).unionByName(pieces).groupBy("sink").agg(F.count("*").alias("n_rows"))
+
+
+def _unigram(spark: SparkSession, sf_dir: str) -> list:
+    from quire.operators import unigram as U
+
+    return U.train_unigram(spark, C.table(spark, sf_dir, "documents"), P.UNIGRAM_VOCAB, seed_size=P.UNIGRAM_SEEDS)
+
+
+@register("e_unigram")
+def e_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram sub-word vocabulary by EM over distinct words."""
+    from quire.operators import unigram as U
+
+    return U.unigram_piece_table(spark, _unigram(spark, sf_dir))
+
+
+@register("f_subword")
+def f_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sub-word encode of every document with the learned unigram pieces (F1)."""
+    from quire.operators import unigram as U
+
+    enc = U.encode_subword(C.table(spark, sf_dir, "documents"), _unigram(spark, sf_dir))
+    return enc.select("doc_id", F.size("ids").alias("n_ids"), F.md5(T.ids_text(F.col("ids"))).alias("ids_md5"))

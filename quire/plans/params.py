@@ -29,3 +29,5 @@ SINGLE_GENRE = "literature"
 BPE_MERGES = 3
 SEED_PIECES = 1000
 SEED_MAX_LEN = 16
+UNIGRAM_VOCAB = 500
+UNIGRAM_SEEDS = 2000
