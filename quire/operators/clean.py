@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from quire.functions import text as T
 
@@ -44,13 +45,13 @@ def _nfkc(s: pd.Series, casefold: bool) -> pd.Series:
     return s.map(one)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc_udf(s: pd.Series) -> pd.Series:
     """NFKC over an Arrow batch (Spark has no built-in NFKC)."""
     return _nfkc(s, False)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc_cf_udf(s: pd.Series) -> pd.Series:
     return _nfkc(s, True)
 

@@ -111,8 +111,16 @@ def running_offsets(
     bucket bound it decides whether the base table may be broadcast.
     """
     w_col = F.lit(1).cast("long") if weight is None else weight.cast("long")
-    tagged = bucketing.apply(df).withColumn("__w", w_col)
     pcols = list(partition_cols)
+    if bucketing.max_buckets == 1:
+        # small input (under one bucket): one window per group, no base table
+        win = (Window.partitionBy(*pcols) if pcols else Window.partitionBy()).orderBy(*order_cols).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
+        t = df.withColumn("__w", w_col)
+        running = F.sum("__w").over(win) - (F.lit(0) if inclusive else F.col("__w"))
+        return t.withColumn(out, running).drop("__w")
+    tagged = bucketing.apply(df).withColumn("__w", w_col)
 
     sums = tagged.groupBy(*pcols, "__b").agg(F.sum("__w").alias("__bw"))
     base_win = Window.partitionBy(*pcols).orderBy("__b") if pcols else Window.orderBy("__b")
@@ -161,8 +169,13 @@ def running_min(
     Same two phases as the running sum: bucket minima, an exclusive running
     minimum over the small bucket table, then a window inside each bucket.
     """
-    tagged = bucketing.apply(df)
     pcols = list(partition_cols)
+    if bucketing.max_buckets == 1:
+        win = (Window.partitionBy(*pcols) if pcols else Window.partitionBy()).orderBy(*order_cols).rowsBetween(
+            Window.unboundedPreceding, -1
+        )
+        return df.withColumn(out, F.min(value).over(win))
+    tagged = bucketing.apply(df)
     mins = tagged.groupBy(*pcols, "__b").agg(F.min(value).alias("__bm"))
     base_win = (Window.partitionBy(*pcols) if pcols else Window.partitionBy()).orderBy("__b").rowsBetween(
         Window.unboundedPreceding, -1
@@ -173,3 +186,19 @@ def running_min(
     inner = Window.partitionBy(*pcols, "__b").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
     prev = F.least(F.min(value).over(inner), F.col("__base"))
     return joined.withColumn(out, prev).drop("__b", "__base")
+
+
+def top_n(df: DataFrame, n: int, score: str, tiebreak: list[str | Column], out: str = "rk") -> DataFrame:
+    """Exact top ``n`` rows by ``score`` desc, then ``tiebreak`` asc, with rank ``out`` (1-based).
+
+    A histogram of score values (one row per distinct score) locates the
+    cut-off score with a running count; only rows at or above it (n plus the
+    ties at the cut-off) reach the final ranking window. Nothing else is
+    sorted globally, and no task receives more than those rows.
+    """
+    hist = df.groupBy(score).agg(F.count("*").alias("__c"))
+    above = F.sum("__c").over(Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1))
+    cutoff = hist.select(score, F.coalesce(above, F.lit(0)).alias("__a")).where(F.col("__a") < n).agg(F.min(score)).scalar()
+    cand = df.where(F.col(score) >= cutoff)
+    w = Window.orderBy(F.desc(score), *tiebreak)
+    return cand.withColumn(out, F.row_number().over(w)).where(F.col(out) <= n)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import offsets as O
 
 MODEL_TYPES = ("unigram", "bpe", "word", "char")
 FIRST_ID = T.FIRST_LEARNED_ID
@@ -52,8 +53,7 @@ def word_vocabulary(texts: DataFrame, vocab_size: int, text_col: str = "text") -
     partial group limit, so each map task forwards at most V rows.
     """
     counts = word_counts(texts, text_col).where(~F.col("word").isin(*T.USER_DEFINED))
-    w = Window.orderBy(F.desc("cnt"), F.asc("word"))
-    top = counts.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= vocab_size)
+    top = O.top_n(counts, vocab_size, "cnt", [F.asc("word")])
     return top.select(
         (F.col("rk") + F.lit(T.FIRST_LEARNED_ID - 1)).cast("int").alias("id"),
         "word",
@@ -221,5 +221,4 @@ def seed_pieces_from_counts(wc: DataFrame, n_seeds: int, max_len: int = 16) -> D
     )
     agg = subs.groupBy("piece").agg(F.sum("cnt").cast("long").alias("freq"))
     scored = agg.withColumn("score", F.col("freq") * F.length("piece"))
-    w = Window.orderBy(F.desc("score"), F.asc("piece"))
-    return scored.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= n_seeds).drop("rk")
+    return O.top_n(scored, n_seeds, "score", [F.asc("piece")]).drop("rk")
