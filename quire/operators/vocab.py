@@ -222,3 +222,31 @@ def seed_pieces_from_counts(wc: DataFrame, n_seeds: int, max_len: int = 16) -> D
     agg = subs.groupBy("piece").agg(F.sum("cnt").cast("long").alias("freq"))
     scored = agg.withColumn("score", F.col("freq") * F.length("piece"))
     return O.top_n(scored, n_seeds, "score", [F.asc("piece")]).drop("rk")
+
+
+def learn_word_pieces(spark: SparkSession, texts: DataFrame, vocab_size: int, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Word vocabulary and full piece table, counted once.
+
+    The word counts are persisted for the two passes of the exact top-n (the
+    score histogram and the cut); the learned table itself is bounded by
+    ``vocab_size`` and comes back as a small local frame, so every later
+    broadcast is cheap and the corpus is not re-counted per use.
+    Returns ``(vocab(id, word, piece, cnt), pieces(id, piece, score, type))``.
+    """
+    from pyspark import StorageLevel
+
+    counts = word_counts(texts, text_col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        total = counts.agg(F.sum("cnt")).first()[0] or 0
+        learned = O.top_n(counts.where(~F.col("word").isin(*T.USER_DEFINED)), vocab_size, "cnt", [F.asc("word")])
+        rows = learned.select("rk", "word", "cnt").collect()
+    finally:
+        counts.unpersist()
+    if len(rows) > vocab_size:
+        raise ValueError("learned vocabulary exceeds its bound")
+    vocab_rows = [(T.FIRST_LEARNED_ID - 1 + r["rk"], r["word"], T.WORD_BOUNDARY + r["word"], int(r["cnt"])) for r in rows]
+    vocab = spark.createDataFrame(vocab_rows, "id int, word string, piece string, cnt long")
+    learned_pieces = spark.createDataFrame(
+        [(i, p, math.log(c / total), "NORMAL") for i, _, p, c in vocab_rows], PIECE_SCHEMA
+    )
+    return vocab, special_and_byte_pieces(spark).unionByName(learned_pieces)

@@ -46,7 +46,10 @@ def packed(spark: SparkSession, sf_dir: str, drop_last: bool = True) -> DataFram
 
 @register("e_words")
 def e_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.word_vocab(spark, sf_dir).select("id", "word", "cnt")
+    """Word vocabulary (E4) as one lazy distributed plan."""
+    from quire.operators import vocab as V
+
+    return V.word_vocabulary(C.table(spark, sf_dir, "documents"), P.VOCAB_SIZE).select("id", "word", "cnt")
 
 
 @register("f_encode")
@@ -354,7 +357,9 @@ def e_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("e_special")
 def e_special(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole piece table (E7 layout): specials, bytes, learned words."""
-    pt = C.pieces(spark, sf_dir)
+    from quire.operators import vocab as V
+
+    pt = V.word_piece_table(spark, C.table(spark, sf_dir, "documents"), P.VOCAB_SIZE)
     return pt.select("id", "piece", "type", F.round("score", 6).alias("score"))
 
 
@@ -408,8 +413,12 @@ def f_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decode of every encoded document, specials skipped."""
     from quire.operators import encode as E
 
-    enc = C.encode(spark, sf_dir, C.table(spark, sf_dir, "documents"))
-    dec = E.decode_ids(enc, C.pieces(spark, sf_dir), C.pieces_bound())
+    from quire.operators import vocab as V
+
+    docs = C.table(spark, sf_dir, "documents")
+    vocab, pieces = V.learn_word_pieces(spark, docs, P.VOCAB_SIZE)
+    enc = E.encode_words(docs, vocab, P.VOCAB_SIZE)
+    dec = E.decode_ids(enc, pieces, C.pieces_bound())
     return dec.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
 
 

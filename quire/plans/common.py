@@ -29,13 +29,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learned word pieces ``(id, word, piece, cnt)`` over all documents."""
-    return V.word_vocabulary(table(spark, sf_dir, "documents"), P.VOCAB_SIZE)
+    """Learned word pieces ``(id, word, piece, cnt)`` over all documents (counted once)."""
+    return V.learn_word_pieces(spark, table(spark, sf_dir, "documents"), P.VOCAB_SIZE)[0]
 
 
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full piece table of the word model (specials, bytes, learned words)."""
-    return V.word_piece_table(spark, table(spark, sf_dir, "documents"), P.VOCAB_SIZE)
+    return V.learn_word_pieces(spark, table(spark, sf_dir, "documents"), P.VOCAB_SIZE)[1]
 
 
 def pieces_bound() -> int:
