@@ -41,8 +41,11 @@ _SYMBOL_RE = "(" + "|".join(s.replace("|", "\\|") for s in USER_DEFINED) + ")"
 
 
 def isolate_symbols(text: Column) -> Column:
-    """Surround user-defined symbols with spaces so they become words of their own."""
-    return F.regexp_replace(text, _SYMBOL_RE, " $1 ")
+    """Surround user-defined symbols with spaces so they become words of their own.
+
+    Every symbol starts with ``<``; texts without one skip the regex.
+    """
+    return F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, _SYMBOL_RE, " $1 ")).otherwise(text)
 
 
 def words(text: Column) -> Column:

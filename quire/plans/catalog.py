@@ -24,8 +24,13 @@ QUERIES: dict[str, Query] = {}
 
 def register(name: str) -> Callable[[Query], Query]:
     def deco(fn: Query) -> Query:
-        QUERIES[name] = fn
-        return fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            C.reset_query_scope()  # each query learns its own word model once
+            return fn(spark, sf_dir)
+
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[name] = run
+        return run
 
     return deco
 
@@ -415,10 +420,8 @@ def f_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from quire.operators import vocab as V
 
-    docs = C.table(spark, sf_dir, "documents")
-    vocab, pieces = V.learn_word_pieces(spark, docs, P.VOCAB_SIZE)
-    enc = E.encode_words(docs, vocab, P.VOCAB_SIZE)
-    dec = E.decode_ids(enc, pieces, C.pieces_bound())
+    enc = C.encode(spark, sf_dir, C.table(spark, sf_dir, "documents"))
+    dec = E.decode_ids(enc, C.pieces(spark, sf_dir), C.pieces_bound())
     return dec.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
 
 
@@ -799,3 +802,24 @@ def f_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     enc = U.encode_subword(C.table(spark, sf_dir, "documents"), _unigram(spark, sf_dir))
     return enc.select("doc_id", F.size("ids").alias("n_ids"), F.md5(T.ids_text(F.col("ids"))).alias("ids_md5"))
+
+
+# --------------------------------------------------------------------------- the loader chain
+
+
+@register("g_loader")
+def g_loader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pre-training loader end to end: balanced mix (all exhausted), buffered
+    shuffle, contiguous shards, encode, pack and batch (C4, D2, D3, F1, G1–G6)."""
+    from quire.plans import loader as L
+
+    out = L.pretrain_batches(
+        spark, R.documents_registry(sf_dir), C.word_vocab(spark, sf_dir), P.VOCAB_SIZE,
+        batch_size=P.BATCH_SIZE, seq_length=P.SEQ_LEN, mix_preset=P.MIX_PRESET, shuffle_seed=P.SEED,
+        shuffle_buffer_size=P.SHUFFLE_BUFFER, stopping_strategy="all_exhausted", num_workers=P.SHARDS,
+    )
+    return out.select(
+        "shard", "batch_id", "block_id",
+        T.ids_text(F.col("input_ids")).alias("input_ids"),
+        T.ids_text(F.col("labels")).alias("labels"),
+    )

@@ -28,14 +28,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.read_sources(spark, reg, reg.genres)
 
 
+_MODEL: dict = {}
+
+
+def reset_query_scope() -> None:
+    """Forget the word model learned for the previous query (called per query)."""
+    _MODEL.clear()
+
+
+def word_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(vocab, pieces) of the word model, learned once per query."""
+    key = (id(spark), sf_dir, P.VOCAB_SIZE)
+    if key not in _MODEL:
+        _MODEL[key] = V.learn_word_pieces(spark, table(spark, sf_dir, "documents"), P.VOCAB_SIZE)
+    return _MODEL[key]
+
+
 def word_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learned word pieces ``(id, word, piece, cnt)`` over all documents (counted once)."""
-    return V.learn_word_pieces(spark, table(spark, sf_dir, "documents"), P.VOCAB_SIZE)[0]
+    """Learned word pieces ``(id, word, piece, cnt)`` over all documents."""
+    return word_model(spark, sf_dir)[0]
 
 
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full piece table of the word model (specials, bytes, learned words)."""
-    return V.learn_word_pieces(spark, table(spark, sf_dir, "documents"), P.VOCAB_SIZE)[1]
+    return word_model(spark, sf_dir)[1]
 
 
 def pieces_bound() -> int:

@@ -71,18 +71,22 @@ def words_of(table: str, id_col: str, text_col: str, name: str) -> str:
 """
 
 
-# documents in doc_id order with contiguous shards over the raw stream
-CTE_STREAM = f"""
-dpos AS (
-  SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents
-),
+def cte_shards(src: str, n_shards: int) -> str:
+    """``dshard(doc_id, pos, shard)``: contiguous shards over ``src(doc_id, pos, n)``."""
+    w = n_shards
+    return f"""
 dshard AS (
   SELECT doc_id, pos,
-    CAST(CASE WHEN n // {W} = 0 THEN pos
-              WHEN pos < (n % {W}) * (n // {W} + 1) THEN pos // (n // {W} + 1)
-              ELSE (n % {W}) + (pos - (n % {W}) * (n // {W} + 1)) // (n // {W}) END AS INTEGER) AS shard
-  FROM dpos
-),
+    CAST(CASE WHEN n // {w} = 0 THEN pos
+              WHEN pos < (n % {w}) * (n // {w} + 1) THEN pos // (n // {w} + 1)
+              ELSE (n % {w}) + (pos - (n % {w}) * (n // {w} + 1)) // (n // {w}) END AS INTEGER) AS shard
+  FROM {src}
+)
+"""
+
+
+# token stream of the shards, laid end to end with EOS, with stream offsets
+CTE_PACK_STREAM = f"""
 st AS (
   SELECT d.shard, d.pos, d.doc_id, e.ids || [2] AS toks
   FROM dshard d JOIN enc e USING (doc_id) WHERE len(e.ids) > 0
@@ -99,6 +103,15 @@ tok AS (
 tokb AS (SELECT *, greatest((tot - 1) // {S}, 0) AS nb FROM tok)
 """
 
+# documents in doc_id order with contiguous shards over the raw stream
+CTE_STREAM = (
+    "dpos AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents),\n"
+    + cte_shards("dpos", W).strip()
+    + ",\n"
+    + CTE_PACK_STREAM.strip()
+    + "\n"
+)
+
 # full packed blocks
 CTE_BLOCKS = f"""
 blk_in AS (
@@ -734,3 +747,32 @@ SELECT shard, block_id,
 FROM fe
 """,
 )
+
+
+# --------------------------------------------------------------------------- loader chain
+
+ORACLE["g_loader"] = (
+    "WITH "
+    + cte_mix(P.MIX_PRESET, P.SEED, "all_exhausted").strip()
+    + ",\n"
+    + ",\n".join(c.strip() for c in (CTE_WORDS.replace("FROM documents WHERE", "FROM documents WHERE"), CTE_VOCAB, cte_encode()))
+    + f""",
+mpos AS (SELECT doc_id, row_number() OVER (ORDER BY k) - 1 AS pos0 FROM mixed),
+lpos AS (
+  SELECT doc_id,
+         (pos0 // {P.SHUFFLE_BUFFER}) * {P.SHUFFLE_BUFFER}
+           + row_number() OVER (PARTITION BY pos0 // {P.SHUFFLE_BUFFER}
+                                ORDER BY md5('{P.SEED}:' || CAST(doc_id AS VARCHAR) || ':' || CAST(pos0 AS VARCHAR)), pos0) - 1 AS pos,
+         count(*) OVER () AS n
+  FROM mpos
+),
+"""
+    + cte_shards("lpos", W).strip()
+    + ",\n"
+    + CTE_PACK_STREAM.strip()
+    + ",\n"
+    + CTE_BLOCKS.strip()
+    + f"""
+SELECT shard, CAST(block_id // {P.BATCH_SIZE} AS BIGINT) AS batch_id, block_id, input_ids, labels FROM blocks
+"""
+)
