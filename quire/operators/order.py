@@ -61,15 +61,33 @@ def round_robin_shard(pos: Column, w: int) -> Column:
     return F.pmod(pos, F.lit(w)).cast("int")
 
 
-def per_shard_limit(df: DataFrame, max_samples: int, order_col: str = "pos", shard_col: str = "shard") -> DataFrame:
+def per_shard_limit(
+    df: DataFrame,
+    max_samples: int,
+    order_col: str = "pos",
+    shard_col: str = "shard",
+    *,
+    bucketing: O.Bucketing | None = None,
+    n_rows: int | None = None,
+    max_shards: int = 100_000,
+) -> DataFrame:
     """Keep the first ``max_samples`` usable rows of each shard (D5, per-worker counter).
 
-    ``row_number() <= m`` gets a partial group limit before the shuffle.
+    The position inside the shard comes from the two-phase running count, so
+    a shard (a whole worker's share of the stream) is never sorted in one
+    task. Without an explicit bucketing, positions in ``[0, n_rows)`` get
+    equal-width buckets (no extra job); otherwise quantiles of ``order_col``.
     """
     if max_samples <= 0:
         raise ValueError("max_samples must be a positive integer")
-    w = Window.partitionBy(shard_col).orderBy(order_col)
-    return df.withColumn("shard_pos", F.row_number().over(w) - 1).where(F.col("shard_pos") < max_samples)
+    if bucketing is not None:
+        bk = bucketing
+    elif n_rows is not None:
+        bk = O.dense_range_bucketing(order_col, 0, max(n_rows, 1), max(1, n_rows // O.TARGET_ROWS_PER_BUCKET))
+    else:
+        bk = O.quantile_bucketing(df, order_col)
+    ranked = O.global_positions(df, [order_col], bk, partition_cols=(shard_col,), max_groups=max_shards, out="shard_pos")
+    return ranked.where(F.col("shard_pos") < max_samples)
 
 
 def corpus_row_cap(df: DataFrame, max_documents: int, pos_col: str = "pos") -> DataFrame:

@@ -196,6 +196,27 @@ def bpe_merges(texts: DataFrame, n_merges: int, *, checkpoint_every: int = 8, te
     return merges
 
 
+def bpe_piece_table(spark: SparkSession, texts: DataFrame, n_merges: int, *, coverage: float = 0.9995,
+                    text_col: str = "text") -> DataFrame:
+    """Pair-merge piece table (E5): the alphabet of ``▁word`` symbols, then one
+    piece per merge in merge order; score = -(merge index)."""
+    merges = bpe_merges(texts, n_merges, text_col=text_col)
+    wc = word_counts(texts, text_col).select(F.concat(F.lit(T.WORD_BOUNDARY), F.col("word")).alias("text"))
+    chars = [r["ch"] for r in alphabet(wc, coverage).orderBy("rk").collect()]  # bounded by the code points
+    rows, seen = [], set()
+    for ch in chars:
+        rows.append((ch, 0.0))
+        seen.add(ch)
+    for i, left, right, _ in merges:
+        if left + right not in seen:
+            rows.append((left + right, -float(i + 1)))
+            seen.add(left + right)
+    learned = spark.createDataFrame(
+        [(T.FIRST_LEARNED_ID + j, p, sc) for j, (p, sc) in enumerate(rows)], "id int, piece string, score double"
+    )
+    return piece_table(spark, learned, F.col("score"))
+
+
 # --------------------------------------------------------------------------- unigram seeds
 
 

@@ -217,7 +217,8 @@ def d_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators import order as D
 
     usable = C.token_stream(spark, sf_dir)
-    return D.per_shard_limit(usable, P.MAX_SAMPLES).select("shard", "doc_id", F.col("shard_pos").cast("long").alias("shard_pos"))
+    n = C.table(spark, sf_dir, "documents").count()
+    return D.per_shard_limit(usable, P.MAX_SAMPLES, n_rows=n).select("shard", "doc_id", F.col("shard_pos").cast("long").alias("shard_pos"))
 
 
 @register("d_corpus_rows")
@@ -248,7 +249,7 @@ def _eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     bench = C.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     enc = C.encode(spark, sf_dir, bench)
     enc = enc.select(F.col("doc_id").alias("item_id"), E.truncate_single(F.col("ids"), P.EVAL_MAX_LEN).alias("ids"))
-    st = D.stream_positions(enc, "item_id")
+    st = D.stream_positions(enc, "item_id", n_rows=C.table(spark, sf_dir, "benchmark").count())
     return st.withColumn("batch_id", F.floor(F.col("pos") / P.EVAL_BATCH).cast("long"))
 
 
@@ -823,3 +824,11 @@ def g_loader(spark: SparkSession, sf_dir: str) -> DataFrame:
         T.ids_text(F.col("input_ids")).alias("input_ids"),
         T.ids_text(F.col("labels")).alias("labels"),
     )
+
+
+@register("e_bpe")
+def e_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full pair-merge vocabulary run (E5): alphabet plus BPE_FULL_MERGES merges."""
+    from quire.operators import vocab as V
+
+    return V.bpe_piece_table(spark, C.table(spark, sf_dir, "documents"), P.BPE_FULL_MERGES)

@@ -73,7 +73,7 @@ def pretrain_batches(
     stream = stream.withColumn("shard", D.contiguous_shard(F.col("pos"), n, workers))
     enc = E.encode_words(stream, vocab, vocab_bound, id_col="pos", keep=("shard", "doc_id"))
     if max_samples is not None:
-        enc = D.per_shard_limit(enc, max_samples).drop("shard_pos")
+        enc = D.per_shard_limit(enc, max_samples, n_rows=n, max_shards=workers).drop("shard_pos")
     bk = O.dense_range_bucketing("pos", 0, max(n, 1), max(1, n // O.TARGET_ROWS_PER_BUCKET))
     blocks = G.pack_blocks(
         enc, seq_length, bk, max_shards=workers, add_eos=add_eos_between_samples, drop_last=drop_last_sample,

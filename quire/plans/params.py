@@ -31,3 +31,4 @@ SEED_PIECES = 1000
 SEED_MAX_LEN = 16
 UNIGRAM_VOCAB = 500
 UNIGRAM_SEEDS = 2000
+BPE_FULL_MERGES = 24

@@ -44,3 +44,29 @@ def test_scan_prunes_columns(spark):
 def test_top_n_ranks_only_the_cut(spark, q):
     plan = _plan(q(spark, SF_SMALL))
     assert "Subquery" in plan  # the cut-off score is a scalar subquery over the score histogram
+
+
+def test_salted_mix_equals_unsalted(spark, monkeypatch):
+    from quire.operators import mix as M
+
+    base = sorted(tuple(r) for r in Q.c_all(spark, SF_SMALL).collect())
+    monkeypatch.setattr(M, "MAX_REPEATS_PER_KEY", 2)  # every oversampled source gets salted
+    salted_df = Q.c_all(spark, SF_SMALL)
+    assert "explode(sequence(0" in salted_df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in salted_df.collect()) == base
+
+
+def test_blocked_inner_product_equals_single_block(spark, monkeypatch):
+    from quire.operators import candidates as I
+
+    one = sorted(tuple(r) for r in Q.i_scores(spark, SF_SMALL).collect())
+    monkeypatch.setattr(I, "MAX_BROADCAST_ITEMS", 128)  # 500 items -> 4 broadcast blocks
+    assert sorted(tuple(r) for r in Q.i_scores(spark, SF_SMALL).collect()) == one
+
+
+def test_per_shard_limit_many_buckets(spark, small_buckets):
+    rows = Q.d_limit(spark, SF_SMALL).collect()
+    per = {}
+    for r in rows:
+        per.setdefault(r.shard, []).append(r.shard_pos)
+    assert all(sorted(v) == list(range(len(v))) for v in per.values())
