@@ -42,7 +42,7 @@ def _shard_bucketing(n_docs_hint: int = 0) -> O.Bucketing:
 
 def packed(spark: SparkSession, sf_dir: str, drop_last: bool = True) -> DataFrame:
     stream = C.token_stream(spark, sf_dir)
-    n = C.table(spark, sf_dir, "documents").count()
+    n = C.count_rows(spark, sf_dir, "documents")
     return G.pack_blocks(stream, P.SEQ_LEN, _shard_bucketing(n), max_shards=P.SHARDS, drop_last=drop_last)
 
 
@@ -217,7 +217,7 @@ def d_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators import order as D
 
     usable = C.token_stream(spark, sf_dir)
-    n = C.table(spark, sf_dir, "documents").count()
+    n = C.count_rows(spark, sf_dir, "documents")
     return D.per_shard_limit(usable, P.MAX_SAMPLES, n_rows=n).select("shard", "doc_id", F.col("shard_pos").cast("long").alias("shard_pos"))
 
 
@@ -235,7 +235,7 @@ def d_corpus_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators import order as D
 
     sh = _shuffled_docs(spark, sf_dir).withColumn("line", T.sentence_break(F.col("text")))
-    n = C.table(spark, sf_dir, "documents").count()
+    n = C.count_rows(spark, sf_dir, "documents")
     bk = O.dense_range_bucketing("pos", 0, max(n, 1), max(1, n // O.TARGET_ROWS_PER_BUCKET))
     capped = D.corpus_byte_cap(sh, P.MAX_BYTES, bk, max_documents=1_000_000, check_every=P.BYTE_CHECK_EVERY)
     return capped.select("pos", "doc_id", "cum_bytes")
@@ -249,7 +249,7 @@ def _eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     bench = C.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     enc = C.encode(spark, sf_dir, bench)
     enc = enc.select(F.col("doc_id").alias("item_id"), E.truncate_single(F.col("ids"), P.EVAL_MAX_LEN).alias("ids"))
-    st = D.stream_positions(enc, "item_id", n_rows=C.table(spark, sf_dir, "benchmark").count())
+    st = D.stream_positions(enc, "item_id", n_rows=C.count_rows(spark, sf_dir, "benchmark"))
     return st.withColumn("batch_id", F.floor(F.col("pos") / P.EVAL_BATCH).cast("long"))
 
 

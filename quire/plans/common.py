@@ -18,8 +18,20 @@ TABLES = (
 ).split()
 
 
+TEXT_TABLES = {"documents": "doc_id", "conversations": "conv_id", "benchmark": "item_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table; small text tables are spread over the cores (see ``balance_small_scan``)."""
+    from quire.session import balance_small_scan
+
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return balance_small_scan(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
+
+
+def count_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Row count from the scan (parquet footers), without any redistribution."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").count()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +81,7 @@ def doc_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     skipped), as a loader splits its source before tokenizing.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n = docs.count()
+    n = count_rows(spark, sf_dir, "documents")
     with_pos = D.stream_positions(docs, "doc_id", n_rows=n)
     return with_pos.withColumn("shard", D.contiguous_shard(F.col("pos"), n, P.SHARDS))
 

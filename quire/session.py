@@ -59,3 +59,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder, for written tables and sinks."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{root}/quire-{name}-{uuid.uuid4().hex[:12]}"
+
+
+SMALL_INPUT_BYTES = 1 << 30
+
+
+def balance_small_scan(df, key: str | None = None):
+    """Spread a small scan over the cluster's cores.
+
+    A file written as one row group scans as one task, so every narrow text
+    step before the first shuffle would run on one core. Below
+    ``SMALL_INPUT_BYTES`` (by plan statistics, no job) the rows are
+    redistributed once; larger inputs are already split by the scan and are
+    left alone, so no extra shuffle appears at scale.
+    """
+    spark = df.sparkSession
+    raw = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    size = raw if isinstance(raw, int) else int(raw.toString())
+    cores = spark.sparkContext.defaultParallelism
+    if size < SMALL_INPUT_BYTES and cores > 1:
+        # hash on the id: deterministic without the sort a round-robin needs
+        return df.repartition(cores, key) if key else df.repartition(cores)
+    return df

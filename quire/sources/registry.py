@@ -103,8 +103,10 @@ def resolve_split(spec: SourceSpec, split: str) -> str:
 
 
 def _scan(spark: SparkSession, spec: SourceSpec) -> DataFrame:
+    from quire.session import balance_small_scan
+
     reader = spark.read.format(spec.format).options(**dict(spec.options))
-    return reader.load(spec.path)
+    return balance_small_scan(reader.load(spec.path), spec.id_column)
 
 
 def read_source(spark: SparkSession, registry: SourceRegistry, genre: str, split: str = "train") -> DataFrame:
