@@ -43,9 +43,15 @@ def log_prob(cnt: Column, ca: Column, alpha: float, vocab: int) -> Column:
     return F.ln((F.coalesce(cnt, F.lit(0)) + F.lit(alpha)) / (F.coalesce(ca, F.lit(0)) + F.lit(alpha * vocab)))
 
 
-def with_log_prob(model: DataFrame, alpha: float, vocab: int) -> DataFrame:
+def _totals_side(model: DataFrame, vocab: int) -> DataFrame:
+    """Per-context totals: one row per vocabulary entry at most, so broadcast
+    only while the vocabulary is within the bound."""
     ca = context_totals(model)
-    return model.join(F.broadcast(ca), "a").withColumn("logp", log_prob(F.col("cnt"), F.col("ca"), alpha, vocab))
+    return F.broadcast(ca) if vocab <= MAX_BROADCAST_CONTEXTS else ca
+
+
+def with_log_prob(model: DataFrame, alpha: float, vocab: int) -> DataFrame:
+    return model.join(_totals_side(model, vocab), "a").withColumn("logp", log_prob(F.col("cnt"), F.col("ca"), alpha, vocab))
 
 
 def score_pairs(pairs: DataFrame, model: DataFrame, alpha: float, vocab: int, keys: tuple[str, ...]) -> DataFrame:
@@ -55,7 +61,6 @@ def score_pairs(pairs: DataFrame, model: DataFrame, alpha: float, vocab: int, ke
     per-context totals (bounded by the vocabulary) are broadcast.
     """
     agg = pairs.groupBy(*keys, "a", "b").agg(F.count("*").alias("n"))
-    ca = context_totals(model)
-    j = agg.join(model, ["a", "b"], "left").join(F.broadcast(ca), "a", "left")
+    j = agg.join(model, ["a", "b"], "left").join(_totals_side(model, vocab), "a", "left")
     nll = -log_prob(F.col("cnt"), F.col("ca"), alpha, vocab) * F.col("n")
     return j.groupBy(*keys).agg(F.sum(nll).alias("nll"), F.sum("n").alias("n_tokens"))

@@ -94,12 +94,17 @@ def flush_tails(out: DataFrame, seq_length: int, *, drop_last: bool = True, pad_
     S = seq_length
     snaps = out.where(F.col("kind") == "tail")
     w = Window.partitionBy("shard").orderBy(F.desc("version"))
-    last = snaps.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1).where(F.size("input_ids") > 1)
-    r = F.size("input_ids")
-    padded = F.concat("input_ids", F.array_repeat(F.lit(pad_id), F.lit(S + 1) - r))
-    labels = F.transform(F.slice(padded, 2, S), lambda x, i: F.when(i >= r - 1, F.lit(ignore_index)).otherwise(x))
-    mask = F.concat(F.array_repeat(F.lit(1), r), F.array_repeat(F.lit(0), F.lit(S) - r))
-    tails = last.select("shard", "block_id", F.slice(padded, 1, S).alias("input_ids"), labels.alias("labels"), mask.alias("attention_mask"))
+    last = snaps.withColumn("__k", F.row_number().over(w)).where(F.col("__k") == 1)
+    # the remainder and its padded form get their own names before the output
+    # columns reuse ``input_ids``
+    last = last.select("shard", "block_id", F.col("input_ids").alias("rest"), F.size("input_ids").alias("r")).where(F.col("r") > 1)
+    padded = F.concat("rest", F.array_repeat(F.lit(pad_id), F.lit(S + 1) - F.col("r")))
+    last = last.withColumn("padded", padded)
+    labels = F.transform(F.slice("padded", 2, S), lambda x, i: F.when(i >= F.col("r") - 1, F.lit(ignore_index)).otherwise(x))
+    mask = F.concat(F.array_repeat(F.lit(1), F.col("r")), F.array_repeat(F.lit(0), F.lit(S) - F.col("r")))
+    tails = last.select(
+        "shard", "block_id", F.slice("padded", 1, S).alias("input_ids"), labels.alias("labels"), mask.alias("attention_mask")
+    )
     return blocks.unionByName(tails)
 
 
