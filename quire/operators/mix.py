@@ -200,3 +200,27 @@ def mixed(
     genres, weights = validate_mix(genre, registry)
     sources = R.read_sources(spark, registry, genres, split)
     return interleave(spark, sources, genres, weights, seed=seed, strategy=strategy)
+
+
+def realised_shares(mixed_encoded: DataFrame) -> DataFrame:
+    """Share of documents and of tokens per genre in a mixed stream (weights mix
+    documents, not tokens). ``mixed_encoded``: ``(genre, ids)`` per stream row."""
+    per = mixed_encoded.groupBy("genre").agg(F.count("*").alias("n_docs"), F.sum(F.size("ids")).cast("long").alias("n_tokens"))
+    tot_docs = per.agg(F.sum("n_docs")).scalar()
+    tot_toks = per.agg(F.sum("n_tokens")).scalar()
+    return per.select(
+        "genre", "n_docs", "n_tokens",
+        F.round(F.col("n_docs") / tot_docs, 6).alias("doc_share"),
+        F.round(F.col("n_tokens") / tot_toks, 6).alias("token_share"),
+    )
+
+
+def output_estimate(counts: list[int], weights: list[float], strategy: str) -> int:
+    """Rows the interleave will emit, roughly (about the draws to exhaust the
+    first or the last source); shown before running a lopsided mix."""
+    ratios = [c / w for c, w in zip(counts, weights)]
+    if strategy == "first_exhausted":
+        return math.ceil(min(ratios))
+    if strategy == "all_exhausted":
+        return math.ceil(max(ratios))
+    return sum(counts)

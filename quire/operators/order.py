@@ -90,6 +90,26 @@ def per_shard_limit(
     return ranked.where(F.col("shard_pos") < max_samples)
 
 
+def global_limit(df: DataFrame, max_samples: int, order_col: str = "pos", *, n_rows: int | None = None) -> DataFrame:
+    """Keep the first ``max_samples`` usable rows of the whole stream (D5 with a global scope)."""
+    if max_samples <= 0:
+        raise ValueError("max_samples must be a positive integer")
+    if n_rows is not None:
+        bk = O.dense_range_bucketing(order_col, 0, max(n_rows, 1), max(1, n_rows // O.TARGET_ROWS_PER_BUCKET))
+    else:
+        bk = O.quantile_bucketing(df, order_col)
+    return O.global_positions(df, [order_col], bk, out="stream_pos").where(F.col("stream_pos") < max_samples)
+
+
+def limit_samples(df: DataFrame, max_samples: int, scope: str = "shard", **kw) -> DataFrame:
+    """Sample limit with the counter per shard (the reference's per-worker count) or global."""
+    if scope == "shard":
+        return per_shard_limit(df, max_samples, **kw)
+    if scope == "global":
+        return global_limit(df, max_samples, n_rows=kw.get("n_rows"))
+    raise ValueError(f"limit scope must be 'shard' or 'global': {scope!r}")
+
+
 def corpus_row_cap(df: DataFrame, max_documents: int, pos_col: str = "pos") -> DataFrame:
     """Corpus row cap (D6): documents with position below the cap."""
     if max_documents <= 0:

@@ -109,11 +109,15 @@ def pack_blocks(
     )
 
 
-def dropped_tail_tokens(docs_with_totals: DataFrame, seq_length: int) -> DataFrame:
-    """Tokens left in each shard's buffer after the last full block (Q6 report)."""
+def dropped_tail_tokens(docs: DataFrame, seq_length: int, bucketing: O.Bucketing, *, max_shards: int,
+                        add_eos: bool = True, eos_id: int = T.EOS_ID) -> DataFrame:
+    """Per shard: stream tokens and the tokens left after the last full block,
+    which ``drop_last`` discards (one buffer per worker loses its tail)."""
     S = seq_length
-    nb = F.greatest(F.floor((F.col("T") - 1) / S), F.lit(0))
-    return docs_with_totals.groupBy("shard").agg(F.max(F.col("T") - nb * S).alias("remainder"))
+    d = stream_offsets(docs, bucketing, max_shards=max_shards, add_eos=add_eos, eos_id=eos_id)
+    tot = d.groupBy("shard").agg(F.max("T").alias("tokens"))
+    nb = F.greatest(F.floor((F.col("tokens") - 1) / S), F.lit(0)).cast("long")
+    return tot.select("shard", F.col("tokens").cast("long").alias("tokens"), (F.col("tokens") - nb * S).cast("long").alias("dropped"))
 
 
 def batches(samples: DataFrame, batch_size: int, order_col: str = "block_id", drop_last_batch: bool = False) -> DataFrame:

@@ -832,3 +832,33 @@ def e_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators import vocab as V
 
     return V.bpe_piece_table(spark, C.table(spark, sf_dir, "documents"), P.BPE_FULL_MERGES)
+
+
+# --------------------------------------------------------------------------- reports asked for by the quirks table
+
+
+@register("d_limit_global")
+def d_limit_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample limit with a global scope: the first MAX_SAMPLES usable rows of the stream."""
+    from quire.operators import order as D
+
+    usable = C.token_stream(spark, sf_dir)
+    n = C.count_rows(spark, sf_dir, "documents")
+    return D.limit_samples(usable, P.MAX_SAMPLES, "global", n_rows=n).select("doc_id", "stream_pos")
+
+
+@register("g_tail_report")
+def g_tail_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens per shard and the tail tokens a dropped last block loses."""
+    n = C.count_rows(spark, sf_dir, "documents")
+    return G.dropped_tail_tokens(C.token_stream(spark, sf_dir), P.SEQ_LEN, _shard_bucketing(n), max_shards=P.SHARDS)
+
+
+@register("c_shares")
+def c_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Realised document and token shares per genre of the all-exhausted mix."""
+    from quire.operators import mix as M
+
+    mixed = _mixed(spark, sf_dir, "all_exhausted").select("k", "genre", "text")
+    enc = C.encode(spark, sf_dir, mixed, id_col="k", keep=("genre",))
+    return M.realised_shares(enc)

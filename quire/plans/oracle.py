@@ -776,3 +776,39 @@ lpos AS (
 SELECT shard, CAST(block_id // {P.BATCH_SIZE} AS BIGINT) AS batch_id, block_id, input_ids, labels FROM blocks
 """
 )
+
+
+# --------------------------------------------------------------------------- reports
+
+ORACLE["d_limit_global"] = _q(
+    CTE_WORDS, CTE_VOCAB, cte_encode(), CTE_STREAM,
+    body=f"""
+SELECT doc_id, stream_pos FROM (SELECT doc_id, row_number() OVER (ORDER BY pos) - 1 AS stream_pos FROM st) t
+WHERE stream_pos < {P.MAX_SAMPLES}
+""",
+)
+
+ORACLE["g_tail_report"] = _q(
+    CTE_WORDS, CTE_VOCAB, cte_encode(), CTE_STREAM,
+    body=f"""
+SELECT shard, CAST(tot AS BIGINT) AS tokens, CAST(tot - greatest((tot - 1) // {S}, 0) * {S} AS BIGINT) AS dropped
+FROM (SELECT DISTINCT shard, tot FROM st_off) t
+""",
+)
+
+ORACLE["c_shares"] = (
+    "WITH "
+    + cte_mix(P.MIX_PRESET, P.SEED, "all_exhausted").strip()
+    + ",\n"
+    + ",\n".join(c.strip() for c in (CTE_WORDS, CTE_VOCAB, cte_encode()))
+    + """,
+per AS (
+  SELECT m.genre, count(*) AS n_docs, CAST(sum(coalesce(len(e.ids), 0)) AS BIGINT) AS n_tokens
+  FROM mixed m JOIN enc e USING (doc_id) GROUP BY m.genre
+)
+SELECT genre, n_docs, n_tokens,
+       round(n_docs / (SELECT sum(n_docs) FROM per), 6) AS doc_share,
+       round(n_tokens / (SELECT sum(n_tokens) FROM per), 6) AS token_share
+FROM per
+"""
+)

@@ -74,9 +74,12 @@ def balance_small_scan(df, key: str | None = None):
     left alone, so no extra shuffle appears at scale.
     """
     spark = df.sparkSession
-    raw = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    size = raw if isinstance(raw, int) else int(raw.toString())
-    cores = spark.sparkContext.defaultParallelism
+    try:
+        raw = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        size = raw if isinstance(raw, int) else int(raw.toString())
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # no plan statistics available: keep the scan as it is
+        return df
     if size < SMALL_INPUT_BYTES and cores > 1:
         # hash on the id: deterministic without the sort a round-robin needs
         return df.repartition(cores, key) if key else df.repartition(cores)
