@@ -23,6 +23,7 @@ from quire.session import build_session  # noqa: E402
 
 HEADLINE = [
     "flagship",  # documents -> vocabulary -> encode -> pack -> blocks per genre
+    "g_loader",  # mix -> buffered shuffle -> shards -> encode -> pack -> batches (the loader chain)
     "c_all",  # weighted mix, all exhausted (oversampling)
     "d_shuffle",  # mix + seeded global shuffle
     "f_encode",  # word encode with byte fallback

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,7 +117,40 @@ def exhaustion_points(spark: SparkSession, counts: list[int], weights: list[floa
         n *= 2
 
 
-def interleave(
+@dataclass
+class MixPlan:
+    """The narrow mixed stream and what is needed to attach document payloads.
+
+    ``rows``: ``(k, pos, gi, genre, occ, doc_id, salt)``, one row per emitted
+    draw, ``pos`` dense in ``[0, n)``. No text has moved yet.
+    """
+
+    rows: DataFrame
+    n: int
+    genres: list[str]
+    salts: list[int]
+
+    def salt_of(self, k: F.Column, genre: F.Column) -> F.Column:
+        return F.pmod(k, _per_genre(self.genres, self.salts, genre))
+
+    def attach(self, stream: DataFrame, payload: DataFrame) -> DataFrame:
+        """Join per-document columns (``payload``: ``doc_id, genre, ...``) onto
+        stream rows (``doc_id, genre, salt, ...``). Documents of an
+        oversampled genre are replicated once per salt value, so no
+        ``(doc_id, salt)`` key carries more than MAX_REPEATS_PER_KEY rows."""
+        if max(self.salts) > 1:
+            n_salt = _per_genre(self.genres, self.salts, F.col("genre"))
+            payload = payload.withColumn("salt", F.explode(F.sequence(F.lit(0), n_salt - 1)))
+        else:
+            payload = payload.withColumn("salt", F.lit(0))
+        return stream.join(payload, on=["genre", "doc_id", "salt"], how="inner")
+
+
+def _per_genre(genres: list[str], values: list[int], genre: F.Column) -> F.Column:
+    return F.element_at(F.create_map(*[x for g, v in zip(genres, values) for x in (F.lit(g), F.lit(v))]), genre)
+
+
+def interleave_plan(
     spark: SparkSession,
     sources: DataFrame,
     genres: list[str],
@@ -124,17 +158,18 @@ def interleave(
     *,
     seed: int = 42,
     strategy: str,
-) -> DataFrame:
-    """Mixed stream (C3–C5): ``(k, genre, occ, doc_id, text)``; ``k`` orders the output.
+) -> MixPlan:
+    """Plan the mixed stream on narrow columns only.
 
-    ``sources`` holds ``(doc_id, genre, text)``; rows of a genre are read in
-    ``doc_id`` order. The strategy is a required argument (the reference's
-    two entry points default differently).
+    ``sources`` needs ``(doc_id, genre)``; rows of a genre are read in
+    ``doc_id`` order. The output size is known from the exhaustion points, so
+    no job counts it: the cut plus one draw for the first / all exhausted
+    rules, every source row once without replacement.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"stopping strategy must be one of {STRATEGIES}: {strategy!r}")
-    gidx = {g: i for i, g in enumerate(genres)}
-    counted = {r["genre"]: r["n"] for r in sources.groupBy("genre").agg(F.count("*").alias("n")).collect()}
+    narrow = sources.select("doc_id", "genre")
+    counted = {r["genre"]: r["n"] for r in narrow.groupBy("genre").agg(F.count("*").alias("n")).collect()}
     counts = [int(counted.get(g, 0)) for g in genres]
     if any(c == 0 for c in counts):
         raise ValueError(f"empty sources in the mix: {[g for g, c in zip(genres, counts) if c == 0]}")
@@ -144,30 +179,57 @@ def interleave(
     n_col = _n_expr(counts)
     if strategy == "all_exhausted":
         d = d.withColumn("row", F.pmod(F.col("occ"), n_col))
+        n_rows = cut + 1
+    elif strategy == "first_exhausted":
+        d = d.withColumn("row", F.col("occ"))  # k <= min k_s never passes a source's end
+        n_rows = cut + 1
     else:
         d = d.where(F.col("occ") < n_col).withColumn("row", F.col("occ"))
+        n_rows = sum(counts)
+    d = d.withColumn("genre", F.element_at(F.array(*[F.lit(g) for g in genres]), F.col("gi") + 1))
 
     # salt sources whose rows repeat more than MAX_REPEATS_PER_KEY times
     salts = [max(1, math.ceil(w * (cut + 1) / c / MAX_REPEATS_PER_KEY)) for w, c in zip(weights, counts)]
-    d = d.withColumn("salt", F.pmod(F.col("k"), F.element_at(F.array(*[F.lit(s) for s in salts]), F.col("gi") + 1)))
+    plan = MixPlan(d, n_rows, list(genres), salts)
+    d = d.withColumn("salt", plan.salt_of(F.col("k"), F.col("genre")))
 
     ranked = O.global_positions(
-        sources.select("doc_id", "genre"),
-        ["doc_id"],
-        O.quantile_bucketing(sources, "doc_id", sum(counts)),
-        partition_cols=("genre",),
-        max_groups=len(genres),
-        out="row",
+        narrow, ["doc_id"], O.quantile_bucketing(narrow, "doc_id", sum(counts)),
+        partition_cols=("genre",), max_groups=len(genres), out="row",
     )
-    gi_of = F.element_at(F.create_map(*[x for g in genres for x in (F.lit(g), F.lit(gidx[g]))]), F.col("genre"))
-    docs = sources.join(ranked, ["doc_id", "genre"]).withColumn("gi", gi_of)
     if max(salts) > 1:
-        n_salt = F.element_at(F.array(*[F.lit(s) for s in salts]), F.col("gi") + 1)
-        docs = docs.withColumn("salt", F.explode(F.sequence(F.lit(0), n_salt - 1)))
+        ranked = ranked.withColumn("salt", F.explode(F.sequence(F.lit(0), _per_genre(genres, salts, F.col("genre")) - 1)))
+    else:
+        ranked = ranked.withColumn("salt", F.lit(0))
+    rows = d.join(ranked, on=["genre", "row", "salt"], how="inner")
+    if strategy == "all_exhausted_without_replacement":
+        # skipped draws leave gaps in k: dense positions from the narrow rows
+        bk = O.dense_range_bucketing("k", 0, cut, max(1, (cut + 1) // O.TARGET_ROWS_PER_BUCKET))
+        rows = O.global_positions(rows, ["k"], bk, out="pos")
     else:
-        docs = docs.withColumn("salt", F.lit(0))
-    out = d.join(docs, on=["gi", "row", "salt"], how="inner")
-    return out.select("k", "genre", "occ", "doc_id", "text")
+        rows = rows.withColumn("pos", F.col("k"))
+    plan.rows = rows.select("k", "pos", "gi", "genre", "occ", "doc_id", "salt")
+    return plan
+
+
+def interleave(
+    spark: SparkSession,
+    sources: DataFrame,
+    genres: list[str],
+    weights: list[float],
+    *,
+    seed: int = 42,
+    strategy: str,
+) -> DataFrame:
+    """Mixed stream (C3–C5): ``(k, pos, genre, occ, doc_id, text)``; ``k`` orders the output.
+
+    ``sources`` holds ``(doc_id, genre, text)``. The strategy is a required
+    argument (the reference's two entry points default differently). Text is
+    attached once, by the salted join of :meth:`MixPlan.attach`.
+    """
+    plan = interleave_plan(spark, sources, genres, weights, seed=seed, strategy=strategy)
+    out = plan.attach(plan.rows, sources.select("doc_id", "genre", "text"))
+    return out.select("k", "pos", "genre", "occ", "doc_id", "text")
 
 
 def single_source(spark: SparkSession, registry: R.SourceRegistry, genre, split: str = "train") -> DataFrame:

@@ -32,11 +32,20 @@ def stream_offsets(
     eos_id: int = T.EOS_ID,
 ) -> DataFrame:
     """Add ``toks`` (ids + EOS), ``start`` (stream offset in the shard) and ``T``
-    (total stream length of the shard). ``docs``: shard, pos, doc_id, ids."""
+    (total stream length of the shard). ``docs``: shard, pos, doc_id, ids.
+
+    The running sum runs on the narrow ``(shard, pos, L)`` projection; only its
+    result joins back, hash-partitioned on ``(shard, pos)``, so token arrays are
+    never sorted inside a per-shard window.
+    """
+    extra = F.lit(1 if add_eos else 0)
+    lengths = docs.select("shard", "pos", (F.size("ids") + extra).alias("L"))
+    offs = O.running_offsets(lengths, ["pos"], bucketing, partition_cols=("shard",), max_groups=max_shards,
+                             weight=F.col("L"), out="start")
+    totals = lengths.groupBy("shard").agg(F.sum("L").alias("T"))
     toks = F.concat("ids", F.array(F.lit(eos_id))) if add_eos else F.col("ids")
     d = docs.withColumn("toks", toks).withColumn("L", F.size("toks"))
-    d = O.running_offsets(d, ["pos"], bucketing, partition_cols=("shard",), max_groups=max_shards, weight=F.col("L"), out="start")
-    totals = d.groupBy("shard").agg(F.sum("L").alias("T"))
+    d = d.join(offs.select("shard", "pos", "start"), ["shard", "pos"])
     return d.join(F.broadcast(totals) if max_shards <= 100_000 else totals, "shard")
 
 

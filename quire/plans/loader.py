@@ -1,9 +1,10 @@
 """Pre-training loader: mix -> shuffle -> shard -> encode -> limit -> pack -> batch.
 
-The whole chain is one lazy DataFrame. Exchanges are the only boundaries:
-range-bucketed ranks for stream positions, a hash exchange by stream position
-for encoding, broadcast of the (bounded) vocabulary, and a hash exchange on
-(shard, block) for packing.
+The whole chain is one lazy DataFrame. Positions, the shuffle and the shards
+are computed on narrow rows (draw, position, document id); every distinct
+document is encoded once (an oversampling mix repeats documents many times),
+and its token ids join the stream once, salted for repeated documents. Then
+packing shuffles pieces by (shard, block).
 """
 
 from __future__ import annotations
@@ -61,22 +62,38 @@ def pretrain_batches(
         raise ValueError("max_samples must be None or a positive integer")
     workers = max(1, num_workers)
     mix = genre if genre is not None else M.recommended_mix(mix_preset)
-    stream = M.mixed(spark, registry, mix, split=split, seed=shuffle_seed, strategy=stopping_strategy)
-    if "k" not in stream.columns:  # single source: stream order is doc_id
-        stream = stream.withColumn("k", F.col("doc_id"))
-    stream = stream.select("k", "doc_id", "text")
-    n = stream.count()
-    stream = O.global_positions(stream, ["k"], O.quantile_bucketing(stream, "k", n), out="pos")
+    if isinstance(mix, str):
+        sources = M.single_source(spark, registry, mix, split)
+        n = sources.count()
+        narrow = sources.select("doc_id", "genre")
+        stream = D.stream_positions(narrow, "doc_id", n_rows=n).withColumn("salt", F.lit(0))
+        plan = M.MixPlan(stream, n, [mix], [1])
+    elif isinstance(mix, Mapping):
+        if stopping_strategy not in M.STRATEGIES:
+            raise ValueError(f"stopping strategy must be one of {M.STRATEGIES}: {stopping_strategy!r}")
+        genres, weights = M.validate_mix(mix, registry)
+        sources = R.read_sources(spark, registry, genres, split)
+        plan = M.interleave_plan(spark, sources, genres, weights, seed=shuffle_seed, strategy=stopping_strategy)
+        n, stream = plan.n, plan.rows
+    else:
+        raise TypeError("genre must be a string or a weighted mapping")
+
+    # positions, shuffle and shards on narrow rows: (pos, genre, doc_id, salt)
+    stream = stream.select("pos", "genre", "doc_id", "salt")
     if shuffle:
         stream = D.buffered_shuffle(stream, shuffle_seed, shuffle_buffer_size, pos_col="pos", out="spos")
         stream = stream.drop("pos").withColumnRenamed("spos", "pos")
     stream = stream.withColumn("shard", D.contiguous_shard(F.col("pos"), n, workers))
-    enc = E.encode_words(stream, vocab, vocab_bound, id_col="pos", keep=("shard", "doc_id"))
+
+    # every distinct document is encoded once, then its ids ride the salted join;
+    # documents without tokens drop out here, after sharding (B2 after D3)
+    encoded = E.encode_words(sources, vocab, vocab_bound, id_col="doc_id", keep=("genre",))
+    rows = plan.attach(stream, encoded.select("doc_id", "genre", "ids")).select("shard", "pos", "doc_id", "ids")
     if max_samples is not None:
-        enc = D.per_shard_limit(enc, max_samples, n_rows=n, max_shards=workers).drop("shard_pos")
+        rows = D.per_shard_limit(rows, max_samples, n_rows=n, max_shards=workers).drop("shard_pos")
     bk = O.dense_range_bucketing("pos", 0, max(n, 1), max(1, n // O.TARGET_ROWS_PER_BUCKET))
     blocks = G.pack_blocks(
-        enc, seq_length, bk, max_shards=workers, add_eos=add_eos_between_samples, drop_last=drop_last_sample,
+        rows, seq_length, bk, max_shards=workers, add_eos=add_eos_between_samples, drop_last=drop_last_sample,
         eos_id=T.EOS_ID,
     )
     return G.batches(blocks, batch_size, order_col="block_id", drop_last_batch=drop_last_batch).select(
