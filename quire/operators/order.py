@@ -126,6 +126,7 @@ def corpus_byte_cap(
     check_every: int = 1000,
     pos_col: str = "pos",
     line_col: str = "line",
+    weight: Column | None = None,
 ) -> DataFrame:
     """Corpus byte cap (D7), exact: after writing row i the writer stops when
     i+1 reaches the row cap, or when ``i % check_every == 0`` and the bytes
@@ -136,9 +137,8 @@ def corpus_byte_cap(
     """
     if max_bytes <= 0:
         raise ValueError("max_bytes must be a positive integer")
-    sized = O.running_offsets(
-        df, [pos_col], bucketing, weight=F.octet_length(line_col), out="cum_bytes", inclusive=True
-    )
+    w = weight if weight is not None else F.octet_length(line_col)
+    sized = O.running_offsets(df, [pos_col], bucketing, weight=w, out="cum_bytes", inclusive=True)
     stop_at_bytes = (F.pmod(F.col(pos_col), F.lit(check_every)) == 0) & (F.col("cum_bytes") >= max_bytes)
     stops = sized.where(stop_at_bytes).agg(F.min(pos_col)).scalar()
     limit = F.coalesce(stops, F.lit(None).cast("long"))

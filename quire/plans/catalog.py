@@ -169,7 +169,7 @@ def c_single(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _shuffled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators import order as D
 
-    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = C.table(spark, sf_dir, "documents").select("doc_id")
     return D.seeded_shuffle(docs, P.SEED, ["doc_id"], out="pos")
 
 
@@ -234,10 +234,12 @@ def d_corpus_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus byte cap, checked every BYTE_CHECK_EVERY rows (D7), on corpus lines."""
     from quire.operators import order as D
 
-    sh = _shuffled_docs(spark, sf_dir).withColumn("line", T.sentence_break(F.col("text")))
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", F.octet_length(T.sentence_break(F.col("text"))).alias("nbytes"))
+    sh = D.seeded_shuffle(docs, P.SEED, ["doc_id"], out="pos")  # narrow rows: id and byte size
     n = C.count_rows(spark, sf_dir, "documents")
     bk = O.dense_range_bucketing("pos", 0, max(n, 1), max(1, n // O.TARGET_ROWS_PER_BUCKET))
-    capped = D.corpus_byte_cap(sh, P.MAX_BYTES, bk, max_documents=1_000_000, check_every=P.BYTE_CHECK_EVERY)
+    capped = D.corpus_byte_cap(sh, P.MAX_BYTES, bk, max_documents=1_000_000, check_every=P.BYTE_CHECK_EVERY,
+                               weight=F.col("nbytes"))
     return capped.select("pos", "doc_id", "cum_bytes")
 
 

@@ -78,12 +78,15 @@ def doc_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in ``doc_id`` order: ``(doc_id, text, pos, shard)``.
 
     Shards are contiguous over the raw stream (before unusable rows are
-    skipped), as a loader splits its source before tokenizing.
+    skipped), as a loader splits its source before tokenizing. Positions are
+    ranked on the narrow id column and join back to the text by id.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n = count_rows(spark, sf_dir, "documents")
-    with_pos = D.stream_positions(docs, "doc_id", n_rows=n)
-    return with_pos.withColumn("shard", D.contiguous_shard(F.col("pos"), n, P.SHARDS))
+    ids = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id")
+    with_pos = D.stream_positions(ids, "doc_id", n_rows=n)
+    with_pos = with_pos.withColumn("shard", D.contiguous_shard(F.col("pos"), n, P.SHARDS))
+    return docs.join(with_pos, "doc_id")
 
 
 def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,22 +32,29 @@ def corpus_lines(
     """The corpus the writer would produce (A6): mix with ``all_exhausted``,
     seeded shuffle, sentence break, then the document cap (D6) and the byte
     cap checked every ``check_every`` rows (D7). ``(pos, doc_id, body)`` where
-    ``body`` is a document's text with line breaks, without its last newline."""
+    ``body`` is a document's text with line breaks, without its last newline.
+    NULL text is dropped at the source (the sequential writer cannot write it)."""
     if max_documents <= 0:
         raise ValueError(f"max_documents must be a positive integer: {max_documents}")
     if max_bytes <= 0:
         raise ValueError(f"max_bytes must be a positive integer: {max_bytes}")
     mix = mix if mix is not None else M.recommended_mix("balanced")
-    mixed = M.mixed(spark, registry, mix, seed=seed, strategy="all_exhausted").where(F.col("text").isNotNull())
-    shuffled = D.seeded_shuffle(mixed, seed, ["doc_id", "k"], out="pos")
+    genres, weights = M.validate_mix(mix, registry)
+    sources = R.read_sources(spark, registry, genres).where(F.col("text").isNotNull())
+    plan = M.interleave_plan(spark, sources, genres, weights, seed=seed, strategy="all_exhausted")
+    # order, caps and byte counts on narrow rows; the text joins only the kept rows
+    shuffled = D.seeded_shuffle(plan.rows.select("k", "genre", "doc_id", "salt"), seed, ["doc_id", "k"], n_rows=plan.n, out="pos")
     body = T.sentence_break(F.col("text"), terminators)
-    lines = shuffled.withColumn("line", body).withColumn("body", F.expr("substring(line, 1, length(line) - 1)"))
-    n_hint = max_documents
-    bk = O.dense_range_bucketing("pos", 0, n_hint, max(1, n_hint // O.TARGET_ROWS_PER_BUCKET))
+    sizes = sources.select("doc_id", "genre", F.octet_length(body).alias("nbytes"))
+    sized = plan.attach(shuffled.where(F.col("pos") < max_documents), sizes)
+    bk = O.dense_range_bucketing("pos", 0, max_documents, max(1, max_documents // O.TARGET_ROWS_PER_BUCKET))
     capped = D.corpus_byte_cap(
-        lines.where(F.col("pos") < max_documents), max_bytes, bk, max_documents=max_documents, check_every=check_every
+        sized, max_bytes, bk, max_documents=max_documents, check_every=check_every, weight=F.col("nbytes")
     )
-    return capped.select("pos", "doc_id", "body")
+    texts = sources.select("doc_id", "genre", body.alias("line")).select(
+        "doc_id", "genre", F.expr("substring(line, 1, length(line) - 1)").alias("body")
+    )
+    return plan.attach(capped.select("pos", "genre", "doc_id", "salt"), texts).select("pos", "doc_id", "body")
 
 
 def write_corpus(lines: DataFrame, out_dir: str) -> str:
