@@ -662,9 +662,7 @@ SELECT tag, step, value, (pm IS NULL OR value < pm) AS is_best FROM (
 ORACLE["h_log"] = f"""
 SELECT event_id AS step, 'Loss/Train' AS tag, round(value, 6) AS value FROM events
 UNION ALL
-SELECT CAST((g + 1) * {P.CHECKPOINT_INTERVAL} - 1 AS BIGINT), 'Loss/Validation', round(v, 6) FROM (
-  SELECT event_id // {P.CHECKPOINT_INTERVAL} AS g, avg(value) AS v, count(*) AS n FROM events GROUP BY 1) t
-WHERE n = {P.CHECKPOINT_INTERVAL}
+SELECT event_id, 'Loss/Validation', round(value, 6) FROM events WHERE (event_id + 1) % {P.CHECKPOINT_INTERVAL} = 0
 """
 
 
