@@ -195,6 +195,8 @@ def encode_subword(df: DataFrame, learned: list[tuple[str, float]], *, id_col: s
     """Sub-word encode (F1): whitespace words, ``▁`` prefix, Viterbi best path by
     piece score, user-defined symbols as their ids, byte fallback for unknown
     characters. Rows without words are dropped (B2)."""
+    if len(learned) > MAX_PIECES_BROADCAST:
+        raise ValueError(f"piece table of {len(learned)} entries exceeds the broadcast bound")
     table = df.sparkSession.sparkContext.broadcast(
         (dict(learned), {p: V.FIRST_ID + i for i, (p, _) in enumerate(learned)})
     )
