@@ -124,7 +124,7 @@ def train_unigram(
     V.check_training_args(max(vocab_size, 100), coverage, "unigram")
     words = V.word_counts(texts, text_col).where(~F.col("word").isin(*T.USER_DEFINED))
     wtab = words.select(F.concat(F.lit(T.WORD_BOUNDARY), F.col("word")).alias("w"), "cnt").checkpoint(eager=True)
-    chars = [r["ch"] for r in V.alphabet(wtab.select(F.col("w").alias("text")), coverage).collect()]
+    chars = [r["ch"] for r in V.alphabet_from_counts(V.weighted_char_counts(wtab), coverage).collect()]
     seeds = V.seed_pieces_from_counts(wtab.select(F.col("w").alias("word"), "cnt"), seed_size, max_len)
     seed_rows = [(r["piece"], r["freq"]) for r in seeds.where(F.length("piece") > 1).collect()]
     if len(seed_rows) + len(chars) > MAX_PIECES_BROADCAST:

@@ -71,15 +71,18 @@ def char_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def alphabet(texts: DataFrame, coverage: float = 0.9995, text_col: str = "text") -> DataFrame:
-    """Characters kept by coverage (E2): most frequent first while the share
-    of all characters *before* a character is below ``coverage``.
-
-    The comparison runs on integers (count x 10^6) so it is exact. The
-    character table is small (distinct code points), so one ordered window
-    over it is fine.
-    """
-    counts = char_counts(texts, text_col)
+def weighted_char_counts(words_df: DataFrame, word_col: str = "w", cnt_col: str = "cnt") -> DataFrame:
+    """(ch, cnt): characters of a (word, count) table, each weighted by its word's count."""
+    ex = words_df.select(F.explode(T.chars(F.col(word_col))).alias("ch"), F.col(cnt_col).alias("c"))
+    return ex.where(F.col("ch") != "").groupBy("ch").agg(F.sum("c").cast("long").alias("cnt"))
+
+
+def alphabet_from_counts(counts: DataFrame, coverage: float = 0.9995) -> DataFrame:
+    """Characters kept by coverage (E2) from a ``(ch, cnt)`` table: most frequent
+    first while the share of all characters *before* a character is below
+    ``coverage``. The comparison runs on integers (count x 10^6), so it is
+    exact. The table holds distinct code points only (bounded by Unicode), so
+    one ordered window over it is fine."""
     total = F.sum("cnt").over(Window.partitionBy())
     w = Window.orderBy(F.desc("cnt"), F.asc("ch")).rowsBetween(Window.unboundedPreceding, -1)
     scaled = int(round(coverage * 1_000_000))
@@ -93,6 +96,11 @@ def alphabet(texts: DataFrame, coverage: float = 0.9995, text_col: str = "text")
     return ranked.where(F.col("before") * F.lit(1_000_000) < F.col("total") * F.lit(scaled))
 
 
+def alphabet(texts: DataFrame, coverage: float = 0.9995, text_col: str = "text") -> DataFrame:
+    """Alphabet of raw texts (E2), characters counted over the whole corpus."""
+    return alphabet_from_counts(char_counts(texts, text_col), coverage)
+
+
 def char_vocabulary(texts: DataFrame, coverage: float = 0.9995, text_col: str = "text") -> DataFrame:
     """Character pieces (E3): ``(id, piece, score, cnt)``, score = ln(share)."""
     kept = alphabet(texts, coverage, text_col)
@@ -201,8 +209,9 @@ def bpe_piece_table(spark: SparkSession, texts: DataFrame, n_merges: int, *, cov
     """Pair-merge piece table (E5): the alphabet of ``▁word`` symbols, then one
     piece per merge in merge order; score = -(merge index)."""
     merges = bpe_merges(texts, n_merges, text_col=text_col)
-    wc = word_counts(texts, text_col).select(F.concat(F.lit(T.WORD_BOUNDARY), F.col("word")).alias("text"))
-    chars = [r["ch"] for r in alphabet(wc, coverage).orderBy("rk").collect()]  # bounded by the code points
+    wc = word_counts(texts, text_col).select(F.concat(F.lit(T.WORD_BOUNDARY), F.col("word")).alias("w"), "cnt")
+    kept = alphabet_from_counts(weighted_char_counts(wc), coverage)
+    chars = [r["ch"] for r in kept.orderBy("rk").collect()]  # bounded by the code points
     rows, seen = [], set()
     for ch in chars:
         rows.append((ch, 0.0))

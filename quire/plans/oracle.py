@@ -810,3 +810,85 @@ SELECT genre, n_docs, n_tokens,
 FROM per
 """
 )
+
+
+# --------------------------------------------------------------------------- streams: the batch twins
+
+ORACLE["a_stream"] = "SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars FROM documents"
+ORACLE["j_pack"] = ORACLE["g_pack"]  # the stream with arrival order = doc_id order equals the batch packer
+ORACLE["j_metrics"] = ORACLE["h_best"]
+
+
+# --------------------------------------------------------------------------- full pair-merge run
+
+
+def _bpe_table_sql(n: int) -> str:
+    """Alphabet of ``▁word`` (weighted by word counts) plus n unrolled merges."""
+    merges = _merges_sql(n)
+    head, tail = merges.split("\nSELECT CAST(0 AS INTEGER)", 1)
+    merge_rows = "SELECT CAST(0 AS INTEGER)" + tail
+    return head + f""",
+wcount AS (SELECT word, count(*) AS freq FROM w GROUP BY word),
+bcc AS (
+  SELECT ch, CAST(sum(freq) AS BIGINT) AS cnt
+  FROM (SELECT unnest(regexp_extract_all('▁' || word, '(?s).')) AS ch, freq FROM wcount) t
+  WHERE ch <> '' GROUP BY ch
+),
+bcr AS (
+  SELECT ch, cnt,
+         coalesce(sum(cnt) OVER (ORDER BY cnt DESC, ch ASC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         sum(cnt) OVER () AS total, row_number() OVER (ORDER BY cnt DESC, ch ASC) AS rk
+  FROM bcc
+),
+alpha AS (SELECT ch AS piece, rk FROM bcr WHERE before * 1000000 < total * {_COV}),
+mrg AS ({merge_rows}),
+mk AS (
+  SELECT merge_idx, l || r AS piece, row_number() OVER (PARTITION BY l || r ORDER BY merge_idx) AS first
+  FROM mrg WHERE l || r NOT IN (SELECT piece FROM alpha)
+),
+learned AS (
+  SELECT CAST(262 + rk AS INTEGER) AS id, piece, CAST(0 AS DOUBLE) AS score FROM alpha
+  UNION ALL
+  SELECT CAST(262 + (SELECT count(*) FROM alpha) + row_number() OVER (ORDER BY merge_idx) AS INTEGER),
+         piece, -CAST(merge_idx + 1 AS DOUBLE)
+  FROM mk WHERE first = 1
+),
+specials(id, piece, type) AS (VALUES {_SPECIAL_ROWS})
+SELECT CAST(id AS INTEGER) AS id, piece, CAST(0 AS DOUBLE) AS score, type FROM specials
+UNION ALL
+SELECT CAST(7 + b AS INTEGER), '<0x' || printf('%02X', b) || '>', CAST(0 AS DOUBLE), 'BYTE' FROM range(256) t(b)
+UNION ALL
+SELECT id, piece, score, 'NORMAL' FROM learned
+"""
+
+
+ORACLE["e_bpe"] = _bpe_table_sql(P.BPE_FULL_MERGES)
+
+
+# --------------------------------------------------------------------------- sinks: counts read back
+
+ORACLE["a_sinks"] = (
+    "WITH "
+    + cte_mix(P.MIX_PRESET, P.SEED, "all_exhausted").strip()
+    + ",\n"
+    + ",\n".join(c.strip() for c in (CTE_WORDS, CTE_VOCAB, cte_encode(), CTE_STREAM, CTE_BLOCKS))
+    + f""",
+shm AS (
+  SELECT doc_id, text,
+         row_number() OVER (ORDER BY md5('{P.SEED}:' || CAST(doc_id AS VARCHAR) || ':' || CAST(k AS VARCHAR)), doc_id, k) - 1 AS pos
+  FROM mixed WHERE text IS NOT NULL
+),
+cb AS (
+  SELECT pos, text,
+         sum(octet_length(encode(replace(text, '。', '。' || chr(10)) || chr(10)))) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cum
+  FROM shm WHERE pos < {P.MAX_DOCUMENTS}
+),
+cstop AS (SELECT min(pos) AS s FROM cb WHERE pos % {P.BYTE_CHECK_EVERY} = 0 AND cum >= {P.MAX_BYTES}),
+kept AS (SELECT text FROM cb, cstop WHERE cstop.s IS NULL OR cb.pos <= cstop.s)
+SELECT 'corpus_lines' AS sink, CAST(sum(len(string_split(replace(text, '。', '。' || chr(10)), chr(10)))) AS BIGINT) AS n_rows FROM kept
+UNION ALL
+SELECT 'blocks', count(*) FROM blocks
+UNION ALL
+SELECT 'pieces', 263 + (SELECT count(*) FROM vocab)
+"""
+)
