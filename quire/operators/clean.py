@@ -71,3 +71,18 @@ def normalise_by_rule(text: Column, rule_name: str = "nmt_nfkc", rules=()) -> Co
     if rule_name == "nmt_nfkc":
         base = F.regexp_replace(base, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", "")
     return normalise(base, list(rules))
+
+
+def read_rules_tsv(spark, path: str) -> list[tuple[str, str]]:
+    """A custom normalisation table (source TAB target per line), in file order.
+
+    The table is a small configuration file (bounded), read with Spark so any
+    shared file system works; a missing file is an error."""
+    from pyspark.sql.utils import AnalysisException
+
+    try:
+        df = spark.read.option("sep", "\t").option("quote", "").csv(path)
+    except AnalysisException as exc:
+        raise FileNotFoundError(f"normalization rule file not found: {path}") from exc
+    rows = df.withColumn("__i", F.monotonically_increasing_id()).orderBy("__i").collect()
+    return [(r[0], r[1] or "") for r in rows if r[0] is not None]

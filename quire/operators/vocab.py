@@ -205,13 +205,19 @@ def bpe_merges(texts: DataFrame, n_merges: int, *, checkpoint_every: int = 8, te
 
 
 def bpe_piece_table(spark: SparkSession, texts: DataFrame, n_merges: int, *, coverage: float = 0.9995,
-                    text_col: str = "text") -> DataFrame:
+                    text_col: str = "text", vocab_size: int | None = None) -> DataFrame:
     """Pair-merge piece table (E5): the alphabet of ``▁word`` symbols, then one
-    piece per merge in merge order; score = -(merge index)."""
-    merges = bpe_merges(texts, n_merges, text_col=text_col)
+    piece per merge in merge order; score = -(merge index). With
+    ``vocab_size`` the table (fixed pieces included) never exceeds it."""
     wc = word_counts(texts, text_col).select(F.concat(F.lit(T.WORD_BOUNDARY), F.col("word")).alias("w"), "cnt")
     kept = alphabet_from_counts(weighted_char_counts(wc), coverage)
     chars = [r["ch"] for r in kept.orderBy("rk").collect()]  # bounded by the code points
+    if vocab_size is not None:
+        room = vocab_size - T.FIRST_LEARNED_ID - len(chars)
+        if room < 0:
+            raise ValueError(f"vocab_size {vocab_size} is too small for {len(chars)} alphabet characters")
+        n_merges = min(n_merges, room)
+    merges = bpe_merges(texts, n_merges, text_col=text_col)
     rows, seen = [], set()
     for ch in chars:
         rows.append((ch, 0.0))
@@ -280,3 +286,50 @@ def learn_word_pieces(spark: SparkSession, texts: DataFrame, vocab_size: int, te
         [(i, p, math.log(c / total), "NORMAL") for i, _, p, c in vocab_rows], PIECE_SCHEMA
     )
     return vocab, special_and_byte_pieces(spark).unionByName(learned_pieces)
+
+
+def train_vocabulary(
+    spark: SparkSession,
+    corpus_path: str,
+    vocab_size: int = 12_000,
+    *,
+    model_type: str = "unigram",
+    character_coverage: float = 0.9995,
+    normalization_rule_name: str = "nmt_nfkc",
+    normalization_rule_tsv: str | None = None,
+    merges: int | None = None,
+) -> DataFrame:
+    """Train a piece table from a corpus folder of text lines.
+
+    Checks the arguments and that the corpus exists, normalises the lines by
+    the named rule (plus an optional rule file), then runs the word, char,
+    pair-merge or unigram trainer. Returns ``(id, piece, score, type)`` with
+    the fixed specials and bytes first."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.sql.utils import AnalysisException
+
+    from quire.operators import clean as B
+    from quire.operators import unigram as U
+
+    check_training_args(vocab_size, character_coverage, model_type, normalization_rule_name)
+    try:
+        lines = spark.read.text(corpus_path).withColumnRenamed("value", "text")
+    except (AnalysisException, Py4JJavaError) as exc:
+        raise FileNotFoundError(f"corpus not found: {corpus_path}") from exc
+    rules = B.read_rules_tsv(spark, normalization_rule_tsv) if normalization_rule_tsv else []
+    # normalised text keeps spaces (not the boundary marker): the trainers split on them
+    normed = lines.select(B.normalise_by_rule(F.col("text"), normalization_rule_name, rules).alias("t"))
+    texts = normed.select(F.replace(F.col("t"), F.lit(T.WORD_BOUNDARY), F.lit(" ")).alias("text"))
+    learned_size = vocab_size - FIRST_ID
+    if learned_size <= 0:
+        raise ValueError("vocab_size must leave room for the fixed pieces")
+    if model_type == "word":
+        return word_piece_table(spark, texts, learned_size)
+    if model_type == "char":
+        cv = char_vocabulary(texts, character_coverage)
+        return piece_table(spark, cv.where(F.col("id") < vocab_size), F.col("score"))
+    if model_type == "bpe":
+        n = merges if merges is not None else learned_size
+        return bpe_piece_table(spark, texts, n, coverage=character_coverage, vocab_size=vocab_size)
+    learned = U.train_unigram(spark, texts, learned_size, coverage=character_coverage)
+    return U.unigram_piece_table(spark, learned)

@@ -752,11 +752,10 @@ def a_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.streaming import pack_stream as J
 
     base = shared_path(spark, "astream")
-    path = f"{sf_dir.rstrip('/')}/documents.parquet"
-    schema = spark.read.parquet(path).schema
     # a file stream watches a folder or a glob; the glob names just this table
     glob = f"{sf_dir.rstrip('/')}/documents*.parquet"
-    src = spark.readStream.schema(schema).parquet(glob).select("doc_id", "text")
+    reg = R.SourceRegistry([R.SourceSpec(genre="all", path=glob)])
+    src = R.stream_source(spark, reg, "all").select("doc_id", "text")
     out = J.run_available(spark, src, f"{base}/sink", f"{base}/checkpoint")
     return out.select("doc_id", F.length("text").alias("n_chars"))
 

@@ -103,12 +103,37 @@ def resolve_split(spec: SourceSpec, split: str) -> str:
 
 
 def _scan(spark: SparkSession, spec: SourceSpec) -> DataFrame:
+    """Batch scan: any ``spark.read`` format (parquet, json, csv, text, ...) or a catalog table."""
     from quire.session import balance_small_scan
 
+    if spec.format == "table":
+        return balance_small_scan(spark.read.options(**dict(spec.options)).table(spec.path), spec.id_column)
     reader = spark.read.format(spec.format).options(**dict(spec.options))
     return balance_small_scan(reader.load(spec.path), spec.id_column)
 
 
+def stream_source(spark: SparkSession, registry: SourceRegistry, genre: str, split: str = "train") -> DataFrame:
+    """Incremental read of one source (A4): a file stream (or a table stream)
+    with the schema of the batch source, text column only. Pair it with
+    ``trigger(availableNow=True)`` to process what has arrived."""
+    spec = registry[genre]
+    resolve_split(spec, split)
+    if spec.format == "table":
+        df = spark.readStream.table(spec.path)
+    else:
+        schema = spark.read.format(spec.format).options(**dict(spec.options)).load(spec.path).schema
+        df = spark.readStream.format(spec.format).options(**dict(spec.options)).schema(schema).load(spec.path)
+    if spec.text_column not in df.columns:
+        raise ValueError(f"{spec.path} has no column {spec.text_column!r}; columns: {df.columns}")
+    if spec.where:
+        df = df.where(spec.where)
+    return df.select(
+        F.col(spec.id_column).cast("long").alias("doc_id"),
+        F.lit(genre).alias("genre"),
+        F.col(spec.text_column).cast("string").alias("text"),
+    )
+
+
 def read_source(spark: SparkSession, registry: SourceRegistry, genre: str, split: str = "train") -> DataFrame:
     """(doc_id, genre, text) of one source; fails at once on a bad split or missing column."""
     if not isinstance(genre, str):

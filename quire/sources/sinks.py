@@ -80,3 +80,10 @@ def append_metrics(metrics: DataFrame, out_dir: str) -> str:
     """Append ``(run, step, tag, value)`` rows to the metric log."""
     metrics.write.mode("append").parquet(out_dir)
     return out_dir
+
+
+def make_corpus(spark: SparkSession, registry: R.SourceRegistry, out_dir: str, mix: dict[str, float] | None = None,
+                **kw) -> str:
+    """Corpus text files for vocabulary training (A6): :func:`corpus_lines`
+    written by :func:`write_corpus`. Returns the folder."""
+    return write_corpus(corpus_lines(spark, registry, mix, **kw), out_dir)

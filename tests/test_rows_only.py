@@ -91,3 +91,23 @@ def test_stream_pack_limit_counts_per_shard(spark):
     want = G.pack_blocks(lim, 16, O.dense_range_bucketing("pos", 0, 300, 1), max_shards=4, drop_last=False).collect()
     norm = lambda rows: sorted((r.shard, r.block_id, list(r.input_ids), list(r.labels), list(r.attention_mask)) for r in rows)
     assert norm(blocks) == norm(want)
+
+
+def test_train_vocabulary_entry_point(spark, tmp_path):
+    import pytest
+
+    reg = R.documents_registry(SF_SMALL)
+    out = K.make_corpus(spark, reg, shared_path(spark, "test-vocab-corpus"), max_documents=80, max_bytes=10**9)
+    rules = tmp_path / "rules.tsv"
+    rules.write_text("«\t\"\n»\t\"\n", encoding="utf-8")
+    for model_type, size in (("word", 400), ("char", 300), ("bpe", 400)):
+        table = V.train_vocabulary(spark, out, size, model_type=model_type, normalization_rule_tsv=str(rules),
+                                   normalization_rule_name="identity", merges=5)
+        ids = [r.id for r in table.collect()]
+        assert ids[:7] == list(range(7)) and len(ids) == len(set(ids)) and max(ids) < size
+    with pytest.raises(ValueError):  # 263 fixed pieces + the alphabet do not fit in 300
+        V.train_vocabulary(spark, out, 300, model_type="bpe", normalization_rule_name="identity", merges=5)
+    with pytest.raises(FileNotFoundError):
+        V.train_vocabulary(spark, "/nonexistent/corpus", 400, model_type="word")
+    with pytest.raises(ValueError):
+        V.train_vocabulary(spark, out, 99, model_type="word")
