@@ -33,15 +33,6 @@ MAX_PIECES_BROADCAST = 2_000_000
 UNK_PENALTY = 10.0
 
 
-def _logsumexp(a: float, b: float) -> float:
-    if a == -math.inf:
-        return b
-    if b == -math.inf:
-        return a
-    m = max(a, b)
-    return m + math.log(math.exp(a - m) + math.exp(b - m))
-
-
 def _lattice(word: str, scores: dict[str, float], max_len: int, unk: float):
     n = len(word)
     edges = [[] for _ in range(n + 1)]  # edges[end] = (start, piece, logp)
@@ -59,33 +50,38 @@ def _lattice(word: str, scores: dict[str, float], max_len: int, unk: float):
     return edges
 
 
+def _lse(terms: list[float]) -> float:
+    """log(sum(exp(t))) of a short list: one exp per term, one log."""
+    if not terms:
+        return -math.inf
+    m = max(terms)
+    if m == -math.inf:
+        return m
+    return m + math.log(sum(math.exp(t - m) for t in terms))
+
+
 def _expected(word: str, scores: dict[str, float], max_len: int, unk: float):
     n = len(word)
     edges = _lattice(word, scores, max_len, unk)
     alpha = [-math.inf] * (n + 1)
     alpha[0] = 0.0
     for j in range(1, n + 1):
-        acc = -math.inf
-        for i, _, s in edges[j]:
-            acc = _logsumexp(acc, alpha[i] + s)
-        alpha[j] = acc
-    beta = [-math.inf] * (n + 1)
-    beta[n] = 0.0
+        alpha[j] = _lse([alpha[i] + s for i, _, s in edges[j]])
     starts = [[] for _ in range(n + 1)]
     for j in range(1, n + 1):
         for i, p, s in edges[j]:
-            starts[i].append((j, p, s))
+            starts[i].append((j, s))
+    beta = [-math.inf] * (n + 1)
+    beta[n] = 0.0
     for i in range(n - 1, -1, -1):
-        acc = -math.inf
-        for j, _, s in starts[i]:
-            acc = _logsumexp(acc, beta[j] + s)
-        beta[i] = acc
+        beta[i] = _lse([beta[j] + s for j, s in starts[i]])
     z = alpha[n]
     out = defaultdict(float)
     for j in range(1, n + 1):
+        bj = beta[j] - z
         for i, p, s in edges[j]:
             if p is not None:
-                out[p] += math.exp(alpha[i] + s + beta[j] - z)
+                out[p] += math.exp(alpha[i] + s + bj)
     return z, out
 
 
@@ -123,7 +119,15 @@ def train_unigram(
     ``vocab_size`` long when the seeds allow it (characters always kept)."""
     V.check_training_args(max(vocab_size, 100), coverage, "unigram")
     words = V.word_counts(texts, text_col).where(~F.col("word").isin(*T.USER_DEFINED))
-    wtab = words.select(F.concat(F.lit(T.WORD_BOUNDARY), F.col("word")).alias("w"), "cnt").checkpoint(eager=True)
+    # the distinct-word table is the unit of parallel EM work: keep it spread
+    # over the configured shuffle parallelism (small tables would otherwise be
+    # coalesced into a few partitions and run the E-step on a few cores)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    wtab = (
+        words.select(F.concat(F.lit(T.WORD_BOUNDARY), F.col("word")).alias("w"), "cnt")
+        .repartition(parts, "w")
+        .checkpoint(eager=True)
+    )
     chars = [r["ch"] for r in V.alphabet_from_counts(V.weighted_char_counts(wtab), coverage).collect()]
     seeds = V.seed_pieces_from_counts(wtab.select(F.col("w").alias("word"), "cnt"), seed_size, max_len)
     seed_rows = [(r["piece"], r["freq"]) for r in seeds.where(F.length("piece") > 1).collect()]
