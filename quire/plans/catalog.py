@@ -469,8 +469,9 @@ def g_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of BATCH_SIZE packed samples per shard (G6) and planned steps."""
     b = G.batches(packed(spark, sf_dir), P.BATCH_SIZE)
     sizes = b.groupBy("shard", "batch_id").agg(F.count("*").alias("n_samples"))
-    steps = b.groupBy("shard").agg(G.total_steps(F.count("*"), P.BATCH_SIZE).alias("total_steps"))
-    return sizes.join(F.broadcast(steps), "shard")
+    # steps from the (small) batch table: one pass over the blocks, not two
+    per_shard = F.sum("n_samples").over(Window.partitionBy("shard"))
+    return sizes.withColumn("total_steps", G.total_steps(per_shard, P.BATCH_SIZE))
 
 
 def _collated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,10 @@ TABLES = (
 ).split()
 
 
-TEXT_TABLES = {"documents": "doc_id", "conversations": "conv_id", "benchmark": "item_id", "pages": "page_id"}
+# tables whose rows carry heavy per-row work (text, vectors), with their id column
+TEXT_TABLES = {
+    "documents": "doc_id", "conversations": "conv_id", "benchmark": "item_id", "pages": "page_id", "embeddings": "vec_id",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
