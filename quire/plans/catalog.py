@@ -23,6 +23,8 @@ QUERIES: dict[str, Query] = {}
 
 
 def register(name: str) -> Callable[[Query], Query]:
+    """Register a query under ``name``; each call starts a fresh query scope."""
+
     def deco(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             C.reset_query_scope()  # each query learns its own word model once
@@ -41,6 +43,7 @@ def _shard_bucketing(n_docs_hint: int = 0) -> O.Bucketing:
 
 
 def packed(spark: SparkSession, sf_dir: str, drop_last: bool = True) -> DataFrame:
+    """Packed samples of the doc_id-ordered stream over SHARDS contiguous shards."""
     stream = C.token_stream(spark, sf_dir)
     n = C.count_rows(spark, sf_dir, "documents")
     return G.pack_blocks(stream, P.SEQ_LEN, _shard_bucketing(n), max_shards=P.SHARDS, drop_last=drop_last)
@@ -59,12 +62,14 @@ def e_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("f_encode")
 def f_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word encode of every document with byte fallback (F1, F2)."""
     enc = C.encode(spark, sf_dir, C.table(spark, sf_dir, "documents"))
     return enc.select("doc_id", F.size("ids").alias("n_ids"), F.md5(T.ids_text(F.col("ids"))).alias("ids_md5"))
 
 
 @register("g_pack")
 def g_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed blocks of SEQ_LEN tokens per shard, labels pre-shifted, full masks."""
     b = packed(spark, sf_dir)
     return b.select(
         "shard",
@@ -141,21 +146,25 @@ def _mixed(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
 
 @register("c_first")
 def c_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balanced mix, stop at the first exhausted source."""
     return _mixed(spark, sf_dir, "first_exhausted").select("k", "genre", "doc_id")
 
 
 @register("c_all")
 def c_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balanced mix, stop when every source has been read once; exhausted sources restart (C4)."""
     return _mixed(spark, sf_dir, "all_exhausted").select("k", "genre", "doc_id")
 
 
 @register("c_without_replacement")
 def c_without_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balanced mix, exhausted sources are skipped; every row exactly once."""
     return _mixed(spark, sf_dir, "all_exhausted_without_replacement").select("k", "genre", "doc_id")
 
 
 @register("c_single")
 def c_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One named source in stream order, no draws."""
     from quire.operators import mix as M
     from quire.operators import order as D
 
@@ -332,6 +341,7 @@ def b_prompt_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("e_alphabet")
 def e_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters kept by coverage."""
     from quire.operators import vocab as V
 
     return V.alphabet(C.table(spark, sf_dir, "documents"), P.COVERAGE).select("ch", "cnt")
@@ -339,6 +349,7 @@ def e_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("e_chars")
 def e_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Character pieces with log-share scores."""
     from quire.operators import vocab as V
 
     cv = V.char_vocabulary(C.table(spark, sf_dir, "documents"), P.COVERAGE)
@@ -389,6 +400,7 @@ def _bench_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("f_single")
 def f_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single-sequence template <s> $A </s> over evaluation texts."""
     from quire.operators import encode as E
 
     return _bench_ids(spark, sf_dir).select("item_id", T.ids_text(E.template_single(F.col("ids"))).alias("ids"))
@@ -527,6 +539,7 @@ def h_bigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("h_batch_loss")
 def h_batch_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean next-token loss of each evaluation batch over its valid tokens (H2)."""
     from quire.operators import evaluate as H
 
     return H.batch_loss(_batch_scores(spark, sf_dir)).select("batch_id", F.round("loss", 6).alias("loss"))
@@ -534,6 +547,7 @@ def h_batch_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("h_update_loss")
 def h_update_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of ACCUMULATE batch means per update; incomplete groups do not update (H3)."""
     from quire.operators import evaluate as H
 
     u = H.update_loss(H.batch_loss(_batch_scores(spark, sf_dir)), P.ACCUMULATE)
@@ -637,11 +651,13 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("i_penalty")
 def i_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next-token logits of every prompt after the repetition penalty."""
     return _candidates(spark, sf_dir).select("ctx_id", "token_id", F.round("logit", 6).alias("logit"))
 
 
 @register("i_greedy")
 def i_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy pick per context, ties to the lowest token id."""
     from quire.operators import candidates as I
 
     return I.greedy(_candidates(spark, sf_dir))
