@@ -23,8 +23,9 @@ RMS_EPS = 1e-6
 # --------------------------------------------------------------------------- I0
 
 
-def _top_k_block(ids: np.ndarray, mat: np.ndarray, k: int, ctx_col: str, vec_col: str):
+def _top_k_block(block, k: int, ctx_col: str, vec_col: str):
     def fn(batches):
+        ids, mat = block.value  # shipped once per executor, not with every task
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -87,7 +88,8 @@ def inner_product_top_k(
             raise ValueError(f"item block of {len(rows)} rows exceeds the broadcast bound")
         ids = np.asarray([r[0] for r in rows], dtype=np.int64)
         mat = np.asarray([r[1] for r in rows], dtype=np.float64)
-        parts.append(ctx.mapInPandas(_top_k_block(ids, mat, k, ctx_col, vec_col), schema))
+        block = spark.sparkContext.broadcast((ids, mat))
+        parts.append(ctx.mapInPandas(_top_k_block(block, k, ctx_col, vec_col), schema))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
