@@ -180,32 +180,62 @@ def pair_counts(words_df: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("freq").cast("long").alias("cnt"))
 
 
-def bpe_merges(texts: DataFrame, n_merges: int, *, checkpoint_every: int = 8, text_col: str = "text") -> list[tuple[int, str, str, int]]:
-    """Pair-merge vocabulary (E5), one exact merge per round.
+def bpe_merges(
+    texts: DataFrame,
+    n_merges: int,
+    *,
+    checkpoint_every: int = 8,
+    text_col: str = "text",
+    merges_per_round: int = 1,
+) -> list[tuple[int, str, str, int]]:
+    """Pair-merge vocabulary (E5).
 
     The (word, freq, symbols) table is distributed; each round counts pairs
-    with a map-side partial aggregate, fetches only the winning pair (ties:
+    with a map-side partial aggregate, fetches only the best pairs (ties:
     left, then right symbol, ascending) and rewrites symbols with a string
     replace, which merges non-overlapping occurrences left to right. Lineage
     is cut with a reliable checkpoint every few rounds.
+
+    ``merges_per_round = 1`` is the exact merge order. With m > 1 a round
+    applies up to m of the best pairs that share no symbol: their counts do
+    not change each other, so each is merged with the count it has; the one
+    difference from the exact order is that a pair created by a merge of the
+    same round can only win from the next round on.
     """
+    if merges_per_round < 1:
+        raise ValueError("merges_per_round must be at least 1")
     wc = word_counts(texts, text_col).select(symbol_string(F.col("word")).alias("s"), F.col("cnt").alias("freq"))
     merges: list[tuple[int, str, str, int]] = []
     cur = wc
-    for i in range(n_merges):
-        best = pair_counts(cur).orderBy(F.desc("cnt"), F.asc("l"), F.asc("r")).limit(1).collect()
+    rounds = 0
+    while len(merges) < n_merges:
+        want = min(merges_per_round, n_merges - len(merges))
+        best = pair_counts(cur).orderBy(F.desc("cnt"), F.asc("l"), F.asc("r")).limit(4 * want).collect()
         if not best:
             break
-        l, r, cnt = best[0]["l"], best[0]["r"], int(best[0]["cnt"])
-        merges.append((i, l, r, cnt))
-        cur = cur.withColumn("s", F.replace(F.col("s"), F.lit(OPEN + l + CLOSE + OPEN + r + CLOSE), F.lit(OPEN + l + r + CLOSE)))
-        if checkpoint_every and (i + 1) % checkpoint_every == 0:
+        used: set[str] = set()
+        chosen = []
+        for row in best:
+            left, right = row["l"], row["r"]
+            if left in used or right in used:
+                continue
+            chosen.append((left, right, int(row["cnt"])))
+            used.update((left, right))
+            if len(chosen) == want:
+                break
+        s_col = F.col("s")
+        for left, right, cnt in chosen:
+            merges.append((len(merges), left, right, cnt))
+            s_col = F.replace(s_col, F.lit(OPEN + left + CLOSE + OPEN + right + CLOSE), F.lit(OPEN + left + right + CLOSE))
+        cur = cur.withColumn("s", s_col)
+        rounds += 1
+        if checkpoint_every and rounds % checkpoint_every == 0:
             cur = cur.checkpoint(eager=True)
     return merges
 
 
 def bpe_piece_table(spark: SparkSession, texts: DataFrame, n_merges: int, *, coverage: float = 0.9995,
-                    text_col: str = "text", vocab_size: int | None = None) -> DataFrame:
+                    text_col: str = "text", vocab_size: int | None = None, merges_per_round: int = 1) -> DataFrame:
     """Pair-merge piece table (E5): the alphabet of ``▁word`` symbols, then one
     piece per merge in merge order; score = -(merge index). With
     ``vocab_size`` the table (fixed pieces included) never exceeds it."""
@@ -217,7 +247,7 @@ def bpe_piece_table(spark: SparkSession, texts: DataFrame, n_merges: int, *, cov
         if room < 0:
             raise ValueError(f"vocab_size {vocab_size} is too small for {len(chars)} alphabet characters")
         n_merges = min(n_merges, room)
-    merges = bpe_merges(texts, n_merges, text_col=text_col)
+    merges = bpe_merges(texts, n_merges, text_col=text_col, merges_per_round=merges_per_round)
     rows, seen = [], set()
     for ch in chars:
         rows.append((ch, 0.0))
@@ -298,6 +328,7 @@ def train_vocabulary(
     normalization_rule_name: str = "nmt_nfkc",
     normalization_rule_tsv: str | None = None,
     merges: int | None = None,
+    merges_per_round: int = 1,
 ) -> DataFrame:
     """Train a piece table from a corpus folder of text lines.
 
@@ -330,6 +361,7 @@ def train_vocabulary(
         return piece_table(spark, cv.where(F.col("id") < vocab_size), F.col("score"))
     if model_type == "bpe":
         n = merges if merges is not None else learned_size
-        return bpe_piece_table(spark, texts, n, coverage=character_coverage, vocab_size=vocab_size)
+        return bpe_piece_table(spark, texts, n, coverage=character_coverage, vocab_size=vocab_size,
+                               merges_per_round=merges_per_round)
     learned = U.train_unigram(spark, texts, learned_size, coverage=character_coverage)
     return U.unigram_piece_table(spark, learned)

@@ -111,3 +111,15 @@ def test_train_vocabulary_entry_point(spark, tmp_path):
         V.train_vocabulary(spark, "/nonexistent/corpus", 400, model_type="word")
     with pytest.raises(ValueError):
         V.train_vocabulary(spark, out, 99, model_type="word")
+
+
+def test_batched_merges(spark):
+    docs = C.table(spark, SF_SMALL, "documents")
+    exact = V.bpe_merges(docs, 6)
+    batched = V.bpe_merges(docs, 6, merges_per_round=3)
+    assert len(batched) == 6
+    assert batched[0] == exact[0]  # the best pair of the first round is the exact first merge
+    # merges chosen in one round share no symbol
+    for a in range(0, 6, 3):
+        syms = [x for m in batched[a:a + 3] for x in (m[1], m[2])]
+        assert len(syms) == len(set(syms))
