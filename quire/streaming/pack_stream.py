@@ -40,28 +40,40 @@ def _packer(seq_length: int, eos_id: int | None, max_samples: int | None):
         shard = int(key[0])
         if state.exists:
             buf, next_block, n_samples = state.get
-            buf = list(buf)
+            buf = np.asarray(buf, dtype=np.int64)
         else:
-            buf, next_block, n_samples = [], 0, 0
+            buf, next_block, n_samples = np.zeros(0, dtype=np.int64), 0, 0
         frames = [p for p in pdfs if not p.empty]
-        rows = pd.concat(frames).sort_values("pos") if frames else pd.DataFrame(columns=["pos", "ids"])
-        out = []
-        for ids in rows["ids"]:
-            if max_samples is not None and n_samples >= max_samples:
-                break
-            if ids is None or len(ids) == 0:
-                continue
-            n_samples += 1
-            buf.extend(int(x) for x in ids)
-            if eos_id is not None:
-                buf.append(eos_id)
-            while len(buf) >= S + 1:
-                out.append((shard, next_block, "block", buf[:S], buf[1 : S + 1], [1] * S, next_block))
-                next_block += 1
-                del buf[:S]
-        out.append((shard, next_block, "tail", list(buf), [], [], next_block))
-        state.update((buf, next_block, n_samples))
-        yield pd.DataFrame(out, columns=["shard", "block_id", "kind", "input_ids", "labels", "attention_mask", "version"])
+        parts = [buf]
+        if frames:
+            rows = pd.concat(frames).sort_values("pos")
+            docs = [np.asarray(x, dtype=np.int64) for x in rows["ids"] if x is not None and len(x) > 0]
+            if max_samples is not None:
+                docs = docs[: max(0, max_samples - n_samples)]  # the per-shard counter (J3)
+            n_samples += len(docs)
+            for d in docs:
+                parts.append(d)
+                if eos_id is not None:
+                    parts.append(np.asarray([eos_id], dtype=np.int64))
+        seq = np.concatenate(parts)
+        nb = max(0, (len(seq) - 1) // S)  # blocks need S + 1 tokens: S inputs, S shifted labels
+        inputs = seq[: nb * S].reshape(nb, S)
+        labels = seq[1 : nb * S + 1].reshape(nb, S)
+        rest = seq[nb * S :]
+        ids = np.arange(next_block, next_block + nb, dtype=np.int64)
+        out = pd.DataFrame(
+            {
+                "shard": np.full(nb + 1, shard, dtype=np.int32),
+                "block_id": np.append(ids, next_block + nb),
+                "kind": ["block"] * nb + ["tail"],
+                "input_ids": [r.tolist() for r in inputs] + [rest.tolist()],
+                "labels": [r.tolist() for r in labels] + [[]],
+                "attention_mask": [[1] * S] * nb + [[]],
+                "version": np.append(ids, next_block + nb),
+            }
+        )
+        state.update((rest.tolist(), int(next_block + nb), int(n_samples)))
+        yield out
 
     return fn
 
