@@ -176,3 +176,28 @@ def finished_length(ids: Column, eos: int = T.EOS_ID) -> Column:
     """Tokens up to and including the first EOS; the full length if none."""
     first = F.array_position(ids, F.lit(eos))
     return F.when(first > 0, first).otherwise(F.size(ids)).cast("int")
+
+
+def decode_step(
+    cands: DataFrame,
+    seen: DataFrame | None = None,
+    *,
+    temperature: float = 0.6,
+    k: int = 50,
+    p: float = 0.95,
+    penalty: float = 1.0,
+    seed: int = 42,
+) -> DataFrame:
+    """One decoding step for many contexts, filters in the fixed order:
+    penalty (I1), then the greedy pick when ``temperature <= 0`` (I2), else
+    temperature (I3) -> top-k (I4) -> top-p (I5) -> softmax (I6) -> draw (I7).
+    Returns ``(ctx_id, token_id)``."""
+    check_penalty(penalty)
+    c = repetition_penalty(cands, seen, penalty) if (seen is not None and penalty > 1.0) else cands
+    if temperature <= 0:
+        return greedy(c)
+    probs = softmax(top_p(top_k(temperature_scale(c, temperature), k), p))
+    return draw(probs, seed)
+
+
+temperature_scale = temperature

@@ -178,3 +178,10 @@ def test_hand_made_rows(spark):
 def test_nfkc(spark):
     df = spark.createDataFrame([("ｱｲｳ ＡＢＣ　①",)], "text string")
     assert df.select(B.nfkc_udf(F.col("text")).alias("n")).first().n == "アイウ ABC　1".replace("　", " ")
+
+
+def test_decode_step(spark):
+    seen = spark.createDataFrame([(0, 0), (0, 3)], "ctx_id long, token_id int")
+    assert I.decode_step(_cands(spark), seen, temperature=0.0, penalty=2.0).first().token_id == 0  # greedy, tie -> lowest id
+    drawn = I.decode_step(_cands(spark), seen, temperature=0.5, k=2, p=0.95, penalty=2.0, seed=42).first().token_id
+    assert drawn in (0, 1, 2)  # only the top-k survivors (a, b, c) can be drawn
