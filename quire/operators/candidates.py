@@ -128,6 +128,9 @@ def temperature(cands: DataFrame, t: float) -> DataFrame:
     return cands.withColumn("logit", F.col("logit") / F.lit(t))
 
 
+temperature_scale = temperature  # the same step, for callers whose argument is named ``temperature``
+
+
 def top_k(cands: DataFrame, k: int) -> DataFrame:
     """Keep tokens whose logit is not below the k-th largest (I4): ties stay."""
     if k <= 0:
@@ -199,5 +202,3 @@ def decode_step(
     probs = softmax(top_p(top_k(temperature_scale(c, temperature), k), p))
     return draw(probs, seed)
 
-
-temperature_scale = temperature
