@@ -24,7 +24,7 @@ import math
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -268,12 +268,11 @@ def realised_shares(mixed_encoded: DataFrame) -> DataFrame:
     """Share of documents and of tokens per genre in a mixed stream (weights mix
     documents, not tokens). ``mixed_encoded``: ``(genre, ids)`` per stream row."""
     per = mixed_encoded.groupBy("genre").agg(F.count("*").alias("n_docs"), F.sum(F.size("ids")).cast("long").alias("n_tokens"))
-    tot_docs = per.agg(F.sum("n_docs")).scalar()
-    tot_toks = per.agg(F.sum("n_tokens")).scalar()
+    every = Window.partitionBy()  # over the per-genre table: one row per genre
     return per.select(
         "genre", "n_docs", "n_tokens",
-        F.round(F.col("n_docs") / tot_docs, 6).alias("doc_share"),
-        F.round(F.col("n_tokens") / tot_toks, 6).alias("token_share"),
+        F.round(F.col("n_docs") / F.sum("n_docs").over(every), 6).alias("doc_share"),
+        F.round(F.col("n_tokens") / F.sum("n_tokens").over(every), 6).alias("token_share"),
     )
 
 

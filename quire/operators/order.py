@@ -132,22 +132,20 @@ def corpus_byte_cap(
     i+1 reaches the row cap, or when ``i % check_every == 0`` and the bytes
     written so far reach ``max_bytes``. Rows up to the first such i are kept.
 
-    Running byte totals come from the two-phase running sum; the stop row is a
-    ``min`` over the qualifying rows (a scalar subquery, no join).
+    Running byte totals come from the two-phase running sum over the (narrow)
+    rows given; they are checkpointed to the shared folder once, the stop row
+    is read from that table, and the rows are cut with a literal, so the chain
+    that produced the rows runs once.
     """
     if max_bytes <= 0:
         raise ValueError("max_bytes must be a positive integer")
     w = weight if weight is not None else F.octet_length(line_col)
-    sized = O.running_offsets(df, [pos_col], bucketing, weight=w, out="cum_bytes", inclusive=True)
+    sized = O.running_offsets(df, [pos_col], bucketing, weight=w, out="cum_bytes", inclusive=True).checkpoint(eager=True)
     stop_at_bytes = (F.pmod(F.col(pos_col), F.lit(check_every)) == 0) & (F.col("cum_bytes") >= max_bytes)
-    stops = sized.where(stop_at_bytes).agg(F.min(pos_col)).scalar()
-    limit = F.coalesce(stops, F.lit(None).cast("long"))
-    keep = F.col(pos_col) <= limit
+    stop = sized.where(stop_at_bytes).agg(F.min(pos_col)).first()[0]
+    keep = F.lit(True) if stop is None else F.col(pos_col) <= F.lit(int(stop))
     if max_documents is not None:
-        keep = keep | limit.isNull()
         keep = keep & (F.col(pos_col) < max_documents)
-    else:
-        keep = keep | limit.isNull()
     return sized.where(keep)
 
 

@@ -31,24 +31,29 @@ def stream_offsets(
     add_eos: bool = True,
     eos_id: int = T.EOS_ID,
 ) -> DataFrame:
-    """Add ``toks`` (ids + EOS), ``start`` (stream offset in the shard) and ``T``
-    (total stream length of the shard). ``docs``: shard, pos, doc_id, ids.
+    """Add ``toks`` (ids + EOS), ``L``, ``start`` (stream offset in the shard) and
+    ``T`` (total stream length of the shard). ``docs``: shard, pos, doc_id, ids.
 
-    The running sum runs on the narrow ``(shard, pos, L)`` projection; only its
-    result joins back, hash-partitioned on ``(shard, pos)``, so token arrays are
-    never sorted inside a per-shard window.
+    ``docs`` is read by one plan branch only (the two-phase running sum runs
+    over its rows), so an expensive producer (an encoder) runs once. Callers
+    that know the lengths up front use :func:`narrow_offsets` instead.
     """
-    extra = F.lit(1 if add_eos else 0)
-    lengths = docs.select("shard", "pos", (F.size("ids") + extra).alias("L"))
-    offs = O.running_offsets(lengths, ["pos"], bucketing, partition_cols=("shard",), max_groups=max_shards,
-                             weight=F.col("L"), out="start")
-    totals = lengths.groupBy("shard").agg(F.sum("L").alias("T"))
     toks = F.concat("ids", F.array(F.lit(eos_id))) if add_eos else F.col("ids")
     d = docs.withColumn("toks", toks).withColumn("L", F.size("toks"))
-    d = d.join(offs.select("shard", "pos", "start"), ["shard", "pos"])
+    d = O.running_offsets(d, ["pos"], bucketing, partition_cols=("shard",), max_groups=max_shards, weight=F.col("L"), out="start")
+    totals = d.groupBy("shard").agg(F.sum("L").alias("T"))
     return d.join(F.broadcast(totals) if max_shards <= 100_000 else totals, "shard")
 
 
+def narrow_offsets(lengths: DataFrame, bucketing: O.Bucketing, *, max_shards: int) -> DataFrame:
+    """``(shard, pos, start, T)`` from narrow ``(shard, pos, L)`` rows, where ``L``
+    already counts the EOS. The token arrays join afterwards, once."""
+    offs = O.running_offsets(lengths, ["pos"], bucketing, partition_cols=("shard",), max_groups=max_shards,
+                             weight=F.col("L"), out="start")
+    totals = lengths.groupBy("shard").agg(F.sum("L").alias("T"))
+    return offs.join(F.broadcast(totals) if max_shards <= 100_000 else totals, "shard").select("shard", "pos", "L", "start", "T")
+
+
 def pack_blocks(
     docs: DataFrame,
     seq_length: int,
@@ -69,8 +74,22 @@ def pack_blocks(
     ``pad_id``, its mask has r ones and labels from r-1 on are ``ignore_index``.
     """
     _validate(seq_length)
-    S = seq_length
     d = stream_offsets(docs, bucketing, max_shards=max_shards, add_eos=add_eos, eos_id=eos_id)
+    return cut_blocks(d, seq_length, drop_last=drop_last, pad_id=pad_id, ignore_index=ignore_index)
+
+
+def cut_blocks(
+    d: DataFrame,
+    seq_length: int,
+    *,
+    drop_last: bool = True,
+    pad_id: int = T.PAD_ID,
+    ignore_index: int = T.IGNORE_INDEX,
+) -> DataFrame:
+    """Cut documents with stream offsets (``shard, doc_id, toks, L, start, T``)
+    into packed samples; see :func:`pack_blocks`."""
+    _validate(seq_length)
+    S = seq_length
     d = d.withColumn("nb", F.greatest(F.floor((F.col("T") - 1) / S), F.lit(0)).cast("long"))
     d = d.withColumn("end", F.col("start") + F.col("L") - 1)
     last_block = F.col("nb") if not drop_last else F.col("nb") - 1

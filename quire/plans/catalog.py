@@ -37,9 +37,11 @@ def register(name: str) -> Callable[[Query], Query]:
     return deco
 
 
-def _shard_bucketing(n_docs_hint: int = 0) -> O.Bucketing:
-    # stream positions are dense per shard: equal-width buckets of positions
-    return O.dense_range_bucketing("pos", 0, max(n_docs_hint, 1), max(1, n_docs_hint // O.TARGET_ROWS_PER_BUCKET))
+def _shard_bucketing(n_docs_hint: int = 0, min_buckets: int = 1) -> O.Bucketing:
+    # stream positions are dense per shard: equal-width buckets of positions;
+    # at least ``min_buckets`` so a few shards still spread over the cores
+    n_buckets = max(min_buckets, n_docs_hint // O.TARGET_ROWS_PER_BUCKET, 1)
+    return O.dense_range_bucketing("pos", 0, max(n_docs_hint, 1), n_buckets)
 
 
 def packed(spark: SparkSession, sf_dir: str, drop_last: bool = True) -> DataFrame:

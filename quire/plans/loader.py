@@ -85,17 +85,21 @@ def pretrain_batches(
         stream = stream.drop("pos").withColumnRenamed("spos", "pos")
     stream = stream.withColumn("shard", D.contiguous_shard(F.col("pos"), n, workers))
 
-    # every distinct document is encoded once, then its ids ride the salted join;
-    # documents without tokens drop out here, after sharding (B2 after D3)
-    encoded = E.encode_words(sources, vocab, vocab_bound, id_col="doc_id", keep=("genre",))
-    rows = plan.attach(stream, encoded.select("doc_id", "genre", "ids")).select("shard", "pos", "doc_id", "ids")
+    # every distinct document is encoded once and written to the shared folder
+    # (it feeds two joins: lengths, then ids); documents without tokens drop
+    # out at the first join, after sharding (B2 after D3)
+    encoded = E.encode_words(sources, vocab, vocab_bound, id_col="doc_id", keep=("genre",)).checkpoint(eager=True)
+    eos = 1 if add_eos_between_samples else 0
+    lengths = plan.attach(stream, encoded.select("doc_id", "genre", (F.size("ids") + F.lit(eos)).alias("L")))
     if max_samples is not None:
-        rows = D.per_shard_limit(rows, max_samples, n_rows=n, max_shards=workers).drop("shard_pos")
+        lengths = D.per_shard_limit(lengths, max_samples, n_rows=n, max_shards=workers).drop("shard_pos")
     bk = O.dense_range_bucketing("pos", 0, max(n, 1), max(1, n // O.TARGET_ROWS_PER_BUCKET))
-    blocks = G.pack_blocks(
-        rows, seq_length, bk, max_shards=workers, add_eos=add_eos_between_samples, drop_last=drop_last_sample,
-        eos_id=T.EOS_ID,
+    offs = lengths.select("shard", "pos", "genre", "doc_id", "salt").join(
+        G.narrow_offsets(lengths.select("shard", "pos", "L"), bk, max_shards=workers), ["shard", "pos"]
     )
+    toks = F.concat("ids", F.array(F.lit(T.EOS_ID))) if add_eos_between_samples else F.col("ids")
+    rows = plan.attach(offs, encoded.select("doc_id", "genre", toks.alias("toks")))
+    blocks = G.cut_blocks(rows, seq_length, drop_last=drop_last_sample)
     return G.batches(blocks, batch_size, order_col="block_id", drop_last_batch=drop_last_batch).select(
         "shard", "batch_id", "block_id", "input_ids", "labels", "attention_mask"
     )
