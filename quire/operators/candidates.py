@@ -23,6 +23,38 @@ RMS_EPS = 1e-6
 # --------------------------------------------------------------------------- I0
 
 
+def _top_k_rows(scores: np.ndarray, ids: np.ndarray, kk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact top-``kk`` per row of a score matrix, ties broken by item id.
+
+    Rows whose k-th value is not tied are done for the whole batch at once
+    (partition, then a two-key sort of the kk survivors); rows with ties at the
+    cut-off take the per-row path, where every item at or above the k-th value
+    competes. Returns (row index, item id, score) arrays, rank order per row.
+    """
+    n = scores.shape[1]
+    kth = np.partition(scores, n - kk, axis=1)[:, n - kk]
+    mask = scores >= kth[:, None]
+    simple = mask.sum(axis=1) == kk
+    rows_out, items_out, scores_out = [], [], []
+    if simple.any():
+        rix = np.nonzero(simple)[0]
+        cols = np.nonzero(mask[simple])[1].reshape(-1, kk)
+        sc = np.take_along_axis(scores[simple], cols, axis=1)
+        order = np.lexsort((ids[cols], -sc), axis=1)
+        rows_out.append(np.repeat(rix, kk))
+        items_out.append(ids[np.take_along_axis(cols, order, axis=1)].ravel())
+        scores_out.append(np.take_along_axis(sc, order, axis=1).ravel())
+    for r in np.nonzero(~simple)[0]:
+        cand = np.nonzero(mask[r])[0]
+        order = cand[np.lexsort((ids[cand], -scores[r, cand]))][:kk]
+        rows_out.append(np.full(len(order), r))
+        items_out.append(ids[order])
+        scores_out.append(scores[r, order])
+    if not rows_out:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    return np.concatenate(rows_out), np.concatenate(items_out), np.concatenate(scores_out)
+
+
 def _top_k_block(block, k: int, ctx_col: str, vec_col: str):
     def fn(batches):
         ids, mat = block.value  # shipped once per executor, not with every task
@@ -33,24 +65,20 @@ def _top_k_block(block, k: int, ctx_col: str, vec_col: str):
             xn = x / np.sqrt(np.mean(x * x, axis=1, keepdims=True) + RMS_EPS)
             scores = xn @ mat.T
             kk = min(k, scores.shape[1])
-            out_ctx, out_rank, out_item, out_score = [], [], [], []
-            for row, cid in enumerate(pdf[ctx_col].to_numpy()):
-                s = scores[row]
-                # exact top-k with ties broken by item id: everything at or
-                # above the k-th value competes, then a stable two-key sort
-                kth = np.partition(s, len(s) - kk)[len(s) - kk]
-                cand = np.nonzero(s >= kth)[0]
-                order = cand[np.lexsort((ids[cand], -s[cand]))][:kk]
-                out_ctx.extend([cid] * len(order))
-                out_rank.extend(range(1, len(order) + 1))
-                out_item.extend(ids[order].tolist())
-                out_score.extend(s[order].tolist())
+            rows, items, vals = _top_k_rows(scores, ids, kk)
+            order = np.argsort(rows, kind="stable")  # group by row, keeping each row's rank order
+            rows, items, vals = rows[order], items[order], vals[order]
+            ranks = np.ones(len(rows), dtype=np.int32)
+            if len(rows):
+                starts = np.r_[True, rows[1:] != rows[:-1]]
+                ranks = (np.arange(len(rows)) - np.maximum.accumulate(np.where(starts, np.arange(len(rows)), 0)) + 1).astype(np.int32)
+            ctx = pdf[ctx_col].to_numpy()
             yield pd.DataFrame(
                 {
-                    ctx_col: np.asarray(out_ctx, dtype=np.int64),
-                    "rank": np.asarray(out_rank, dtype=np.int32),
-                    "item_id": np.asarray(out_item, dtype=np.int64),
-                    "score": np.asarray(out_score, dtype=np.float64),
+                    ctx_col: ctx[rows].astype(np.int64),
+                    "rank": ranks,
+                    "item_id": items.astype(np.int64),
+                    "score": vals.astype(np.float64),
                 }
             )
 

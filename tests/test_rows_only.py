@@ -123,3 +123,20 @@ def test_batched_merges(spark):
     for a in range(0, 6, 3):
         syms = [x for m in batched[a:a + 3] for x in (m[1], m[2])]
         assert len(syms) == len(set(syms))
+
+
+def test_top_k_rows_against_brute_force():
+    import numpy as np
+
+    from quire.operators import candidates as I
+
+    rng = np.random.default_rng(7)
+    scores = rng.integers(0, 5, size=(40, 12)).astype(float)  # many ties, also at the cut-off
+    ids = rng.permutation(100)[:12].astype(np.int64)
+    rows, items, vals = I._top_k_rows(scores, ids, 3)
+    got = {}
+    for r, i, v in zip(rows, items, vals):
+        got.setdefault(int(r), []).append((int(i), float(v)))
+    for r in range(scores.shape[0]):
+        want = sorted(zip(ids.tolist(), scores[r].tolist()), key=lambda t: (-t[1], t[0]))[:3]
+        assert got[r] == want
