@@ -28,6 +28,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -84,3 +85,30 @@ def balance_small_scan(df, key: str | None = None):
         # hash on the id: deterministic without the sort a round-robin needs
         return df.repartition(cores, key) if key else df.repartition(cores)
     return df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quire`` importable in every Python worker (UDFs, ``mapInPandas``,
+    streaming state functions are pickled by module name).
+
+    The package is zipped once per application on the driver and handed to
+    ``SparkContext.addPyFile``, which distributes it to the executors. The
+    zip is a build artifact for distribution, not data.
+    """
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="quire-pkg-")) / "quire.zip"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for f in pkg.rglob("*.py"):
+            zf.write(f, f.relative_to(pkg.parent).as_posix())
+    sc.addPyFile(str(out))
+    _SHIPPED.add(app)
