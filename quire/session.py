@@ -33,7 +33,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    """One JVM: its temporary folder is seen by every task (not so with ``local-cluster``)."""
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
