@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, license_scan, mixing, quality, sharding, toxicity
+from quire.llm import ann, license_scan, line_dedup, mixing, quality, sharding, simhash, toxicity
 from quire.llm.common import fold, table
 
 
@@ -52,6 +52,18 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash classes of all documents: 3-word shingles, 3 or fewer differing bits."""
+    groups = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines on 5 or more sources cut from every document."""
+    clean = line_dedup.remove_boilerplate(table(spark, sf_dir, "documents"), "source", min_sites=5)
+    return clean.select("doc_id", "n_lines", "removed_lines", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("clean_md5"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; rows with crc32(doc_id) mod 4 = 2 never train."""
     docs = table(spark, sf_dir, "documents")
@@ -70,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
+    "op7_simhash": op7_simhash,
+    "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
     "op10_nearest": op10_nearest,
 }

@@ -83,4 +83,17 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLE: dict[str, str] = {"op2_license_scan": _op2(), "op4_mixing": _OP4, "op10_nearest": _OP10}
+_OP8 = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS MATERIALIZED (SELECT k, source, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
+n AS MATERIALIZED (SELECT k, source, pos, line, trim(line, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS t FROM l),
+b AS (SELECT t FROM n WHERE t <> '' GROUP BY t HAVING count(DISTINCT coalesce('=' || source, '')) >= 5),
+m AS (SELECT n.k, n.pos, n.line, b.t IS NOT NULL AS bad FROM n LEFT JOIN b USING (t)),
+c AS (SELECT k, count(*) AS n_lines, sum(bad::INT) AS removed,
+             coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT bad), '') AS clean FROM m GROUP BY k)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE c.n_lines END::BIGINT AS n_lines, c.removed::BIGINT AS removed_lines,
+       md5(c.clean) AS clean_md5
+FROM d JOIN c USING (k)
+"""
+
+ORACLE: dict[str, str] = {"op8_line_dedup": _OP8, "op2_license_scan": _op2(), "op4_mixing": _OP4, "op10_nearest": _OP10}
