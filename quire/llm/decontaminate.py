@@ -23,8 +23,7 @@ most ITEMS_PER_BLOCK; a larger benchmark is done block by block.
 from __future__ import annotations
 
 import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.words import groups, hash_words
+
 ITEMS_PER_BLOCK = 512
 DF_BITS = 20
 HALF = 16  # half a window
@@ -43,21 +44,30 @@ ANSWER_LCS = 0.8
 MIN_WORDS = 4
 COMMON = 0.5  # words in more than this share of the documents have weight 0
 TERM_BLOCK = 512
-_MEMO = 1 << 20
-_TOKENS_AT_ONCE = 1 << 17
-WORD = re.compile(r"[^\W_]+")
+_BYTES_AT_ONCE = 1 << 20
 _SENTENCE = re.compile(r"[.!?\n]+")
+# ASCII letters and digits and all bytes of other characters make words; the marks of the
+# Latin-1, general and CJK punctuation blocks are taken out first, where a text has any
+_TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_MARKS = re.compile(rb"\xc2[\xa0-\xbf]|\xe2\x80[\x80-\xbf]|\xe2\x81[\x80-\xaf]|\xe3\x80[\x80-\xbf]|\xef\xbc[\x81-\x8f\x9a-\xa0]")
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-case words of a text as UTF-8."""
+    return raw_text(text).translate(_TABLE).split()
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+def raw_text(text: str | None) -> bytes:
+    """Lower-case UTF-8 without the marks: what the word hasher reads."""
+    raw = (text or "").lower().encode("utf-8", "replace")
+    return raw if raw.isascii() else _MARKS.sub(b" ", raw)
 
 
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & ((1 << DF_BITS) - 1)
+def buckets(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - DF_BITS)).astype(np.int64)
 
 
-def answer_of(text: str) -> list[str]:
+def answer_of(text: str) -> list[bytes]:
     """Words of the answer: after the last question mark, else the last sentence of three words or more."""
     tail = words_of(text.rsplit("?", 1)[1]) if "?" in text else []
     if len(tail) >= 1:
@@ -90,18 +100,16 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     block = 1 << 14
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, n, memo = np.zeros(1 << DF_BITS, np.int64), 0, {}
+        table, n = np.zeros(1 << DF_BITS, np.int64), 0
         for b in batches:
-            for t in b.column(0):
-                n += 1
-                ids = []
-                for w in set(words_of(t.as_py())):
-                    if (i := memo.get(w)) is None:
-                        if len(memo) >= _MEMO:
-                            memo.clear()
-                        i = memo[w] = bucket(w)
-                    ids.append(i)
-                table[np.unique(np.array(ids, np.int64))] += 1
+            n += b.num_rows
+            for texts in groups(raw_text(t.as_py()) for t in b.column(0)):
+                h, first = hash_words(texts, _TABLE)
+                row = np.repeat(np.arange(len(texts)), np.diff(first))
+                key = row << DF_BITS | buckets(h)
+                key.sort()
+                once = key[np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]]  # a bucket counts once per document
+                np.add.at(table, once & ((1 << DF_BITS) - 1), 1)
         parts = table.reshape(-1, block)
         some = np.flatnonzero(parts.any(axis=1))
         yield pa.record_batch(
@@ -151,11 +159,11 @@ class Items:
     ids: list[int | None]
     words: list[list[int]]
     answers: list[list[int]]
-    terms: dict[str, int]
+    terms: dict[bytes, int]
 
     @classmethod
     def of(cls, rows: list[tuple[int | None, str]], min_words: int = MIN_WORDS) -> Items:
-        terms: dict[str, int] = {}
+        terms: dict[bytes, int] = {}
         out = cls([], [], [], terms)
         for item_id, text in rows:
             w = words_of(text)
@@ -167,57 +175,49 @@ class Items:
 
 
 class Passages:
-    """Texts -> word numbers (term id, or -1) and squared idf weights, in half-window blocks."""
-
-    def __init__(self, terms: dict[str, int], weight2: np.ndarray):
-        self.terms, self.weight2 = terms, weight2
-        self.memo: dict[str, int] = {}
-        self.term_of, self.w2_of = [], []
-
-    def _new(self, word: str) -> int:
-        if len(self.memo) >= _MEMO:
-            self.memo.clear()
-            self.term_of, self.w2_of = [], []
-        i = self.memo[word] = len(self.term_of)
-        self.term_of.append(self.terms.get(word, -1))
-        self.w2_of.append(float(self.weight2[bucket(word)]))
-        return i
-
-    def text(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words = words_of(text)
-        term, w2 = np.empty(len(words), np.int32), np.empty(len(words), np.float32)
-        get, new = self.memo.get, self._new
-        at = 0
-        while at < len(words):  # in pieces, as the memo may be cleared between them
-            piece = words[at : at + 65536]
-            if len(self.memo) + len(piece) >= _MEMO:
-                self.memo.clear()
-                self.term_of, self.w2_of = [], []
-            ids = [i if (i := get(w)) is not None else new(w) for w in piece]
-            t, x = self.term_of, self.w2_of
-            term[at : at + len(piece)] = [t[i] for i in ids]
-            w2[at : at + len(piece)] = [x[i] for i in ids]
-            at += len(piece)
-        return term, w2
-
-    def groups(self, texts: Iterator[tuple[int, str | None]]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
-        """(rows, term, w2, first block of each row) for texts laid one after another, each padded to whole blocks (two at least)."""
-        rows, terms, w2s, starts, blocks = [], [], [], [], 0
-        for row, text in texts:
-            t, x = self.text(text)
-            if not len(t):
-                continue
-            n = max(2, -(-len(t) // HALF))
-            rows.append((row, t))
-            terms.append(np.pad(t, (0, n * HALF - len(t)), constant_values=-1))
-            w2s.append(np.pad(x, (0, n * HALF - len(x))))
-            starts.append(blocks)
-            blocks += n
-            if blocks * HALF >= _TOKENS_AT_ONCE:
-                yield rows, np.concatenate(terms), np.concatenate(w2s), np.array([*starts, blocks])
-                rows, terms, w2s, starts, blocks = [], [], [], [], 0
-        if rows:
-            yield rows, np.concatenate(terms), np.concatenate(w2s), np.array([*starts, blocks])
+    """Texts -> term ids (or -1) and squared idf weights of their words, in half-window blocks."""
+
+    def __init__(self, terms: dict[bytes, int], weight2: np.ndarray):
+        self.weight2 = weight2
+        hashes = hash_terms(terms)
+        self.order = np.argsort(hashes)
+        self.sorted = hashes[self.order]
+        self.some = np.zeros(1 << DF_BITS, bool)  # buckets that hold a term
+        self.some[buckets(hashes)] = True
+
+    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h, first = hash_words(texts, _TABLE)
+        at = buckets(h)
+        term = np.full(len(h), -1, np.int32)
+        maybe = np.flatnonzero(self.some[at])
+        if len(maybe):
+            k = np.minimum(np.searchsorted(self.sorted, h[maybe]), len(self.sorted) - 1)
+            term[maybe] = np.where(self.sorted[k] == h[maybe], self.order[k], -1)
+        return term, self.weight2[at], first
+
+    def groups(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, list, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, words of each row, term, w2, first block of each row plus the total).
+
+        Texts lie one after another, each padded to whole blocks (two at least); texts
+        without words are left out.
+        """
+        done = 0
+        for run in groups((raw_text(t) for t in texts), _BYTES_AT_ONCE):
+            term, w2, first = self.words(run)
+            n = np.diff(first)
+            rows = np.flatnonzero(n)
+            blocks = np.maximum(2, -(-n[rows] // HALF))
+            starts = np.concatenate([[0], np.cumsum(blocks)])
+            at = np.repeat(starts[:-1] * HALF - first[rows], n[rows]) + np.arange(len(term))
+            padded, weights = np.full(starts[-1] * HALF, -1, np.int32), np.zeros(starts[-1] * HALF, np.float32)
+            padded[at], weights[at] = term, w2
+            if len(rows):
+                yield rows + done, [term[first[r] : first[r + 1]] for r in rows], padded, weights, starts
+            done += len(run)
+
+
+def hash_terms(terms: dict[bytes, int]) -> np.ndarray:
+    return hash_words(list(terms), _TABLE)[0]
 
 
 def sparse_windows(term: np.ndarray, weight: np.ndarray, window: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,7 +244,7 @@ def corpus_sketch(docs: DataFrame, items: Items, weight2: np.ndarray, sketch: in
         passages = Passages(terms, w2)
         y = np.zeros((len(terms), x.shape[1]), np.float64)
         for b in batches:
-            for _, term, _, starts in passages.groups((0, t.as_py()) for t in b.column(0)):
+            for _, _, term, _, starts in passages.groups(t.as_py() for t in b.column(0)):
                 hit = np.flatnonzero(term >= 0)
                 hit = hit[weight[term[hit]] > 0]
                 block = hit // HALF
@@ -274,7 +274,7 @@ def corpus_sketch(docs: DataFrame, items: Items, weight2: np.ndarray, sketch: in
 
 
 def term_weights(items: Items, weight2: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.array([weight2[bucket(w)] for w in items.terms], np.float64)).astype(np.float32)
+    return np.sqrt(weight2[buckets(hash_terms(items.terms))]).astype(np.float32)
 
 
 def item_vectors(items: Items, weight: np.ndarray) -> np.ndarray:
@@ -387,12 +387,11 @@ def _search(docs: DataFrame, items: Items, weight2, latent, schema: str, cosine:
         lengths = [len(w) for w in items.words]
         for b in batches:
             found = []
-            for rows, term, w2, starts in passages.groups((i, t.as_py()) for i, t in enumerate(b.column(2))):
+            for rows, words, term, w2, starts in passages.groups(t.as_py() for t in b.column(2)):
                 for r, item, at, cos in candidates(term, w2, starts, weight, latent, cosine):
-                    row, words = rows[r]
                     first = (at - starts[r]) * HALF
                     lo = max(0, first - lengths[item])
-                    found.append((row, item, lo, first + 2 * HALF + lengths[item], cos, words))
+                    found.append((int(rows[r]), item, lo, first + 2 * HALF + lengths[item], cos, words[r]))
             best: dict[tuple[int, int], tuple] = {}
             for row, item, lo, hi, cos, words in found:
                 hit = verifier.check(item, words[lo:hi].tolist())
@@ -416,17 +415,28 @@ def candidates(
 ) -> Iterator[tuple[int, int, int, float]]:
     """(row, item, first block, cosine) of the windows (two blocks of one text) that reach the cosine."""
     n_blocks = len(term) // HALF
-    total = w2.reshape(-1, HALF).sum(axis=1, dtype=np.float64)
-    own = np.where(term >= 0, w2, 0.0).reshape(-1, HALF).sum(axis=1, dtype=np.float64)
+    known = term >= 0
+
+    def per_window(values: np.ndarray) -> np.ndarray:
+        blocks = values.reshape(-1, HALF).sum(axis=1, dtype=np.float64)
+        return blocks[:-1] + blocks[1:]
+
     inside = np.ones(n_blocks - 1, bool)
     inside[starts[1:-1] - 1] = False  # a window does not run into the next text
-    norm2, own2 = total[:-1] + total[1:], own[:-1] + own[1:]
-    windows = np.flatnonzero(inside & (own2 > 0) & (own2 >= (cosine * 0.999) ** 2 * norm2))
+    norm2 = per_window(w2)
+    own2 = per_window(np.where(known, w2, 0.0))
+    # no item gives a word more than its largest latent weight: a second bound
+    most = np.append(weight * latent.max(axis=1, initial=0.0), 0.0).astype(np.float32)
+    reach = per_window(most[term])
+    least = cosine * 0.999
+    windows = np.flatnonzero(inside & (own2 > 0) & (own2 >= least**2 * norm2) & (reach >= least * np.sqrt(norm2)))
     if not len(windows):
         return
     wanted = np.zeros(n_blocks + 1, bool)
     wanted[windows] = True
-    hit = np.flatnonzero(term >= 0)
+    near = wanted.copy()
+    near[1:] |= wanted[:-1]
+    hit = np.flatnonzero(known & np.repeat(near[:n_blocks], HALF))
     hit = hit[weight[term[hit]] > 0]
     block = hit // HALF
     a, z = wanted[block], (block > 0) & wanted[np.maximum(block - 1, 0)]
