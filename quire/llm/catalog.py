@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, license_scan, line_dedup, mixing, quality, sharding, simhash, toxicity
+from quire.llm import ann, decontaminate, license_scan, line_dedup, mixing, ngram_lm, quality, sharding, simhash, toxicity
 from quire.llm.common import fold, table
 
 
@@ -34,6 +34,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigram scores of all documents; those with crc32(doc_id) mod 7 = 2 do not train."""
+    return ngram_lm.score_texts(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2, order=3)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150 % of their words, weights 3, 1, 2 by source, at most 2 epochs."""
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"), share=1.5, max_epochs=2.0, cycle=(3, 1, 2))
@@ -52,6 +57,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item found in it."""
+    leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "cosine", "lcs", "answer_lcs", "first_word")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents: 3-word shingles, 3 or fewer differing bits."""
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
@@ -80,8 +91,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_license_scan": op2_license_scan,
+    "op3_ngram_trie": op3_ngram_trie,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
+    "op6_decontamination": op6_decontamination,
     "op7_simhash": op7_simhash,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
