@@ -23,6 +23,7 @@ from __future__ import annotations
 import mmap
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +35,12 @@ from pyspark.sql import functions as F
 from quire.llm.common import LOWER_ASCII, materialise, text_bytes
 from quire.llm.elias_fano import EliasFano
 from quire.llm.words import groups, hash_words, mix
+from quire.session import shared_path
 
 ORDER = 2
 MASS = 400.0  # M: words of prior mass from the shorter context
-TOKENS_PER_BATCH = 1 << 20
-TOKENS_PER_SHARD = 3 << 20
+TOKENS_PER_BATCH = 3 << 18
+TOKENS_PER_SHARD = 3 << 19
 MIN_SHARDS = 12
 LEVELS = (1 << 16) - 1  # codes of the quantised probabilities; 0 means not in the level
 END = 0  # hash of the end mark
@@ -148,6 +150,11 @@ def decode(codes: np.ndarray, low: float, step: float) -> np.ndarray:
     return np.where(codes > 0, 10.0 ** (low + (codes.astype(np.float64) - 1) * step), 0.0)
 
 
+def first_of(a: np.ndarray) -> np.ndarray:
+    """Positions at which a sorted array changes."""
+    return np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+
+
 # --- batches of documents ----------------------------------------------------------------
 
 
@@ -262,7 +269,8 @@ class Batch:
         order = np.argsort(shard, kind="stable")
         for w in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
             if len(w):
-                yield int(shard[w[0]]), keys[w], count[w], total[w]
+                k = keys[w]
+                yield int(shard[w[0]]), k, count[w], total[w[first_of(k // width)]]  # keys of a context share its total
 
     def answer(self, width: int, replies: dict[int, dict], mass: float, p: np.ndarray) -> np.ndarray:
         """Interpolate the next level over ``p``; then step to longer contexts."""
@@ -341,11 +349,14 @@ def answer_grams(asked: DataFrame, shards: int, level: int, width: int, mass: fl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _by_shard(batches):
             keys = [unpack(r["keys"]) for r in rows]
-            flat = np.concatenate(keys)
-            every, inverse = np.unique(flat, return_inverse=True)
+            every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             count = np.bincount(inverse, weights=np.concatenate([unpack(r["counts"]) for r in rows]), minlength=len(every)).astype(np.int64)
             total = np.zeros(len(every), np.int64)
-            total[inverse] = np.concatenate([unpack(r["totals"]) for r in rows])
+            at = 0
+            for r, k in zip(rows, keys, strict=True):
+                first = first_of(k // width)
+                total[inverse[at : at + len(k)]] = np.repeat(unpack(r["totals"]), np.diff(np.append(first, len(k))))
+                at += len(k)
             seen = np.flatnonzero(count > 0)
             trie = Level(every[seen], count[seen] / (total[seen] + mass), width)
             at_all = trie.find(every)
@@ -388,7 +399,19 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER, mass: flo
     """
     if order < 1:
         raise ValueError("the order is 1 or more")
-    batches = materialise(encode_batches(docs, held_out, tokens_per_batch), "lm-batches")
+    spark = docs.sparkSession
+    name = f"quire_lm_{uuid.uuid4().hex[:12]}"
+    # bucketed by batch: the joins with the shards' answers move the answers only
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    encoded = encode_batches(docs, held_out, tokens_per_batch)
+    encoded.write.bucketBy(buckets, "batch").option("path", shared_path(spark, "lm-batches")).saveAsTable(name)
+    try:
+        return _score(spark.table(name), order, mass)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def _score(batches: DataFrame, order: int, mass: float) -> DataFrame:
     tokens = batches.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(MIN_SHARDS, -(-tokens // TOKENS_PER_SHARD))
 
@@ -435,9 +458,10 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER, mass: flo
             [pa.array(batch.ids, mask=~batch.known), pa.array(batch.held), pa.array(batch.lengths), pa.array(known),
              pa.array(np.full(len(known), n)), pa.array(base), pa.array(score)], names=names)
 
-    return batches.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(
+    scores = batches.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(
         finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
+    return materialise(scores, "lm-scores")  # the batches' table goes when this function ends
 
 
 def _asked(shard: int, batch: int, keys: bytes, counts: bytes, totals: bytes | None) -> pa.RecordBatch:
