@@ -3,20 +3,23 @@
 Input rows are ``(ctx_id, token_id, logit)``: one decoding step for many
 contexts at once. Every window is partitioned by ``ctx_id``; a context holds
 at most one row per vocabulary entry, so each group is bounded by the
-vocabulary size. Filters run in the reference's order: penalty, then greedy
+vocabulary size. Pieces without a logit of their own can stand as one row (:func:`with_rest`). Filters run in the reference's order: penalty, then greedy
 pick, or temperature -> top-k -> top-p -> softmax -> draw.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire import options
 from quire.functions import text as T
 
-MAX_BROADCAST_ITEMS = 200_000  # item vectors shipped to every task per block
+MAX_ITEMS = 5_000_000  # item vectors: the rows of a vocabulary
 RMS_EPS = 1e-6
 
 
@@ -55,38 +58,24 @@ def _top_k_rows(scores: np.ndarray, ids: np.ndarray, kk: int) -> tuple[np.ndarra
     return np.concatenate(rows_out), np.concatenate(items_out), np.concatenate(scores_out)
 
 
-def _top_k_block(block, k: int, ctx_col: str, vec_col: str):
-    def fn(batches):
-        ids, mat = block.value  # shipped once per executor, not with every task
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            xn = x / np.sqrt(np.mean(x * x, axis=1, keepdims=True) + RMS_EPS)
-            scores = xn @ mat.T
-            kk = min(k, scores.shape[1])
-            rows, items, vals = _top_k_rows(scores, ids, kk)
-            order = np.argsort(rows, kind="stable")  # group by row, keeping each row's rank order
-            rows, items, vals = rows[order], items[order], vals[order]
-            ranks = np.ones(len(rows), dtype=np.int32)
-            if len(rows):
-                starts = np.r_[True, rows[1:] != rows[:-1]]
-                ranks = (np.arange(len(rows)) - np.maximum.accumulate(np.where(starts, np.arange(len(rows)), 0)) + 1).astype(np.int32)
-            ctx = pdf[ctx_col].to_numpy()
-            yield pd.DataFrame(
-                {
-                    ctx_col: ctx[rows].astype(np.int64),
-                    "rank": ranks,
-                    "item_id": items.astype(np.int64),
-                    "score": vals.astype(np.float64),
-                }
-            )
-
-    return fn
+def _vector_blocks(rows: DataFrame, n: int, block: int, id_col: str, vec_col: str, name: str) -> tuple[DataFrame, int]:
+    """``(name, ids, vectors)``: one row per block, packed on the executors, and the number of blocks."""
+    count = max(1, -(-n // block))
+    dealt = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    dealt = dealt.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
+
+    def pack(key: tuple, t: pa.Table) -> pa.Table:
+        ids = t.column("id").to_numpy()
+        flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        return pa.table({
+            name: pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()),
+            "vectors": pa.array([np.ascontiguousarray(flat, np.float64).tobytes()], pa.binary()),
+        })
+
+    return dealt.groupBy(name).applyInArrow(pack, f"{name} int, ids binary, vectors binary"), count
 
 
 def inner_product_top_k(
-    spark: SparkSession,
     contexts: DataFrame,
     items: DataFrame,
     k: int,
@@ -94,49 +83,86 @@ def inner_product_top_k(
     ctx_col: str = "vec_id",
     item_col: str = "vec_id",
     vec_col: str = "embedding",
-    max_items: int = MAX_BROADCAST_ITEMS,
+    max_items: int = MAX_ITEMS,
+    ctx_block: int = 2048,
+    item_block: int = 4096,
 ) -> DataFrame:
     """Top-k items per context by ``rms_norm(context) . item``.
 
-    Item vectors are broadcast in blocks of at most ``max_items`` rows (the
-    size is checked before anything is collected); each block yields a
-    per-context top-k inside Arrow batches, and blocks are merged by a
-    ``row_number`` over at most k x blocks rows per context. No pair rows
-    are ever materialised.
+    The item side is a vocabulary: more than ``max_items`` rows are refused. Both sides are
+    packed into blocks on the executors and meet as tiles, one context block against one
+    item block; a tile gives each of its contexts at most k rows, which are merged per
+    context. No pair rows are made and nothing passes through the driver.
     """
     n_items = items.count()
-    n_blocks = max(1, -(-n_items // max_items))
-    schema = f"{ctx_col} long, rank int, item_id long, score double"
-    ctx = contexts.select(F.col(ctx_col).cast("long").alias(ctx_col), vec_col)
-    parts = []
-    for b in range(n_blocks):
-        blk = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64(item_col), F.lit(n_blocks)) == b)
-        rows = blk.select(F.col(item_col).cast("long"), vec_col).collect()
-        if len(rows) > 2 * max_items:
-            raise ValueError(f"item block of {len(rows)} rows exceeds the broadcast bound")
-        ids = np.asarray([r[0] for r in rows], dtype=np.int64)
-        mat = np.asarray([r[1] for r in rows], dtype=np.float64)
-        block = spark.sparkContext.broadcast((ids, mat))
-        parts.append(ctx.mapInPandas(_top_k_block(block, k, ctx_col, vec_col), schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if n_blocks > 1:
-        w = Window.partitionBy(ctx_col).orderBy(F.desc("score"), F.asc("item_id"))
-        out = out.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
-    return out
+    options.check(k=(k, options.COUNT), items=(n_items, options.Rule(lambda n: n <= max_items, f"a vocabulary of up to {max_items} rows")))
+    left, n_left = _vector_blocks(contexts, contexts.count(), ctx_block, ctx_col, vec_col, "cb")
+    right, n_right = _vector_blocks(items, n_items, item_block, item_col, vec_col, "ib")
+    left = left.select("cb", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("ib"), F.col("ids").alias("ci"), F.col("vectors").alias("cv"))
+    right = right.select("ib", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("cb"), F.col("ids").alias("ii"), F.col("vectors").alias("iv"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                ctx, ids = np.frombuffer(r["ci"], np.int64), np.frombuffer(r["ii"], np.int64)
+                x = np.frombuffer(r["cv"], np.float64).reshape(len(ctx), -1)
+                y = np.frombuffer(r["iv"], np.float64).reshape(len(ids), -1)
+                xn = x / np.sqrt(np.mean(x * x, axis=1, keepdims=True) + RMS_EPS)
+                rows, found, values = _top_k_rows(xn @ y.T, ids, min(k, len(ids)))
+                yield pa.record_batch([pa.array(ctx[rows]), pa.array(found), pa.array(values)], names=[ctx_col, "item_id", "score"])
+
+    tiles = left.join(right, ["cb", "ib"]).select("ci", "cv", "ii", "iv")
+    best = tiles.mapInArrow(score, f"`{ctx_col}` long, item_id long, score double")
+    w = Window.partitionBy(ctx_col).orderBy(F.desc("score"), F.asc("item_id"))
+    return best.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select(ctx_col, "rank", "item_id", "score")
 
 
 # --------------------------------------------------------------------------- I1–I8
 
 
 def check_penalty(penalty: float) -> None:
-    if penalty < 1.0:
-        raise ValueError("repetition_penalty must be >= 1.0")
+    options.check(penalty=(penalty, options.at_least(1.0)))
+
+
+def with_rest(contexts: DataFrame, explicit: DataFrame, rest_logit: Column, vocab: int) -> DataFrame:
+    """Candidates over the whole vocabulary 0..vocab-1 without a row per piece.
+
+    ``explicit`` has ``(ctx_id, token_id, logit)`` for the pieces with a logit of their own,
+    ``contexts`` one row per context with what ``rest_logit`` needs. All other pieces of a
+    context share one logit: they become one row, ``token_id`` null, ``n`` pieces, and the
+    sorted ids that are *not* among them in ``known``. An explicit row has ``n`` = 1.
+    """
+    known = explicit.groupBy("ctx_id").agg(F.sort_array(F.collect_set("token_id")).alias("known"))
+    known_or_none = F.coalesce("known", F.array().cast("array<int>"))
+    rest = contexts.join(known, "ctx_id", "left").select(
+        "ctx_id", F.lit(None).cast("int").alias("token_id"), rest_logit.alias("logit"),
+        (F.lit(vocab) - F.size(known_or_none)).cast("long").alias("n"), known_or_none.alias("known"),
+    )
+    own = explicit.select("ctx_id", F.col("token_id").cast("int").alias("token_id"), "logit", F.lit(1).cast("long").alias("n"),
+                          F.lit(None).cast("array<int>").alias("known"))
+    return own.unionByName(rest.where("n > 0"))
+
+
+def absent_id(known: Column, rank: Column) -> Column:
+    """The ``rank``-th id (from 0) that is not in the sorted array ``known``."""
+    before = F.size(F.filter(F.transform(known, lambda e, i: e - i), lambda d: d <= rank))
+    return (rank + before).cast("int")
+
+
+def _whole(cands: DataFrame) -> DataFrame:
+    """Candidates with the columns of :func:`with_rest`; plain rows stand for one piece each."""
+    if "n" in cands.columns:
+        return cands
+    return cands.withColumns({"n": F.lit(1).cast("long"), "known": F.lit(None).cast("array<int>")})
+
+
+def _plain(cands: DataFrame, like: DataFrame) -> DataFrame:
+    return cands if "n" in like.columns else cands.drop("n", "known")
 
 
 def repetition_penalty(cands: DataFrame, seen: DataFrame, penalty: float) -> DataFrame:
-    """Seen tokens (I1): negative logits x p, others / p; each distinct token once."""
+    """Seen tokens (I1): negative logits x p, others / p; each distinct token once. Seen
+    pieces must be explicit rows; the rest row of a context is left as it is."""
     check_penalty(penalty)
     if penalty == 1.0:
         return cands
@@ -147,8 +173,11 @@ def repetition_penalty(cands: DataFrame, seen: DataFrame, penalty: float) -> Dat
 
 
 def greedy(cands: DataFrame) -> DataFrame:
-    """Highest logit per context (I2); ties go to the lowest token id."""
-    return cands.groupBy("ctx_id").agg(F.max_by("token_id", F.struct(F.col("logit"), -F.col("token_id"))).alias("token_id"))
+    """Highest logit per context (I2); ties go to the lowest token id, of the rest as of the explicit pieces."""
+    c = _whole(cands)
+    first = F.when(F.col("token_id").isNull(), absent_id(F.col("known"), F.lit(0))).otherwise(F.col("token_id"))
+    c = c.withColumn("__t", first)
+    return c.groupBy("ctx_id").agg(F.max_by("__t", F.struct(F.col("logit"), -F.col("__t"))).alias("token_id"))
 
 
 def temperature(cands: DataFrame, t: float) -> DataFrame:
@@ -160,39 +189,79 @@ temperature_scale = temperature  # the same step, for callers whose argument is
 
 
 def top_k(cands: DataFrame, k: int) -> DataFrame:
-    """Keep tokens whose logit is not below the k-th largest (I4): ties stay."""
+    """Keep tokens whose logit is not below the k-th largest (I4): ties stay, the rest stays or goes whole."""
     if k <= 0:
         return cands
-    w = Window.partitionBy("ctx_id").orderBy(F.desc("logit"))
-    return cands.withColumn("__r", F.rank().over(w)).where(F.col("__r") <= k).drop("__r")
+    c = _whole(cands)
+    # pieces with a strictly larger logit: a range frame that ends before this logit's peers
+    by = Window.partitionBy("ctx_id").orderBy(F.desc("logit"))
+    upto = F.sum("n").over(by)  # peers included
+    peers = F.sum("n").over(Window.partitionBy("ctx_id", "logit"))
+    kept = c.withColumn("__a", upto - peers).where(F.col("__a") < k).drop("__a")
+    return _plain(kept, cands)
 
 
 def softmax(cands: DataFrame, out: str = "prob") -> DataFrame:
-    """exp(l - max) / sum per context."""
+    """exp(l - max) / sum per context (I6); the rest counts ``n`` times, its ``out`` is one piece's."""
+    c = _whole(cands)
     w = Window.partitionBy("ctx_id")
     e = F.exp(F.col("logit") - F.max("logit").over(w))
-    return cands.withColumn("__e", e).withColumn(out, F.col("__e") / F.sum("__e").over(w)).drop("__e")
+    return _plain(c.withColumn("__e", e).withColumn(out, F.col("__e") / F.sum(F.col("__e") * F.col("n")).over(w)).drop("__e"), cands)
 
 
 def top_p(cands: DataFrame, p: float) -> DataFrame:
-    """Nucleus filter (I5): in (logit desc, token id) order keep a token while
-    the probability mass *before* it is at most ``p``; the first always stays."""
+    """Nucleus filter (I5): in (logit desc, explicit pieces first, token id) order keep a token
+    while the probability mass *before* it is at most ``p``; the first always stays. Of the
+    rest, the lowest ids stay: as many as fit."""
     if not 0.0 < p < 1.0:
         return cands
-    sm = softmax(cands, "__p")
-    w = Window.partitionBy("ctx_id").orderBy(F.desc("logit"), F.asc("token_id")).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.sum("__p").over(w)
-    return sm.withColumn("__b", before).where(F.col("__b").isNull() | (F.col("__b") <= F.lit(p))).drop("__p", "__b")
+    sm = _whole(softmax(cands, "__p"))
+    order = Window.partitionBy("ctx_id").orderBy(F.desc("logit"), F.asc_nulls_last("token_id"))
+    before = F.coalesce(F.sum(F.col("__p") * F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    fit = F.floor((F.lit(p) - F.col("__b")) / F.col("__p")) + 1
+    # an underflowed probability never fills the mass
+    fit = F.when(F.col("__p") <= 0, F.col("n")).otherwise(F.least(F.col("n"), fit)).cast("long")
+    kept = sm.withColumn("__b", before).where(F.col("__b") <= F.lit(p))
+    kept = kept.withColumn("n", F.when(F.col("token_id").isNull(), fit).otherwise(F.col("n"))).drop("__p", "__b")
+    return _plain(kept, cands)
 
 
 def draw(probs: DataFrame, seed: int) -> DataFrame:
     """One token per context (I7): inverse CDF in token-id order with
     ``u = uniform01(seed, ctx_id)``; the first token whose inclusive running
-    probability exceeds u (the last one if rounding leaves u above the total)."""
+    probability exceeds u (the last one if rounding leaves u above the total).
+
+    The rest row stands for the lowest ``n`` ids outside ``known``; the running probability
+    of an explicit token counts those of them that lie below it.
+    """
+    c = _whole(probs)
+    rest = c.where(F.col("token_id").isNull()).select("ctx_id", F.col("prob").alias("__q"), F.col("n").alias("__m"), F.col("known").alias("__k"))
+    own = c.where(F.col("token_id").isNotNull()).select("ctx_id", "token_id", "prob")
+    every = c.select("ctx_id").distinct().join(rest, "ctx_id", "left").select(
+        "ctx_id", F.coalesce("__q", F.lit(0.0)).alias("q"), F.coalesce("__m", F.lit(0)).cast("long").alias("m"),
+        F.coalesce("__k", F.array().cast("array<int>")).alias("known"),
+    )
+    # rest pieces below a token: its id less the known ids below it, at most m
+    joined = own.join(every, "ctx_id")
+    below = F.least(F.col("m"), F.col("token_id") - F.size(F.filter("known", lambda e: e < F.col("token_id"))))
     w = Window.partitionBy("ctx_id").orderBy("token_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = probs.withColumn("__c", F.sum("prob").over(w)).withColumn("__u", T.uniform01(seed, "ctx_id"))
-    pick = F.min(F.when(F.col("__c") > F.col("__u"), F.col("token_id")))
-    return c.groupBy("ctx_id").agg(F.coalesce(pick, F.max("token_id")).alias("token_id"))
+    run = joined.withColumn("__r", below).withColumn("__c", F.sum("prob").over(w) + F.col("q") * F.col("__r"))
+    u = T.uniform01(seed, "ctx_id")
+    over = F.col("__c") > u
+    # the last explicit token not above u, and the first one above it
+    agg = run.groupBy("ctx_id").agg(
+        F.min(F.when(over, F.struct("token_id", (F.col("__c") - F.col("prob")).alias("c"), F.col("__r").alias("r")))).alias("hit"),
+        F.max(F.when(~over, F.struct("token_id", F.col("__c").alias("c"), F.col("__r").alias("r")))).alias("low"),
+        F.max("token_id").alias("last"),
+    )
+    j = every.join(agg, "ctx_id", "left").withColumn("u", u)
+    c0, r0 = F.coalesce("low.c", F.lit(0.0)), F.coalesce("low.r", F.lit(0)).cast("long")
+    step = F.when(F.col("q") > 0, F.floor((F.col("u") - c0) / F.col("q"))).otherwise(0)
+    at = (r0 + F.greatest(step, F.lit(0))).cast("long")  # rest piece that u falls on
+    in_rest = F.when(F.col("hit").isNotNull(), at < F.col("hit.r")).otherwise(at < F.col("m"))
+    last = F.when(F.col("m") > 0, F.greatest(F.coalesce("last", F.lit(-1)), absent_id(F.col("known"), F.col("m") - 1))).otherwise(F.col("last"))
+    pick = F.when(in_rest, absent_id(F.col("known"), at)).otherwise(F.coalesce(F.col("hit.token_id"), last))
+    return j.select("ctx_id", pick.cast("int").alias("token_id"))
 
 
 def propagate_eos(ids: Column, eos: int = T.EOS_ID) -> Column:

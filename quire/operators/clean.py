@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from quire import options
 from quire.functions import text as T
 
+# The rule names, and what the nmt rule drops or makes a blank.
+NMT_DROPPED = "[\\x00-\\x08\\x0B\\x0E-\\x1F\\x7F\\x8F\\x9F]"
+NMT_SPACES = "[\\t\\n\\r\\x0C\\u1680\\u2000-\\u200F\\u2028\\u2029\\u205F\\u2581\\u3000\\uFEFF\\uFFFD]"
 NORMALIZATION_RULES = ("nmt_nfkc", "nfkc", "nfkc_cf", "identity")
 
 
@@ -20,13 +24,23 @@ def usable(encoded: DataFrame, ids_col: str = "ids") -> DataFrame:
     return encoded.where(F.size(ids_col) > 0)
 
 
-def sentence_lines(df: DataFrame, terminators=(T.SENTENCE_TERMINATOR,), max_bytes: int = T.MAX_SENTENCE_BYTES,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Corpus lines (B3, B4): break after terminators, split on newlines, keep
-    non-empty lines of at most ``max_bytes`` UTF-8 bytes. ``line_no`` counts all lines."""
+def sentence_lines(df: DataFrame, terminators=(T.SENTENCE_TERMINATOR,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Corpus lines (B3): break after terminators, split on newlines, keep every
+    non-empty line whatever its length. ``line_no`` counts all lines."""
     broken = T.sentence_break(F.col(text_col), terminators)
     lines = df.where(F.col(text_col).isNotNull()).select(id_col, F.posexplode(F.split(broken, "\n")).alias("line_no", "line"))
-    return lines.where((F.col("line") != "") & (F.octet_length("line") <= max_bytes))
+    return lines.where(F.col("line") != "")
+
+
+def trainer_lines(lines: DataFrame, max_bytes: int = T.MAX_SENTENCE_BYTES, line_col: str = "line") -> tuple[DataFrame, DataFrame]:
+    """What the vocabulary trainer reads (B4), and what it leaves out.
+
+    The trainer passes over lines of more than ``max_bytes`` UTF-8 bytes; nothing else does.
+    The second frame has one row, ``(skipped_lines, skipped_bytes)``, so that a run can say so.
+    """
+    size = F.octet_length(line_col)
+    skipped = lines.where(size > max_bytes).agg(F.count("*").alias("skipped_lines"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("skipped_bytes"))
+    return lines.where(size <= max_bytes), skipped
 
 
 def normalise(text: Column, rules=T.CUSTOM_RULES, dummy_prefix: bool = True, escape: bool = True) -> Column:
@@ -57,19 +71,16 @@ def nfkc_cf_udf(s: pd.Series) -> pd.Series:
 
 
 def normalise_by_rule(text: Column, rule_name: str = "nmt_nfkc", rules=()) -> Column:
-    """Named normalisation: identity, nfkc, nfkc_cf or nmt_nfkc (NFKC plus
-    dropping control characters), then the rule table and whitespace steps."""
-    if not rule_name.strip():
-        raise ValueError("normalization rule name must not be blank")
-    if rule_name not in NORMALIZATION_RULES:
-        raise ValueError(f"unknown normalization rule: {rule_name}")
+    """Named normalisation: identity, nfkc, nfkc_cf or nmt_nfkc (NFKC, then control and
+    zero-width characters dropped and the remaining separators made blanks), then the rule table and whitespace steps."""
+    options.check(normalization_rule=(rule_name, options.one_of(NORMALIZATION_RULES)))
     base = text
     if rule_name in ("nfkc", "nmt_nfkc"):
         base = nfkc_udf(text)
     elif rule_name == "nfkc_cf":
         base = nfkc_cf_udf(text)
     if rule_name == "nmt_nfkc":
-        base = F.regexp_replace(base, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", "")
+        base = F.regexp_replace(F.regexp_replace(base, NMT_DROPPED, ""), NMT_SPACES, " ")
     return normalise(base, list(rules))
 
 

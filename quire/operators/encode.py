@@ -1,34 +1,73 @@
 """Encoding, decoding, templates and chat (B6, B7, F1–F8) for piece tables.
 
-Word / char encoding is a lookup: words are exploded, matched against the
-broadcast piece table (its size is bounded by the vocabulary size and is
-checked), and re-assembled per document. The input is hash-partitioned by
-its id *before* the explode, so the re-assembling ``groupBy`` reuses that
-partitioning: the only shuffle moves compact text, not one row per token.
+Word encoding and decoding look pieces up inside the row: the piece table, whose size is
+bounded by the vocabulary size and checked, is a broadcast variable; the distinct words of
+an Arrow batch are looked up once and their ids dealt back to the rows by array
+operations. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire import options
 from quire.functions import text as T
 
 MAX_BROADCAST_PIECES = 5_000_000
 
 
-def _checked_broadcast(pieces: DataFrame, bound: int) -> DataFrame:
+def _held(rows: DataFrame, bound: int) -> list:
+    """The rows of a piece table on the driver, for a broadcast; their number is checked."""
     if bound > MAX_BROADCAST_PIECES:
-        raise ValueError(f"piece table bound {bound} exceeds the broadcast limit {MAX_BROADCAST_PIECES}")
-    return F.broadcast(pieces)
+        raise ValueError(f"a piece table of up to {bound} rows is over the broadcast limit of {MAX_BROADCAST_PIECES}")
+    got = rows.limit(bound + 1).collect()
+    if len(got) > bound:
+        raise ValueError(f"the piece table has more than the {bound} rows its caller promised")
+    return got
+
+
+def spread_pieces(codes: np.ndarray, pieces: list, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Values of ``pieces[code]`` for every code, one after another, and how many each code gives."""
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    flat = np.fromiter((x for p in pieces for x in p), dtype, int(sizes.sum()))
+    first = np.cumsum(sizes) - sizes
+    n = sizes[codes]
+    before = np.cumsum(n) - n
+    at = np.repeat(first[codes] - before, n) + np.arange(int(n.sum()))
+    return flat[at], n
+
 
+def row_sums(n: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of ``n`` over the rows that ``offsets`` bounds, cumulated: the new offsets."""
+    return np.concatenate([[0], np.cumsum(n)])[offsets - offsets[0]]
+
+
+def map_words(df: DataFrame, keep: tuple[str, ...], words: Column, pieces_of: Callable[[], Callable[[str], list[int]]]) -> DataFrame:
+    """``*keep, ids`` where ids are the pieces of every word of the row; rows without pieces are left out (B2).
+
+    ``pieces_of`` makes, once per task, the function word -> ids.
+    """
 
-def _special_id(word: Column) -> Column:
-    expr = None
-    for i, p, _ in T.SPECIAL_PIECES:
-        if p in T.USER_DEFINED:
-            expr = F.when(word == p, F.lit(i)) if expr is None else expr.when(word == p, F.lit(i))
-    return expr
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = pieces_of()
+        for b in batches:
+            lists = b.column(len(keep))
+            coded = lists.flatten().dictionary_encode()
+            pieces = [find(w) for w in coded.dictionary.to_pylist()]
+            ids, n = spread_pieces(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), pieces, np.int32)
+            ends = row_sums(n, np.asarray(lists.offsets))
+            made = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+            out = pa.RecordBatch.from_arrays([*b.columns[: len(keep)], made], names=[*keep, "ids"])
+            yield out.filter(pa.array(np.diff(ends) > 0))
+
+    src = df.select(*keep, words.alias("__w")).where(F.size("__w") > 0)
+    schema = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep)
+    return src.mapInArrow(run, f"{schema}, ids array<int>")
 
 
 def encode_words(
@@ -38,7 +77,6 @@ def encode_words(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    partitions: int | None = None,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Word-model encode without special tokens (F1, F2).
@@ -48,19 +86,21 @@ def encode_words(
     of ``▁word``. Rows whose text is NULL or gives no words are dropped (B2).
     Output: ``id_col, *keep, ids array<int>``.
     """
-    src = df.select(id_col, *keep, F.col(text_col).alias("__t")).where(F.col("__t").isNotNull())
-    src = src.repartition(partitions, id_col) if partitions else src.repartition(id_col)
-    exploded = src.select(id_col, *keep, F.posexplode(T.words(F.col("__t"))).alias("wpos", "word"))
-    lookup = _checked_broadcast(vocab.select(F.col("word"), F.col("id").alias("vid")), vocab_bound)
-    joined = exploded.join(lookup, on="word", how="left")
-    piece_ids = (
-        F.when(_special_id(F.col("word")).isNotNull(), F.array(_special_id(F.col("word"))))
-        .when(F.col("vid").isNotNull(), F.array(F.col("vid")))
-        .otherwise(T.utf8_byte_ids(F.concat(F.lit(T.WORD_BOUNDARY), F.col("word"))))
-    )
-    parts = joined.select(id_col, *keep, F.struct(F.col("wpos"), piece_ids.alias("p")).alias("s"))
-    grouped = parts.groupBy(id_col, *keep).agg(F.array_sort(F.collect_list("s")).alias("ss"))
-    return grouped.select(id_col, *keep, F.flatten(F.transform("ss", lambda x: x["p"])).alias("ids"))
+    table = {r["word"]: [r["id"]] for r in _held(vocab.select("word", "id"), vocab_bound)}
+    table |= {piece: [i] for i, piece, _ in T.SPECIAL_PIECES if piece in T.USER_DEFINED}
+    held = df.sparkSession.sparkContext.broadcast(table)
+
+    def pieces_of() -> Callable[[str], list[int]]:
+        known = held.value
+
+        def find(word: str) -> list[int]:
+            if (ids := known.get(word)) is not None:
+                return ids
+            return [T.BYTE_BASE + b for b in (T.WORD_BOUNDARY + word).encode("utf-8", "replace")]
+
+        return find
+
+    return map_words(df, (id_col, *keep), T.words(F.col(text_col)), pieces_of)
 
 
 def decode_ids(
@@ -72,24 +112,32 @@ def decode_ids(
     ids_col: str = "ids",
     skip_special: bool = True,
 ) -> DataFrame:
-    """ids -> text (F6). Pieces become UTF-8 hex (byte pieces give their byte),
-    hex is joined in order and decoded once, ``▁`` turns into a space and the
-    leading dummy-prefix space is removed."""
-    ex = df.repartition(id_col).select(id_col, F.posexplode(ids_col).alias("p", "tid"))
-    hexed = pieces.select(
-        F.col("id").alias("tid"),
-        F.when(F.col("type") == "BYTE", F.substring("piece", 4, 2))
-        .otherwise(F.hex(F.encode("piece", "UTF-8")))
-        .alias("hx"),
-    )
+    """ids -> text (F6). Pieces become UTF-8 bytes (byte pieces give their byte), ``▁`` turns
+    into a space and the leading dummy-prefix space is removed. Bytes that are no UTF-8, such
+    as a character cut by a truncation, become U+FFFD. Unknown ids give nothing; a row whose
+    ids are all special, or that has none, gives the empty text."""
+    table: dict[int, bytes] = {}
+    for r in _held(pieces.select("id", "piece", "type"), pieces_bound):
+        table[r["id"]] = bytes([int(r["piece"][3:5], 16)]) if r["type"] == "BYTE" else r["piece"].encode()
     if skip_special:
-        hexed = hexed.where(~F.col("tid").isin(*T.SKIP_ON_DECODE))
-    joined = ex.join(_checked_broadcast(hexed, pieces_bound), on="tid", how="inner")
-    grouped = joined.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("p", "hx"))).alias("ss"))
-    raw = F.decode(F.unhex(F.array_join(F.transform("ss", lambda x: x["hx"]), "")), "UTF-8")
-    spaced = F.replace(raw, F.lit(T.WORD_BOUNDARY), F.lit(" "))
-    text = F.when(F.startswith(spaced, F.lit(" ")), F.substring(spaced, 2, 1 << 30)).otherwise(spaced)
-    return grouped.select(id_col, text.alias("text"))
+        table |= dict.fromkeys(T.SKIP_ON_DECODE, b"")
+    held = df.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = held.value
+        for b in batches:
+            lists = b.column(1)
+            coded = lists.flatten().dictionary_encode()
+            raw, n = spread_pieces(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64),
+                                   [known.get(i, b"") for i in coded.dictionary.to_pylist()], np.uint8)
+            ends = row_sums(n, np.asarray(lists.offsets))
+            data = raw.tobytes()
+            texts = [data[i:j].decode("utf-8", "replace").replace(T.WORD_BOUNDARY, " ") for i, j in zip(ends, ends[1:])]
+            texts = [t[1:] if t.startswith(" ") else t for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
+
+    src = df.select(id_col, F.filter(F.coalesce(F.col(ids_col), F.array().cast("array<int>")), lambda x: x.isNotNull()).alias("__i"))
+    return src.mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, text string")
 
 
 def template_single(ids: Column, bos: int = T.BOS_ID, eos: int = T.EOS_ID) -> Column:
@@ -106,8 +154,7 @@ def template_pair(a: Column, b: Column, bos: int = T.BOS_ID, eos: int = T.EOS_ID
 
 def truncate_single(ids: Column, max_length: int) -> Column:
     """Truncation to ``max_length`` including the two specials, then F3."""
-    if max_length < 2:
-        raise ValueError("max_length must leave room for <s> and </s>")
+    options.check(max_length=(max_length, options.at_least(2)))  # two specials
     return template_single(F.slice(ids, 1, max_length - 2))
 
 

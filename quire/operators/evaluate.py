@@ -51,12 +51,18 @@ def best_so_far(metrics: DataFrame, bucketing: O.Bucketing, *, max_tags: int, ex
     """Best-so-far flag (H7): strictly below every earlier value of the same
     tag (the first value always wins against +inf; ties do not). The running
     minimum uses two phases, so one dominant tag is still spread over buckets.
-    ``metrics``: ``(tag, step, value)``."""
-    m = metrics
+    ``metrics``: ``(tag, step, value)``.
+
+    Every row comes back. A value that says nothing (null, NaN and, by default, the
+    no-tokens mark) is never the best and does not lower the minimum.
+    """
+    said = F.col("value").isNotNull() & ~F.isnan("value")
     if exclude_no_tokens:
-        m = m.where(F.col("value") != F.lit(NO_TOKENS))
-    prev = O.running_min(m, "value", ["step"], bucketing, partition_cols=("tag",), max_groups=max_tags)
-    return prev.withColumn("is_best", F.col("prev_min").isNull() | (F.col("value") < F.col("prev_min"))).drop("prev_min")
+        said = said & (F.col("value") != F.lit(NO_TOKENS))
+    m = metrics.withColumn("__v", F.when(said, F.col("value")))
+    prev = O.running_min(m, "__v", ["step"], bucketing, partition_cols=("tag",), max_groups=max_tags)
+    best = F.col("__v").isNotNull() & (F.col("prev_min").isNull() | (F.col("__v") < F.col("prev_min")))
+    return prev.withColumn("is_best", best).drop("prev_min", "__v")
 
 
 def metric_long(wide: DataFrame, step_col: str, tags: dict[str, str], run: str | None = None) -> DataFrame:
@@ -67,13 +73,17 @@ def metric_long(wide: DataFrame, step_col: str, tags: dict[str, str], run: str |
     return long.withColumn("run", F.lit(run)) if run is not None else long
 
 
-def metric_log(train: DataFrame, interval: int, train_tag: str = "Loss/Train", val_tag: str = "Loss/Validation") -> DataFrame:
-    """Per-step training rows plus one validation row every ``interval`` steps (H8).
+def metric_log(train: DataFrame, interval: int, evaluation: DataFrame | None = None, train_tag: str = "Loss/Train", val_tag: str = "Loss/Validation") -> DataFrame:
+    """Per-step training rows plus validation rows every ``interval`` steps (H8).
 
-    ``train``: ``(step, value)``. The validation row of a checkpoint step
-    carries the metric observed at that step (steps counted from 1, as
-    ``(step + 1) % interval == 0``); no arithmetic, so logs compare exactly.
+    ``train``: ``(step, value)``. ``evaluation``: ``(step, value)`` as measured; its rows of
+    checkpoint steps, ``(step + 1) % interval == 0``, are logged. Without one, a checkpoint
+    step logs the mean training value of the ``interval`` steps that end with it.
     """
     tr = train.select("step", F.lit(train_tag).alias("tag"), "value")
-    val = train.where(F.pmod(F.col("step") + 1, F.lit(interval)) == 0).select("step", F.lit(val_tag).alias("tag"), "value")
-    return tr.unionByName(val)
+    if evaluation is None:
+        end = (F.floor(F.col("step") / interval) + 1) * interval - 1
+        spans = train.groupBy(end.cast("long").alias("step")).agg(F.avg("value").alias("value"), F.max("step").alias("last"))
+        evaluation = spans.where(F.col("last") == F.col("step")).drop("last")
+    at = evaluation.where(F.pmod(F.col("step") + 1, F.lit(interval)) == 0)
+    return tr.unionByName(at.select("step", F.lit(val_tag).alias("tag"), "value"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.session import shared_path
 
 MAX_BROADCAST_CONTEXTS = 5_000_000
 
@@ -29,9 +30,13 @@ def sequence_pairs(ids: Column, frame: bool = True, eos: int = T.EOS_ID) -> Colu
 
 
 def fit_bigram(encoded: DataFrame, ids_col: str = "ids") -> DataFrame:
-    """``(a, b, cnt)`` over every document's framed token sequence."""
+    """``(a, b, cnt)`` over every document's framed token sequence, written once to the shared
+    folder: totals, scores and candidates read the table, not the corpus again."""
     pairs = encoded.select(F.explode(sequence_pairs(F.col(ids_col))).alias("p")).where(F.col("p.b").isNotNull())
-    return pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("cnt"))
+    counts = pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("cnt"))
+    path = shared_path(encoded.sparkSession, "bigrams")
+    counts.write.parquet(path)
+    return encoded.sparkSession.read.schema(counts.schema).parquet(path)
 
 
 def context_totals(model: DataFrame) -> DataFrame:

@@ -27,10 +27,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire import options
 from quire.functions import text as T
 from quire.operators import offsets as O
 from quire.sources import registry as R
 
+# The names of the three stopping rules.
 STRATEGIES = ("all_exhausted", "first_exhausted", "all_exhausted_without_replacement")
 
 # ---------------------------------------------------------------------------
@@ -44,14 +46,14 @@ PRESETS: dict[str, dict[str, float]] = {
 }
 
 DRAWS_PER_PARTITION = 2_000_000
+WEIGHT_SLACK = 1e-9  # of the sum of the weights
 MAX_REPEATS_PER_KEY = 256  # salted join: at most this many draws share one (source, row, salt) key
 
 
 def recommended_mix(preset: str = "balanced") -> dict[str, float]:
-    """A copy of a preset (C1); an unknown preset is an error."""
-    if preset not in PRESETS:
-        raise ValueError(f"unknown preset: {preset}. available: {', '.join(sorted(PRESETS))}")
-    return dict(PRESETS[preset])
+    """The weights of a preset (C1), as a new mapping."""
+    options.check(preset=(preset, options.one_of(PRESETS)))
+    return {**PRESETS[preset]}
 
 
 def presets_frame(spark: SparkSession) -> DataFrame:
@@ -59,19 +61,34 @@ def presets_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "preset string, genre string, weight double")
 
 
-def validate_mix(mix: Mapping[str, float], registry: R.SourceRegistry) -> tuple[list[str], list[float]]:
-    """Mix checks (C2): non-empty, known genres, positive weights summing to 1."""
-    if not mix:
-        raise ValueError("the mix is empty; give at least one genre")
-    unknown = [g for g in mix if g not in registry]
-    if unknown:
-        raise ValueError(f"unknown genres: {unknown}")
-    genres, weights = list(mix.keys()), [float(w) for w in mix.values()]
-    if any(w <= 0 for w in weights):
-        raise ValueError("every weight must be greater than 0")
-    if not math.isclose(sum(weights), 1.0, rel_tol=1e-9, abs_tol=1e-9):
-        raise ValueError("weights must sum to 1.0")
-    return genres, weights
+@dataclass(frozen=True)
+class Choice:
+    """What a caller wants to read: one source in stream order, or several by weight (``weights`` set)."""
+
+    genres: tuple[str, ...]
+    weights: tuple[float, ...] | None = None
+    split: str = "train"
+
+    @classmethod
+    def of(cls, registry: R.SourceRegistry, wanted: str | Mapping[str, float], split: str = "train", strategy: str | None = None) -> Choice:
+        """Read ``wanted`` against the registry (C2, C6); all that is wrong with it is told in one error."""
+        by_weight = isinstance(wanted, Mapping)
+        if not by_weight and not isinstance(wanted, str):
+            raise TypeError(f"sources are chosen by a genre's name or by a mapping of genres to weights, not by {type(wanted).__name__}")
+        genres = tuple(wanted) if by_weight else (wanted,)
+        found = options.problems(split=(split, options.one_of(R.SPLITS)))
+        found += options.problems(**{f"genre {g!r}": (g, options.one_of(registry.genres)) for g in genres})
+        if not by_weight:
+            options.reject(found)
+            return cls(genres, None, split)
+        if strategy is not None:
+            found += options.problems(strategy=(strategy, options.one_of(STRATEGIES)))
+        weights = tuple(map(float, wanted.values()))
+        found += [f"the weight of {g!r} is {w}: a source that is mixed in needs some" for g, w in zip(genres, weights) if not w > 0]
+        if abs(math.fsum(weights) - 1.0) > WEIGHT_SLACK:
+            found.append(f"{len(weights)} weights add up to {math.fsum(weights):.12g} where shares of one whole are needed")
+        options.reject(found)
+        return cls(genres, weights, split)
 
 
 def cumulative(weights: list[float]) -> list[float]:
@@ -95,7 +112,7 @@ def draws(spark: SparkSession, n_draws: int, seed: int, cum: list[float]) -> Dat
     parts = max(1, -(-n_draws // DRAWS_PER_PARTITION))
     d = spark.range(0, n_draws, 1, parts).withColumnRenamed("id", "k")
     d = d.withColumn("gi", source_of(T.uniform01(seed, "k"), cum))
-    bk = O.dense_range_bucketing("k", 0, n_draws - 1, max(1, n_draws // O.TARGET_ROWS_PER_BUCKET))
+    bk = O.position_bucketing("k", n_draws, spark)
     return O.global_positions(d, ["k"], bk, partition_cols=("gi",), max_groups=len(cum), out="occ")
 
 
@@ -103,17 +120,20 @@ def _n_expr(ns: list[int]) -> F.Column:
     return F.element_at(F.array(*[F.lit(int(n)) for n in ns]), F.col("gi") + 1)
 
 
-def exhaustion_points(spark: SparkSession, counts: list[int], weights: list[float], seed: int) -> tuple[int, list[int]]:
-    """Draws needed and ``k_s`` per source. Starts at ceil(1.2 max(n/w)) + 1000
-    draws and doubles until every source has been read to its end."""
+def exhaustion_points(
+    spark: SparkSession, counts: list[int], weights: list[float], seed: int, first_only: bool = False
+) -> tuple[int, list[int | None]]:
+    """Draws needed and ``k_s`` per source (None: not reached). Starts near the expected number of
+    draws and doubles until every source, or with ``first_only`` any source, has been read to its end."""
     cum = cumulative(weights)
-    n = math.ceil(1.2 * max(c / w for c, w in zip(counts, weights))) + 1000
+    expected = [c / w for c, w in zip(counts, weights)]
+    n = math.ceil(1.2 * (min(expected) if first_only else max(expected))) + 1000
     while True:
         d = draws(spark, n, seed, cum)
         rows = d.where(F.col("occ") == _n_expr(counts) - 1).groupBy("gi").agg(F.min("k").alias("ks")).collect()
         ks = {r["gi"]: r["ks"] for r in rows}
-        if len(ks) == len(counts):
-            return n, [ks[i] for i in range(len(counts))]
+        if len(ks) == len(counts) or first_only and ks:
+            return n, [ks.get(i) for i in range(len(counts))]
         n *= 2
 
 
@@ -166,16 +186,15 @@ def interleave_plan(
     no job counts it: the cut plus one draw for the first / all exhausted
     rules, every source row once without replacement.
     """
-    if strategy not in STRATEGIES:
-        raise ValueError(f"stopping strategy must be one of {STRATEGIES}: {strategy!r}")
+    options.check(strategy=(strategy, options.one_of(STRATEGIES)))
     narrow = sources.select("doc_id", "genre")
     counted = {r["genre"]: r["n"] for r in narrow.groupBy("genre").agg(F.count("*").alias("n")).collect()}
     counts = [int(counted.get(g, 0)) for g in genres]
-    if any(c == 0 for c in counts):
-        raise ValueError(f"empty sources in the mix: {[g for g, c in zip(genres, counts) if c == 0]}")
-    n_draws, ks = exhaustion_points(spark, counts, weights, seed)
-    cut = min(ks) if strategy == "first_exhausted" else max(ks)
-    d = draws(spark, n_draws, seed, cumulative(weights)).where(F.col("k") <= cut)
+    options.reject([f"source {g!r} has no rows to draw" for g, c in zip(genres, counts) if not c])
+    first = strategy == "first_exhausted"
+    _, ks = exhaustion_points(spark, counts, weights, seed, first)
+    cut = min(k for k in ks if k is not None) if first else max(ks)
+    d = draws(spark, cut + 1, seed, cumulative(weights))  # earlier draws do not depend on later ones
     n_col = _n_expr(counts)
     if strategy == "all_exhausted":
         d = d.withColumn("row", F.pmod(F.col("occ"), n_col))
@@ -204,7 +223,7 @@ def interleave_plan(
     rows = d.join(ranked, on=["genre", "row", "salt"], how="inner")
     if strategy == "all_exhausted_without_replacement":
         # skipped draws leave gaps in k: dense positions from the narrow rows
-        bk = O.dense_range_bucketing("k", 0, cut, max(1, (cut + 1) // O.TARGET_ROWS_PER_BUCKET))
+        bk = O.position_bucketing("k", cut + 1, spark)
         rows = O.global_positions(rows, ["k"], bk, out="pos")
     else:
         rows = rows.withColumn("pos", F.col("k"))
@@ -232,36 +251,21 @@ def interleave(
     return out.select("k", "pos", "genre", "occ", "doc_id", "text")
 
 
-def single_source(spark: SparkSession, registry: R.SourceRegistry, genre, split: str = "train") -> DataFrame:
-    """Single-source path (C6): no draws; a bad name or argument type is an error."""
-    if not isinstance(genre, str):
-        raise TypeError("genre must be a string or a weighted mapping")
-    if genre not in registry:
-        raise ValueError(f"unknown genre: {genre}")
-    return R.read_source(spark, registry, genre, split)
-
-
 def mixed(
     spark: SparkSession,
     registry: R.SourceRegistry,
-    genre,
+    genre: str | Mapping[str, float],
     *,
     split: str = "train",
     seed: int = 42,
     strategy: str,
 ) -> DataFrame:
-    """Entry point: one genre name (C6) or a weighted mapping."""
-    if split not in R.SPLITS:
-        raise ValueError(f"split must be one of {R.SPLITS}")
-    if isinstance(genre, str):
-        return single_source(spark, registry, genre, split)
-    if not isinstance(genre, Mapping):
-        raise TypeError("genre must be a string or a weighted mapping")
-    if strategy not in STRATEGIES:
-        raise ValueError(f"stopping strategy must be one of {STRATEGIES}: {strategy!r}")
-    genres, weights = validate_mix(genre, registry)
-    sources = R.read_sources(spark, registry, genres, split)
-    return interleave(spark, sources, genres, weights, seed=seed, strategy=strategy)
+    """Entry point: the rows of one source (C6), or several sources interleaved by weight."""
+    choice = Choice.of(registry, genre, split, strategy)
+    if choice.weights is None:
+        return R.read_source(spark, registry, choice.genres[0], choice.split)
+    sources = R.read_sources(spark, registry, list(choice.genres), choice.split)
+    return interleave(spark, sources, list(choice.genres), list(choice.weights), seed=seed, strategy=strategy)
 
 
 def realised_shares(mixed_encoded: DataFrame) -> DataFrame:
@@ -274,14 +278,3 @@ def realised_shares(mixed_encoded: DataFrame) -> DataFrame:
         F.round(F.col("n_docs") / F.sum("n_docs").over(every), 6).alias("doc_share"),
         F.round(F.col("n_tokens") / F.sum("n_tokens").over(every), 6).alias("token_share"),
     )
-
-
-def output_estimate(counts: list[int], weights: list[float], strategy: str) -> int:
-    """Rows the interleave will emit, roughly (about the draws to exhaust the
-    first or the last source); shown before running a lopsided mix."""
-    ratios = [c / w for c, w in zip(counts, weights)]
-    if strategy == "first_exhausted":
-        return math.ceil(min(ratios))
-    if strategy == "all_exhausted":
-        return math.ceil(max(ratios))
-    return sum(counts)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Rows of the (group, bucket) table we allow to broadcast. The table size is
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 # no action on the data.
 BROADCAST_BASE_ROWS = 2_000_000
 TARGET_ROWS_PER_BUCKET = 1_000_000
+MIN_BUCKETS = 16  # also for small inputs: the path that is tested is the path that runs at scale
 
 
 @dataclass(frozen=True)
@@ -52,11 +53,21 @@ def hash_prefix_bucketing(hex_col: Column | str, digits: int = 3) -> Bucketing:
 def digits_for_rows(n_rows: int) -> int:
     """Hash-prefix width so that buckets stay near TARGET_ROWS_PER_BUCKET rows."""
     d = 1
-    while 16**d * TARGET_ROWS_PER_BUCKET < n_rows and d < 6:
+    while 16**d * TARGET_ROWS_PER_BUCKET < n_rows:
         d += 1
     return d
 
 
+def buckets_for(n_rows: int, cores: int = 1) -> int:
+    """Buckets of at most TARGET_ROWS_PER_BUCKET rows, and enough to keep the cores busy."""
+    return max(MIN_BUCKETS, cores, -(-n_rows // TARGET_ROWS_PER_BUCKET))
+
+
+def position_bucketing(col: str, n_rows: int, spark: SparkSession) -> Bucketing:
+    """Buckets over dense positions 0..n-1."""
+    return dense_range_bucketing(col, 0, max(n_rows - 1, 0), buckets_for(n_rows, spark.sparkContext.defaultParallelism))
+
+
 def dense_range_bucketing(col: Column | str, lo: int, hi: int, n_buckets: int) -> Bucketing:
     """Equal-width buckets over a dense integer key in [lo, hi] (e.g. generated draw indexes)."""
     c = F.col(col) if isinstance(col, str) else col
@@ -64,7 +75,7 @@ def dense_range_bucketing(col: Column | str, lo: int, hi: int, n_buckets: int) -
     return Bucketing(max(1, -(-(hi - lo + 1) // width)), expr=F.floor((c - F.lit(lo)) / F.lit(width)).cast("long"))
 
 
-def quantile_bucketing(df: DataFrame, col: str, n_rows: int | None = None, rel_error: float = 0.001) -> Bucketing:
+def quantile_bucketing(df: DataFrame, col: str, n_rows: int | None = None) -> Bucketing:
     """Buckets from approximate quantiles of a numeric key: equal row counts, any id layout.
 
     One small job computes the split points; ``Bucketizer`` then finds each
@@ -74,11 +85,10 @@ def quantile_bucketing(df: DataFrame, col: str, n_rows: int | None = None, rel_e
 
     if n_rows is None:
         n_rows = df.count()
-    n_buckets = max(1, min(65536, -(-n_rows // TARGET_ROWS_PER_BUCKET)))
-    if n_buckets == 1:
-        return Bucketing(1, expr=F.lit(0).cast("long"))
+    n_buckets = buckets_for(n_rows)
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    splits = sorted(set(df.approxQuantile(col, probs, rel_error)))
+    # the error stays well below a bucket's share of the rows
+    splits = sorted(set(df.approxQuantile(col, probs, min(0.01, 0.25 / n_buckets))))
     edges = [float("-inf"), *[float(s) for s in splits], float("inf")]
 
     def _apply(frame: DataFrame) -> DataFrame:
@@ -112,14 +122,6 @@ def running_offsets(
     """
     w_col = F.lit(1).cast("long") if weight is None else weight.cast("long")
     pcols = list(partition_cols)
-    if bucketing.max_buckets == 1:
-        # small input (under one bucket): one window per group, no base table
-        win = (Window.partitionBy(*pcols) if pcols else Window.partitionBy()).orderBy(*order_cols).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        t = df.withColumn("__w", w_col)
-        running = F.sum("__w").over(win) - (F.lit(0) if inclusive else F.col("__w"))
-        return t.withColumn(out, running).drop("__w")
     tagged = bucketing.apply(df).withColumn("__w", w_col)
 
     sums = tagged.groupBy(*pcols, "__b").agg(F.sum("__w").alias("__bw"))
@@ -170,11 +172,6 @@ def running_min(
     minimum over the small bucket table, then a window inside each bucket.
     """
     pcols = list(partition_cols)
-    if bucketing.max_buckets == 1:
-        win = (Window.partitionBy(*pcols) if pcols else Window.partitionBy()).orderBy(*order_cols).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        return df.withColumn(out, F.min(value).over(win))
     tagged = bucketing.apply(df)
     mins = tagged.groupBy(*pcols, "__b").agg(F.min(value).alias("__bm"))
     base_win = (Window.partitionBy(*pcols) if pcols else Window.partitionBy()).orderBy("__b").rowsBetween(
@@ -191,14 +188,16 @@ def running_min(
 def top_n(df: DataFrame, n: int, score: str, tiebreak: list[str | Column], out: str = "rk") -> DataFrame:
     """Exact top ``n`` rows by ``score`` desc, then ``tiebreak`` asc, with rank ``out`` (1-based).
 
-    A histogram of score values (one row per distinct score) locates the
-    cut-off score with a running count; only rows at or above it (n plus the
-    ties at the cut-off) reach the final ranking window. Nothing else is
-    sorted globally, and no task receives more than those rows.
+    A histogram of score values (one row per distinct score) gives the cut-off score and the
+    number of rows above it. Rows above it are fewer than ``n``; of the rows at it, only the
+    first by ``tiebreak`` that still fit are taken, a limit that every task applies to its own
+    rows first. The last ranking sees exactly ``n`` rows. ``df`` is read three times.
     """
     hist = df.groupBy(score).agg(F.count("*").alias("__c"))
     above = F.sum("__c").over(Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1))
-    cutoff = hist.select(score, F.coalesce(above, F.lit(0)).alias("__a")).where(F.col("__a") < n).agg(F.min(score)).scalar()
-    cand = df.where(F.col(score) >= cutoff)
+    seen = hist.select(score, F.coalesce(above, F.lit(0)).alias("__a")).where(F.col("__a") < n)
+    cutoff, over = seen.agg(F.min(score), F.max("__a")).first()
+    ties = df.where(F.col(score) == F.lit(cutoff)).orderBy(*tiebreak).limit(n - over if over is not None else 0)
+    kept = df.where(F.col(score) > F.lit(cutoff)).unionByName(ties)
     w = Window.orderBy(F.desc(score), *tiebreak)
-    return cand.withColumn(out, F.row_number().over(w)).where(F.col(out) <= n)
+    return kept.withColumn(out, F.row_number().over(w))

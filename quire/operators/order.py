@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire import options
 from quire.functions import text as T
 from quire.operators import offsets as O
 
@@ -21,9 +22,9 @@ def stream_positions(df: DataFrame, order_col: str = "doc_id", n_rows: int | Non
 def seeded_shuffle(df: DataFrame, seed: int, key_cols: list[str], *, n_rows: int | None = None, out: str = "pos") -> DataFrame:
     """Full seeded shuffle (D1): order by md5(seed:key...), ranks from hash-prefix buckets."""
     if n_rows is None:
-        n_rows = 0
+        n_rows = df.count()
     h = df.withColumn("__h", T.hash_key(seed, *key_cols))
-    bk = O.hash_prefix_bucketing("__h", O.digits_for_rows(n_rows) if n_rows else 3)
+    bk = O.hash_prefix_bucketing("__h", O.digits_for_rows(n_rows))
     return O.global_positions(h, ["__h", *key_cols], bk, out=out).drop("__h")
 
 
@@ -35,8 +36,7 @@ def buffered_shuffle(df: DataFrame, seed: int, buffer_size: int, pos_col: str =
     closed form: ``block * buffer + rank inside the block`` (a window over one
     block, a bounded group).
     """
-    if buffer_size <= 0:
-        raise ValueError("shuffle buffer size must be a positive integer")
+    options.check(buffer_size=(buffer_size, options.COUNT))
     blk = F.floor(F.col(pos_col) / buffer_size).cast("long")
     h = df.withColumn("__blk", blk).withColumn("__h", T.hash_key(seed, *key_cols, pos_col))
     w = Window.partitionBy("__blk").orderBy("__h", pos_col)
@@ -45,8 +45,7 @@ def buffered_shuffle(df: DataFrame, seed: int, buffer_size: int, pos_col: str =
 
 def contiguous_shard(pos: Column, n: int, w: int) -> Column:
     """Contiguous shards (D3): the first ``n mod w`` shards take one extra row."""
-    if w <= 0:
-        raise ValueError("number of shards must be positive")
+    options.check(shards=(w, options.COUNT))
     q, r = divmod(n, w)
     big = r * (q + 1)
     if q == 0:
@@ -56,8 +55,7 @@ def contiguous_shard(pos: Column, n: int, w: int) -> Column:
 
 def round_robin_shard(pos: Column, w: int) -> Column:
     """Round-robin shards (D4): arrival index modulo the number of workers."""
-    if w <= 0:
-        raise ValueError("number of shards must be positive")
+    options.check(shards=(w, options.COUNT))
     return F.pmod(pos, F.lit(w)).cast("int")
 
 
@@ -78,12 +76,11 @@ def per_shard_limit(
     task. Without an explicit bucketing, positions in ``[0, n_rows)`` get
     equal-width buckets (no extra job); otherwise quantiles of ``order_col``.
     """
-    if max_samples <= 0:
-        raise ValueError("max_samples must be a positive integer")
+    options.check(max_samples=(max_samples, options.COUNT))
     if bucketing is not None:
         bk = bucketing
     elif n_rows is not None:
-        bk = O.dense_range_bucketing(order_col, 0, max(n_rows, 1), max(1, n_rows // O.TARGET_ROWS_PER_BUCKET))
+        bk = O.position_bucketing(order_col, n_rows, df.sparkSession)
     else:
         bk = O.quantile_bucketing(df, order_col)
     ranked = O.global_positions(df, [order_col], bk, partition_cols=(shard_col,), max_groups=max_shards, out="shard_pos")
@@ -92,10 +89,9 @@ def per_shard_limit(
 
 def global_limit(df: DataFrame, max_samples: int, order_col: str = "pos", *, n_rows: int | None = None) -> DataFrame:
     """Keep the first ``max_samples`` usable rows of the whole stream (D5 with a global scope)."""
-    if max_samples <= 0:
-        raise ValueError("max_samples must be a positive integer")
+    options.check(max_samples=(max_samples, options.COUNT))
     if n_rows is not None:
-        bk = O.dense_range_bucketing(order_col, 0, max(n_rows, 1), max(1, n_rows // O.TARGET_ROWS_PER_BUCKET))
+        bk = O.position_bucketing(order_col, n_rows, df.sparkSession)
     else:
         bk = O.quantile_bucketing(df, order_col)
     return O.global_positions(df, [order_col], bk, out="stream_pos").where(F.col("stream_pos") < max_samples)
@@ -103,17 +99,15 @@ def global_limit(df: DataFrame, max_samples: int, order_col: str = "pos", *, n_r
 
 def limit_samples(df: DataFrame, max_samples: int, scope: str = "shard", **kw) -> DataFrame:
     """Sample limit with the counter per shard (the reference's per-worker count) or global."""
-    if scope == "shard":
-        return per_shard_limit(df, max_samples, **kw)
+    options.check(scope=(scope, options.one_of(("shard", "global"))))
     if scope == "global":
         return global_limit(df, max_samples, n_rows=kw.get("n_rows"))
-    raise ValueError(f"limit scope must be 'shard' or 'global': {scope!r}")
+    return per_shard_limit(df, max_samples, **kw)
 
 
 def corpus_row_cap(df: DataFrame, max_documents: int, pos_col: str = "pos") -> DataFrame:
     """Corpus row cap (D6): documents with position below the cap."""
-    if max_documents <= 0:
-        raise ValueError("max_documents must be a positive integer")
+    options.check(max_documents=(max_documents, options.COUNT))
     return df.where(F.col(pos_col) < max_documents)
 
 
@@ -137,8 +131,7 @@ def corpus_byte_cap(
     is read from that table, and the rows are cut with a literal, so the chain
     that produced the rows runs once.
     """
-    if max_bytes <= 0:
-        raise ValueError("max_bytes must be a positive integer")
+    options.check(max_bytes=(max_bytes, options.COUNT))
     w = weight if weight is not None else F.octet_length(line_col)
     sized = O.running_offsets(df, [pos_col], bucketing, weight=w, out="cum_bytes", inclusive=True).checkpoint(eager=True)
     stop_at_bytes = (F.pmod(F.col(pos_col), F.lit(check_every)) == 0) & (F.col("cum_bytes") >= max_bytes)
@@ -154,9 +147,9 @@ def first_batches(df: DataFrame, n_batches: int = 30, batch_col: str = "batch_id
     return df.where(F.col(batch_col) < n_batches)
 
 
-def holdout_batch(df: DataFrame, batch_col: str = "batch_id") -> DataFrame:
+def is_holdout(batch: Column) -> Column:
     """The fixed first batch reused for every evaluation."""
-    return df.where(F.col(batch_col) == 0)
+    return batch == 0
 
 
 def every_nth(step: Column, n: int) -> Column:

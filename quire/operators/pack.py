@@ -14,44 +14,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire import options
 from quire.functions import text as T
 from quire.operators import offsets as O
+from quire.session import shared_path
 
 
-def _validate(seq_length: int) -> None:
-    if seq_length <= 0:
-        raise ValueError("seq_length must be a positive integer")
+def stored_lengths(docs: DataFrame, add_eos: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The encoded documents written once to the shared folder, and their narrow ``(shard, pos, L)`` rows.
 
-
-def stream_offsets(
-    docs: DataFrame,
-    bucketing: O.Bucketing,
-    *,
-    max_shards: int,
-    add_eos: bool = True,
-    eos_id: int = T.EOS_ID,
-) -> DataFrame:
-    """Add ``toks`` (ids + EOS), ``L``, ``start`` (stream offset in the shard) and
-    ``T`` (total stream length of the shard). ``docs``: shard, pos, doc_id, ids.
-
-    ``docs`` is read by one plan branch only (the two-phase running sum runs
-    over its rows), so an expensive producer (an encoder) runs once. Callers
-    that know the lengths up front use :func:`narrow_offsets` instead.
+    The encoder upstream runs for this write only. Offsets, totals and the joins read the
+    table: the first two its narrow columns, the last its token arrays.
     """
-    toks = F.concat("ids", F.array(F.lit(eos_id))) if add_eos else F.col("ids")
-    d = docs.withColumn("toks", toks).withColumn("L", F.size("toks"))
-    d = O.running_offsets(d, ["pos"], bucketing, partition_cols=("shard",), max_groups=max_shards, weight=F.col("L"), out="start")
-    totals = d.groupBy("shard").agg(F.sum("L").alias("T"))
-    return d.join(F.broadcast(totals) if max_shards <= 100_000 else totals, "shard")
+    path = shared_path(docs.sparkSession, "tokens")
+    docs.write.parquet(path)
+    stored = docs.sparkSession.read.schema(docs.schema).parquet(path)
+    eos = 1 if add_eos else 0
+    return stored, stored.select("shard", "pos", (F.size("ids") + F.lit(eos)).alias("L"))
 
 
-def narrow_offsets(lengths: DataFrame, bucketing: O.Bucketing, *, max_shards: int) -> DataFrame:
-    """``(shard, pos, start, T)`` from narrow ``(shard, pos, L)`` rows, where ``L``
-    already counts the EOS. The token arrays join afterwards, once."""
+def narrow_offsets(lengths: DataFrame, bucketing: O.Bucketing, *, max_shards: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(shard, pos, *keep, L, start, T)`` from narrow ``(shard, pos, *keep, L)`` rows, where
+    ``L`` already counts the EOS. The token arrays join afterwards, once."""
     offs = O.running_offsets(lengths, ["pos"], bucketing, partition_cols=("shard",), max_groups=max_shards,
                              weight=F.col("L"), out="start")
     totals = lengths.groupBy("shard").agg(F.sum("L").alias("T"))
-    return offs.join(F.broadcast(totals) if max_shards <= 100_000 else totals, "shard").select("shard", "pos", "L", "start", "T")
+    return offs.join(totals, "shard").select("shard", "pos", *keep, "L", "start", "T")
 
 
 def pack_blocks(
@@ -73,9 +61,12 @@ def pack_blocks(
     r in 1..S) is kept only when ``drop_last`` is false and r > 1, padded with
     ``pad_id``, its mask has r ones and labels from r-1 on are ``ignore_index``.
     """
-    _validate(seq_length)
-    d = stream_offsets(docs, bucketing, max_shards=max_shards, add_eos=add_eos, eos_id=eos_id)
-    return cut_blocks(d, seq_length, drop_last=drop_last, pad_id=pad_id, ignore_index=ignore_index)
+    options.check(seq_length=(seq_length, options.COUNT))
+    docs, lengths = stored_lengths(docs, add_eos)
+    offsets = narrow_offsets(lengths, bucketing, max_shards=max_shards)
+    toks = F.concat("ids", F.array(F.lit(eos_id))) if add_eos else F.col("ids")
+    rows = docs.select("shard", "pos", "doc_id", toks.alias("toks")).join(offsets, ["shard", "pos"])
+    return cut_blocks(rows, seq_length, drop_last=drop_last, pad_id=pad_id, ignore_index=ignore_index)
 
 
 def cut_blocks(
@@ -88,7 +79,7 @@ def cut_blocks(
 ) -> DataFrame:
     """Cut documents with stream offsets (``shard, doc_id, toks, L, start, T``)
     into packed samples; see :func:`pack_blocks`."""
-    _validate(seq_length)
+    options.check(seq_length=(seq_length, options.COUNT))
     S = seq_length
     d = d.withColumn("nb", F.greatest(F.floor((F.col("T") - 1) / S), F.lit(0)).cast("long"))
     d = d.withColumn("end", F.col("start") + F.col("L") - 1)
@@ -137,13 +128,12 @@ def cut_blocks(
     )
 
 
-def dropped_tail_tokens(docs: DataFrame, seq_length: int, bucketing: O.Bucketing, *, max_shards: int,
-                        add_eos: bool = True, eos_id: int = T.EOS_ID) -> DataFrame:
+def dropped_tail_tokens(docs: DataFrame, seq_length: int, *, add_eos: bool = True) -> DataFrame:
     """Per shard: stream tokens and the tokens left after the last full block,
     which ``drop_last`` discards (one buffer per worker loses its tail)."""
     S = seq_length
-    d = stream_offsets(docs, bucketing, max_shards=max_shards, add_eos=add_eos, eos_id=eos_id)
-    tot = d.groupBy("shard").agg(F.max("T").alias("tokens"))
+    eos = 1 if add_eos else 0
+    tot = docs.groupBy("shard").agg(F.sum(F.size("ids") + eos).alias("tokens"))
     nb = F.greatest(F.floor((F.col("tokens") - 1) / S), F.lit(0)).cast("long")
     return tot.select("shard", F.col("tokens").cast("long").alias("tokens"), (F.col("tokens") - nb * S).cast("long").alias("dropped"))
 
@@ -154,8 +144,7 @@ def batches(samples: DataFrame, batch_size: int, order_col: str = "block_id", dr
     ``order_col`` is a dense 0-based position inside the shard, so the batch
     id is plain integer division; batch sizes come from one aggregate.
     """
-    if batch_size <= 0:
-        raise ValueError("batch_size must be a positive integer")
+    options.check(batch_size=(batch_size, options.COUNT))
     b = samples.withColumn("batch_id", F.floor(F.col(order_col) / batch_size).cast("long"))
     if drop_last_batch:
         sizes = b.groupBy("shard", "batch_id").agg(F.count("*").alias("n"))

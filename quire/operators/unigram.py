@@ -117,7 +117,7 @@ def train_unigram(
 ) -> list[tuple[str, float]]:
     """Learned pieces ``[(piece, log_prob)]``, most probable first, exactly
     ``vocab_size`` long when the seeds allow it (characters always kept)."""
-    V.check_training_args(max(vocab_size, 100), coverage, "unigram")
+    V.TrainingOptions(max(vocab_size, V.SMALLEST_VOCABULARY), coverage, "unigram")
     words = V.word_counts(texts, text_col).where(~F.col("word").isin(*T.USER_DEFINED))
     # the distinct-word table is the unit of parallel EM work: keep it spread
     # over the configured shuffle parallelism (small tables would otherwise be

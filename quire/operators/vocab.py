@@ -6,34 +6,41 @@ they are the only things that may be broadcast to the encoders.
 
 from __future__ import annotations
 
+import logging
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire import options
 from quire.functions import text as T
 from quire.operators import offsets as O
+from quire.session import shared_path
 
+# Model names and the least vocabulary the trainer accepts.
+SMALLEST_VOCABULARY = 100
 MODEL_TYPES = ("unigram", "bpe", "word", "char")
 FIRST_ID = T.FIRST_LEARNED_ID
 PIECE_SCHEMA = "id int, piece string, score double, type string"
 
 
-def check_training_args(
-    vocab_size: int,
-    character_coverage: float = 0.9995,
-    model_type: str = "unigram",
-    normalization_rule_name: str = "nmt_nfkc",
-) -> None:
-    """Argument checks of the vocabulary trainer."""
-    if vocab_size < 100:
-        raise ValueError(f"vocab_size must be at least 100: {vocab_size}")
-    if not 0.0 < character_coverage <= 1.0:
-        raise ValueError(f"character_coverage must be in (0, 1]: {character_coverage}")
-    if model_type not in MODEL_TYPES:
-        raise ValueError(f"unknown model_type: {model_type}")
-    if not normalization_rule_name.strip():
-        raise ValueError("normalization_rule_name must not be blank")
+@dataclass(frozen=True)
+class TrainingOptions:
+    """Options of the vocabulary trainer (E1), checked when they are made."""
+
+    vocab_size: int
+    character_coverage: float = 0.9995
+    model_type: str = "unigram"
+    normalization_rule_name: str = "nmt_nfkc"
+
+    def __post_init__(self) -> None:
+        options.check(
+            vocab_size=(self.vocab_size, options.at_least(SMALLEST_VOCABULARY)),
+            character_coverage=(self.character_coverage, options.SHARE),
+            model_type=(self.model_type, options.one_of(MODEL_TYPES)),
+            normalization_rule_name=(self.normalization_rule_name, options.TEXT),
+        )
 
 
 def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -49,10 +56,20 @@ def word_vocabulary(texts: DataFrame, vocab_size: int, text_col: str = "text") -
     """Learned word pieces (E4): ``(id, word, piece, cnt)``, most frequent first.
 
     Ties break on the word (binary order). User-defined symbols are not
-    learned: they already own ids. ``row_number() <= V`` is planned with a
-    partial group limit, so each map task forwards at most V rows.
+    learned: they already own ids. The cut is exact (:func:`offsets.top_n`).
     """
-    counts = word_counts(texts, text_col).where(~F.col("word").isin(*T.USER_DEFINED))
+    counts = stored(word_counts(texts, text_col), "words").where(~F.col("word").isin(*T.USER_DEFINED))
+    return _learned_words(counts, vocab_size)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written once to the shared folder: what reads it several times does not count the corpus again."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _learned_words(counts: DataFrame, vocab_size: int) -> DataFrame:
     top = O.top_n(counts, vocab_size, "cnt", [F.asc("word")])
     return top.select(
         (F.col("rk") + F.lit(T.FIRST_LEARNED_ID - 1)).cast("int").alias("id"),
@@ -130,8 +147,8 @@ def piece_table(spark: SparkSession, learned: DataFrame, score: F.Column | None
 
 def word_piece_table(spark: SparkSession, texts: DataFrame, vocab_size: int) -> DataFrame:
     """Full piece table of the word model; learned score = ln(count / all words)."""
-    counts = word_counts(texts)
-    learned = word_vocabulary(texts, vocab_size)
+    counts = stored(word_counts(texts), "words")
+    learned = _learned_words(counts.where(~F.col("word").isin(*T.USER_DEFINED)), vocab_size)
     total = counts.agg(F.sum("cnt")).scalar()  # one scalar subquery, no join
     return piece_table(spark, learned, F.ln(F.col("cnt") / total))
 
@@ -152,10 +169,6 @@ def token_stats(encoded: DataFrame, ids_col: str = "ids") -> DataFrame:
     )
 
 
-def log_share(cnt: int, total: int) -> float:
-    return math.log(cnt / total)
-
-
 # --------------------------------------------------------------------------- pair merges (E5)
 
 OPEN, CLOSE = "\x02", "\x03"  # symbol brackets; never part of whitespace-split words
@@ -202,9 +215,11 @@ def bpe_merges(
     difference from the exact order is that a pair created by a merge of the
     same round can only win from the next round on.
     """
-    if merges_per_round < 1:
-        raise ValueError("merges_per_round must be at least 1")
-    wc = word_counts(texts, text_col).select(symbol_string(F.col("word")).alias("s"), F.col("cnt").alias("freq"))
+    options.check(merges_per_round=(merges_per_round, options.COUNT))
+    wc = word_counts(texts, text_col).where(~F.col("word").isin(*T.USER_DEFINED))
+    wc = wc.select(symbol_string(F.col("word")).alias("s"), F.col("cnt").alias("freq"))
+    # written before the first round: a round reads words and counts, never the corpus
+    wc = stored(wc.where(F.length("s") > 0), "bpe-words")
     merges: list[tuple[int, str, str, int]] = []
     cur = wc
     rounds = 0
@@ -239,13 +254,14 @@ def bpe_piece_table(spark: SparkSession, texts: DataFrame, n_merges: int, *, cov
     """Pair-merge piece table (E5): the alphabet of ``▁word`` symbols, then one
     piece per merge in merge order; score = -(merge index). With
     ``vocab_size`` the table (fixed pieces included) never exceeds it."""
-    wc = word_counts(texts, text_col).select(F.concat(F.lit(T.WORD_BOUNDARY), F.col("word")).alias("w"), "cnt")
+    wc = word_counts(texts, text_col).where(~F.col("word").isin(*T.USER_DEFINED))
+    wc = wc.select(F.concat(F.lit(T.WORD_BOUNDARY), F.col("word")).alias("w"), "cnt")
     kept = alphabet_from_counts(weighted_char_counts(wc), coverage)
     chars = [r["ch"] for r in kept.orderBy("rk").collect()]  # bounded by the code points
     if vocab_size is not None:
         room = vocab_size - T.FIRST_LEARNED_ID - len(chars)
         if room < 0:
-            raise ValueError(f"vocab_size {vocab_size} is too small for {len(chars)} alphabet characters")
+            raise options.OptionError([f"vocab_size leaves no room for the {len(chars)} characters of the alphabet: {vocab_size}"])
         n_merges = min(n_merges, room)
     merges = bpe_merges(texts, n_merges, text_col=text_col, merges_per_round=merges_per_round)
     rows, seen = [], set()
@@ -286,28 +302,23 @@ def seed_pieces_from_counts(wc: DataFrame, n_seeds: int, max_len: int = 16) -> D
         ).alias("piece"),
     )
     agg = subs.groupBy("piece").agg(F.sum("cnt").cast("long").alias("freq"))
-    scored = agg.withColumn("score", F.col("freq") * F.length("piece"))
+    scored = stored(agg.withColumn("score", F.col("freq") * F.length("piece")), "seeds")
     return O.top_n(scored, n_seeds, "score", [F.asc("piece")]).drop("rk")
 
 
 def learn_word_pieces(spark: SparkSession, texts: DataFrame, vocab_size: int, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Word vocabulary and full piece table, counted once.
 
-    The word counts are persisted for the two passes of the exact top-n (the
+    The word counts are written once for the passes of the exact top-n (the
     score histogram and the cut); the learned table itself is bounded by
     ``vocab_size`` and comes back as a small local frame, so every later
     broadcast is cheap and the corpus is not re-counted per use.
     Returns ``(vocab(id, word, piece, cnt), pieces(id, piece, score, type))``.
     """
-    from pyspark import StorageLevel
-
-    counts = word_counts(texts, text_col).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        total = counts.agg(F.sum("cnt")).first()[0] or 0
-        learned = O.top_n(counts.where(~F.col("word").isin(*T.USER_DEFINED)), vocab_size, "cnt", [F.asc("word")])
-        rows = learned.select("rk", "word", "cnt").collect()
-    finally:
-        counts.unpersist()
+    counts = stored(word_counts(texts, text_col), "words")
+    total = counts.agg(F.sum("cnt")).first()[0] or 0
+    learned = O.top_n(counts.where(~F.col("word").isin(*T.USER_DEFINED)), vocab_size, "cnt", [F.asc("word")])
+    rows = learned.select("rk", "word", "cnt").collect()
     if len(rows) > vocab_size:
         raise ValueError("learned vocabulary exceeds its bound")
     vocab_rows = [(T.FIRST_LEARNED_ID - 1 + r["rk"], r["word"], T.WORD_BOUNDARY + r["word"], int(r["cnt"])) for r in rows]
@@ -329,6 +340,7 @@ def train_vocabulary(
     normalization_rule_tsv: str | None = None,
     merges: int | None = None,
     merges_per_round: int = 1,
+    max_line_bytes: int = T.MAX_SENTENCE_BYTES,
 ) -> DataFrame:
     """Train a piece table from a corpus folder of text lines.
 
@@ -342,18 +354,21 @@ def train_vocabulary(
     from quire.operators import clean as B
     from quire.operators import unigram as U
 
-    check_training_args(vocab_size, character_coverage, model_type, normalization_rule_name)
+    TrainingOptions(vocab_size, character_coverage, model_type, normalization_rule_name)
     try:
         lines = spark.read.text(corpus_path).withColumnRenamed("value", "text")
     except (AnalysisException, Py4JJavaError) as exc:
         raise FileNotFoundError(f"corpus not found: {corpus_path}") from exc
     rules = B.read_rules_tsv(spark, normalization_rule_tsv) if normalization_rule_tsv else []
     # normalised text keeps spaces (not the boundary marker): the trainers split on them
+    lines, skipped = B.trainer_lines(lines, max_line_bytes, "text")
+    left_out = skipped.first()
+    if left_out["skipped_lines"]:
+        logging.getLogger(__name__).warning("%d lines over %d bytes (%d bytes) do not train", left_out["skipped_lines"], max_line_bytes, left_out["skipped_bytes"])
     normed = lines.select(B.normalise_by_rule(F.col("text"), normalization_rule_name, rules).alias("t"))
     texts = normed.select(F.replace(F.col("t"), F.lit(T.WORD_BOUNDARY), F.lit(" ")).alias("text"))
     learned_size = vocab_size - FIRST_ID
-    if learned_size <= 0:
-        raise ValueError("vocab_size must leave room for the fixed pieces")
+    options.check(vocab_size=(vocab_size, options.at_least(FIRST_ID + 1)))  # the fixed pieces come first
     if model_type == "word":
         return word_piece_table(spark, texts, learned_size)
     if model_type == "char":

@@ -16,6 +16,7 @@ from quire.operators import offsets as O
 from quire.operators import pack as G
 from quire.plans import common as C
 from quire.plans import params as P
+from quire.session import shared_path
 from quire.sources import registry as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,18 +38,11 @@ def register(name: str) -> Callable[[Query], Query]:
     return deco
 
 
-def _shard_bucketing(n_docs_hint: int = 0, min_buckets: int = 1) -> O.Bucketing:
-    # stream positions are dense per shard: equal-width buckets of positions;
-    # at least ``min_buckets`` so a few shards still spread over the cores
-    n_buckets = max(min_buckets, n_docs_hint // O.TARGET_ROWS_PER_BUCKET, 1)
-    return O.dense_range_bucketing("pos", 0, max(n_docs_hint, 1), n_buckets)
-
-
 def packed(spark: SparkSession, sf_dir: str, drop_last: bool = True) -> DataFrame:
     """Packed samples of the doc_id-ordered stream over SHARDS contiguous shards."""
     stream = C.token_stream(spark, sf_dir)
     n = C.count_rows(spark, sf_dir, "documents")
-    return G.pack_blocks(stream, P.SEQ_LEN, _shard_bucketing(n), max_shards=P.SHARDS, drop_last=drop_last)
+    return G.pack_blocks(stream, P.SEQ_LEN, O.position_bucketing("pos", n, spark), max_shards=P.SHARDS, drop_last=drop_last)
 
 
 # --------------------------------------------------------------------------- E / F / G core
@@ -242,14 +236,15 @@ def d_corpus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("d_corpus_bytes")
 def d_corpus_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corpus byte cap, checked every BYTE_CHECK_EVERY rows (D7), on corpus lines."""
+    """Corpus byte cap, checked every BYTE_CHECK_EVERY rows (D7), on corpus lines (B3), with the
+    row cap of BYTE_CAP_DOCUMENTS that the writer applies beside it (D6)."""
     from quire.operators import order as D
 
-    docs = C.table(spark, sf_dir, "documents").select("doc_id", F.octet_length(T.sentence_break(F.col("text"))).alias("nbytes"))
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", F.octet_length(T.sentence_break(F.col("text"), P.TERMINATORS)).alias("nbytes"))
     sh = D.seeded_shuffle(docs, P.SEED, ["doc_id"], out="pos")  # narrow rows: id and byte size
     n = C.count_rows(spark, sf_dir, "documents")
-    bk = O.dense_range_bucketing("pos", 0, max(n, 1), max(1, n // O.TARGET_ROWS_PER_BUCKET))
-    capped = D.corpus_byte_cap(sh, P.MAX_BYTES, bk, max_documents=1_000_000, check_every=P.BYTE_CHECK_EVERY,
+    bk = O.position_bucketing("pos", n, spark)
+    capped = D.corpus_byte_cap(sh, P.MAX_BYTES, bk, max_documents=P.BYTE_CAP_DOCUMENTS, check_every=P.BYTE_CHECK_EVERY,
                                weight=F.col("nbytes"))
     return capped.select("pos", "doc_id", "cum_bytes")
 
@@ -272,7 +267,7 @@ def d_eval_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators import order as D
 
     rows = D.first_batches(_eval_rows(spark, sf_dir), P.MAX_EVAL_BATCHES)
-    return rows.select("item_id", "batch_id", (F.col("batch_id") == 0).alias("holdout"))
+    return rows.select("item_id", "batch_id", D.is_holdout(F.col("batch_id")).alias("holdout"))
 
 
 @register("d_every_nth")
@@ -300,20 +295,32 @@ def b_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("b_sentences")
 def b_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corpus lines after the sentence break."""
+    """All corpus lines after the sentence break."""
     from quire.operators import clean as B
 
-    lines = B.sentence_lines(C.table(spark, sf_dir, "documents"))
+    lines = B.sentence_lines(C.table(spark, sf_dir, "documents"), P.TERMINATORS)
     return lines.select("doc_id", F.col("line_no").cast("int").alias("line_no"), "line")
 
 
+@register("b_trainer_lines")
+def b_trainer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines the vocabulary trainer passes over for their length, counted (B4): unbroken texts, so that some are."""
+    from quire.operators import clean as B
+
+    lines = B.sentence_lines(C.table(spark, sf_dir, "documents"), ())
+    kept, skipped = B.trainer_lines(lines)
+    read = kept.agg(F.lit("read").alias("part"), F.count("*").alias("lines"), F.coalesce(F.sum(F.octet_length("line")), F.lit(0)).cast("long").alias("bytes"))
+    passed = skipped.select(F.lit("skipped").alias("part"), F.col("skipped_lines").alias("lines"), F.col("skipped_bytes").alias("bytes"))
+    return read.unionByName(passed)
+
+
 @register("b_normalise")
 def b_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identity rule + custom table + whitespace steps."""
     from quire.operators import clean as B
 
     docs = C.table(spark, sf_dir, "documents")
-    norm = B.normalise(F.col("text"))
+    norm = B.normalise(F.col("text"), P.NORMALISE_RULES)
     return docs.select("doc_id", F.md5(norm).alias("norm_md5"), F.length(norm).alias("n_chars"))
 
 
@@ -482,10 +489,11 @@ def g_pack_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of BATCH_SIZE packed samples per shard (G6) and planned steps."""
     b = G.batches(packed(spark, sf_dir), P.BATCH_SIZE)
-    sizes = b.groupBy("shard", "batch_id").agg(F.count("*").alias("n_samples"))
-    # steps from the (small) batch table: one pass over the blocks, not two
-    per_shard = F.sum("n_samples").over(Window.partitionBy("shard"))
-    return sizes.withColumn("total_steps", G.total_steps(per_shard, P.BATCH_SIZE))
+    sizes = b.groupBy("shard", "batch_id").agg(F.count("*").alias("n_samples"), F.max("block_id").alias("last"))
+    # blocks are numbered from 0 without gaps: a shard's sample count is its last number + 1
+    shards = sizes.groupBy("shard").agg((F.max("last") + 1).alias("n"))
+    steps = shards.select("shard", G.total_steps(F.col("n"), P.BATCH_SIZE).alias("total_steps"))
+    return sizes.drop("last").join(steps, "shard")
 
 
 def _collated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -561,9 +569,10 @@ def h_logppl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-perplexity over the first MAX_EVAL_BATCHES batches (H4), of the
     hold-out batch (H5), and the valid-token count (H6)."""
     from quire.operators import evaluate as H
+    from quire.operators import order as D
 
-    s = _batch_scores(spark, sf_dir).where(F.col("batch_id") < P.MAX_EVAL_BATCHES)
-    hold = F.col("batch_id") == 0
+    s = D.first_batches(_batch_scores(spark, sf_dir), P.MAX_EVAL_BATCHES)
+    hold = D.is_holdout(F.col("batch_id"))
     agg = s.agg(
         F.sum("nll").alias("nll"), F.sum("n_tokens").alias("n"),
         F.sum(F.when(hold, F.col("nll"))).alias("nll0"), F.sum(F.when(hold, F.col("n_tokens"))).alias("n0"),
@@ -621,7 +630,7 @@ def i_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators import candidates as I
 
     emb = C.table(spark, sf_dir, "embeddings")
-    out = I.inner_product_top_k(spark, emb, emb, P.SCORE_TOP_K)
+    out = I.inner_product_top_k(emb, emb, P.SCORE_TOP_K)
     return out.select(F.col("vec_id").alias("ctx_id"), "rank", "item_id", F.round("score", 6).alias("score"))
 
 
@@ -635,26 +644,35 @@ def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Next-token logits of each prompt under the bigram model, after the
-    repetition penalty (I1). Candidates of a context are the observed
-    successors of its last (cropped, B7) token: at most one row per
-    vocabulary entry and context."""
+    """Next-token logits of each prompt over the whole vocabulary under the bigram model,
+    after the repetition penalty (I1). The observed successors of the prompt's last
+    (cropped, B7) token and the prompt's own tokens have rows of their own; all other
+    pieces share one logit and one row (``candidates.with_rest``). A context whose last
+    token was never seen has the rest row only, besides its own tokens."""
     from quire.operators import candidates as I
     from quire.operators import encode as E
     from quire.operators import lm as L
 
     prompts = _prompts(spark, sf_dir)
     last = prompts.select("ctx_id", F.element_at(E.crop_last(F.col("ids"), P.CROP), -1).alias("a"))
-    model = L.with_log_prob(_model(spark, sf_dir), P.ALPHA, C.pieces_bound())
-    cands = last.join(model.select("a", F.col("b").alias("token_id"), F.col("logp").alias("logit")), "a").drop("a")
-    seen = prompts.select("ctx_id", F.explode(F.array_distinct("ids")).alias("token_id"))
-    return I.repetition_penalty(cands, seen, P.PENALTY)
+    vocab = C.pieces_bound()
+    last = _stage(last.join(prompts, "ctx_id"), shared_path(spark, "contexts"))
+    seen = last.select("ctx_id", "a", F.explode(F.array_distinct("ids")).alias("token_id"))
+    model = _model(spark, sf_dir)
+    used = model.join(last.select("a").distinct(), "a", "left_semi")
+    totals = L.context_totals(used)
+    pairs = last.select("ctx_id", "a").join(used, "a").select("ctx_id", "a", F.col("b").alias("token_id"), "cnt")
+    own = pairs.unionByName(seen.withColumn("cnt", F.lit(0).cast("long"))).groupBy("ctx_id", "a", "token_id").agg(F.max("cnt").alias("cnt"))
+    own = own.join(totals, "a", "left").select("ctx_id", "token_id", L.log_prob(F.col("cnt"), F.col("ca"), P.ALPHA, vocab).alias("logit"))
+    contexts = last.select("ctx_id", "a").join(totals, "a", "left")
+    cands = I.with_rest(contexts, own, L.log_prob(F.lit(0), F.col("ca"), P.ALPHA, vocab), vocab)
+    return I.repetition_penalty(cands, seen.select("ctx_id", "token_id"), P.PENALTY)
 
 
 @register("i_penalty")
 def i_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Next-token logits of every prompt after the repetition penalty."""
-    return _candidates(spark, sf_dir).select("ctx_id", "token_id", F.round("logit", 6).alias("logit"))
+    """Next-token logits of every prompt after the repetition penalty (I1); token_id null: the n other pieces."""
+    return _candidates(spark, sf_dir).select("ctx_id", "token_id", "n", F.round("logit", 6).alias("logit"))
 
 
 @register("i_greedy")
@@ -674,7 +692,7 @@ def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("i_topk")
 def i_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Temperature (I3) then top-k keeping ties (I4)."""
-    return _topk(spark, sf_dir).select("ctx_id", "token_id", F.round("logit", 6).alias("logit"))
+    return _topk(spark, sf_dir).select("ctx_id", "token_id", "n", F.round("logit", 6).alias("logit"))
 
 
 def _topp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -686,7 +704,7 @@ def _topp(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("i_topp")
 def i_topp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nucleus filter (I5) and the renormalised softmax."""
-    return _topp(spark, sf_dir).select("ctx_id", "token_id", F.round("prob", 6).alias("prob"))
+    return _topp(spark, sf_dir).select("ctx_id", "token_id", "n", F.round("prob", 6).alias("prob"))
 
 
 @register("i_draw")
@@ -721,28 +739,49 @@ def _stage(df: DataFrame, base: str) -> DataFrame:
     return df.sparkSession.read.parquet(base)
 
 
-def _feed(staged: DataFrame, src_dir: str, order_col: str, n_chunks: int) -> None:
-    """Arrivals for a file stream: one write job per ``order_col`` range, in order,
-    so files arrive in stream order."""
+def _arrivals(staged: DataFrame, base: str, order_col: str, stream: Callable[[DataFrame], DataFrame], n_chunks: int = 4) -> DataFrame:
+    """Run ``stream`` over ``staged`` in ``n_chunks`` arrivals of growing ``order_col``.
+
+    An arrival is written by as many tasks as it takes, then the stream runs over all that
+    is new, from the same checkpoint: the order of arrival is the order of the chunks, and
+    within one the state function orders by the carried position.
+    """
+    from quire.streaming import pack_stream as J
+
+    spark = staged.sparkSession
     lo, hi = staged.agg(F.min(order_col), F.max(order_col)).first()
+    if lo is None:
+        lo = hi = 0
     width = max(1, -(-(hi - lo + 1) // n_chunks))
+    out = None
     for c in range(n_chunks):
         part = staged.where((F.col(order_col) >= lo + c * width) & (F.col(order_col) < lo + (c + 1) * width))
-        part.coalesce(1).write.mode("append").parquet(src_dir)
+        part.write.mode("append").parquet(f"{base}/source")
+        src = spark.readStream.schema(staged.schema).parquet(f"{base}/source")
+        out = J.run_available(spark, stream(src), f"{base}/sink", f"{base}/checkpoint")
+    return out
 
 
 @register("j_pack")
 def j_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streaming pack with per-shard state (J1), limit counter (J3) and tail flush."""
-    from quire.session import shared_path
+    """Streaming pack with per-shard state."""
+    return _stream_packed(spark, sf_dir, None, True)
+
+
+@register("j_pack_limit")
+def j_pack_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streaming pack of the first MAX_SAMPLES documents of each shard, counted in the state
+    (J3), with each shard's padded tail (J2)."""
+    return _stream_packed(spark, sf_dir, P.MAX_SAMPLES, False)
+
+
+def _stream_packed(spark: SparkSession, sf_dir: str, max_samples: int | None, drop_last: bool) -> DataFrame:
     from quire.streaming import pack_stream as J
 
     base = shared_path(spark, "jpack")
     staged = _stage(C.token_stream(spark, sf_dir).select("shard", "pos", "doc_id", "ids"), f"{base}/staged")
-    _feed(staged, f"{base}/source", "pos", 4)
-    src = spark.readStream.schema(staged.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/source")
-    out = J.run_available(spark, J.stream_pack(src, P.SEQ_LEN), f"{base}/sink", f"{base}/checkpoint")
-    blocks = J.flush_tails(out, P.SEQ_LEN, drop_last=True)
+    out = _arrivals(staged, base, "pos", lambda src: J.stream_pack(src, P.SEQ_LEN, max_samples=max_samples))
+    blocks = J.flush_tails(out, P.SEQ_LEN, drop_last=drop_last)
     return blocks.select(
         "shard", "block_id",
         T.ids_text(F.col("input_ids")).alias("input_ids"),
@@ -754,20 +793,16 @@ def j_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("j_metrics")
 def j_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streaming metric log with a best-so-far flag kept in keyed state."""
-    from quire.session import shared_path
     from quire.streaming import pack_stream as J
 
     base = shared_path(spark, "jmetrics")
     staged = _stage(_event_metrics(spark, sf_dir), f"{base}/staged")
-    _feed(staged, f"{base}/source", "step", 4)
-    src = spark.readStream.schema(staged.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/source")
-    return J.run_available(spark, J.stream_best(src), f"{base}/sink", f"{base}/checkpoint")
+    return _arrivals(staged, base, "step", J.stream_best)
 
 
 @register("a_stream")
 def a_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incremental read of a source (A4): file stream, text column only, parquet sink."""
-    from quire.session import shared_path
     from quire.streaming import pack_stream as J
 
     base = shared_path(spark, "astream")
@@ -785,21 +820,26 @@ def a_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("a_sinks")
 def a_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus text (A6), training blocks (A7) and piece table (A8) written to the
-    shared folder and read back; one row per sink with its row count."""
-    from quire.session import shared_path
+    shared folder and read back; per sink the row count and a checksum of the rows' contents."""
     from quire.sources import sinks as K
 
     base = shared_path(spark, "sinks")
     reg = R.documents_registry(sf_dir)
     lines = K.corpus_lines(spark, reg, max_documents=P.MAX_DOCUMENTS, max_bytes=P.MAX_BYTES, seed=P.SEED,
-                           check_every=P.BYTE_CHECK_EVERY)
+                           check_every=P.BYTE_CHECK_EVERY, terminators=P.TERMINATORS)
     K.write_corpus(lines, f"{base}/corpus")
     K.write_blocks(packed(spark, sf_dir), f"{base}/blocks")
     K.write_pieces(C.pieces(spark, sf_dir), f"{base}/pieces")
-    corpus = spark.read.text(f"{base}/corpus").select(F.lit("corpus_lines").alias("sink"))
-    blocks = spark.read.parquet(f"{base}/blocks").select(F.lit("blocks").alias("sink"))
-    pieces = spark.read.json(f"{base}/pieces/json").select(F.lit("pieces").alias("sink"))
-    return corpus.unionByName(blocks).unionByName(pieces).groupBy("sink").agg(F.count("*").alias("n_rows"))
+    corpus = spark.read.text(f"{base}/corpus").select(F.lit("corpus_lines").alias("sink"), F.col("value").alias("row"))
+    blocks = spark.read.parquet(f"{base}/blocks").select(
+        F.lit("blocks").alias("sink"),
+        F.concat_ws("|", F.col("shard"), F.col("block_id"), T.ids_text(F.col("input_ids")), T.ids_text(F.col("labels"))).alias("row"),
+    )
+    pieces = spark.read.json(f"{base}/pieces/json").select(F.lit("pieces").alias("sink"), F.concat_ws("|", "id", "piece", "type").alias("row"))
+    every = corpus.unionByName(blocks).unionByName(pieces)
+    # 52 bits of every row's md5, summed: equal for equal sets of rows
+    bits = F.conv(F.substring(F.md5("row"), 1, 13), 16, 10).cast("decimal(38,0)")
+    return every.groupBy("sink").agg(F.count("*").alias("n_rows"), F.sum(bits).cast("string").alias("content"))
 
 
 def _unigram(spark: SparkSession, sf_dir: str) -> list:
@@ -835,7 +875,7 @@ def g_loader(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.plans import loader as L
 
     out = L.pretrain_batches(
-        spark, R.documents_registry(sf_dir), C.word_vocab(spark, sf_dir), P.VOCAB_SIZE,
+        spark, R.documents_registry(sf_dir), lambda df: C.encode(spark, sf_dir, df, keep=("genre",)),
         batch_size=P.BATCH_SIZE, seq_length=P.SEQ_LEN, mix_preset=P.MIX_PRESET, shuffle_seed=P.SEED,
         shuffle_buffer_size=P.SHUFFLE_BUFFER, stopping_strategy="all_exhausted", num_workers=P.SHARDS,
     )
@@ -870,8 +910,7 @@ def d_limit_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("g_tail_report")
 def g_tail_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens per shard and the tail tokens a dropped last block loses."""
-    n = C.count_rows(spark, sf_dir, "documents")
-    return G.dropped_tail_tokens(C.token_stream(spark, sf_dir), P.SEQ_LEN, _shard_bucketing(n), max_shards=P.SHARDS)
+    return G.dropped_tail_tokens(C.token_stream(spark, sf_dir), P.SEQ_LEN)
 
 
 @register("c_shares")
@@ -882,3 +921,68 @@ def c_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = _mixed(spark, sf_dir, "all_exhausted").select("k", "genre", "text")
     enc = C.encode(spark, sf_dir, mixed, id_col="k", keep=("genre",))
     return M.realised_shares(enc)
+
+
+@register("g_loader_tail")
+def g_loader_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loader over one genre without EOS, limited per worker, tails kept, incomplete batches dropped
+    (C6, D5, G5, G6 with the loader's other options)."""
+    from quire.plans import loader as L
+
+    out = L.pretrain_batches(
+        spark, R.documents_registry(sf_dir), lambda df: C.encode(spark, sf_dir, df, keep=("genre",)),
+        genre=P.SINGLE_GENRE, batch_size=P.BATCH_SIZE, seq_length=P.SEQ_LEN, shuffle=False, num_workers=2,
+        max_samples=P.LOADER_SAMPLES, add_eos_between_samples=False, drop_last_sample=False, drop_last_batch=True,
+    )
+    return out.select(
+        "shard", "batch_id", "block_id",
+        T.ids_text(F.col("input_ids")).alias("input_ids"),
+        T.ids_text(F.col("labels")).alias("labels"),
+    )
+
+
+@register("c_choice")
+def c_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of a mix (C2) and of the trainer's options (E1): genre shares of the documents as weights are
+    accepted; the same weights doubled, with a genre too many, or with an empty one are told what is wrong."""
+    from quire.operators import mix as M
+    from quire.operators import vocab as V
+    from quire.options import OptionError
+
+    reg = R.documents_registry(sf_dir)
+    n = {r["genre"]: r["n"] for r in R.read_sources(spark, reg, reg.genres).groupBy("genre").agg(F.count("*").alias("n")).collect()}
+    total = sum(n.values())
+    shares = {g: c / total for g, c in sorted(n.items())}
+    low = min(n.values())
+    cases = [
+        ("shares", lambda: M.Choice.of(reg, shares)),
+        ("doubled", lambda: M.Choice.of(reg, {g: 2 * w for g, w in shares.items()})),
+        ("unknown genre", lambda: M.Choice.of(reg, {**shares, "novel": 1 / total})),
+        ("without documents", lambda: M.Choice.of(reg, {**shares, sorted(n)[0]: 0.0})),
+        ("vocabulary", lambda: V.TrainingOptions(low, low / total)),
+        ("all wrong", lambda: V.TrainingOptions(low - total, 1 + low, f"model {low}", " " * low)),
+    ]
+    rows = []
+    for name, make in cases:
+        try:
+            make()
+            rows.append((name, 0))
+        except OptionError as e:
+            rows.append((name, len(e.problems)))
+    return spark.createDataFrame(rows, "case string, problems int")
+
+
+@register("a_metric_append")
+def a_metric_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs appended to one metric log and read back (A9): training values per step under a
+    learning-rate and a loss tag, and the constant evaluation loss."""
+    from quire.operators import evaluate as H
+    from quire.sources import sinks as K
+
+    log = f"{shared_path(spark, 'metrics')}/log"
+    ev = C.table(spark, sf_dir, "events").select("event_id", "value", (F.col("value") / 1000).alias("rate"))
+    K.append_metrics(H.metric_long(ev, "event_id", {"value": "Loss/Train", "rate": "Learning Rate"}, run="a"), log)
+    at = ev.where(F.pmod(F.col("event_id") + 1, F.lit(P.CHECKPOINT_INTERVAL)) == 0)
+    K.append_metrics(H.metric_long(at, "event_id", {"value": "Loss/ConstEval"}, run="b"), log)
+    back = spark.read.parquet(log)
+    return back.select("run", "step", "tag", F.round("value", 6).alias("value"))

@@ -25,11 +25,11 @@ TEXT_TABLES = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; small text tables are spread over the cores (see ``balance_small_scan``)."""
-    from quire.session import balance_small_scan
+    """A driver table; text tables are spread where the caller asks for it (see ``spread_scan``)."""
+    from quire.session import spread_scan
 
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return balance_small_scan(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
+    return spread_scan(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 def count_rows(spark: SparkSession, sf_dir: str, name: str) -> int:

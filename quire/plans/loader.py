@@ -1,6 +1,7 @@
 """Pre-training loader: mix -> shuffle -> shard -> encode -> limit -> pack -> batch.
 
-The whole chain is one lazy DataFrame. Positions, the shuffle and the shards
+Counts, the encoded documents and the narrow stream rows are written while the plan is
+built; the blocks are one DataFrame over those tables. Positions, the shuffle and the shards
 are computed on narrow rows (draw, position, document id); every distinct
 document is encoded once (an oversampling mix repeats documents many times),
 and its token ids join the stream once, salted for repeated documents. Then
@@ -9,13 +10,13 @@ packing shuffles pieces by (shard, block).
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire import options
 from quire.functions import text as T
-from quire.operators import encode as E
 from quire.operators import mix as M
 from quire.operators import offsets as O
 from quire.operators import order as D
@@ -26,8 +27,7 @@ from quire.sources import registry as R
 def pretrain_batches(
     spark: SparkSession,
     registry: R.SourceRegistry,
-    vocab: DataFrame,
-    vocab_bound: int,
+    encode: Callable[[DataFrame], DataFrame],
     *,
     batch_size: int,
     seq_length: int,
@@ -43,40 +43,34 @@ def pretrain_batches(
     drop_last_sample: bool = True,
     num_workers: int = 0,
     drop_last_batch: bool = False,
+    ignore_index: int = T.IGNORE_INDEX,
 ) -> DataFrame:
     """Batches of packed samples: ``(shard, batch_id, block_id, input_ids, labels, attention_mask)``.
 
+    ``encode`` turns ``(doc_id, genre, text)`` rows into ``(doc_id, genre, ids)`` rows: the
+    word encoder or the sub-word encoder, both of which leave out rows without tokens.
     ``num_workers`` workers each read a contiguous shard of the shuffled
     stream (0 means one reader); ``max_samples`` counts usable documents per
     shard, as a per-worker counter does.
     """
-    if batch_size <= 0:
-        raise ValueError("batch_size must be a positive integer")
-    if seq_length <= 0:
-        raise ValueError("seq_length must be a positive integer")
-    if num_workers < 0:
-        raise ValueError("num_workers must be >= 0")
-    if shuffle_buffer_size <= 0:
-        raise ValueError("shuffle_buffer_size must be a positive integer")
-    if max_samples is not None and max_samples <= 0:
-        raise ValueError("max_samples must be None or a positive integer")
-    workers = max(1, num_workers)
-    mix = genre if genre is not None else M.recommended_mix(mix_preset)
-    if isinstance(mix, str):
-        sources = M.single_source(spark, registry, mix, split)
+    options.check(
+        batch_size=(batch_size, options.COUNT),
+        seq_length=(seq_length, options.COUNT),
+        num_workers=(num_workers, options.NOT_NEGATIVE),
+        shuffle_buffer_size=(shuffle_buffer_size, options.COUNT),
+        max_samples=(max_samples, options.COUNT_OR_NONE),
+    )
+    workers = num_workers or 1
+    choice = M.Choice.of(registry, M.recommended_mix(mix_preset) if genre is None else genre, split, stopping_strategy)
+    genres = list(choice.genres)
+    sources = R.read_sources(spark, registry, genres, choice.split)
+    if choice.weights is None:
         n = sources.count()
-        narrow = sources.select("doc_id", "genre")
-        stream = D.stream_positions(narrow, "doc_id", n_rows=n).withColumn("salt", F.lit(0))
-        plan = M.MixPlan(stream, n, [mix], [1])
-    elif isinstance(mix, Mapping):
-        if stopping_strategy not in M.STRATEGIES:
-            raise ValueError(f"stopping strategy must be one of {M.STRATEGIES}: {stopping_strategy!r}")
-        genres, weights = M.validate_mix(mix, registry)
-        sources = R.read_sources(spark, registry, genres, split)
-        plan = M.interleave_plan(spark, sources, genres, weights, seed=shuffle_seed, strategy=stopping_strategy)
-        n, stream = plan.n, plan.rows
+        ranked = D.stream_positions(sources.select("doc_id", "genre"), "doc_id", n_rows=n)
+        plan = M.MixPlan(ranked.withColumn("salt", F.lit(0)), n, genres, [1])
     else:
-        raise TypeError("genre must be a string or a weighted mapping")
+        plan = M.interleave_plan(spark, sources, genres, list(choice.weights), seed=shuffle_seed, strategy=stopping_strategy)
+    n, stream = plan.n, plan.rows
 
     # positions, shuffle and shards on narrow rows: (pos, genre, doc_id, salt)
     stream = stream.select("pos", "genre", "doc_id", "salt")
@@ -88,18 +82,17 @@ def pretrain_batches(
     # every distinct document is encoded once and written to the shared folder
     # (it feeds two joins: lengths, then ids); documents without tokens drop
     # out at the first join, after sharding (B2 after D3)
-    encoded = E.encode_words(sources, vocab, vocab_bound, id_col="doc_id", keep=("genre",)).checkpoint(eager=True)
+    encoded = encode(sources).checkpoint(eager=True)
     eos = 1 if add_eos_between_samples else 0
     lengths = plan.attach(stream, encoded.select("doc_id", "genre", (F.size("ids") + F.lit(eos)).alias("L")))
     if max_samples is not None:
         lengths = D.per_shard_limit(lengths, max_samples, n_rows=n, max_shards=workers).drop("shard_pos")
-    bk = O.dense_range_bucketing("pos", 0, max(n, 1), max(1, n // O.TARGET_ROWS_PER_BUCKET))
-    offs = lengths.select("shard", "pos", "genre", "doc_id", "salt").join(
-        G.narrow_offsets(lengths.select("shard", "pos", "L"), bk, max_shards=workers), ["shard", "pos"]
-    )
+    # narrow rows, written once: the running sums, the totals and the last join read them
+    lengths = lengths.select("shard", "pos", "genre", "doc_id", "salt", "L").checkpoint(eager=True)
+    offs = G.narrow_offsets(lengths, O.position_bucketing("pos", n, spark), max_shards=workers, keep=("genre", "doc_id", "salt"))
     toks = F.concat("ids", F.array(F.lit(T.EOS_ID))) if add_eos_between_samples else F.col("ids")
     rows = plan.attach(offs, encoded.select("doc_id", "genre", toks.alias("toks")))
-    blocks = G.cut_blocks(rows, seq_length, drop_last=drop_last_sample)
+    blocks = G.cut_blocks(rows, seq_length, drop_last=drop_last_sample, ignore_index=ignore_index)
     return G.batches(blocks, batch_size, order_col="block_id", drop_last_batch=drop_last_batch).select(
         "shard", "batch_id", "block_id", "input_ids", "labels", "attention_mask"
     )

@@ -8,11 +8,20 @@ lambdas use the ``lambda x: ...`` form.
 from __future__ import annotations
 
 from quire.plans import params as P
+from quire.sources import registry as R
 
 V = P.VOCAB_SIZE
 S = P.SEQ_LEN
 W = P.SHARDS
 
+def _broken(x: str) -> str:
+    for t in P.TERMINATORS:
+        x = f"replace({x}, '{t}', '{t}' || chr(10))"
+    return x
+
+
+_BROKEN = _broken("text")
+
 # words of every document, in order
 CTE_WORDS = r"""
 wl AS (
@@ -321,13 +330,13 @@ ORACLE["d_corpus_bytes"] = _q(
     f"""
 lines AS (
   SELECT pos, doc_id,
-         sum(octet_length(encode(replace(text, '。', '。' || chr(10)) || chr(10))))
+         sum(octet_length(encode({_BROKEN} || chr(10))))
            OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cum_bytes
   FROM shuf
 ),
 stop AS (SELECT min(pos) AS s FROM lines WHERE pos % {P.BYTE_CHECK_EVERY} = 0 AND cum_bytes >= {P.MAX_BYTES})
 """,
-    body="SELECT pos, doc_id, CAST(cum_bytes AS BIGINT) AS cum_bytes FROM lines, stop WHERE (stop.s IS NULL OR pos <= stop.s) AND pos < 1000000",
+    body="SELECT pos, doc_id, CAST(cum_bytes AS BIGINT) AS cum_bytes FROM lines, stop WHERE (stop.s IS NULL OR pos <= stop.s) AND pos < " + str(P.BYTE_CAP_DOCUMENTS),
 )
 
 CTE_EVAL = _q(
@@ -360,19 +369,24 @@ ORACLE["b_usable"] = _q(
     body="SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_tokens FROM enc WHERE len(ids) > 0",
 )
 
-ORACLE["b_sentences"] = """
+ORACLE["b_sentences"] = f"""
 SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, line FROM (
   SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM (
-    SELECT doc_id, string_split(replace(text, '。', '。' || chr(10)) || chr(10), chr(10)) AS ls
+    SELECT doc_id, string_split({_BROKEN} || chr(10), chr(10)) AS ls
     FROM documents WHERE text IS NOT NULL) a) b
-WHERE line <> '' AND octet_length(encode(line)) <= 4192
+WHERE line <> ''
 """
 
+ORACLE["b_trainer_lines"] = """
+WITH l AS (SELECT octet_length(encode(unnest(string_split(text, chr(10))))) AS n FROM documents)
+SELECT 'read' AS part, count(*) AS lines, CAST(coalesce(sum(n), 0) AS BIGINT) AS bytes FROM l WHERE n BETWEEN 1 AND 4192
+UNION ALL
+SELECT 'skipped', count(*), CAST(coalesce(sum(n), 0) AS BIGINT) FROM l WHERE n > 4192
+"""
 
-def _rules_sql(x: str) -> str:
-    from quire.functions.text import CUSTOM_RULES
 
-    for src, tgt in CUSTOM_RULES:
+def _rules_sql(x: str) -> str:
+    for src, tgt in P.NORMALISE_RULES:
         x = f"replace({x}, '{src}', '{tgt.replace(chr(39), chr(39) * 2)}')"
     return x
 
@@ -425,7 +439,7 @@ def _merges_sql(n: int) -> str:
         f"""m0 AS (
   SELECT array_to_string(list_transform(regexp_extract_all('▁' || word, '(?s).'), lambda ch: {o} || ch || {c}), '') AS s,
          count(*) AS freq
-  FROM w GROUP BY word)""",
+  FROM w WHERE word NOT IN ('<pad>', '<mask>', '<|im_start|>', '<|im_end|>') GROUP BY word)""",
     ]
     sel = []
     for i in range(n):
@@ -653,16 +667,25 @@ SELECT batch_id, 'Tokens/Validation', round(CAST(n_tokens AS DOUBLE), 6) FROM bs
 """
 
 ORACLE["h_best"] = """
-SELECT tag, step, value, (pm IS NULL OR value < pm) AS is_best FROM (
-  SELECT event_type AS tag, event_id AS step, value,
-         min(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm
-  FROM events WHERE value <> -100) t
+SELECT tag, step, value, (v IS NOT NULL AND (pm IS NULL OR v < pm)) AS is_best FROM (
+  SELECT tag, step, value, v,
+         min(v) OVER (PARTITION BY tag ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm
+  FROM (SELECT event_type AS tag, event_id AS step, value,
+               CASE WHEN value <> -100 AND NOT isnan(value) THEN value END AS v FROM events) e) t
 """
 
 ORACLE["h_log"] = f"""
 SELECT event_id AS step, 'Loss/Train' AS tag, round(value, 6) AS value FROM events
 UNION ALL
-SELECT event_id, 'Loss/Validation', round(value, 6) FROM events WHERE (event_id + 1) % {P.CHECKPOINT_INTERVAL} = 0
+SELECT step, 'Loss/Validation', round(value, 6) FROM (
+  SELECT (event_id // {P.CHECKPOINT_INTERVAL} + 1) * {P.CHECKPOINT_INTERVAL} - 1 AS step, avg(value) AS value, max(event_id) AS last
+  FROM events GROUP BY 1) t WHERE step = last
+"""
+
+ORACLE["a_metric_append"] = f"""
+SELECT 'a' AS run, event_id AS step, 'Loss/Train' AS tag, round(value, 6) AS value FROM events
+UNION ALL SELECT 'a', event_id, 'Learning Rate', round(value / 1000, 6) FROM events
+UNION ALL SELECT 'b', event_id, 'Loss/ConstEval', round(value, 6) FROM events WHERE (event_id + 1) % {P.CHECKPOINT_INTERVAL} = 0
 """
 
 
@@ -685,41 +708,52 @@ CTE_CANDS = ",\n".join(
 prompts AS (SELECT item_id AS ctx_id, [2] || ids AS ids FROM benc),
 lastt AS (SELECT ctx_id, ids[greatest(len(ids) - {P.CROP - 1}, 1):][-1] AS a FROM prompts),
 seen AS (SELECT DISTINCT ctx_id, unnest(ids) AS token_id FROM prompts),
+pairs AS (SELECT l.ctx_id, m.b AS token_id, m.cnt FROM lastt l JOIN model m ON m.a = l.a),
 raw AS (
-  SELECT l.ctx_id, m.b AS token_id, ln((m.cnt + {_ALPHA}) / (c.ca + {_ALPHA_V})) AS logit
-  FROM lastt l JOIN model m ON m.a = l.a JOIN ctot c ON c.a = m.a
+  SELECT l.ctx_id, CAST(t.id AS INTEGER) AS token_id, p.cnt IS NOT NULL OR s.token_id IS NOT NULL AS own, s.token_id IS NOT NULL AS was_seen,
+         ln((coalesce(p.cnt, 0) + {_ALPHA}) / (coalesce(c.ca, 0) + {_ALPHA_V})) AS logit
+  FROM lastt l CROSS JOIN range({263 + V}) t(id) LEFT JOIN ctot c ON c.a = l.a
+  LEFT JOIN pairs p ON p.ctx_id = l.ctx_id AND p.token_id = t.id LEFT JOIN seen s ON s.ctx_id = l.ctx_id AND s.token_id = t.id
 ),
 cands AS (
-  SELECT r.ctx_id, r.token_id,
-         CASE WHEN s.token_id IS NULL THEN r.logit WHEN r.logit < 0 THEN r.logit * {_PEN} ELSE r.logit / {_PEN} END AS logit
-  FROM raw r LEFT JOIN seen s ON s.ctx_id = r.ctx_id AND s.token_id = r.token_id
+  SELECT ctx_id, token_id, own, CASE WHEN NOT was_seen THEN logit WHEN logit < 0 THEN logit * {_PEN} ELSE logit / {_PEN} END AS logit FROM raw
 ),
 tk AS (
-  SELECT ctx_id, token_id, logit FROM (
-    SELECT ctx_id, token_id, logit / {_dbl(P.TEMPERATURE)} AS logit,
+  SELECT ctx_id, token_id, own, logit FROM (
+    SELECT ctx_id, token_id, own, logit / {_dbl(P.TEMPERATURE)} AS logit,
            rank() OVER (PARTITION BY ctx_id ORDER BY logit / {_dbl(P.TEMPERATURE)} DESC) AS r FROM cands) t
   WHERE r <= {P.TOP_K}
 ),
 sm AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY ctx_id)) AS e FROM tk),
-sm2 AS (SELECT ctx_id, token_id, logit, e / sum(e) OVER (PARTITION BY ctx_id) AS p FROM sm),
+sm2 AS (SELECT ctx_id, token_id, own, logit, e / sum(e) OVER (PARTITION BY ctx_id) AS p FROM sm),
 tp AS (
-  SELECT ctx_id, token_id, logit FROM (
-    SELECT *, sum(p) OVER (PARTITION BY ctx_id ORDER BY logit DESC, token_id ASC
+  SELECT ctx_id, token_id, own, logit FROM (
+    SELECT *, sum(p) OVER (PARTITION BY ctx_id ORDER BY logit DESC, own DESC, token_id ASC
                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM sm2) t
   WHERE before IS NULL OR before <= {_dbl(P.TOP_P)}
 ),
 tpe AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY ctx_id)) AS e FROM tp),
-probs AS (SELECT ctx_id, token_id, e / sum(e) OVER (PARTITION BY ctx_id) AS prob FROM tpe)
+probs AS (SELECT ctx_id, token_id, own, e / sum(e) OVER (PARTITION BY ctx_id) AS prob FROM tpe)
+"""
+
+
+def _folded(src: str, value: str) -> str:
+    """Rows of the pieces with a logit of their own; one row (token_id null, n) for the others of a context."""
+    return f"""
+SELECT ctx_id, token_id, CAST(1 AS BIGINT) AS n, round({value}, 6) AS {value} FROM {src} WHERE own
+UNION ALL
+SELECT ctx_id, CAST(NULL AS INTEGER), count(*), round(max({value}), 6) FROM {src} WHERE NOT own GROUP BY ctx_id
 """
 
-ORACLE["i_penalty"] = "WITH " + CTE_CANDS + "SELECT ctx_id, token_id, round(logit, 6) AS logit FROM cands"
+
+ORACLE["i_penalty"] = "WITH " + CTE_CANDS + _folded("cands", "logit")
 ORACLE["i_greedy"] = "WITH " + CTE_CANDS + """
 SELECT ctx_id, token_id FROM (
   SELECT ctx_id, token_id, row_number() OVER (PARTITION BY ctx_id ORDER BY logit DESC, token_id ASC) AS r FROM cands) t
 WHERE r = 1
 """
-ORACLE["i_topk"] = "WITH " + CTE_CANDS + "SELECT ctx_id, token_id, round(logit, 6) AS logit FROM tk"
-ORACLE["i_topp"] = "WITH " + CTE_CANDS + "SELECT ctx_id, token_id, round(prob, 6) AS prob FROM probs"
+ORACLE["i_topk"] = "WITH " + CTE_CANDS + _folded("tk", "logit")
+ORACLE["i_topp"] = "WITH " + CTE_CANDS + _folded("probs", "prob")
 ORACLE["i_draw"] = "WITH " + CTE_CANDS + f"""
 , cdf AS (
   SELECT ctx_id, token_id,
@@ -828,7 +862,7 @@ def _bpe_table_sql(n: int) -> str:
     head, tail = merges.split("\nSELECT CAST(0 AS INTEGER)", 1)
     merge_rows = "SELECT CAST(0 AS INTEGER)" + tail
     return head + f""",
-wcount AS (SELECT word, count(*) AS freq FROM w GROUP BY word),
+wcount AS (SELECT word, count(*) AS freq FROM w WHERE word NOT IN ('<pad>', '<mask>', '<|im_start|>', '<|im_end|>') GROUP BY word),
 bcc AS (
   SELECT ch, CAST(sum(freq) AS BIGINT) AS cnt
   FROM (SELECT unnest(regexp_extract_all('▁' || word, '(?s).')) AS ch, freq FROM wcount) t
@@ -880,15 +914,89 @@ shm AS (
 ),
 cb AS (
   SELECT pos, text,
-         sum(octet_length(encode(replace(text, '。', '。' || chr(10)) || chr(10)))) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cum
+         sum(octet_length(encode({_BROKEN} || chr(10)))) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cum
   FROM shm WHERE pos < {P.MAX_DOCUMENTS}
 ),
 cstop AS (SELECT min(pos) AS s FROM cb WHERE pos % {P.BYTE_CHECK_EVERY} = 0 AND cum >= {P.MAX_BYTES}),
-kept AS (SELECT text FROM cb, cstop WHERE cstop.s IS NULL OR cb.pos <= cstop.s)
-SELECT 'corpus_lines' AS sink, CAST(sum(len(string_split(replace(text, '。', '。' || chr(10)), chr(10)))) AS BIGINT) AS n_rows FROM kept
-UNION ALL
-SELECT 'blocks', count(*) FROM blocks
-UNION ALL
-SELECT 'pieces', 263 + (SELECT count(*) FROM vocab)
+kept AS (SELECT text FROM cb, cstop WHERE cstop.s IS NULL OR cb.pos <= cstop.s),
+specials(id, piece, type) AS (VALUES {_SPECIAL_ROWS}),
+sunk AS (
+  SELECT 'corpus_lines' AS sink, unnest(string_split({_BROKEN}, chr(10))) AS row FROM kept
+  UNION ALL
+  SELECT 'blocks', concat_ws('|', shard, block_id, input_ids, labels) FROM blocks
+  UNION ALL
+  SELECT 'pieces', concat_ws('|', id, piece, type) FROM (
+    SELECT id, piece, type FROM specials
+    UNION ALL SELECT 7 + b, '<0x' || printf('%02X', b) || '>', 'BYTE' FROM range(256) t(b)
+    UNION ALL SELECT id, '▁' || word, 'NORMAL' FROM vocab) p
+)
+SELECT sink, count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(md5(row), 1, 13)) AS HUGEINT)) AS VARCHAR) AS content
+FROM sunk GROUP BY sink
 """
 )
+
+
+# --------------------------------------------------------------------------- loader options, streaming limit, checks
+
+ORACLE["j_pack_limit"] = _q(
+    CTE_WORDS, CTE_VOCAB, cte_encode(),
+    "dpos AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents)",
+    cte_shards("dpos", W),
+    f"""
+st AS (
+  SELECT shard, pos, doc_id, toks FROM (
+    SELECT d.shard, d.pos, d.doc_id, e.ids || [2] AS toks, row_number() OVER (PARTITION BY d.shard ORDER BY d.pos) AS r
+    FROM dshard d JOIN enc e USING (doc_id) WHERE len(e.ids) > 0) t WHERE r <= {P.MAX_SAMPLES}
+)
+""",
+    body=f"""
+, off AS (SELECT shard, toks, sum(len(toks)) OVER (PARTITION BY shard ORDER BY pos ROWS UNBOUNDED PRECEDING) - len(toks) AS start FROM st),
+tok AS (SELECT shard, CAST(start + unnest(range(len(toks))) AS BIGINT) AS p, unnest(toks) AS t FROM off),
+seq AS (SELECT shard, list(t ORDER BY p) AS s FROM tok GROUP BY shard),
+blk AS (SELECT shard, s, unnest(range((len(s) - 2) // {S} + 1)) AS b FROM seq WHERE len(s) > 1),
+cut AS (SELECT shard, b, s[b * {S} + 1 : b * {S} + {S}] AS i, s[b * {S} + 2 : b * {S} + {S} + 1] AS l FROM blk)
+SELECT shard, CAST(b AS BIGINT) AS block_id,
+       array_to_string(i || list_transform(range({S} - len(i)), lambda x: 3), ' ') AS input_ids,
+       array_to_string(l || list_transform(range({S} - len(l)), lambda x: -100), ' ') AS labels,
+       array_to_string(list_transform(range({S}), lambda x: CASE WHEN x < len(i) THEN 1 ELSE 0 END), ' ') AS attention_mask
+FROM cut
+""",
+)
+
+_SINGLE = R.GENRES.index(P.SINGLE_GENRE)
+ORACLE["g_loader_tail"] = _q(
+    CTE_WORDS, CTE_VOCAB, cte_encode(),
+    f"""dpos AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n
+      FROM documents WHERE CAST(substr(source, 4) AS INTEGER) % 6 = {_SINGLE} AND text IS NOT NULL)""",
+    cte_shards("dpos", 2),
+    f"""
+st AS (
+  SELECT shard, pos, toks FROM (
+    SELECT d.shard, d.pos, e.ids AS toks, row_number() OVER (PARTITION BY d.shard ORDER BY d.pos) AS r
+    FROM dshard d JOIN enc e USING (doc_id) WHERE len(e.ids) > 0) t WHERE r <= {P.LOADER_SAMPLES}
+)
+""",
+    body=f"""
+, off AS (SELECT shard, toks, sum(len(toks)) OVER (PARTITION BY shard ORDER BY pos ROWS UNBOUNDED PRECEDING) - len(toks) AS start FROM st),
+tok AS (SELECT shard, CAST(start + unnest(range(len(toks))) AS BIGINT) AS p, unnest(toks) AS t FROM off),
+seq AS (SELECT shard, list(t ORDER BY p) AS s FROM tok GROUP BY shard),
+blk AS (SELECT shard, s, unnest(range((len(s) - 2) // {S} + 1)) AS b FROM seq WHERE len(s) > 1),
+cut AS (SELECT shard, b, s[b * {S} + 1 : b * {S} + {S}] AS i, s[b * {S} + 2 : b * {S} + {S} + 1] AS l FROM blk),
+bat AS (SELECT *, b // {P.BATCH_SIZE} AS batch_id, count(*) OVER (PARTITION BY shard, b // {P.BATCH_SIZE}) AS k FROM cut)
+SELECT shard, CAST(batch_id AS BIGINT) AS batch_id, CAST(b AS BIGINT) AS block_id,
+       array_to_string(i || list_transform(range({S} - len(i)), lambda x: 3), ' ') AS input_ids,
+       array_to_string(l || list_transform(range({S} - len(l)), lambda x: -100), ' ') AS labels
+FROM bat WHERE k = {P.BATCH_SIZE}
+""",
+)
+
+ORACLE["c_choice"] = f"""
+WITH n AS (SELECT CAST(substr(source, 4) AS INTEGER) % 6 AS g, count(*) AS c FROM documents GROUP BY 1),
+t AS (SELECT min(c) AS low, sum(c) AS total FROM n)
+SELECT 'shares' AS case, CAST(0 AS INTEGER) AS problems
+UNION ALL SELECT 'doubled', 1
+UNION ALL SELECT 'unknown genre', 2
+UNION ALL SELECT 'without documents', 2
+UNION ALL SELECT 'vocabulary', CAST(low < 100 AS INTEGER) FROM t
+UNION ALL SELECT 'all wrong', CAST(low - total < 100 AS INTEGER) + CAST(1 + low > 1 AS INTEGER) + 2 FROM t
+"""

@@ -7,8 +7,8 @@ SHARDS = 4  # loader workers
 BATCH_SIZE = 8  # packed samples per batch
 EVAL_BATCH = 4  # collated evaluation rows per batch
 ACCUMULATE = 4  # batches per optimizer update
-EVAL_MAX_LEN = 32  # truncation of evaluation texts (incl. <s> and </s>)
-MAX_EVAL_BATCHES = 30  # evaluation stops after this many batches
+EVAL_MAX_LEN = 1024  # truncation of evaluation texts (incl. <s> and </s>)
+MAX_EVAL_BATCHES = 6  # evaluation stops after this many batches
 CHECKPOINT_INTERVAL = 128  # steps between evaluations
 CROP = 16  # context crop of prompts
 ALPHA = 0.1  # add-alpha smoothing of the bigram model
@@ -18,10 +18,14 @@ TOP_P = 0.95
 PENALTY = 1.3
 SHUFFLE_BUFFER = 100
 MAX_SAMPLES = 100
+LOADER_SAMPLES = 60  # documents per worker in the limited loader
 MAX_DOCUMENTS = 300
+BYTE_CAP_DOCUMENTS = 1_000_000  # row cap that goes with the byte cap
 MAX_BYTES = 1_000_000
 BYTE_CHECK_EVERY = 100
 COVERAGE = 0.9995
+TERMINATORS = ("。", ".")  # sentence ends; the second one occurs in the test texts
+NORMALISE_RULES = [("ß", "ss"), ("é", "e"), ("%%%", "%"), ("«", '"')]
 SCORE_TOP_K = 5
 MIX_PRESET = "balanced"
 MIX_GENRE = "wiki"

@@ -23,6 +23,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(SCAN_PARTITIONS, str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("QUIRE_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
@@ -64,29 +65,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root}/quire-{name}-{uuid.uuid4().hex[:12]}"
 
 
-SMALL_INPUT_BYTES = 1 << 30
+SCAN_PARTITIONS = "spark.quire.scanPartitions"
 
 
-def balance_small_scan(df, key: str | None = None):
-    """Spread a small scan over the cluster's cores.
+def spread_scan(df, key: str):
+    """Deal a scan out over ``spark.quire.scanPartitions`` partitions, where the caller sets it.
 
-    A file written as one row group scans as one task, so every narrow text
-    step before the first shuffle would run on one core. Below
-    ``SMALL_INPUT_BYTES`` (by plan statistics, no job) the rows are
-    redistributed once; larger inputs are already split by the scan and are
-    left alone, so no extra shuffle appears at scale.
+    For tables written as few large row groups: such a scan has few tasks. Without the
+    setting the scan keeps its splits. Hashed on the id, so a retried task deals alike.
     """
-    spark = df.sparkSession
-    try:
-        raw = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        size = raw if isinstance(raw, int) else int(raw.toString())
-        cores = spark.sparkContext.defaultParallelism
-    except Exception:  # no plan statistics available: keep the scan as it is
-        return df
-    if size < SMALL_INPUT_BYTES and cores > 1:
-        # hash on the id: deterministic without the sort a round-robin needs
-        return df.repartition(cores, key) if key else df.repartition(cores)
-    return df
+    n = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(n), key) if n else df
 
 
 _SHIPPED: set[str] = set()

@@ -14,6 +14,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire import options
+
+# The split names a source may offer.
 SPLITS = ("train", "validation", "test")
 
 # ---------------------------------------------------------------------------
@@ -49,8 +52,7 @@ class SourceRegistry:
         return genre in self._specs
 
     def __getitem__(self, genre: str) -> SourceSpec:
-        if genre not in self._specs:
-            raise ValueError(f"unknown genre: {genre}")
+        options.check(genre=(genre, options.one_of(self._specs)))
         return self._specs[genre]
 
     @property
@@ -95,21 +97,21 @@ def genre_index_expr() -> F.Column:
 
 
 def resolve_split(spec: SourceSpec, split: str) -> str:
-    if split not in SPLITS:
-        raise ValueError(f"split must be one of {SPLITS}: {split!r}")
-    if split not in spec.available_splits:
-        raise ValueError(f"{spec.path} does not offer split={split!r}; available: {', '.join(spec.available_splits)}")
+    """``split`` if the source has it; a name no source can have and one this source lacks are told apart."""
+    known = options.one_of(SPLITS)
+    rule = options.one_of(spec.available_splits) if known.holds(split) else known
+    options.check(**{f"the split read from {spec.genre!r}": (split, rule)})
     return split
 
 
 def _scan(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     """Batch scan: any ``spark.read`` format (parquet, json, csv, text, ...) or a catalog table."""
-    from quire.session import balance_small_scan
+    from quire.session import spread_scan
 
     if spec.format == "table":
-        return balance_small_scan(spark.read.options(**dict(spec.options)).table(spec.path), spec.id_column)
+        return spread_scan(spark.read.options(**dict(spec.options)).table(spec.path), spec.id_column)
     reader = spark.read.format(spec.format).options(**dict(spec.options))
-    return balance_small_scan(reader.load(spec.path), spec.id_column)
+    return spread_scan(reader.load(spec.path), spec.id_column)
 
 
 def stream_source(spark: SparkSession, registry: SourceRegistry, genre: str, split: str = "train") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire import options
 from quire.functions import text as T
 from quire.operators import mix as M
 from quire.operators import offsets as O
@@ -34,12 +35,9 @@ def corpus_lines(
     cap checked every ``check_every`` rows (D7). ``(pos, doc_id, body)`` where
     ``body`` is a document's text with line breaks, without its last newline.
     NULL text is dropped at the source (the sequential writer cannot write it)."""
-    if max_documents <= 0:
-        raise ValueError(f"max_documents must be a positive integer: {max_documents}")
-    if max_bytes <= 0:
-        raise ValueError(f"max_bytes must be a positive integer: {max_bytes}")
-    mix = mix if mix is not None else M.recommended_mix("balanced")
-    genres, weights = M.validate_mix(mix, registry)
+    options.check(max_documents=(max_documents, options.COUNT), max_bytes=(max_bytes, options.COUNT), check_every=(check_every, options.COUNT))
+    choice = M.Choice.of(registry, M.recommended_mix("balanced") if mix is None else mix)
+    genres, weights = list(choice.genres), list(choice.weights)
     sources = R.read_sources(spark, registry, genres).where(F.col("text").isNotNull())
     plan = M.interleave_plan(spark, sources, genres, weights, seed=seed, strategy="all_exhausted")
     # order, caps and byte counts on narrow rows; the text joins only the kept rows
@@ -47,7 +45,7 @@ def corpus_lines(
     body = T.sentence_break(F.col("text"), terminators)
     sizes = sources.select("doc_id", "genre", F.octet_length(body).alias("nbytes"))
     sized = plan.attach(shuffled.where(F.col("pos") < max_documents), sizes)
-    bk = O.dense_range_bucketing("pos", 0, max_documents, max(1, max_documents // O.TARGET_ROWS_PER_BUCKET))
+    bk = O.position_bucketing("pos", min(plan.n, max_documents), spark)
     capped = D.corpus_byte_cap(
         sized, max_bytes, bk, max_documents=max_documents, check_every=check_every, weight=F.col("nbytes")
     )

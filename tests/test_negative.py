@@ -21,7 +21,7 @@ REG = R.documents_registry("/root/testdata/sf0.001")
 )
 def test_bad_mix(mix):
     with pytest.raises(ValueError):
-        M.validate_mix(mix, REG)
+        M.Choice.of(REG, mix)
 
 
 def test_bad_strategy_preset_type_split(spark):
@@ -50,7 +50,7 @@ def test_bad_buffer_and_limits(spark):
     with pytest.raises(ValueError):
         G.batches(df, 0)
     with pytest.raises(ValueError):
-        G._validate(0)
+        G.cut_blocks(df, 0)
     with pytest.raises(ValueError):
         K.corpus_lines(spark, REG, max_documents=0)
     with pytest.raises(ValueError):
@@ -59,15 +59,15 @@ def test_bad_buffer_and_limits(spark):
 
 def test_bad_training_args():
     with pytest.raises(ValueError):
-        V.check_training_args(99)
+        V.TrainingOptions(99)
     with pytest.raises(ValueError):
-        V.check_training_args(1000, character_coverage=0.0)
+        V.TrainingOptions(1000, character_coverage=0.0)
     with pytest.raises(ValueError):
-        V.check_training_args(1000, character_coverage=1.5)
+        V.TrainingOptions(1000, character_coverage=1.5)
     with pytest.raises(ValueError):
-        V.check_training_args(1000, model_type="wordpiece")
+        V.TrainingOptions(1000, model_type="wordpiece")
     with pytest.raises(ValueError):
-        V.check_training_args(1000, normalization_rule_name="  ")
+        V.TrainingOptions(1000, normalization_rule_name="  ")
 
 
 def test_bad_penalty_and_pad(spark):
@@ -77,3 +77,14 @@ def test_bad_penalty_and_pad(spark):
     assert V.pad_choice(pieces).first().pad_id is None  # no pad/eos/unk: callers must refuse it
     with pytest.raises(ValueError):
         E.truncate_single(F.col("ids"), 1)
+
+
+def test_all_problems_are_told_at_once():
+    from quire.options import OptionError
+
+    with pytest.raises(OptionError) as e:
+        V.TrainingOptions(1, 2.0, "x", " ")
+    assert len(e.value.problems) == 4
+    with pytest.raises(OptionError) as e:
+        M.Choice.of(REG, {"novel": 0.0, "wiki": 0.5}, "dev", "sometimes")
+    assert len(e.value.problems) == 5  # split, genre, strategy, weight, sum

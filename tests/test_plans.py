@@ -29,7 +29,7 @@ def test_no_single_partition_over_raw_rows(spark, small_buckets, q):
     for m in re.finditer(r"Exchange SinglePartition", plan):
         below = "\n".join(plan[m.end():].split("\n")[1:3])
         # a single-partition exchange may only carry a small aggregated or limited table
-        small = ("HashAggregate", "WindowGroupLimit", "TakeOrderedAndProject", "Subquery")  # Subquery: top-n cut
+        small = ("HashAggregate", "WindowGroupLimit", "TakeOrderedAndProject", "Subquery")
         assert any(k in below for k in small), below
     assert "BroadcastNestedLoopJoin" not in plan
     df.collect()
@@ -43,7 +43,23 @@ def test_scan_prunes_columns(spark):
 @pytest.mark.parametrize("q", [Q.e_words, Q.e_seeds])
 def test_top_n_ranks_only_the_cut(spark, q):
     plan = _plan(q(spark, SF_SMALL))
-    assert "Subquery" in plan  # the cut-off score is a scalar subquery over the score histogram
+    # ties at the cut-off go through a limit that every task applies first; the corpus is not read again
+    assert "TakeOrderedAndProject" in plan and "documents.parquet" not in plan
+
+
+@pytest.mark.parametrize("q", [Q.g_pack, Q.g_batches, Q.i_eos, Q.g_tail_report, Q.f_encode, Q.h_logppl, Q.i_topp])
+def test_the_corpus_is_encoded_once(spark, small_buckets, monkeypatch, q):
+    """One word split of the documents per query in the final plan at most; the rest reads written tables."""
+    plan = _plan(q(spark, SF_SMALL))
+    assert plan.count("documents.parquet") <= 1
+
+
+def test_encoding_does_not_shuffle(spark):
+    spark.conf.unset("spark.quire.scanPartitions")
+    try:
+        assert "Exchange" not in _plan(Q.f_encode(spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.quire.scanPartitions", "8")
 
 
 def test_salted_mix_equals_unsalted(spark, monkeypatch):
@@ -59,9 +75,12 @@ def test_salted_mix_equals_unsalted(spark, monkeypatch):
 def test_blocked_inner_product_equals_single_block(spark, monkeypatch):
     from quire.operators import candidates as I
 
-    one = sorted(tuple(r) for r in Q.i_scores(spark, SF_SMALL).collect())
-    monkeypatch.setattr(I, "MAX_BROADCAST_ITEMS", 128)  # 500 items -> 4 broadcast blocks
-    assert sorted(tuple(r) for r in Q.i_scores(spark, SF_SMALL).collect()) == one
+    emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    one = sorted(tuple(r) for r in I.inner_product_top_k(emb, emb, 5).collect())
+    many = I.inner_product_top_k(emb, emb, 5, ctx_block=90, item_block=128)
+    assert [r[:3] for r in sorted(tuple(r) for r in many.collect())] == [r[:3] for r in one]
+    with pytest.raises(ValueError):
+        I.inner_product_top_k(emb, emb, 5, max_items=100)
 
 
 def test_per_shard_limit_many_buckets(spark, small_buckets):
