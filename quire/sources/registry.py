@@ -39,7 +39,7 @@ class SourceSpec:
     format: str = "parquet"
     options: Mapping[str, str] = field(default_factory=dict)
     where: str | None = None  # SQL predicate selecting this source's rows
-    id_column: str = "doc_id"
+    id_column: str | None = "doc_id"  # a key of any type; None: rows have a text only (see document_key)
 
 
 class SourceRegistry:
@@ -104,14 +104,37 @@ def resolve_split(spec: SourceSpec, split: str) -> str:
     return split
 
 
+def document_key(df: DataFrame, spec: SourceSpec) -> F.Column:
+    """``doc_id`` of a source's rows, a long that the ranks can order.
+
+    A whole-number key is taken as it is; a key of another type as its non-negative 64-bit
+    hash. Rows without a key are named by where they lie: in Parquet by the hash of file and
+    row number, in other formats by split and row number (equal for equal files and splits).
+    """
+    positive = F.lit((1 << 63) - 1)
+    if spec.id_column is None:
+        if spec.format == "parquet":
+            return F.xxhash64("_metadata.file_path", "_metadata.row_index").bitwiseAND(positive)
+        return F.monotonically_increasing_id()
+    options.check(id_column=(spec.id_column, options.one_of(df.columns)))
+    if df.schema[spec.id_column].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return F.col(spec.id_column).cast("long")
+    return F.xxhash64(spec.id_column).bitwiseAND(positive)
+
+
+def _labelled(df: DataFrame, spec: SourceSpec, genre: F.Column) -> DataFrame:
+    """(doc_id, genre, text) of a scan, with the text column checked."""
+    options.check(text_column=(spec.text_column, options.one_of(df.columns)))
+    return df.select(document_key(df, spec).alias("doc_id"), genre.alias("genre"), F.col(spec.text_column).cast("string").alias("text"))
+
+
 def _scan(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     """Batch scan: any ``spark.read`` format (parquet, json, csv, text, ...) or a catalog table."""
     from quire.session import spread_scan
 
-    if spec.format == "table":
-        return spread_scan(spark.read.options(**dict(spec.options)).table(spec.path), spec.id_column)
-    reader = spark.read.format(spec.format).options(**dict(spec.options))
-    return spread_scan(reader.load(spec.path), spec.id_column)
+    read = spark.read.options(**dict(spec.options))
+    df = read.table(spec.path) if spec.format == "table" else read.format(spec.format).load(spec.path)
+    return spread_scan(df, spec.id_column) if spec.id_column else df  # a row's place is its key: rows stay
 
 
 def stream_source(spark: SparkSession, registry: SourceRegistry, genre: str, split: str = "train") -> DataFrame:
@@ -125,33 +148,17 @@ def stream_source(spark: SparkSession, registry: SourceRegistry, genre: str, spl
     else:
         schema = spark.read.format(spec.format).options(**dict(spec.options)).load(spec.path).schema
         df = spark.readStream.format(spec.format).options(**dict(spec.options)).schema(schema).load(spec.path)
-    if spec.text_column not in df.columns:
-        raise ValueError(f"{spec.path} has no column {spec.text_column!r}; columns: {df.columns}")
-    if spec.where:
-        df = df.where(spec.where)
-    return df.select(
-        F.col(spec.id_column).cast("long").alias("doc_id"),
-        F.lit(genre).alias("genre"),
-        F.col(spec.text_column).cast("string").alias("text"),
-    )
+    rows = df.where(spec.where) if spec.where else df
+    return _labelled(rows, spec, F.lit(genre))
 
 
 def read_source(spark: SparkSession, registry: SourceRegistry, genre: str, split: str = "train") -> DataFrame:
     """(doc_id, genre, text) of one source; fails at once on a bad split or missing column."""
-    if not isinstance(genre, str):
-        raise TypeError("genre must be a string")
     spec = registry[genre]
     resolve_split(spec, split)
     df = _scan(spark, spec)
-    if spec.text_column not in df.columns:
-        raise ValueError(f"{spec.path} has no column {spec.text_column!r}; columns: {df.columns}")
-    if spec.where:
-        df = df.where(spec.where)
-    return df.select(
-        F.col(spec.id_column).cast("long").alias("doc_id"),
-        F.lit(genre).alias("genre"),
-        F.col(spec.text_column).cast("string").alias("text"),
-    )
+    rows = df.where(spec.where) if spec.where else df
+    return _labelled(rows, spec, F.lit(genre))
 
 
 def read_sources(spark: SparkSession, registry: SourceRegistry, genres: Iterable[str], split: str = "train") -> DataFrame:
@@ -167,21 +174,13 @@ def read_sources(spark: SparkSession, registry: SourceRegistry, genres: Iterable
     for specs in by_path.values():
         first = specs[0]
         df = _scan(spark, first)
-        if first.text_column not in df.columns:
-            raise ValueError(f"{first.path} has no column {first.text_column!r}; columns: {df.columns}")
         if all(s.where for s in specs):
             label = F.expr(" ".join(["CASE"] + [f"WHEN {s.where} THEN '{s.genre}'" for s in specs] + ["END"]))
         elif len(specs) == 1:
             label = F.lit(first.genre)
         else:
-            raise ValueError("sources sharing a path need a row predicate each")
-        parts.append(
-            df.select(
-                F.col(first.id_column).cast("long").alias("doc_id"),
-                label.alias("genre"),
-                F.col(first.text_column).cast("string").alias("text"),
-            ).where(F.col("genre").isNotNull())
-        )
+            raise options.OptionError([f"{len(specs)} sources read {first.path}: each needs a predicate that selects its rows"])
+        parts.append(_labelled(df, first, label).where(F.col("genre").isNotNull()))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
