@@ -8,13 +8,13 @@ Training is expectation-maximisation over the distinct-word table:
   on each word's piece lattice with the broadcast piece scores and emits the
   expected piece counts, pre-summed inside the task;
 * M-step: ``groupBy(piece).sum`` (at most one row per piece reaches the
-  driver), new log-probabilities, then pruning of the least used pieces by
-  the shrink factor until the requested size is reached.
+  driver), new log-probabilities, then pruning by the shrink factor, in Spark, of
+  the pieces without which the likelihood loses least, until the requested size is reached.
 
 The driver only ever holds the piece table, whose size is bounded by the
 seed size; each round's word table is cut from its lineage by a reliable
-checkpoint. Encoding is a Viterbi best path per word with byte fallback for
-characters outside the table, in Arrow batches.
+checkpoint. Encoding is a Viterbi best path per distinct word of an Arrow batch, with
+byte fallback for characters outside the table.
 """
 
 from __future__ import annotations
@@ -26,10 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire import options
 from quire.functions import text as T
+from quire.operators import encode as E
 from quire.operators import vocab as V
 
 MAX_PIECES_BROADCAST = 2_000_000
+MEMO_WORDS = 1_000_000  # segmented words a task remembers
 UNK_PENALTY = 10.0
 
 
@@ -102,6 +105,26 @@ def _e_step(scores_bc, max_len: int, unk: float):
     return fn
 
 
+def _losses(scores_bc, max_len: int, unk: float):
+    """What the likelihood loses without a piece: its expected count times the score it has
+    over the best path through other pieces."""
+
+    def fn(batches):
+        scores = scores_bc.value
+        for pdf in batches:
+            out = []
+            for piece, count in zip(pdf["piece"], pdf["ecount"]):
+                best = [0.0] + [-math.inf] * len(piece)
+                for j, edges in enumerate(_lattice(piece, scores, max_len, unk)):
+                    for i, p, s in edges:
+                        if p != piece:
+                            best[j] = max(best[j], best[i] + s)
+                out.append(float(count) * (scores[piece] - best[-1]))
+            yield pd.DataFrame({"piece": pdf["piece"], "loss": out})
+
+    return fn
+
+
 def train_unigram(
     spark: SparkSession,
     texts: DataFrame,
@@ -132,7 +155,7 @@ def train_unigram(
     seeds = V.seed_pieces_from_counts(wtab.select(F.col("w").alias("word"), "cnt"), seed_size, max_len)
     seed_rows = [(r["piece"], r["freq"]) for r in seeds.where(F.length("piece") > 1).collect()]
     if len(seed_rows) + len(chars) > MAX_PIECES_BROADCAST:
-        raise ValueError("seed piece table exceeds the broadcast bound")
+        raise options.OptionError([f"seed_size gives {len(seed_rows) + len(chars)} pieces, over the {MAX_PIECES_BROADCAST} a task may hold"])
     total = float(sum(f for _, f in seed_rows)) or 1.0
     char_set = set(chars)
     scores = {p: math.log(f / total) for p, f in seed_rows}
@@ -154,14 +177,13 @@ def train_unigram(
         if len(scores) <= vocab_size:
             break
         target = max(vocab_size, int(len(scores) * shrink))
-        ranked = sorted(scores.items(), key=lambda kv: (-kv[1], kv[0]))
-        keep = [p for p, _ in ranked if p in char_set]
-        for p, _ in ranked:
-            if len(keep) >= target:
-                break
-            if p not in char_set:
-                keep.append(p)
-        scores = {p: scores[p] for p in keep}
+        room = max(0, target - len(char_set))
+        rest = spark.createDataFrame([(p, got.get(p, 0.0)) for p in scores if p not in char_set], schema)
+        bc = spark.sparkContext.broadcast(scores)
+        losses = rest.repartition(parts).mapInPandas(_losses(bc, max_len, unk), "piece string, loss double")
+        kept = losses.orderBy(F.desc("loss"), F.asc("piece")).limit(room).collect()
+        bc.unpersist()
+        scores = {p: scores[p] for p in [*chars, *(r["piece"] for r in kept)]}
     return sorted(scores.items(), key=lambda kv: (-kv[1], kv[0]))
 
 
@@ -195,31 +217,33 @@ def _viterbi(word: str, scores: dict[str, float], ids: dict[str, int], max_len:
 
 
 def encode_subword(df: DataFrame, learned: list[tuple[str, float]], *, id_col: str = "doc_id", text_col: str = "text",
-                   max_len: int = 16) -> DataFrame:
+                   max_len: int = 16, keep: tuple[str, ...] = ()) -> DataFrame:
     """Sub-word encode (F1): whitespace words, ``▁`` prefix, Viterbi best path by
     piece score, user-defined symbols as their ids, byte fallback for unknown
-    characters. Rows without words are dropped (B2)."""
-    if len(learned) > MAX_PIECES_BROADCAST:
-        raise ValueError(f"piece table of {len(learned)} entries exceeds the broadcast bound")
+    characters. Rows without words are dropped (B2).
+
+    The distinct words of an Arrow batch are segmented once (and remembered in a bounded
+    memo), not every occurrence. ``keep`` columns pass through, so a loader can use it.
+    """
+    options.check(pieces=(len(learned), options.Rule(lambda n: n <= MAX_PIECES_BROADCAST, f"up to {MAX_PIECES_BROADCAST}")))
     table = df.sparkSession.sparkContext.broadcast(
         (dict(learned), {p: V.FIRST_ID + i for i, (p, _) in enumerate(learned)})
     )
-    special = {p: i for i, p, _ in T.SPECIAL_PIECES if p in T.USER_DEFINED}
+    special = {p: [i] for i, p, _ in T.SPECIAL_PIECES if p in T.USER_DEFINED}
     unk = (min(s for _, s in learned) if learned else 0.0) - UNK_PENALTY
-    words = df.select(id_col, T.words(F.col(text_col)).alias("ws")).where(F.size("ws") > 0)
 
-    def fn(batches):
+    def pieces_of():
         scores, ids = table.value
-        for pdf in batches:
-            out = []
-            for ws in pdf["ws"]:
-                toks: list[int] = []
-                for w in ws:
-                    if w in special:
-                        toks.append(special[w])
-                    else:
-                        toks.extend(_viterbi(T.WORD_BOUNDARY + w, scores, ids, max_len, unk))
-                out.append(toks)
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "ids": out})
-
-    return words.mapInPandas(fn, f"{id_col} long, ids array<int>")
+        memo = dict(special)
+
+        def find(word: str) -> list[int]:
+            if (got := memo.get(word)) is None:
+                if len(memo) >= MEMO_WORDS:
+                    memo.clear()
+                    memo.update(special)
+                got = memo[word] = _viterbi(T.WORD_BOUNDARY + word, scores, ids, max_len, unk)
+            return got
+
+        return find
+
+    return E.map_words(df, (id_col, *keep), T.words(F.col(text_col)), pieces_of)

@@ -856,6 +856,47 @@ def e_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.unigram_piece_table(spark, _unigram(spark, sf_dir))
 
 
+@register("e_unigram_summary")
+def e_unigram_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unigram table in figures (E6): pieces, their probability mass, characters of the alphabet kept."""
+    from quire.operators import unigram as U
+
+    table = U.unigram_piece_table(spark, _unigram(spark, sf_dir))
+    learned = F.col("type") == "NORMAL"
+    return table.agg(
+        F.count("*").alias("n_pieces"),
+        F.round(F.sum(F.when(learned, F.exp("score"))), 6).alias("mass"),
+        F.sum(F.when(learned & (F.length("piece") == 1), 1).otherwise(0)).cast("long").alias("n_characters"),
+    )
+
+
+@register("f_subword_text")
+def f_subword_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded text of the sub-word encode (F1, F6): the words of every document, one blank between them."""
+    from quire.operators import encode as E
+    from quire.operators import unigram as U
+
+    learned = _unigram(spark, sf_dir)
+    enc = U.encode_subword(C.table(spark, sf_dir, "documents"), learned)
+    dec = E.decode_ids(enc, U.unigram_piece_table(spark, learned), T.FIRST_LEARNED_ID + P.UNIGRAM_VOCAB)
+    return dec.select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@register("g_loader_subword")
+def g_loader_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loader with the sub-word encoder: tokens and blocks per worker; rows-only check."""
+    from quire.operators import unigram as U
+    from quire.plans import loader as L
+
+    learned = _unigram(spark, sf_dir)
+    out = L.pretrain_batches(
+        spark, R.documents_registry(sf_dir), lambda df: U.encode_subword(df, learned, keep=("genre",)),
+        batch_size=P.BATCH_SIZE, seq_length=P.SEQ_LEN, shuffle_seed=P.SEED, shuffle_buffer_size=P.SHUFFLE_BUFFER,
+        stopping_strategy="all_exhausted_without_replacement", num_workers=P.SHARDS,
+    )
+    return out.groupBy("shard").agg(F.count("*").alias("n_blocks"), F.sum(F.size("input_ids")).cast("long").alias("n_tokens"))
+
+
 @register("f_subword")
 def f_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sub-word encode of every document with the learned unigram pieces (F1)."""

@@ -1000,3 +1000,27 @@ UNION ALL SELECT 'without documents', 2
 UNION ALL SELECT 'vocabulary', CAST(low < 100 AS INTEGER) FROM t
 UNION ALL SELECT 'all wrong', CAST(low - total < 100 AS INTEGER) + CAST(1 + low > 1 AS INTEGER) + 2 FROM t
 """
+
+ORACLE["e_unigram_summary"] = _q(
+    CTE_WORDS,
+    f"""
+wcount AS (SELECT word, count(*) AS freq FROM w WHERE word NOT IN ('<pad>', '<mask>', '<|im_start|>', '<|im_end|>') GROUP BY word),
+cc AS (
+  SELECT ch, sum(freq) AS cnt FROM (SELECT unnest(regexp_extract_all('▁' || word, '(?s).')) AS ch, freq FROM wcount) t
+  WHERE ch <> '' GROUP BY ch
+),
+cr AS (
+  SELECT ch, coalesce(sum(cnt) OVER (ORDER BY cnt DESC, ch ASC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         sum(cnt) OVER () AS total FROM cc
+)
+""",
+    body=f"""
+SELECT CAST({263 + P.UNIGRAM_VOCAB} AS BIGINT) AS n_pieces, CAST(1 AS DOUBLE) AS mass,
+       count(*) AS n_characters FROM cr WHERE before * 1000000 < total * {_COV}
+""",
+)
+
+ORACLE["f_subword_text"] = _q(
+    CTE_WORDS,
+    body="SELECT doc_id, md5(array_to_string(ws, ' ')) AS text_md5 FROM wl WHERE len(ws) > 0",
+)
