@@ -20,15 +20,19 @@ class Rows:
     """Sparse rows: row i holds index[start[i]:start[i + 1]] with value alike."""
 
     start: np.ndarray
-    index: np.ndarray
-    value: np.ndarray
+    index: np.ndarray  # int32
+    value: np.ndarray  # float32
 
     @classmethod
     def of(cls, rows: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
         start = np.zeros(len(rows) + 1, np.int64)
         np.cumsum([len(i) for i, _ in rows], out=start[1:])
-        empty = [np.zeros(0, np.int64)], [np.zeros(0)]
-        return cls(start, np.concatenate([i for i, _ in rows] or empty[0]), np.concatenate([v for _, v in rows] or empty[1]))
+        index = np.empty(start[-1], np.int32)
+        value = np.empty(start[-1], np.float32)
+        for k, (i, v) in enumerate(rows):
+            index[start[k] : start[k + 1]] = i
+            value[start[k] : start[k + 1]] = v
+        return cls(start, index, value)
 
     def __len__(self) -> int:
         return len(self.start) - 1
@@ -41,7 +45,7 @@ class Rows:
         return Rows(start, self.index[at], self.value[at])
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(weights[self.index] * self.value)])
+        total = np.concatenate([[0.0], np.cumsum(weights[self.index] * self.value, dtype=np.float64)])
         return total[self.start[1:]] - total[self.start[:-1]]
 
 

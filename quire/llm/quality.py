@@ -89,7 +89,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_
         for b in batches:
             ids += b.column(0).to_pylist()
             ys += b.column(1).to_pylist()
-            made += [(np.asarray(i.values, np.int64), np.asarray(v.values, np.float64)) for i, v in zip(b.column(2), b.column(3), strict=True)]
+            made += [(i.values.to_numpy(), v.values.to_numpy()) for i, v in zip(b.column(2), b.column(3), strict=True)]
         order = np.argsort(np.array(ids, np.int64), kind="stable")  # the same model whatever order the rows come in
         w = Ftrl(1 << bits).fit(Rows.of([made[i] for i in order]), np.array(ys, np.float64)[order])
         at = np.flatnonzero(w)

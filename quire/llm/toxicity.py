@@ -27,7 +27,7 @@ from quire.llm.linear import Ftrl, Rows, sigmoid
 
 BITS = 20
 FOLDS = 3
-MAX_TRAIN_ROWS = 12_000
+MAX_TRAIN_ROWS = 8_000
 THRESHOLD = 0.5
 L1 = 12.0  # strong: a few hundred of a million stem features stay
 WORD = re.compile(r"[^\W\d_]+")
@@ -109,12 +109,11 @@ def with_earlier(rows: Rows, size: int, earlier: np.ndarray) -> Rows:
     """Rows with the probabilities of earlier categories as features size, size + 1, ..."""
     if not earlier.shape[1]:
         return rows
-    k = earlier.shape[1]
-    out = []
-    for i in range(len(rows)):
-        s = slice(rows.start[i], rows.start[i + 1])
-        out.append((np.concatenate([rows.index[s], size + np.arange(k)]), np.concatenate([rows.value[s], earlier[i]])))
-    return Rows.of(out)
+    n, k = earlier.shape
+    end = rows.start[1:]
+    index = np.insert(rows.index, np.repeat(end, k), np.tile(size + np.arange(k, dtype=np.int32), n))
+    value = np.insert(rows.value, np.repeat(end, k), earlier.ravel().astype(np.float32))
+    return Rows(rows.start + k * np.arange(n + 1), index, value)
 
 
 def fit_chain(rows: Rows, labels: np.ndarray, folds: np.ndarray, names: list[str], bits: int, n_folds: int = FOLDS) -> Chain:
@@ -178,7 +177,7 @@ def fit_toxicity(
             ids += b.column(0).to_pylist()
             ys += [[np.nan if v is None else v for v in y] for y in b.column(1).to_pylist()]
             fs += b.column(2).to_pylist()
-            made += [(np.asarray(i.values, np.int64), np.asarray(v.values, np.float64)) for i, v in zip(b.column(3), b.column(4), strict=True)]
+            made += [(i.values.to_numpy(), v.values.to_numpy()) for i, v in zip(b.column(3), b.column(4), strict=True)]
         order = np.argsort(np.array(ids, np.int64), kind="stable")
         y = np.array(ys, np.float64).reshape(-1, len(names))[order]
         chain = fit_chain(Rows.of([made[i] for i in order]), y, np.array(fs, np.int64)[order], names, bits, n_folds)
