@@ -25,7 +25,7 @@ def summary(plan: str) -> dict:
         "broadcasts": own.count("BroadcastExchange"),
         "single": own.count("Exchange SinglePartition"),
         "windows": len(re.findall(r"\bWindow \[", plan)),
-        "python": len(re.findall(r"MapInPandas|ArrowEvalPython|FlatMapGroupsInPandasWithState|PythonMapInArrow", plan)),
+        "python": len(re.findall(r"MapInPandas|MapInArrow|ArrowEvalPython|FlatMapGroupsInPandasWithState|FlatMap(?:Co)?GroupsInArrow", plan)),
         "docs_read": sorted(set(re.findall(r"documents\.parquet\].*?ReadSchema: (struct<[^>]*>)", plan))),
     }
 
@@ -33,12 +33,11 @@ def summary(plan: str) -> dict:
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = build_session("local[8]")
-    print("# Physical plans (round 1)\n")
-    print(f"Executed plans of every registered query on `{sf_dir}`, before adaptive re-planning. `single` counts")
-    print("single-partition exchanges: at these sizes every two-phase rank fits one bucket, so its small window runs")
-    print("in one partition; `tests/test_plans.py` shrinks the bucket target and checks that no single-partition")
-    print("exchange then carries raw rows. Reused exchanges are not counted. Streaming, iterative and checkpointed")
-    print("queries show the plan of their final read.\n")
+    print("# Physical plans\n")
+    print(f"Plans of every registered query on `{sf_dir}`, before adaptive re-planning. `single` counts single-partition")
+    print("exchanges; `tests/test_plans.py` checks that none of them carries raw rows. Reused exchanges are not counted.")
+    print("Queries that write intermediate tables (streaming, iterative, packing, most operators of `quire.llm`) show the")
+    print("plan of their last read.\n")
     print("| query | shuffles | broadcasts | single | windows | python nodes | documents columns read |")
     print("|---|---|---|---|---|---|---|")
     for name, fn in entry.queries().items():
