@@ -47,7 +47,7 @@ def log_perplexity(nll_sum: Column, n_tokens: Column) -> Column:
     return F.when(F.coalesce(n_tokens, F.lit(0)) > 0, nll_sum / n_tokens).otherwise(F.lit(NO_TOKENS))
 
 
-def best_so_far(metrics: DataFrame, bucketing: O.Bucketing, *, max_tags: int, exclude_no_tokens: bool = True) -> DataFrame:
+def best_so_far(metrics: DataFrame, bucketing: O.Bucketing, *, exclude_no_tokens: bool = True) -> DataFrame:
     """Best-so-far flag (H7): strictly below every earlier value of the same
     tag (the first value always wins against +inf; ties do not). The running
     minimum uses two phases, so one dominant tag is still spread over buckets.
@@ -60,7 +60,7 @@ def best_so_far(metrics: DataFrame, bucketing: O.Bucketing, *, max_tags: int, ex
     if exclude_no_tokens:
         said = said & (F.col("value") != F.lit(NO_TOKENS))
     m = metrics.withColumn("__v", F.when(said, F.col("value")))
-    prev = O.running_min(m, "__v", ["step"], bucketing, partition_cols=("tag",), max_groups=max_tags)
+    prev = O.running_min(m, "__v", ["step"], bucketing, partition_cols=("tag",))
     best = F.col("__v").isNotNull() & (F.col("prev_min").isNull() | (F.col("__v") < F.col("prev_min")))
     return prev.withColumn("is_best", best).drop("prev_min", "__v")
 

@@ -113,7 +113,7 @@ def draws(spark: SparkSession, n_draws: int, seed: int, cum: list[float]) -> Dat
     d = spark.range(0, n_draws, 1, parts).withColumnRenamed("id", "k")
     d = d.withColumn("gi", source_of(T.uniform01(seed, "k"), cum))
     bk = O.position_bucketing("k", n_draws, spark)
-    return O.global_positions(d, ["k"], bk, partition_cols=("gi",), max_groups=len(cum), out="occ")
+    return O.global_positions(d, ["k"], bk, partition_cols=("gi",), out="occ")
 
 
 def _n_expr(ns: list[int]) -> F.Column:
@@ -214,7 +214,7 @@ def interleave_plan(
 
     ranked = O.global_positions(
         narrow, ["doc_id"], O.quantile_bucketing(narrow, "doc_id", sum(counts)),
-        partition_cols=("genre",), max_groups=len(genres), out="row",
+        partition_cols=("genre",), out="row",
     )
     if max(salts) > 1:
         ranked = ranked.withColumn("salt", F.explode(F.sequence(F.lit(0), _per_genre(genres, salts, F.col("genre")) - 1)))

@@ -22,10 +22,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Rows of the (group, bucket) table we allow to broadcast. The table size is
-# bounded by groups x buckets, both chosen by the caller, so the check needs
-# no action on the data.
-BROADCAST_BASE_ROWS = 2_000_000
 TARGET_ROWS_PER_BUCKET = 1_000_000
 MIN_BUCKETS = 16  # also for small inputs: the path that is tested is the path that runs at scale
 
@@ -99,26 +95,21 @@ def quantile_bucketing(df: DataFrame, col: str, n_rows: int | None = None) -> Bu
     return Bucketing(len(edges) - 1, transform=_apply)
 
 
-def _maybe_broadcast(df: DataFrame, bound_rows: int) -> DataFrame:
-    return F.broadcast(df) if bound_rows <= BROADCAST_BASE_ROWS else df
-
-
 def running_offsets(
     df: DataFrame,
     order_cols: list[str | Column],
     bucketing: Bucketing,
     *,
     partition_cols: tuple[str, ...] = (),
-    max_groups: int = 1,
     weight: Column | None = None,
     out: str = "pos",
     inclusive: bool = False,
 ) -> DataFrame:
     """Add ``out`` = running count (or running sum of ``weight``) in order, per group.
 
-    Exclusive by default: the first row of each group gets 0. ``max_groups``
-    bounds the number of distinct ``partition_cols`` values; together with the
-    bucket bound it decides whether the base table may be broadcast.
+    Exclusive by default: the first row of each group gets 0. The join with the bases uses
+    the partitioning that the window needs anyway; whether it is a broadcast is Spark's
+    decision by the size of the base table.
     """
     w_col = F.lit(1).cast("long") if weight is None else weight.cast("long")
     pcols = list(partition_cols)
@@ -129,7 +120,6 @@ def running_offsets(
     bases = sums.select(
         *pcols, "__b", (F.sum("__bw").over(base_win) - F.col("__bw")).alias("__base")
     )
-    bases = _maybe_broadcast(bases, max_groups * bucketing.max_buckets)
 
     joined = tagged.join(bases, on=[*pcols, "__b"], how="inner")
     inner = Window.partitionBy(*pcols, "__b").orderBy(*order_cols).rowsBetween(
@@ -147,12 +137,11 @@ def global_positions(
     bucketing: Bucketing,
     *,
     partition_cols: tuple[str, ...] = (),
-    max_groups: int = 1,
     out: str = "pos",
 ) -> DataFrame:
     """0-based position in order (per group). Order keys must be unique within a group."""
     return running_offsets(
-        df, order_cols, bucketing, partition_cols=partition_cols, max_groups=max_groups, out=out
+        df, order_cols, bucketing, partition_cols=partition_cols, out=out
     )
 
 
@@ -163,7 +152,6 @@ def running_min(
     bucketing: Bucketing,
     *,
     partition_cols: tuple[str, ...] = (),
-    max_groups: int = 1,
     out: str = "prev_min",
 ) -> DataFrame:
     """Minimum of ``value`` over all *earlier* rows of the group (NULL for the first row).
@@ -178,7 +166,6 @@ def running_min(
         Window.unboundedPreceding, -1
     )
     bases = mins.select(*pcols, "__b", F.min("__bm").over(base_win).alias("__base"))
-    bases = _maybe_broadcast(bases, max_groups * bucketing.max_buckets)
     joined = tagged.join(bases, on=[*pcols, "__b"], how="inner")
     inner = Window.partitionBy(*pcols, "__b").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
     prev = F.least(F.min(value).over(inner), F.col("__base"))

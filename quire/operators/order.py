@@ -67,7 +67,6 @@ def per_shard_limit(
     *,
     bucketing: O.Bucketing | None = None,
     n_rows: int | None = None,
-    max_shards: int = 100_000,
 ) -> DataFrame:
     """Keep the first ``max_samples`` usable rows of each shard (D5, per-worker counter).
 
@@ -83,7 +82,7 @@ def per_shard_limit(
         bk = O.position_bucketing(order_col, n_rows, df.sparkSession)
     else:
         bk = O.quantile_bucketing(df, order_col)
-    ranked = O.global_positions(df, [order_col], bk, partition_cols=(shard_col,), max_groups=max_shards, out="shard_pos")
+    ranked = O.global_positions(df, [order_col], bk, partition_cols=(shard_col,), out="shard_pos")
     return ranked.where(F.col("shard_pos") < max_samples)
 
 

@@ -33,10 +33,10 @@ def stored_lengths(docs: DataFrame, add_eos: bool = True) -> tuple[DataFrame, Da
     return stored, stored.select("shard", "pos", (F.size("ids") + F.lit(eos)).alias("L"))
 
 
-def narrow_offsets(lengths: DataFrame, bucketing: O.Bucketing, *, max_shards: int, keep: tuple[str, ...] = ()) -> DataFrame:
+def narrow_offsets(lengths: DataFrame, bucketing: O.Bucketing, *, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(shard, pos, *keep, L, start, T)`` from narrow ``(shard, pos, *keep, L)`` rows, where
     ``L`` already counts the EOS. The token arrays join afterwards, once."""
-    offs = O.running_offsets(lengths, ["pos"], bucketing, partition_cols=("shard",), max_groups=max_shards,
+    offs = O.running_offsets(lengths, ["pos"], bucketing, partition_cols=("shard",),
                              weight=F.col("L"), out="start")
     totals = lengths.groupBy("shard").agg(F.sum("L").alias("T"))
     return offs.join(totals, "shard").select("shard", "pos", *keep, "L", "start", "T")
@@ -47,7 +47,6 @@ def pack_blocks(
     seq_length: int,
     bucketing: O.Bucketing,
     *,
-    max_shards: int,
     add_eos: bool = True,
     drop_last: bool = True,
     eos_id: int = T.EOS_ID,
@@ -63,7 +62,7 @@ def pack_blocks(
     """
     options.check(seq_length=(seq_length, options.COUNT))
     docs, lengths = stored_lengths(docs, add_eos)
-    offsets = narrow_offsets(lengths, bucketing, max_shards=max_shards)
+    offsets = narrow_offsets(lengths, bucketing)
     toks = F.concat("ids", F.array(F.lit(eos_id))) if add_eos else F.col("ids")
     rows = docs.select("shard", "pos", "doc_id", toks.alias("toks")).join(offsets, ["shard", "pos"])
     return cut_blocks(rows, seq_length, drop_last=drop_last, pad_id=pad_id, ignore_index=ignore_index)

@@ -154,9 +154,12 @@ def word_piece_table(spark: SparkSession, texts: DataFrame, vocab_size: int) ->
 
 
 def pad_choice(pieces: DataFrame) -> DataFrame:
-    """Pad id (F7): pad if present, else eos, else unk."""
+    """Pad id (F7): pad if present, else eos, else unk; a table with none of them is an error."""
     pick = lambda name: F.max(F.when(F.col("piece") == name, F.col("id")))
-    return pieces.agg(F.coalesce(pick("<pad>"), pick("</s>"), pick("<unk>")).alias("pad_id"))
+    none = F.raise_error(F.lit("the piece table has no <pad>, </s> or <unk> to pad with")).cast("int")
+    return pieces.agg(pick("<pad>").alias("p"), pick("</s>").alias("e"), pick("<unk>").alias("u")).select(
+        F.coalesce("p", "e", "u", none).alias("pad_id")
+    )
 
 
 def token_stats(encoded: DataFrame, ids_col: str = "ids") -> DataFrame:

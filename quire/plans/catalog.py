@@ -42,7 +42,7 @@ def packed(spark: SparkSession, sf_dir: str, drop_last: bool = True) -> DataFram
     """Packed samples of the doc_id-ordered stream over SHARDS contiguous shards."""
     stream = C.token_stream(spark, sf_dir)
     n = C.count_rows(spark, sf_dir, "documents")
-    return G.pack_blocks(stream, P.SEQ_LEN, O.position_bucketing("pos", n, spark), max_shards=P.SHARDS, drop_last=drop_last)
+    return G.pack_blocks(stream, P.SEQ_LEN, O.position_bucketing("pos", n, spark), drop_last=drop_last)
 
 
 # --------------------------------------------------------------------------- E / F / G core
@@ -596,7 +596,7 @@ def h_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     m = _event_metrics(spark, sf_dir)
     bk = O.quantile_bucketing(m, "step")
-    return H.best_so_far(m, bk, max_tags=1000).select("tag", "step", "value", "is_best")
+    return H.best_so_far(m, bk).select("tag", "step", "value", "is_best")
 
 
 @register("h_log")

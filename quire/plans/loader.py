@@ -86,10 +86,10 @@ def pretrain_batches(
     eos = 1 if add_eos_between_samples else 0
     lengths = plan.attach(stream, encoded.select("doc_id", "genre", (F.size("ids") + F.lit(eos)).alias("L")))
     if max_samples is not None:
-        lengths = D.per_shard_limit(lengths, max_samples, n_rows=n, max_shards=workers).drop("shard_pos")
+        lengths = D.per_shard_limit(lengths, max_samples, n_rows=n).drop("shard_pos")
     # narrow rows, written once: the running sums, the totals and the last join read them
     lengths = lengths.select("shard", "pos", "genre", "doc_id", "salt", "L").checkpoint(eager=True)
-    offs = G.narrow_offsets(lengths, O.position_bucketing("pos", n, spark), max_shards=workers, keep=("genre", "doc_id", "salt"))
+    offs = G.narrow_offsets(lengths, O.position_bucketing("pos", n, spark), keep=("genre", "doc_id", "salt"))
     toks = F.concat("ids", F.array(F.lit(T.EOS_ID))) if add_eos_between_samples else F.col("ids")
     rows = plan.attach(offs, encoded.select("doc_id", "genre", toks.alias("toks")))
     blocks = G.cut_blocks(rows, seq_length, drop_last=drop_last_sample, ignore_index=ignore_index)

@@ -26,7 +26,7 @@ def _stream(spark):
 
 def _pack(spark, S, drop_last):
     bk = O.dense_range_bucketing("pos", 0, 10, 1)
-    out = G.pack_blocks(_stream(spark), S, bk, max_shards=1, drop_last=drop_last)
+    out = G.pack_blocks(_stream(spark), S, bk, drop_last=drop_last)
     return [(r.input_ids, r.labels, r.attention_mask) for r in out.orderBy("block_id").collect()]
 
 
@@ -121,7 +121,7 @@ def test_best_so_far(spark):
     vals = [3.0, 2.5, 2.5, 2.7, 2.1]
     df = spark.createDataFrame([("Loss/Validation", i, v) for i, v in enumerate(vals)], "tag string, step long, value double")
     bk = O.dense_range_bucketing("step", 0, 4, 2)
-    out = H.best_so_far(df, bk, max_tags=1).orderBy("step").collect()
+    out = H.best_so_far(df, bk).orderBy("step").collect()
     assert [r.is_best for r in out] == [True, True, False, False, True]
 
 

@@ -74,7 +74,11 @@ def test_bad_penalty_and_pad(spark):
     with pytest.raises(ValueError):
         I.check_penalty(0.9)
     pieces = spark.createDataFrame([(9, "x", 0.0, "NORMAL")], "id int, piece string, score double, type string")
-    assert V.pad_choice(pieces).first().pad_id is None  # no pad/eos/unk: callers must refuse it
+    with pytest.raises(Exception, match="no <pad>"):
+        V.pad_choice(pieces).collect()
+    for ids, want in ((["<unk>", "</s>", "<pad>"], 2), (["<unk>", "</s>"], 1), (["<unk>"], 0)):
+        table = spark.createDataFrame([(i, p, 0.0, "CONTROL") for i, p in enumerate(ids)], "id int, piece string, score double, type string")
+        assert V.pad_choice(table).first().pad_id == want
     with pytest.raises(ValueError):
         E.truncate_single(F.col("ids"), 1)
 

@@ -39,7 +39,7 @@ def test_encode_drops_only_rows_without_words(spark):
 def test_best_so_far_keeps_values_that_say_nothing(spark):
     rows = [("t", 0, -100.0), ("t", 1, 3.0), ("t", 2, None), ("t", 3, 2.0), ("t", 4, float("nan")), ("t", 5, -100.0), ("t", 6, 2.0), ("t", 7, 1.0)]
     df = spark.createDataFrame(rows, "tag string, step long, value double")
-    got = H.best_so_far(df, O.dense_range_bucketing("step", 0, 7, 3), max_tags=1).orderBy("step").collect()
+    got = H.best_so_far(df, O.dense_range_bucketing("step", 0, 7, 3)).orderBy("step").collect()
     assert [r.is_best for r in got] == [False, True, False, True, False, False, False, True]
 
 

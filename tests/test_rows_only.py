@@ -88,7 +88,7 @@ def test_stream_pack_limit_counts_per_shard(spark):
     from quire.operators import pack as G
 
     lim = D.per_shard_limit(st, 5, n_rows=C.count_rows(spark, SF_SMALL, "documents")).drop("shard_pos")
-    want = G.pack_blocks(lim, 16, O.dense_range_bucketing("pos", 0, 300, 1), max_shards=4, drop_last=False).collect()
+    want = G.pack_blocks(lim, 16, O.dense_range_bucketing("pos", 0, 300, 1), drop_last=False).collect()
     norm = lambda rows: sorted((r.shard, r.block_id, list(r.input_ids), list(r.labels), list(r.attention_mask)) for r in rows)
     assert norm(blocks) == norm(want)
 

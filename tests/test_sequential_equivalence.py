@@ -43,7 +43,7 @@ def test_pack_equals_sequential_buffer(spark, case):
         return
     df = spark.createDataFrame(rows, "shard int, pos long, doc_id long, ids array<int>")
     for drop_last in (True, False):
-        got = G.pack_blocks(df, S, O.dense_range_bucketing("pos", 0, 20, 3), max_shards=1, drop_last=drop_last)
+        got = G.pack_blocks(df, S, O.dense_range_bucketing("pos", 0, 20, 3), drop_last=drop_last)
         got = [(list(r.input_ids), list(r.labels), list(r.attention_mask)) for r in got.orderBy("block_id").collect()]
         assert got == sequential_pack(docs, S, drop_last=drop_last), (S, docs, drop_last)
 
