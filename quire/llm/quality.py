@@ -67,7 +67,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int,
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select(F.col("doc_id").cast("long").alias("__id"), F.col("y").cast("int").alias("y"))
     rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text"))
     # a doc_id that repeats counts once, with its smallest text
-    return rows.join(chosen, "__id").groupBy("__id", "y").agg(F.min("text").alias("text"))
+    # at most max_rows narrow rows: the texts stay where they are
+    return rows.join(F.broadcast(chosen), "__id").groupBy("__id", "y").agg(F.min("text").alias("text"))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAIN_ROWS, bits: int = BITS) -> np.ndarray:

@@ -159,7 +159,8 @@ def fit_toxicity(
         "__id", F.array(*[F.col(f"__c{k}") for k in range(len(names))]).alias("y"), fold(F.col("__id"), n_folds).cast("int").alias("fold")
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(chosen, "__id").groupBy("__id", "y", "fold").agg(F.min("text").alias("text"))
+    # at most max_rows narrow rows: the texts stay where they are
+    rows = rows.join(F.broadcast(chosen), "__id").groupBy("__id", "y", "fold").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = StemHasher(bits)
