@@ -257,6 +257,7 @@ def _eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     bench = C.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     enc = C.encode(spark, sf_dir, bench)
     enc = enc.select(F.col("doc_id").alias("item_id"), E.truncate_single(F.col("ids"), P.EVAL_MAX_LEN).alias("ids"))
+    enc = _stage(enc, shared_path(spark, "eval-rows"))  # ranked, then read: encoded once
     st = D.stream_positions(enc, "item_id", n_rows=C.count_rows(spark, sf_dir, "benchmark"))
     return st.withColumn("batch_id", F.floor(F.col("pos") / P.EVAL_BATCH).cast("long"))
 
