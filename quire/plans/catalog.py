@@ -175,7 +175,7 @@ def _shuffled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators import order as D
 
     docs = C.table(spark, sf_dir, "documents").select("doc_id")
-    return D.seeded_shuffle(docs, P.SEED, ["doc_id"], out="pos")
+    return D.seeded_shuffle(docs, P.SEED, ["doc_id"], n_rows=C.count_rows(spark, sf_dir, "documents"), out="pos")
 
 
 @register("d_shuffle")
@@ -184,7 +184,8 @@ def d_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators import order as D
 
     mixed = _mixed(spark, sf_dir, "all_exhausted_without_replacement").select("k", "doc_id")
-    return D.seeded_shuffle(mixed, P.SEED, ["doc_id", "k"], out="spos").select("spos", "doc_id")
+    n = C.count_rows(spark, sf_dir, "documents")  # without replacement: every document once
+    return D.seeded_shuffle(mixed, P.SEED, ["doc_id", "k"], n_rows=n, out="spos").select("spos", "doc_id")
 
 
 @register("d_block_shuffle")
@@ -241,8 +242,8 @@ def d_corpus_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators import order as D
 
     docs = C.table(spark, sf_dir, "documents").select("doc_id", F.octet_length(T.sentence_break(F.col("text"), P.TERMINATORS)).alias("nbytes"))
-    sh = D.seeded_shuffle(docs, P.SEED, ["doc_id"], out="pos")  # narrow rows: id and byte size
     n = C.count_rows(spark, sf_dir, "documents")
+    sh = D.seeded_shuffle(docs, P.SEED, ["doc_id"], n_rows=n, out="pos")  # narrow rows: id and byte size
     bk = O.position_bucketing("pos", n, spark)
     capped = D.corpus_byte_cap(sh, P.MAX_BYTES, bk, max_documents=P.BYTE_CAP_DOCUMENTS, check_every=P.BYTE_CHECK_EVERY,
                                weight=F.col("nbytes"))
