@@ -6,11 +6,19 @@
    random X), the sketches are summed by blocks of terms, and the Gram matrix is rebuilt
    from them by the Nystroem formula together with the benchmark's own passages, which are
    rows of the matrix too, weighted like the whole corpus so that no item is truncated away.
-3. Every passage of every text (windows of 32 words, 16 apart) is compared with every item
-   by cosine in the latent space; the norm of the passage counts all its words.
+3. Every passage of every text is compared with every item by cosine in the latent space;
+   the norm of the passage counts all its words. Passages follow the item's length: items
+   of 2^(k-1/2) to 2^(k+1/2) words meet windows of 2^k words, 2^(k-1) apart, so a copy fills
+   most of a window and most of a copy lies in one.
 4. Candidates are verified on the words around the passage: longest common subsequence in
    any stretch of twice the item's length, and, for paraphrases, the item's answer (its
    last sentence, or what follows its last question mark).
+5. Cosines pass over copies whose other words are heavy, so stretches are candidates by
+   their words too: a stretch that reaches the LCS limit of L of an item's n words holds at
+   least m of its n - L + m heaviest words, whatever m is. That is a bound, not a cut.
+6. Beside both, the heaviest words in a row of each item (ANCHOR of them) are looked
+   up at every word of every text and the item compared there word by word, so that a copy
+   without a change is found at any length and between any other words.
 
 TF weight is sqrt(tf), so squared norms add up over words: a passage whose benchmark words
 hold less than cosine^2 of its squared norm cannot reach the cosine and is passed over
@@ -22,6 +30,7 @@ most ITEMS_PER_BLOCK; a larger benchmark is done block by block.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -31,11 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.words import groups, hash_words
+from quire.llm.words import groups, hash_words, mix
 
 ITEMS_PER_BLOCK = 512
 DF_BITS = 20
-HALF = 16  # half a window
+HALF = 16  # half a window of the corpus sketch
+ANCHOR = 4  # words in a row by which copies without a change are looked up
 SKETCH = 32  # random directions of the corpus sketch
 COSINE = 0.35
 LCS_ALONE = 0.8
@@ -201,21 +211,88 @@ class Passages:
         Texts lie one after another, each padded to whole blocks (two at least); texts
         without words are left out.
         """
-        done = 0
-        for run in groups((raw_text(t) for t in texts), _BYTES_AT_ONCE):
-            term, w2, first = self.words(run)
-            n = np.diff(first)
-            rows = np.flatnonzero(n)
-            blocks = np.maximum(2, -(-n[rows] // HALF))
-            starts = np.concatenate([[0], np.cumsum(blocks)])
-            at = np.repeat(starts[:-1] * HALF - first[rows], n[rows]) + np.arange(len(term))
-            padded, weights = np.full(starts[-1] * HALF, -1, np.int32), np.zeros(starts[-1] * HALF, np.float32)
-            padded[at], weights[at] = term, w2
+        for done, term, w2, first in self.runs(texts):
+            rows, padded, weights, starts = blocks_of(term, w2, first, HALF)
             if len(rows):
                 yield rows + done, [term[first[r] : first[r + 1]] for r in rows], padded, weights, starts
+
+    def runs(self, texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(texts before, term, w2, first word of each text plus the total) for runs of texts."""
+        done = 0
+        for run in groups((raw_text(t) for t in texts), _BYTES_AT_ONCE):
+            yield done, *self.words(run)
             done += len(run)
 
 
+def blocks_of(term: np.ndarray, w2: np.ndarray, first: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows with words, padded term, padded w2, first block of each such row plus the total) in blocks of ``half`` words."""
+    n = np.diff(first)
+    rows = np.flatnonzero(n)
+    blocks = np.maximum(2, -(-n[rows] // half))
+    starts = np.concatenate([[0], np.cumsum(blocks)])
+    at = np.repeat(starts[:-1] * half - first[rows], n[rows]) + np.arange(len(term))
+    padded, weights = np.full(starts[-1] * half, -1, np.int32), np.zeros(starts[-1] * half, np.float32)
+    padded[at], weights[at] = term, w2
+    return rows, padded, weights, starts
+
+
+def half_of(words: int) -> int:
+    """Half the window of an item: the window is the power of two next to its length, by ratio, and 2 at least."""
+    return 1 << max(0, round(math.log2(words)) - 1)
+
+
+class Copies:
+    """Items by their heaviest words in a row: finds every place where an item stands word for word."""
+
+    def __init__(self, items: Items, weight: np.ndarray):
+        self.words = [np.array(w, np.int32) for w in items.words]
+        self.by_length: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for j, w in enumerate(self.words):
+            k = min(ANCHOR, len(w))
+            at = int(np.argmax(np.convolve(weight[w], np.ones(k), "valid")))
+            key = int(self._hash(w[at : at + k], k)[0])
+            self.by_length.setdefault(k, {}).setdefault(key, []).append((j, at))
+        self.keys = {k: np.sort(np.array(list(d), np.uint64)) for k, d in self.by_length.items()}
+        self.some = {}
+        for k, keys in self.keys.items():
+            self.some[k] = np.zeros(1 << DF_BITS, bool)
+            self.some[k][buckets(keys)] = True
+
+    @staticmethod
+    def _hash(term: np.ndarray, k: int) -> np.ndarray:
+        t = mix((term.astype(np.int64) + 2).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        out = t[: len(t) - k + 1]
+        for i in range(1, k):
+            out = out * np.uint64(0xD6E8FEB86659FD93) + t[i : len(t) - k + 1 + i]
+        return mix(out)
+
+    def find(self, term: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, item, first word within the text): the first copy of every item in every text."""
+        for k, keys in self.keys.items():
+            if len(term) < k:
+                continue
+            h = self._hash(term, k)
+            maybe = np.flatnonzero(self.some[k][buckets(h)])
+            at = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
+            same = keys[at] == h[maybe]
+            maybe, at = maybe[same], at[same]
+            for key in np.unique(at):
+                place = maybe[at == key]
+                for item, before in self.by_length[k][int(keys[key])]:
+                    w = self.words[item]
+                    start = place - before
+                    start = start[(start >= 0) & (start + len(w) <= len(term))]
+                    row = np.searchsorted(first, start, side="right") - 1
+                    start = start[start + len(w) <= first[row + 1]]
+                    for i, x in enumerate(w):
+                        start = start[term[start + i] == x]
+                        if not len(start):
+                            break
+                    row, one = np.unique(np.searchsorted(first, start, side="right") - 1, return_index=True)
+                    for r, s in zip(row.tolist(), start[one].tolist(), strict=True):
+                        yield r, item, s - int(first[r])
+
+
 def hash_terms(terms: dict[bytes, int]) -> np.ndarray:
     return hash_words(list(terms), _TABLE)[0]
 
@@ -346,12 +423,67 @@ class Verifier:
         return best
 
 
+class Shared:
+    """Items by their heaviest words: finds every stretch in which the LCS limit can be reached."""
+
+    def __init__(self, items: Items, weight: np.ndarray, share: float):
+        self.width = np.array([2 * len(w) for w in items.words])
+        self.least = np.zeros(len(items.words), np.int64)
+        terms, of = [], []
+        for j, w in enumerate(items.words):
+            reach = max(1, math.ceil(share * len(w) - 1e-9))
+            self.least[j] = min(reach, max(2, -(-reach // 3)))
+            heavy = np.argsort(-weight[w], kind="stable")[: len(w) - reach + self.least[j]]
+            t = np.unique(np.array(w)[heavy])
+            terms.append(t)
+            of.append(np.full(len(t), j))
+        terms, of = np.concatenate(terms), np.concatenate(of)
+        self.items = of[np.argsort(terms, kind="stable")].astype(np.int32)
+        self.count = np.append(np.bincount(terms, minlength=len(items.terms)), 0)  # the last: words of no item
+        self.begin = np.cumsum(self.count) - self.count
+
+    def find(self, term: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first word, end) of the stretches, those that overlap taken together."""
+        n = self.count[term]
+        hit = np.flatnonzero(n)
+        n = n[hit]
+        pos = np.repeat(hit, n)
+        item = self.items[np.repeat(self.begin[term[hit]] - (np.cumsum(n) - n), n) + np.arange(len(pos))]
+        order = np.argsort(item, kind="stable")
+        item, pos = item[order], pos[order]
+        end = np.arange(len(item)) + self.least[item] - 1
+        a = np.flatnonzero(end < len(item))
+        end = end[a]
+        close = (item[end] == item[a]) & (pos[end] - pos[a] < self.width[item[a]])
+        a, end = a[close], end[close]
+        row = np.searchsorted(first, pos[a], side="right") - 1
+        inside = pos[end] < first[row + 1]
+        a, end, row = a[inside], end[inside], row[inside]
+        if not len(a):
+            return
+        width, item = self.width[item[a]], item[a]
+        lo, hi = np.maximum(first[row], pos[end] - width + 1), np.minimum(first[row + 1], pos[a] + width)
+        new = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (lo[1:] >= hi[:-1])]))
+        last = np.append(new[1:], len(a)) - 1
+        yield from zip(row[new].tolist(), item[new].tolist(), (lo[new] - first[row[new]]).tolist(), (hi[last] - first[row[new]]).tolist(), strict=True)
+
+
+def passage_cosine(term: np.ndarray, w2: np.ndarray, weight: np.ndarray, vector: np.ndarray) -> float:
+    """Latent cosine of one passage with one item."""
+    t, c = np.unique(term[term >= 0], return_counts=True)
+    norm2 = float(w2.sum(dtype=np.float64))
+    return float((np.sqrt(c) * weight[t]) @ vector[t]) / math.sqrt(norm2) if norm2 > 0 else 0.0
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, lcs_alone: float = LCS_ALONE,
     lcs_with_answer: float = LCS_WITH_ANSWER, answer_lcs: float = ANSWER_LCS, items_per_block: int = ITEMS_PER_BLOCK,
 ) -> DataFrame:
     """doc_id, text_md5, item_id, cosine, lcs, answer_lcs, first_word: a row per document row and item found in it.
 
+    ``first_word`` is where the searched stretch begins. Where the item stands word for word,
+    the passage is the item itself: it begins at ``first_word`` and its cosine is 1.
+
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. Whole texts, all windows.
     Null and empty texts hold no passage; null, empty and very short items (under MIN_WORDS
     words) are not searched for. Repeated documents give a row each, repeated items one per
@@ -384,19 +516,44 @@ def _search(docs: DataFrame, items: Items, weight2, latent, schema: str, cosine:
         items, w2_table, weight, latent = held.value
         passages = Passages(items.terms, w2_table)
         verifier = Verifier(items, *limits)
+        copies = Copies(items, weight)
+        shared = Shared(items, weight, min(limits[:2]))
+        whole = [verifier.check(j, w) for j, w in enumerate(items.words)]
         lengths = [len(w) for w in items.words]
+        halves = np.array([half_of(n) for n in lengths])
+        classes = [(int(h), np.flatnonzero(halves == h)) for h in np.unique(halves)]
+        classes = [(h, of, np.ascontiguousarray(latent[:, of])) for h, of in classes]
         for b in batches:
-            found = []
-            for rows, words, term, w2, starts in passages.groups(t.as_py() for t in b.column(2)):
-                for r, item, at, cos in candidates(term, w2, starts, weight, latent, cosine):
-                    first = (at - starts[r]) * HALF
-                    lo = max(0, first - lengths[item])
-                    found.append((int(rows[r]), item, lo, first + 2 * HALF + lengths[item], cos, words[r]))
             best: dict[tuple[int, int], tuple] = {}
-            for row, item, lo, hi, cos, words in found:
-                hit = verifier.check(item, words[lo:hi].tolist())
-                if hit and ((row, item) not in best or (*hit, cos) > best[row, item][:3]):
-                    best[row, item] = (*hit, cos, lo)
+            for done, term, w2, first in passages.runs(t.as_py() for t in b.column(2)):
+                exact = {(r, item): at for r, item, at in copies.find(term, first)}
+                for (r, item), at in exact.items():
+                    if whole[item]:
+                        best[r + done, item] = (*whole[item], 1.0, at)
+                for r, item, lo, hi in shared.find(term, first):
+                    if (r, item) in exact:
+                        continue
+                    stretch = slice(first[r] + lo, first[r] + hi)
+                    if hit := verifier.check(item, term[stretch].tolist()):
+                        cos = passage_cosine(term[stretch], w2[stretch], weight, latent[:, item])
+                        key = r + done, item
+                        if key not in best or (*hit, cos) > best[key][:3]:
+                            best[key] = (*hit, cos, lo)
+                for half, of, vectors in classes:
+                    rows, padded, weights, starts = blocks_of(term, w2, first, half)
+                    if not len(rows):
+                        continue
+                    for k, j, at, cos in candidates(padded, weights, starts, weight, vectors, cosine, half):
+                        r, item = int(rows[k]), int(of[j])
+                        if (r, item) in exact:
+                            continue
+                        begin = (at - starts[k]) * half
+                        lo = max(0, begin - lengths[item])
+                        words = term[first[r] : first[r + 1]]
+                        hit = verifier.check(item, words[lo : begin + 2 * half + lengths[item]].tolist())
+                        key = r + done, item
+                        if hit and (key not in best or (*hit, cos) > best[key][:3]):
+                            best[key] = (*hit, cos, lo)
             hits = sorted(best.items())
             take = pa.array([row for (row, _), _ in hits], pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -411,14 +568,14 @@ def _search(docs: DataFrame, items: Items, weight2, latent, schema: str, cosine:
 
 
 def candidates(
-    term: np.ndarray, w2: np.ndarray, starts: np.ndarray, weight: np.ndarray, latent: np.ndarray, cosine: float
+    term: np.ndarray, w2: np.ndarray, starts: np.ndarray, weight: np.ndarray, latent: np.ndarray, cosine: float, half: int = HALF
 ) -> Iterator[tuple[int, int, int, float]]:
     """(row, item, first block, cosine) of the windows (two blocks of one text) that reach the cosine."""
-    n_blocks = len(term) // HALF
+    n_blocks = len(term) // half
     known = term >= 0
 
     def per_window(values: np.ndarray) -> np.ndarray:
-        blocks = values.reshape(-1, HALF).sum(axis=1, dtype=np.float64)
+        blocks = values.reshape(-1, half).sum(axis=1, dtype=np.float64)
         return blocks[:-1] + blocks[1:]
 
     inside = np.ones(n_blocks - 1, bool)
@@ -436,9 +593,9 @@ def candidates(
     wanted[windows] = True
     near = wanted.copy()
     near[1:] |= wanted[:-1]
-    hit = np.flatnonzero(known & np.repeat(near[:n_blocks], HALF))
+    hit = np.flatnonzero(known & np.repeat(near[:n_blocks], half))
     hit = hit[weight[term[hit]] > 0]
-    block = hit // HALF
+    block = hit // half
     a, z = wanted[block], (block > 0) & wanted[np.maximum(block - 1, 0)]
     win, t, v = sparse_windows(
         np.concatenate([term[hit[a]], term[hit[z]]]), weight, np.concatenate([block[a], block[z] - 1]), latent.shape[0]
