@@ -15,7 +15,10 @@ At scale no machine holds the trie. N-grams are dealt over shards by a hash of t
 n-gram, so no context, however common, meets in one task. A shard's task builds its part
 of the level, maps it from a file in its own folder that is unlinked at once, and answers
 the distinct n-grams that each batch of documents asks for. Batches are bounded numbers of
-tokens; what travels are sorted, delta-coded, compressed arrays per (batch, shard).
+tokens; what travels are sorted, delta-coded, compressed arrays per (batch, shard). A
+context that one batch alone holds, held-out rows included, is continued there only: that
+batch counts its n-grams itself and asks no shard. Of the others, a shard sends what the
+batch does not know itself.
 """
 
 from __future__ import annotations
@@ -37,12 +40,14 @@ from quire.llm.elias_fano import EliasFano
 from quire.llm.words import groups, hash_words, mix
 from quire.session import shared_path
 
-ORDER = 2
+ORDER = 3
 MASS = 400.0  # M: words of prior mass from the shorter context
 TOKENS_PER_BATCH = 3 << 18
 TOKENS_PER_SHARD = 3 << 19
 MIN_SHARDS = 12
 LEVELS = (1 << 16) - 1  # codes of the quantised probabilities; 0 means not in the level
+# a level's requests and replies are stored or used up when its job ends: their shuffle files go then
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 END = 0  # hash of the end mark
 
 _TABLE = bytes(32 if b in b" \t\n\v\f\r" else LOWER_ASCII[b] for b in range(256))
@@ -241,21 +246,28 @@ class Batch:
         """Take the answers of level 1: word ids (-1: not in training) and counts."""
         shard = self.deal(self.vocabulary)
         word, count = np.full(len(self.vocabulary), -1, np.int64), np.zeros(len(self.vocabulary), np.int64)
+        shared = np.zeros(len(word), bool)
         for s, r in replies.items():
             w = np.flatnonzero(shard == s)
-            word[w], count[w] = unpack(r["nodes"]) - 1, unpack(r["counts"])
+            word[w], count[w], shared[w] = unpack(r["nodes"]) - 1, unpack(r["counts"]), unpack(r["codes"])
+        node = self.contexts(word, count, shared)
         self.word, self.count = word[self.tokens], count[self.tokens]
         end = np.searchsorted(self.vocabulary, np.uint64(END))
-        self.end = int(word[end])
+        self.end = int(node[end])
         self.end_count = int(count[end])
         # node and count of the one-word context before each token; the end mark stands before a text
-        self.node, self.context_count = np.roll(self.word, 1), np.roll(self.count, 1)
+        self.node, self.context_count = np.roll(node[self.tokens], 1), np.roll(self.count, 1)
         self.node[self.start], self.context_count[self.start] = self.end, self.end_count
         self.level = 2
 
+    @staticmethod
+    def contexts(node: np.ndarray, count: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        """Nodes as contexts: -1 not in training, under -1 the batch's own (no other batch holds it), else the shards'."""
+        return np.where(count == 0, -1, np.where(shared, node, -2 - np.arange(len(node))))
+
     def grams(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys (context node, word) of the next level; token positions that have one, and which."""
-        ok = np.flatnonzero((self.node >= 0) & (self.word >= 0) & (self.place >= self.level - 2))
+        """Distinct keys (context node, word) of the next level; token positions that have one, and which. Below 0: own contexts."""
+        ok = np.flatnonzero((self.node != -1) & (self.word >= 0) & (self.place >= self.level - 2))
         keys, which = np.unique(self.node[ok] * width + self.word[ok], return_inverse=True)
         return keys, ok, which
 
@@ -265,25 +277,36 @@ class Batch:
         count = np.bincount(which[self.train[ok]], minlength=len(keys))
         total = np.zeros(len(keys), np.int64)
         total[which] = self.context_count[ok]
-        shard = self.deal(keys)
+        for s, w in self.dealt(keys):
+            k = keys[w]
+            yield s, k, count[w], total[w[first_of(k // width)]]  # keys of a context share its total
+
+    def dealt(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(shard, positions of its keys) of the keys that a shard must answer."""
+        own = int(np.searchsorted(keys, 0))
+        shard = self.deal(keys[own:])
         order = np.argsort(shard, kind="stable")
         for w in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
             if len(w):
-                k = keys[w]
-                yield int(shard[w[0]]), k, count[w], total[w[first_of(k // width)]]  # keys of a context share its total
+                yield int(shard[w[0]]), w + own
 
     def answer(self, width: int, replies: dict[int, dict], mass: float, p: np.ndarray) -> np.ndarray:
         """Interpolate the next level over ``p``; then step to longer contexts."""
         keys, ok, which = self.grams(width)
-        shard = self.deal(keys)
-        own, node, count = np.zeros(len(keys)), np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-        order = np.argsort(shard, kind="stable")
-        for w in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-            if len(w):
-                r = replies[int(shard[w[0]])]
-                own[w] = decode(unpack(r["codes"]), r["low"], r["step"])
-                if r["nodes"] is not None:
-                    node[w], count[w] = unpack(r["nodes"]) - 1, unpack(r["counts"])
+        here = np.bincount(which[self.train[ok]], minlength=len(keys))
+        total = np.zeros(len(keys), np.int64)
+        total[which] = self.context_count[ok]
+        # right for n-grams that train in this batch alone; the shards have those that train in others too
+        own, node, count, shared = here / (total + mass), np.full(len(keys), -1, np.int64), here.copy(), np.zeros(len(keys), bool)
+        for s, w in self.dealt(keys):
+            r = replies[s]
+            others = unpack(r["counts"]) - 1  # -1: no other batch holds it
+            own[w[others > 0]] = decode(unpack(r["codes"]), r["low"], r["step"])
+            if r["nodes"] is not None:
+                count[w] += np.maximum(others, 0)
+                shared[w] = others >= 0
+                node[w[shared[w] & (count[w] > 0)]] = unpack(r["nodes"]) * self.shards + s
+        node = self.contexts(node, count, shared)
         seen = np.where(self.place >= self.level - 2, self.context_count, 0)
         out = mass / (seen + mass) * p
         out[ok] += own[which]
@@ -333,11 +356,12 @@ def answer_words(asked: DataFrame, shards: int) -> DataFrame:
             count = np.bincount(inverse, weights=np.concatenate([unpack(r["counts"]) for r in rows]), minlength=len(every)).astype(np.int64)
             rank = np.cumsum(count > 0) - 1
             node = np.where(count > 0, rank * shards + shard + 1, 0)  # 0: not in training
+            shared = np.bincount(inverse, minlength=len(every)) > 1  # held by several batches
             at = 0
             for r, k in zip(rows, keys, strict=True):
                 w = inverse[at : at + len(k)]
                 at += len(k)
-                yield _reply_row(shard=shard, batch=r["batch"], level=1, nodes=pack(node[w]), counts=pack(count[w]),
+                yield _reply_row(shard=shard, batch=r["batch"], level=1, nodes=pack(node[w]), counts=pack(count[w]), codes=pack(shared[w]),
                                  types=int((count > 0).sum()), tokens=int(count.sum()))
 
     return asked.repartition(shards, "shard").sortWithinPartitions("shard", "batch").mapInArrow(run, _REPLY)
@@ -361,13 +385,17 @@ def answer_grams(asked: DataFrame, shards: int, level: int, width: int, mass: fl
             trie = Level(every[seen], count[seen] / (total[seen] + mass), width)
             at_all = trie.find(every)
             codes = trie.code(at_all)
-            node = np.where(at_all >= 0, at_all * shards + shard + 1, 0)
+            shared = np.bincount(inverse, minlength=len(every)) > 1  # held by several batches
             at = 0
             for r, k in zip(rows, keys, strict=True):
                 w = inverse[at : at + len(k)]
                 at += len(k)
-                more = {} if last else {"nodes": pack(node[w]), "counts": pack(count[w])}
-                yield _reply_row(shard=shard, batch=r["batch"], level=level, codes=pack(codes[w]), low=trie.low, step=trie.step,
+                others = count[w] - unpack(r["counts"])
+                if last:  # no context: that others train it is enough
+                    more = {"counts": pack(2 * (others > 0))}
+                else:  # nodes in the order of the keys, which is that of the trie
+                    more = {"counts": pack(np.where(shared[w], others + 1, 0)), "nodes": pack(at_all[w[shared[w] & (count[w] > 0)]], True)}
+                yield _reply_row(shard=shard, batch=r["batch"], level=level, codes=pack(codes[w[others > 0]]), low=trie.low, step=trie.step,
                                  types=trie.n, tokens=trie.size(), **more)
 
     return asked.repartition(shards, "shard").sortWithinPartitions("shard", "batch").mapInArrow(run, _REPLY)
@@ -405,9 +433,12 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER, mass: flo
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     encoded = encode_batches(docs, held_out, tokens_per_batch)
     encoded.write.bucketBy(buckets, "batch").option("path", shared_path(spark, "lm-batches")).saveAsTable(name)
+    was = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
     try:
         return _score(spark.table(name), order, mass)
     finally:
+        spark.conf.set(FREE_SHUFFLES, was)
         spark.sql(f"DROP TABLE {name}")
 
 
