@@ -51,7 +51,7 @@ COSINE = 0.35
 LCS_ALONE = 0.8
 LCS_WITH_ANSWER = 0.55
 ANSWER_LCS = 0.8
-MIN_WORDS = 4
+MIN_WORDS = 4  # shorter items are searched for word for word only
 COMMON = 0.5  # words in more than this share of the documents have weight 0
 TERM_BLOCK = 512
 _BYTES_AT_ONCE = 1 << 20
@@ -59,6 +59,9 @@ _SENTENCE = re.compile(r"[.!?\n]+")
 # ASCII letters and digits and all bytes of other characters make words; the marks of the
 # Latin-1, general and CJK punctuation blocks are taken out first, where a text has any
 _TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+# scripts without blanks between words: every character is a word (kana, Han, Thai, Lao, Myanmar, Khmer, half-width kana)
+_UNSPACED = re.compile("[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
+                       "\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 _MARKS = re.compile(rb"\xc2[\xa0-\xbf]|\xe2\x80[\x80-\xbf]|\xe2\x81[\x80-\xaf]|\xe3\x80[\x80-\xbf]|\xef\xbc[\x81-\x8f\x9a-\xa0]")
 
 
@@ -69,8 +72,10 @@ def words_of(text: str | None) -> list[bytes]:
 
 def raw_text(text: str | None) -> bytes:
     """Lower-case UTF-8 without the marks: what the word hasher reads."""
-    raw = (text or "").lower().encode("utf-8", "replace")
-    return raw if raw.isascii() else _MARKS.sub(b" ", raw)
+    low = (text or "").lower()
+    if low.isascii():
+        return low.encode()
+    return _MARKS.sub(b" ", _UNSPACED.sub(r" \g<0> ", low).encode("utf-8", "replace"))
 
 
 def buckets(hashes: np.ndarray) -> np.ndarray:
@@ -172,7 +177,7 @@ class Items:
     terms: dict[bytes, int]
 
     @classmethod
-    def of(cls, rows: list[tuple[int | None, str]], min_words: int = MIN_WORDS) -> Items:
+    def of(cls, rows: list[tuple[int | None, str]], min_words: int = 1) -> Items:
         terms: dict[bytes, int] = {}
         out = cls([], [], [], terms)
         for item_id, text in rows:
@@ -431,13 +436,15 @@ class Shared:
         self.least = np.zeros(len(items.words), np.int64)
         terms, of = [], []
         for j, w in enumerate(items.words):
+            if len(w) < MIN_WORDS:
+                continue
             reach = max(1, math.ceil(share * len(w) - 1e-9))
             self.least[j] = min(reach, max(2, -(-reach // 3)))
             heavy = np.argsort(-weight[w], kind="stable")[: len(w) - reach + self.least[j]]
             t = np.unique(np.array(w)[heavy])
             terms.append(t)
             of.append(np.full(len(t), j))
-        terms, of = np.concatenate(terms), np.concatenate(of)
+        terms, of = np.concatenate([np.zeros(0, np.int64), *terms]), np.concatenate([np.zeros(0, np.int64), *of])
         self.items = of[np.argsort(terms, kind="stable")].astype(np.int32)
         self.count = np.append(np.bincount(terms, minlength=len(items.terms)), 0)  # the last: words of no item
         self.begin = np.cumsum(self.count) - self.count
@@ -485,8 +492,9 @@ def find_leaks(
     the passage is the item itself: it begins at ``first_word`` and its cosine is 1.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. Whole texts, all windows.
-    Null and empty texts hold no passage; null, empty and very short items (under MIN_WORDS
-    words) are not searched for. Repeated documents give a row each, repeated items one per
+    Null and empty texts hold no passage; null and empty items are not searched for, items
+    under MIN_WORDS words only word for word. Characters of scripts without blanks between
+    words are words. Repeated documents give a row each, repeated items one per
     item_id and text. Empty tables: no rows. Other columns are not read.
     """
     schema = "doc_id long, text_md5 string, item_id long, cosine double, lcs double, answer_lcs double, first_word long"
@@ -520,8 +528,8 @@ def _search(docs: DataFrame, items: Items, weight2, latent, schema: str, cosine:
         shared = Shared(items, weight, min(limits[:2]))
         whole = [verifier.check(j, w) for j, w in enumerate(items.words)]
         lengths = [len(w) for w in items.words]
-        halves = np.array([half_of(n) for n in lengths])
-        classes = [(int(h), np.flatnonzero(halves == h)) for h in np.unique(halves)]
+        halves = np.array([half_of(n) if n >= MIN_WORDS else 0 for n in lengths])
+        classes = [(int(h), np.flatnonzero(halves == h)) for h in np.unique(halves[halves > 0])]
         classes = [(h, of, np.ascontiguousarray(latent[:, of])) for h, of in classes]
         for b in batches:
             best: dict[tuple[int, int], tuple] = {}
