@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from quire import options
 from quire.functions import text as T
 
-MAX_ITEMS = 5_000_000  # item vectors: the rows of a vocabulary
 RMS_EPS = 1e-6
 
 
@@ -83,19 +82,20 @@ def inner_product_top_k(
     ctx_col: str = "vec_id",
     item_col: str = "vec_id",
     vec_col: str = "embedding",
-    max_items: int = MAX_ITEMS,
+    max_items: int | None = None,
     ctx_block: int = 2048,
     item_block: int = 4096,
 ) -> DataFrame:
     """Top-k items per context by ``rms_norm(context) . item``.
 
-    The item side is a vocabulary: more than ``max_items`` rows are refused. Both sides are
+    Any number of items; with ``max_items`` given, more rows are refused. Both sides are
     packed into blocks on the executors and meet as tiles, one context block against one
     item block; a tile gives each of its contexts at most k rows, which are merged per
     context. No pair rows are made and nothing passes through the driver.
     """
     n_items = items.count()
-    options.check(k=(k, options.COUNT), items=(n_items, options.Rule(lambda n: n <= max_items, f"a vocabulary of up to {max_items} rows")))
+    few = options.Rule(lambda n: max_items is None or n <= max_items, f"a vocabulary of up to {max_items} rows")
+    options.check(k=(k, options.COUNT), items=(n_items, few))
     left, n_left = _vector_blocks(contexts, contexts.count(), ctx_block, ctx_col, vec_col, "cb")
     right, n_right = _vector_blocks(items, n_items, item_block, item_col, vec_col, "ib")
     left = left.select("cb", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("ib"), F.col("ids").alias("ci"), F.col("vectors").alias("cv"))
