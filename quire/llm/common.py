@@ -65,6 +65,15 @@ def running_sum(
     return joined.withColumn(out, F.col("__base") + F.sum(weight).over(win) - F.col(weight)).drop("__base")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or the first of name_1, name_2, ... that none of ``columns`` has (names ignore case)."""
+    taken, k, found = {c.lower() for c in columns}, 0, name
+    while found.lower() in taken:
+        k += 1
+        found = f"{name}_{k}"
+    return found
+
+
 def buckets_for(rows: int) -> int:
     """Bucket count that keeps buckets near ROWS_PER_BUCKET rows at any size."""
     return max(MIN_BUCKETS, -(-rows // ROWS_PER_BUCKET))
