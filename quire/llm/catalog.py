@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, decontaminate, license_scan, line_dedup, mixing, ngram_lm, quality, sharding, simhash, toxicity
+from quire.llm import (
+    ann,
+    conversations,
+    decontaminate,
+    license_scan,
+    line_dedup,
+    mixing,
+    ngram_lm,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    spelling,
+    toxicity,
+)
 from quire.llm.common import fold, table
 
 
@@ -88,6 +102,24 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as tokens of the public word tokenizer, packed into sequences of at most 4096."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.piece_digests(*packing.pack_documents(table(spark, sf_dir, "documents"), path, capacity=4096, end_id=1))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by its seed, then repaired by the cheapest edits."""
+    return conversations.repair_report(table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_license_scan": op2_license_scan,
@@ -99,4 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
     "op10_nearest": op10_nearest,
+    "op11_packing": op11_packing,
+    "op12_conversations": op12_conversations,
+    "op13_spelling": op13_spelling,
 }
