@@ -7,8 +7,8 @@ candidate block. Inside a tile int8 codes give every inner product up to a prove
     |x.y - sx sy qx.qy| <= sx sy (|qx|_1 / 2 + |qy|_1 / 2 + d / 4)
 
 A pair survives if its upper bound reaches the k-th best lower bound of its query in the
-tile; survivors are recomputed in double precision from the original vectors, and the
-tiles' heaps of k are merged per query. The result is exact.
+tile, counted over ids, not rows; survivors are recomputed in double precision from the
+original vectors, and the tiles' heaps of k are merged per query. The result is exact.
 """
 
 from __future__ import annotations
@@ -59,9 +59,10 @@ def _blocks(rows: DataFrame, block: int, side: str) -> DataFrame:
 
 
 def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes, scale per row, and half the 1-norm of the codes per row."""
+    """int8 codes, scale per row, and half the 1-norm of the codes per row. Rows too small to scale have scale NaN."""
     scale = np.abs(x).max(axis=1) / 127.0
-    q = np.rint(x / scale[:, None]).astype(np.int8)
+    scale[scale < np.finfo(np.float64).tiny] = np.nan
+    q = np.nan_to_num(np.rint(x / scale[:, None])).astype(np.int8)
     return q, scale, np.abs(q.astype(np.float64)).sum(axis=1) / 2
 
 
@@ -74,24 +75,45 @@ def dot_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, candidate id, score) of each query's k best in the tile, own row left out."""
+    """(query id, candidate id, score) of each query row's k best ids in the tile, own id left out.
+
+    ``c_ids`` is sorted; rows of one id stand together and count as their best. Where a bound
+    has no finite value (products beyond the range of doubles) the pair is computed itself.
+    A score that is no number ranks first, as in SQL.
+    """
     d = q.shape[1]
     qc, qs, qh = codes(q)
     cc, cs, ch = codes(c)
     # products of int8 codes are whole numbers below 2^53: the matrix product is exact
     kind = np.float32 if d * 127 * 127 < 2**24 else np.float64
     approx = (qc.astype(kind) @ cc.astype(kind).T).astype(np.float64)
-    unit = qs[:, None] * cs[None, :]
-    err = unit * (qh[:, None] + ch[None, :] + d / 4) * (1 + 1e-6)
-    approx *= unit
-    err += _SLACK * (np.abs(approx) + err)
+    with np.errstate(over="ignore", invalid="ignore"):
+        unit = qs[:, None] * cs[None, :]
+        err = unit * (qh[:, None] + ch[None, :] + d / 4) * (1 + 1e-6)
+        approx *= unit
+        err += _SLACK * (np.abs(approx) + err)
+        lower, upper = approx - err, approx + err
+        # a sum of d products in order must not leave the range either
+        wild = ~np.isfinite(lower) | ~np.isfinite(upper) | ~np.isfinite(unit * 127.0 * 127.0 * d)
+    lower[wild], upper[wild] = -np.inf, np.inf
     own = q_ids[:, None] == c_ids[None, :]
-    lower = np.where(own, -np.inf, approx - err)
-    m = lower.shape[1]
-    bar = np.partition(lower, m - k, axis=1)[:, m - k] if m > k else np.full(len(q), -np.inf)
-    qi, ci = np.nonzero((approx + err >= bar[:, None]) & ~own)
-    score = dot_rows(q[qi], c[ci])
-    order = np.lexsort((c_ids[ci], -score, qi))
+    lower[own], upper[own] = -np.inf, -np.inf
+    starts = np.flatnonzero(np.concatenate([[True], c_ids[1:] != c_ids[:-1]]))
+    by_id = np.maximum.reduceat(lower, starts, axis=1) if len(starts) < len(c_ids) else lower
+    m = by_id.shape[1]
+    bar = np.partition(by_id, m - k, axis=1)[:, m - k] if m > k else np.full(len(q), -np.inf)
+    qi, ci = np.nonzero((upper >= bar[:, None]) & ~own)
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = dot_rows(q[qi], c[ci])
+    none = np.isnan(score)
+    falling = -np.where(none, np.inf, score)
+    # the best row of every (query row, id), then the k best ids
+    order = np.lexsort((falling, ~none, c_ids[ci], qi))
+    qi, ci, score, none, falling = (x[order] for x in (qi, ci, score, none, falling))
+    best = np.ones(len(qi), bool)
+    best[1:] = (qi[1:] != qi[:-1]) | (c_ids[ci[1:]] != c_ids[ci[:-1]])
+    qi, ci, score, none, falling = (x[best] for x in (qi, ci, score, none, falling))
+    order = np.lexsort((c_ids[ci], falling, ~none, qi))
     qi, ci, score = qi[order], ci[order], score[order]
     first = np.searchsorted(qi, np.arange(len(q)))
     best = np.arange(len(qi)) - first[qi] < k
@@ -138,12 +160,12 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, query_block: int =
         heaps: dict[int, list] = {}
         for b in batches:
             for i, j, s in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                h = heaps.setdefault(i, [])
+                h, new = heaps.setdefault(i, []), (s != s, 0.0 if s != s else s, -j)
                 if len(h) < k:
-                    heapq.heappush(h, (s, -j))
-                elif (s, -j) > h[0]:
-                    heapq.heapreplace(h, (s, -j))
-        out = [(i, r, -j, s) for i, h in heaps.items() for r, (s, j) in enumerate(sorted(h, reverse=True), 1)]
+                    heapq.heappush(h, new)
+                elif new > h[0]:
+                    heapq.heapreplace(h, new)
+        out = [(i, r, -j, float("nan") if no else s) for i, h in heaps.items() for r, (no, s, j) in enumerate(sorted(h, reverse=True), 1)]
         cols = list(zip(*out, strict=True)) or [(), (), (), ()]
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
         yield pa.record_batch([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=["query_id", "rank", "vec_id", "score"])

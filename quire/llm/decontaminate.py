@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -53,6 +54,7 @@ LCS_WITH_ANSWER = 0.55
 ANSWER_LCS = 0.8
 MIN_WORDS = 4  # shorter items are searched for word for word only
 COMMON = 0.5  # words in more than this share of the documents have weight 0
+SMOOTH = 20  # documents without a word, added to the frequencies
 TERM_BLOCK = 512
 _BYTES_AT_ONCE = 1 << 20
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -409,22 +411,34 @@ class Verifier:
         return out
 
     def check(self, item: int, region: list[int]) -> tuple[float, float] | None:
-        """Best LCS share of the item and of its answer in any stretch of twice its length; None if no leak."""
+        """Best LCS share of the item, with that of its answer, in any stretch of twice its length; None if no leak.
+
+        Exact: the best stretch can begin at its first word that the item has, so every such
+        place is a beginning. From one beginning to a later one the LCS gains at most the item's
+        words that enter at the end, so those that cannot reach what is wanted are passed over.
+        """
         alone, paired, answered = self.limits
         n, masks = len(self.items.words[item]), self.masks[item]
-        full = (1 << n) - 1
-        least = min(alone, paired) * n
-        best = None
-        for at in range(0, max(1, len(region) - 2 * n + max(1, n // 2)), max(1, n // 2)):
-            part = region[at : at + 2 * n]
-            if sum(w in masks for w in part) < least:
-                continue
-            share = lcs_length(masks, full, part) / n
-            if share * n >= least:
-                m = len(self.items.answers[item])
-                a = lcs_length(self.answer_masks[item], (1 << m) - 1, part) / m
+        full, least = (1 << n) - 1, min(alone, paired) * n
+        m = len(self.items.answers[item])
+        answer_masks, answer_full = self.answer_masks[item], (1 << m) - 1
+        places = [k for k, w in enumerate(region) if w in masks]
+        ends = [bisect_left(places, p + 2 * n) for p in places]  # places inside the stretch from each beginning
+        best, at = None, 0
+        while at < len(places):
+            if ends[at] - at < least and ends[at] == len(places):
+                break  # what is left is too few
+            found = lcs_length(masks, full, [region[k] for k in places[at : ends[at]]]) if ends[at] - at >= least else ends[at] - at
+            share = found / n
+            if found >= least and ends[at] - at >= least:
+                a = lcs_length(answer_masks, answer_full, region[places[at] : places[at] + 2 * n]) / m
                 if (share >= alone or share >= paired and a >= answered) and (best is None or (share, a) > best):
                     best = share, a
+                    if share == 1.0 and a == 1.0:
+                        break
+            # with a leak found, only a better one is of interest
+            missing = math.ceil(best[0] * n if best else least) - found
+            at = at + 1 if missing <= 0 else max(at + 1, bisect_left(ends, ends[at] + missing))
         return best
 
 
@@ -501,10 +515,8 @@ def find_leaks(
     rows = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     blocks = max(1, -(-rows.count() // items_per_block))
     n_docs, df = document_frequencies(docs)
-    share = (df + 1.0) / (n_docs + 1.0)
+    share = (df + 1.0) / (n_docs + SMOOTH)
     weight2 = np.where(share > COMMON, 0.0, np.log(share) ** 2)
-    if n_docs < 20:  # too few documents for frequencies: all words weigh alike
-        weight2 = np.ones_like(share)
     out = None
     for k in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text")

@@ -120,11 +120,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return where, offset
 
 
-def place(pieces: DataFrame, row: str, length: str, order: list[str], capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` with sequence_id and offset. ``row`` is unique and fixed (read from a written table).
-
-    Within a group, pieces of one length are taken in the order of ``order``, then ``row``.
-    """
+def place(pieces: DataFrame, row: str, length: str, capacity: int = CAPACITY) -> DataFrame:
+    """``pieces`` with sequence_id and offset. ``row`` is unique and fixed (read from a written table); it decides ties."""
     n = max(1, -(-pieces.count() // PIECES_PER_GROUP))
     key = unused("pack_group", pieces.columns)
     dealt = pieces.withColumn(key, F.pmod(F.xxhash64(row), F.lit(n)))
@@ -133,7 +130,7 @@ def place(pieces: DataFrame, row: str, length: str, order: list[str], capacity:
 
     def pack(group: pa.Table) -> pa.Table:
         number = group.column(key)[0].as_py()
-        group = group.sort_by([(length, "descending"), *[(c, "ascending") for c in (*order, row)]])
+        group = group.sort_by([(length, "descending"), (row, "ascending")])
         where, offset = sum_of_squares(group.column(length).to_numpy(), capacity)
         return group.select(names).append_column("sequence_id", pa.array(where + (number << 32))).append_column("offset", pa.array(offset))
 
@@ -146,7 +143,7 @@ def pack_documents(
     """(pieces, places): the written pieces with their ids and a ``row``, and ``row, sequence_id, offset``."""
     pieces = encode_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col)
     pieces = materialise(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
-    return pieces, place(pieces.select("row", "length"), "row", "length", [], capacity)
+    return pieces, place(pieces.select("row", "length"), "row", "length", capacity).drop("length")
 
 
 def sequences(pieces: DataFrame, places: DataFrame) -> DataFrame:

@@ -95,3 +95,66 @@ def test_short_items_and_unspaced_scripts(spark):
     assert got == {(i, k) for i, (k, _) in enumerate(planted) if k}
     short = spark.createDataFrame(items[:2], "item_id long, text string")  # no item of MIN_WORDS words at all
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame(spark, rows), short).collect()} == {(0, 1), (1, 2)}
+
+
+def plain_check(verifier, item, region):
+    """Every stretch of twice the item's length."""
+    n, best = len(verifier.items.words[item]), None
+    alone, paired, answered = verifier.limits
+    m = len(verifier.items.answers[item])
+    for at in range(len(region)):
+        part = region[at : at + 2 * n]
+        share = decontaminate.lcs_length(verifier.masks[item], (1 << n) - 1, part) / n
+        a = decontaminate.lcs_length(verifier.answer_masks[item], (1 << m) - 1, part) / m
+        if share >= alone or share >= paired and a >= answered:
+            best = max(best or (0, 0), (share, a))
+    return best
+
+
+def test_the_verifier_slides_over_every_stretch():
+    rng = random.Random(12)
+    items = decontaminate.Items.of([(k, zipf_text(rng, n, 80) + "? " + zipf_text(rng, 2, 80)) for k, n in enumerate([4, 6, 9, 14, 22, 30])])
+    verifier = decontaminate.Verifier(items, 0.8, 0.55, 0.8)
+    n_found = 0
+    for _ in range(1000):
+        j = rng.randrange(len(items.words))
+        w = items.words[j]
+        kept = [x for x in w if rng.random() < rng.choice([0.4, 0.6, 0.8, 1.0])]
+        for _ in range(rng.randint(0, 2 * len(w))):
+            kept.insert(rng.randint(0, len(kept)), -1)
+        region = [-1] * rng.randint(0, 9) + kept + [rng.choice([-1, *w]) for _ in range(rng.randint(0, 20))]
+        want = plain_check(verifier, j, region)
+        got = verifier.check(j, region)
+        assert (got is None) == (want is None)
+        if want:
+            n_found += 1
+            assert got[0] == want[0]
+    assert n_found > 200
+
+
+def test_spread_copies_are_found(spark):
+    """80 % of an item's words, in order, spread over up to twice its length."""
+    rng = random.Random(21)
+    items = [(k, " ".join(f"q{k}v{i}" for i in range(n))) for k, n in enumerate([8, 10, 12, 15, 20, 25, 30] * 3)]
+    rows, expected = [], set()
+    for i in range(300):
+        k, item = items[i % len(items)]
+        w = item.split()
+        drop = set(rng.sample(range(len(w)), len(w) - -(-len(w) * 8 // 10)))
+        copy = [x for j, x in enumerate(w) if j not in drop]
+        room = 2 * len(w) - len(copy)
+        for _ in range(rng.randint(room // 2, room)):
+            copy.insert(rng.randint(1, len(copy) - 1), f"w{rng.randrange(4000)}x")
+        rows.append((i, zipf_text(rng, rng.randint(30, 200)) + " " + " ".join(copy) + " " + zipf_text(rng, 60), "en", "s", 1))
+        expected.add((i, k))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame(spark, rows), bench).collect()}
+    assert got == expected
+
+
+def test_few_documents_have_weights(spark):
+    bench = spark.createDataFrame([(1, "one of the very rare items here")], "item_id long, text string")
+    for n in (1, 5, 19, 20, 21):
+        rows = [(i, f"text {i} one of the very rare items here" if i == 0 else f"other text {i}", "en", "s", 1) for i in range(n)]
+        got = decontaminate.find_leaks(frame(spark, rows), bench).collect()
+        assert [(r.doc_id, r.item_id) for r in got] == [(0, 1)]

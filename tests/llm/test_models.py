@@ -212,6 +212,24 @@ def test_nearest_equals_all_products(spark):
     assert any(s for *_, s in got)
 
 
+def test_nearest_counts_ids_not_rows(spark):
+    """An id of more vectors than k takes one place, also where all its rows are the best."""
+    rng = np.random.default_rng(3)
+    rows = [(0, [1.0, 0.0, 0.0])] + [(7, [9.0 + j, 0.1, 0.0]) for j in range(25)] + [(100 + j, rng.random(3).tolist()) for j in range(100)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") == 0, 20).collect()]
+    best = {i: max(v[0] for j, v in rows if j == i) for i, _ in rows if i}
+    assert sorted(got) == [(r, i, s) for r, (i, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20], 1)]
+
+
+def test_nearest_beyond_the_range_of_doubles(spark):
+    rows = [(0, [1e200, 1.0]), (1, [1e200, 0.0]), (2, [-1e200, 0.0]), (3, [1.0, 5.0]), (4, [1e-310, 0.0]), (5, [1e-320, 1e-320]), (6, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in sorted(ann.nearest(df, F.col("vec_id") == 0, 20).collect(), key=lambda r: r.rank)]
+    want = sorted(((i, v[0] * 1e200 + v[1] * 1.0) for i, v in rows if i), key=lambda x: (-x[1], x[0]))
+    assert got == want and got[0][1] == math.inf and got[-1][1] == -math.inf
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], SCHEMA)
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -104,7 +104,8 @@ def test_packing_over_groups_and_empty(spark, tokenizer, monkeypatch):
 def test_registered_packing(spark, tokenizer):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()
     got = QUERIES["op11_packing"](spark, SF_SMALL)
-    assert dict(got.dtypes) == {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"}
+    longs = [(c, "bigint") for c in ("start", "length", "ids_crc32", "sequence_id", "offset")]
+    assert got.dtypes == [("doc_id", "bigint"), ("piece", "int"), *longs]
     by = {(r.doc_id, r.piece): r for r in got.collect()}
     for d in docs[:40]:
         ids = tokenizer[1](d.text)
