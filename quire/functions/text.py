@@ -81,11 +81,50 @@ def collapse_whitespace(text: Column) -> Column:
 CUSTOM_RULES = [("«", '"'), ("»", '"'), ("…", "..."), ("’", "'")]
 
 
-def apply_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """Fold a source -> target replacement table over the text, in table order."""
-    out = text
+def rule_table(rules) -> dict[str, str]:
+    """source -> target; the first rule of a source counts, an empty source is no rule."""
+    table: dict[str, str] = {}
     for src, tgt in rules:
-        out = F.replace(out, F.lit(src), F.lit(tgt))
+        if src:
+            table.setdefault(src, tgt)
+    return table
+
+
+def prefix_pattern(sources) -> str:
+    """Regular expression of a prefix automaton over ``sources``: it matches the longest source at the leftmost place."""
+    tree: dict = {}
+    for s in sources:
+        at = tree
+        for ch in s:
+            at = at.setdefault(ch, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        ways = [f"\\x{{{ord(ch):x}}}" + pattern(at[ch]) for ch in sorted(at) if ch]
+        if not ways:
+            return ""
+        inner = ways[0] if len(ways) == 1 and "" not in at else "(?:" + "|".join(ways) + ")"
+        return inner + "?" if "" in at else inner
+
+    return pattern(tree)
+
+
+OPEN_MARK, CLOSE_MARK = "\ufdd0", "\ufdd1"  # non-characters: no text holds them
+
+
+def apply_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """Source -> target rewriting in one pass: the longest source at the leftmost place, and no
+    target is rewritten again. Matches are marked first; a marked source is then its target.
+
+    A pass per rule over the marked text, inside code generation: for rule tables of some dozen
+    entries (:func:`quire.operators.clean.rewrite` takes any number).
+    """
+    table = rule_table(rules)
+    if not table:
+        return text
+    out = F.regexp_replace(text, prefix_pattern(table), OPEN_MARK + "$0" + CLOSE_MARK)
+    for src, tgt in table.items():
+        out = F.replace(out, F.lit(OPEN_MARK + src + CLOSE_MARK), F.lit(tgt))
     return out
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +18,7 @@ from quire.functions import text as T
 # The rule names, and what the nmt rule drops or makes a blank.
 NMT_DROPPED = "[\\x00-\\x08\\x0B\\x0E-\\x1F\\x7F\\x8F\\x9F]"
 NMT_SPACES = "[\\t\\n\\r\\x0C\\u1680\\u2000-\\u200F\\u2028\\u2029\\u205F\\u2581\\u3000\\uFEFF\\uFFFD]"
+NATIVE_RULES = 32  # tables up to here are rewritten by column functions
 NORMALIZATION_RULES = ("nmt_nfkc", "nfkc", "nfkc_cf", "identity")
 
 
@@ -44,8 +47,14 @@ def trainer_lines(lines: DataFrame, max_bytes: int = T.MAX_SENTENCE_BYTES, line_
 
 
 def normalise(text: Column, rules=T.CUSTOM_RULES, dummy_prefix: bool = True, escape: bool = True) -> Column:
-    """Rule-table fold, extra-whitespace removal, whitespace escape and dummy prefix."""
-    out = T.collapse_whitespace(T.apply_rules(text, rules))
+    """Rules in one pass, extra-whitespace removal, whitespace escape and dummy prefix."""
+    rules = list(rules)
+    done = T.apply_rules(text, rules) if len(rules) <= NATIVE_RULES else rewrite("identity", rules)(text)
+    return _spaced(done, dummy_prefix, escape)
+
+
+def _spaced(text: Column, dummy_prefix: bool = True, escape: bool = True) -> Column:
+    out = T.collapse_whitespace(text)
     return T.escape_whitespace(out, dummy_prefix) if escape else out
 
 
@@ -65,23 +74,52 @@ def nfkc_udf(s: pd.Series) -> pd.Series:
     return _nfkc(s, False)
 
 
-@pandas_udf(StringType())
-def nfkc_cf_udf(s: pd.Series) -> pd.Series:
-    return _nfkc(s, True)
+def named_rule(name: str) -> Callable[[str], str]:
+    """What a named rule does to a piece of text that no rule of the table matches."""
+    if name == "identity":
+        return lambda x: x
+    if name == "nfkc_cf":
+        return lambda x: unicodedata.normalize("NFKC", x).casefold()
+    if name == "nfkc":
+        return lambda x: unicodedata.normalize("NFKC", x)
+    dropped, spaces = re.compile(NMT_DROPPED), re.compile(NMT_SPACES)
+    return lambda x: spaces.sub(" ", dropped.sub("", unicodedata.normalize("NFKC", x)))
+
+
+def rewritten(text: str, pattern: re.Pattern | None, table: dict[str, str], other: Callable[[str], str]) -> str:
+    """One pass: where the table's automaton matches, the target; the stretches between by the named rule."""
+    if pattern is None:
+        return other(text)
+    out, at = [], 0
+    for m in pattern.finditer(text):
+        out += [other(text[at : m.start()]), table[m[0]]]
+        at = m.end()
+    return "".join([*out, other(text[at:])])
+
+
+def rewrite(rule_name: str, rules) -> Callable[[Column], Column]:
+    """An Arrow function that applies the rule table and the named rule in one pass: the longest source
+    at the leftmost place, and neither rewrites what the other has made. Any number of rules."""
+    table = T.rule_table(rules)
+    pattern = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), T.prefix_pattern(table)) if table else None
+
+    @pandas_udf(StringType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        compiled, other = pattern and re.compile(pattern), named_rule(rule_name)
+        for s in batches:
+            yield s.map(lambda x: None if x is None else rewritten(x, compiled, table, other))
+
+    return run
 
 
 def normalise_by_rule(text: Column, rule_name: str = "nmt_nfkc", rules=()) -> Column:
     """Named normalisation: identity, nfkc, nfkc_cf or nmt_nfkc (NFKC, then control and
-    zero-width characters dropped and the remaining separators made blanks), then the rule table and whitespace steps."""
+    zero-width characters dropped and the remaining separators made blanks), in one pass with the
+    rule table, then the whitespace steps."""
     options.check(normalization_rule=(rule_name, options.one_of(NORMALIZATION_RULES)))
-    base = text
-    if rule_name in ("nfkc", "nmt_nfkc"):
-        base = nfkc_udf(text)
-    elif rule_name == "nfkc_cf":
-        base = nfkc_cf_udf(text)
-    if rule_name == "nmt_nfkc":
-        base = F.regexp_replace(F.regexp_replace(base, NMT_DROPPED, ""), NMT_SPACES, " ")
-    return normalise(base, list(rules))
+    if rule_name == "identity":
+        return normalise(text, rules)
+    return _spaced(rewrite(rule_name, rules)(text))
 
 
 def read_rules_tsv(spark, path: str) -> list[tuple[str, str]]:

@@ -104,10 +104,12 @@ def running_offsets(
     weight: Column | None = None,
     out: str = "pos",
     inclusive: bool = False,
+    total: str | None = None,
 ) -> DataFrame:
     """Add ``out`` = running count (or running sum of ``weight``) in order, per group.
 
-    Exclusive by default: the first row of each group gets 0. The join with the bases uses
+    Exclusive by default: the first row of each group gets 0. ``total`` names a column for the
+    group's whole sum, which the table of bases knows. The join with the bases uses
     the partitioning that the window needs anyway; whether it is a broadcast is Spark's
     decision by the size of the base table.
     """
@@ -117,9 +119,8 @@ def running_offsets(
 
     sums = tagged.groupBy(*pcols, "__b").agg(F.sum("__w").alias("__bw"))
     base_win = Window.partitionBy(*pcols).orderBy("__b") if pcols else Window.orderBy("__b")
-    bases = sums.select(
-        *pcols, "__b", (F.sum("__bw").over(base_win) - F.col("__bw")).alias("__base")
-    )
+    whole = [F.sum("__bw").over(Window.partitionBy(*pcols)).alias(total)] if total else []
+    bases = sums.select(*pcols, "__b", (F.sum("__bw").over(base_win) - F.col("__bw")).alias("__base"), *whole)
 
     joined = tagged.join(bases, on=[*pcols, "__b"], how="inner")
     inner = Window.partitionBy(*pcols, "__b").orderBy(*order_cols).rowsBetween(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quire import options
 from quire.functions import text as T
 from quire.operators import offsets as O
+from quire.session import stored
 
 
 def stream_positions(df: DataFrame, order_col: str = "doc_id", n_rows: int | None = None, out: str = "pos") -> DataFrame:
@@ -43,6 +44,40 @@ def buffered_shuffle(df: DataFrame, seed: int, buffer_size: int, pos_col: str =
     return h.withColumn(out, F.col("__blk") * buffer_size + F.row_number().over(w) - 1).drop("__blk", "__h")
 
 
+def slot_of(step: Column, seed: int, buffer_size: int) -> Column:
+    """The buffer slot that is emptied at ``step`` (0-based): a hash of seed and step."""
+    return F.conv(F.substring(T.hash_key(seed, F.lit("slot"), step), 1, 13), 16, 10).cast("long") % F.lit(buffer_size)
+
+
+def buffer_shuffle(df: DataFrame, seed: int, buffer_size: int, n_rows: int, pos_col: str = "pos",
+                   key_cols: tuple[str, ...] = ("doc_id",), out: str = "spos") -> DataFrame:
+    """The shuffle buffer's own law (D2), without a buffer. ``pos_col`` is dense in [0, n_rows).
+
+    The first ``buffer_size`` rows fill the buffer; then every further row takes a random slot
+    and what was there comes out; in the end the rest comes out in hash order. Row p is in slot
+    p, or, for p >= buffer_size, in the slot drawn at step p - buffer_size. It comes out at the
+    step when its slot is drawn next, which is where the slot's next row enters: ``lead`` per
+    slot. A row can come out at most buffer_size - 1 places early, and any number late.
+
+    ``lead`` runs per (slot, range of positions), with a table of each range's first rows for
+    what crosses ranges, so a small buffer does not leave few tasks.
+    """
+    options.check(buffer_size=(buffer_size, options.COUNT))
+    pos = F.col(pos_col)
+    rows = df.withColumn("__slot", F.when(pos < buffer_size, pos).otherwise(slot_of(pos - buffer_size, seed, buffer_size)))
+    rows = O.position_bucketing(pos_col, n_rows, df.sparkSession).apply(rows)
+    first = rows.groupBy("__slot", "__b").agg(F.min(pos_col).alias("__first"))
+    later = first.select("__slot", "__b", F.lead("__first").over(Window.partitionBy("__slot").orderBy("__b")).alias("__later"))
+    inside = F.lead(pos_col).over(Window.partitionBy("__slot", "__b").orderBy(pos_col))
+    rows = rows.join(later, ["__slot", "__b"]).withColumn("__next", F.coalesce(inside, F.col("__later")))
+    rows = stored(rows.drop("__slot", "__b", "__later"), "buffer")
+    moved = rows.where(F.col("__next").isNotNull()).withColumn(out, F.col("__next") - buffer_size)
+    # what stays to the end is the buffer: at most buffer_size rows
+    rank = F.row_number().over(Window.orderBy(T.hash_key(seed, *key_cols, pos_col), pos_col))
+    rest = rows.where(F.col("__next").isNull()).withColumn(out, F.lit(max(0, n_rows - buffer_size)) + rank - 1)
+    return moved.unionByName(rest).withColumn(out, F.col(out).cast("long")).drop("__next")
+
+
 def contiguous_shard(pos: Column, n: int, w: int) -> Column:
     """Contiguous shards (D3): the first ``n mod w`` shards take one extra row."""
     options.check(shards=(w, options.COUNT))

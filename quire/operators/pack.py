@@ -35,11 +35,13 @@ def stored_lengths(docs: DataFrame, add_eos: bool = True) -> tuple[DataFrame, Da
 
 def narrow_offsets(lengths: DataFrame, bucketing: O.Bucketing, *, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(shard, pos, *keep, L, start, T)`` from narrow ``(shard, pos, *keep, L)`` rows, where
-    ``L`` already counts the EOS. The token arrays join afterwards, once."""
+    ``L`` already counts the EOS. The token arrays join afterwards, once.
+
+    A shard's total comes with the bucket bases: a join on ``shard`` alone would leave the rows
+    dealt by shard, and the blocks would then be put together with one task per shard."""
     offs = O.running_offsets(lengths, ["pos"], bucketing, partition_cols=("shard",),
-                             weight=F.col("L"), out="start")
-    totals = lengths.groupBy("shard").agg(F.sum("L").alias("T"))
-    return offs.join(totals, "shard").select("shard", "pos", *keep, "L", "start", "T")
+                             weight=F.col("L"), out="start", total="T")
+    return offs.select("shard", "pos", *keep, "L", "start", "T")
 
 
 def pack_blocks(

@@ -1,39 +1,50 @@
 """Sub-word unigram vocabulary (E6) and sub-word encoding (F1, sub-word path).
 
-Training is expectation-maximisation over the distinct-word table:
+Training is expectation-maximisation over the distinct-word table, with the scores in a table:
 
-* seeds: frequent sub-strings of ``▁word`` (``vocab.seed_pieces``) plus every
+* seeds: the maximal repeated sub-strings of ``▁word`` by sorted suffixes
+  (:mod:`quire.operators.suffixes`), the ``seed_size`` best by frequency x length, plus every
   character of the alphabet (characters are never pruned);
-* E-step: ``mapInPandas`` over (word, count) partitions runs forward-backward
-  on each word's piece lattice with the broadcast piece scores and emits the
-  expected piece counts, pre-summed inside the task;
-* M-step: ``groupBy(piece).sum`` (at most one row per piece reaches the
-  driver), new log-probabilities, then pruning by the shrink factor, in Spark, of
-  the pieces without which the likelihood loses least, until the requested size is reached.
-
-The driver only ever holds the piece table, whose size is bounded by the
-seed size; each round's word table is cut from its lineage by a reliable
-checkpoint. Encoding is a Viterbi best path per distinct word of an Arrow batch, with
-byte fallback for characters outside the table.
+* words are dealt over parts of bounded size; which pieces a part's words hold is found once;
+* E-step: a part's words meet the scores of its pieces (a co-group), and array operations run
+  forward-backward over the lattices of all its words of one length at once; expected counts
+  are summed in the task;
+* M-step: the sums per piece over their total are the new scores, a written table;
+* pruning, by the shrink factor until the requested size is reached, keeps the pieces without
+  which the likelihood loses most: losses are computed like the E-step, over pieces in place of
+  words, and the cut is a two-phase rank.
+
+Only single numbers (a total, a least score, row counts) come to the driver, and in the end the
+learned pieces, whose number is the vocabulary size. Pieces are keyed by a 64-bit hash of their
+characters inside the training loop. Encoding is a Viterbi best path per distinct word of an
+Arrow batch, with byte fallback for characters outside the table.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import options
 from quire.functions import text as T
 from quire.operators import encode as E
+from quire.operators import offsets as O
+from quire.operators import suffixes as S
 from quire.operators import vocab as V
+from quire.session import stored
 
 MAX_PIECES_BROADCAST = 2_000_000
 MEMO_WORDS = 1_000_000  # segmented words a task remembers
 UNK_PENALTY = 10.0
+WORDS_PER_PART = 20_000
+CELLS = 1 << 19  # lattice edges that are worked on at once
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _lattice(word: str, scores: dict[str, float], max_len: int, unk: float):
@@ -53,76 +64,245 @@ def _lattice(word: str, scores: dict[str, float], max_len: int, unk: float):
     return edges
 
 
-def _lse(terms: list[float]) -> float:
-    """log(sum(exp(t))) of a short list: one exp per term, one log."""
-    if not terms:
-        return -math.inf
-    m = max(terms)
-    if m == -math.inf:
-        return m
-    return m + math.log(sum(math.exp(t - m) for t in terms))
+# --------------------------------------------------------------------------- many words at once
 
 
-def _expected(word: str, scores: dict[str, float], max_len: int, unk: float):
-    n = len(word)
-    edges = _lattice(word, scores, max_len, unk)
-    alpha = [-math.inf] * (n + 1)
-    alpha[0] = 0.0
-    for j in range(1, n + 1):
-        alpha[j] = _lse([alpha[i] + s for i, _, s in edges[j]])
-    starts = [[] for _ in range(n + 1)]
-    for j in range(1, n + 1):
-        for i, p, s in edges[j]:
-            starts[i].append((j, s))
-    beta = [-math.inf] * (n + 1)
-    beta[n] = 0.0
-    for i in range(n - 1, -1, -1):
-        beta[i] = _lse([beta[j] + s for j, s in starts[i]])
-    z = alpha[n]
-    out = defaultdict(float)
-    for j in range(1, n + 1):
-        bj = beta[j] - z
-        for i, p, s in edges[j]:
-            if p is not None:
-                out[p] += math.exp(alpha[i] + s + bj)
-    return z, out
-
-
-def _e_step(scores_bc, max_len: int, unk: float):
-    def fn(batches):
-        scores = scores_bc.value
-        acc = defaultdict(float)
-        loglik = 0.0
-        for pdf in batches:
-            for w, c in zip(pdf["w"].to_numpy(), pdf["cnt"].to_numpy()):
-                z, exp_counts = _expected(w, scores, max_len, unk)
-                loglik += float(c) * z
-                for p, e in exp_counts.items():
-                    acc[p] += float(c) * e
-        rows = list(acc.items()) + [("", loglik)]
-        yield pd.DataFrame(rows, columns=["piece", "ecount"])
-
-    return fn
-
-
-def _losses(scores_bc, max_len: int, unk: float):
-    """What the likelihood loses without a piece: its expected count times the score it has
-    over the best path through other pieces."""
-
-    def fn(batches):
-        scores = scores_bc.value
-        for pdf in batches:
-            out = []
-            for piece, count in zip(pdf["piece"], pdf["ecount"]):
-                best = [0.0] + [-math.inf] * len(piece)
-                for j, edges in enumerate(_lattice(piece, scores, max_len, unk)):
-                    for i, p, s in edges:
-                        if p != piece:
-                            best[j] = max(best[j], best[i] + s)
-                out.append(float(count) * (scores[piece] - best[-1]))
-            yield pd.DataFrame({"piece": pdf["piece"], "loss": out})
-
-    return fn
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def piece_keys(words: list[str], max_len: int) -> np.ndarray:
+    """Keys (words x starts x lengths) of all sub-strings of words of one length; 0 where there is none.
+
+    A key is a polynomial hash of the mixed characters, mixed with the length.
+    """
+    n = len(words[0])
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n)
+    value = _mixed(codes.astype(np.uint64) + _ODD)
+    out = np.zeros((len(words), n, min(max_len, n)), np.uint64)
+    run = np.zeros((len(words), n), np.uint64)
+    for l in range(1, out.shape[2] + 1):
+        run = run[:, : n - l + 1] * _ODD + value[:, l - 1 :]
+        key = _mixed(run ^ _mixed(np.full(1, l, np.uint64)))
+        out[:, : n - l + 1, l - 1] = np.where(key == 0, np.uint64(1), key)
+    return out
+
+
+def key_of(pieces: list[str]) -> np.ndarray:
+    """The key of every piece, as signed longs."""
+    out = np.zeros(len(pieces), np.uint64)
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    for n in np.unique(lengths[lengths > 0]):
+        of = np.flatnonzero(lengths == n)
+        out[of] = piece_keys([pieces[k] for k in of], int(n))[:, 0, -1]
+    return out.view(np.int64)
+
+
+class Lattices:
+    """The lattices of words of one length: edges by start and length, with scores and places in the key table."""
+
+    def __init__(self, words: list[str], keys: np.ndarray, scores: np.ndarray, max_len: int, unk: float, whole: bool = True):
+        """``keys`` is sorted. Without ``whole`` a word's own piece is no edge."""
+        found = piece_keys(words, max_len)
+        at = np.searchsorted(keys, found)
+        at[at == len(keys)] = 0
+        self.known = (keys[at] == found) & (found != 0) if len(keys) else np.zeros(found.shape, bool)
+        if not whole and found.shape[2] == found.shape[1]:
+            self.known[:, 0, -1] = False
+        self.at = at
+        self.scores = np.where(self.known, scores[at] if len(keys) else 0.0, -np.inf)
+        self.scores[:, :, 0] = np.where(self.known[:, :, 0], self.scores[:, :, 0], unk)
+
+    def _forward(self, join: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        b, n, most = self.scores.shape
+        alpha = np.full((b, n + 1), -np.inf)
+        alpha[:, 0] = 0.0
+        for j in range(1, n + 1):
+            terms = [alpha[:, j - l] + self.scores[:, j - l, l - 1] for l in range(1, min(most, j) + 1)]
+            alpha[:, j] = join(np.stack(terms))
+        return alpha
+
+    def best(self) -> np.ndarray:
+        """Score of the best path of every word."""
+        return self._forward(lambda t: t.max(axis=0))[:, -1]
+
+    def expected(self) -> tuple[np.ndarray, np.ndarray]:
+        """(log-likelihood of every word, probability that a path takes an edge: words x starts x lengths)."""
+        b, n, most = self.scores.shape
+        alpha = self._forward(_log_sum)
+        beta = np.full((b, n + 1), -np.inf)
+        beta[:, n] = 0.0
+        for i in range(n - 1, -1, -1):
+            beta[:, i] = _log_sum(np.stack([beta[:, i + l] + self.scores[:, i, l - 1] for l in range(1, min(most, n - i) + 1)]))
+        z = alpha[:, n]
+        p = np.zeros(self.scores.shape)
+        for l in range(1, most + 1):
+            p[:, : n - l + 1, l - 1] = np.exp(alpha[:, : n - l + 1] + self.scores[:, : n - l + 1, l - 1] + beta[:, l:] - z[:, None])
+        return z, p
+
+
+def _log_sum(terms: np.ndarray) -> np.ndarray:
+    most = terms.max(axis=0)
+    with np.errstate(divide="ignore"):  # no path: log(0)
+        return most + np.log(np.exp(terms - np.where(np.isfinite(most), most, 0.0)).sum(axis=0))
+
+
+def by_length(words: list[str], max_len: int) -> Iterator[np.ndarray]:
+    """Places of words of one length, as many at a time as CELLS allows."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    for n in np.unique(lengths[lengths > 0]):
+        of = np.flatnonzero(lengths == n)
+        step = max(1, CELLS // int(n * min(n, max_len)))
+        yield from (of[k : k + step] for k in range(0, len(of), step))
+
+
+# --------------------------------------------------------------------------- tables of the training loop
+
+
+def _dealt(words: DataFrame, column: str, n_words: int) -> DataFrame:
+    """``words`` with the part that each is dealt to."""
+    spark = words.sparkSession
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return words.withColumn("part", F.pmod(F.xxhash64(column), F.lit(max(least, -(-n_words // WORDS_PER_PART)))))
+
+
+def _held(words: DataFrame, column: str, scores: DataFrame, max_len: int) -> DataFrame:
+    """(part, key): the pieces of ``scores`` that the words of a part hold."""
+
+    def keys(group: pa.Table) -> pa.Table:
+        words, found = group.column(column).to_pylist(), []
+        for of in by_length(words, max_len):
+            k = np.unique(piece_keys([words[i] for i in of], max_len))
+            found.append(k[k != 0])
+        found = np.unique(np.concatenate([np.zeros(0, np.uint64), *found])).view(np.int64)
+        return pa.table({"part": pa.array(np.full(len(found), group.column("part")[0].as_py(), np.int64)), "key": pa.array(found)})
+
+    every = words.groupBy("part").applyInArrow(keys, "part long, key long")
+    return every.join(scores.select("key"), "key", "left_semi")
+
+
+def _sorted_scores(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys sorted, their scores, the order)."""
+    keys = group.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], group.column("score").to_numpy()[order], order
+
+
+def _expected_counts(words: DataFrame, held: DataFrame, scores: DataFrame, max_len: int, unk: float) -> DataFrame:
+    """(key, e): expected counts of pieces; the log-likelihood has a null key. ``words``: part, w, cnt."""
+
+    def run(words: pa.Table, pieces: pa.Table) -> pa.Table:
+        keys, values, _ = _sorted_scores(pieces)
+        texts, counts = words.column("w").to_pylist(), words.column("cnt").to_numpy().astype(np.float64)
+        sums, total = np.zeros(len(keys)), 0.0
+        for of in by_length(texts, max_len):
+            lattices = Lattices([texts[i] for i in of], keys, values, max_len, unk)
+            z, p = lattices.expected()
+            total += float(counts[of] @ z)
+            p *= counts[of][:, None, None]
+            sums += np.bincount(lattices.at[lattices.known], p[lattices.known], len(keys))
+        some = np.flatnonzero(sums)
+        return pa.table({
+            "key": pa.concat_arrays([pa.array(keys[some].view(np.int64)), pa.nulls(1, pa.int64())]),
+            "e": pa.array(np.append(sums[some], total)),
+        })
+
+    scored = held.join(scores.select("key", "score"), "key").select("part", "key", "score")
+    both = words.select("part", "w", "cnt").groupBy("part").cogroup(scored.groupBy("part"))
+    return both.applyInArrow(run, "key long, e double").groupBy("key").agg(F.sum("e").alias("e"))
+
+
+def _losses(pieces: DataFrame, n_pieces: int, scores: DataFrame, max_len: int, unk: float) -> DataFrame:
+    """(piece, loss) of ``pieces`` (piece, score, e): what the likelihood loses without a piece, its expected
+    count times the score it has over the best path through other pieces."""
+
+    def run(words: pa.Table, others: pa.Table) -> pa.Table:
+        keys, values, _ = _sorted_scores(others)
+        texts, count, score = words.column("piece").to_pylist(), words.column("e").to_numpy(), words.column("score").to_numpy()
+        best = np.zeros(len(texts))
+        for of in by_length(texts, max_len):
+            best[of] = Lattices([texts[i] for i in of], keys, values, max_len, unk, whole=False).best()
+        return pa.table({"piece": words.column("piece"), "loss": pa.array(count * (score - best))})
+
+    dealt = _dealt(pieces, "piece", n_pieces)
+    scored = _held(dealt, "piece", scores, max_len).join(scores.select("key", "score"), "key").select("part", "key", "score")
+    both = dealt.select("part", "piece", "score", "e").groupBy("part").cogroup(scored.groupBy("part"))
+    return both.applyInArrow(run, "piece string, loss double")
+
+
+def _keyed(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with their key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.append_column("key", pa.array(key_of(b.column("piece").to_pylist()), pa.int64()))
+
+    return pieces.mapInArrow(run, "piece string, score double, is_char boolean, key long")
+
+
+def unigram_pieces(
+    words: DataFrame,
+    vocab_size: int,
+    *,
+    seed_size: int = 1_000_000,
+    max_len: int = 16,
+    shrink: float = 0.75,
+    sub_iterations: int = 2,
+    coverage: float = 0.9995,
+    history: list | None = None,
+) -> DataFrame:
+    """(piece, score, is_char) of the learned pieces, a written table of ``vocab_size`` rows when the seeds
+    allow it (characters always kept). ``words``: word, cnt, words unique. ``history`` takes the
+    (number of pieces, log-likelihood) of every E-step."""
+    table = words.select(F.concat(F.lit(T.WORD_BOUNDARY), F.col("word")).alias("w"), "cnt")
+    table = stored(_dealt(table, "w", words.count()), "unigram-words")
+    chars = V.alphabet_from_counts(V.weighted_char_counts(table), coverage).select(F.col("ch").alias("piece"))
+    seeds = S.repeats(stored(S.intervals(table.select(F.col("w").alias("word"), "cnt"), max_len), "intervals"))
+    seeds = stored(seeds.withColumn("worth", F.col("freq") * F.length("piece")), "unigram-repeats")
+    n_seeds = seeds.count()
+    if n_seeds > seed_size:
+        seeds = _cut(seeds, "worth", seed_size, n_seeds)
+    total = float(seeds.agg(F.sum("freq")).first()[0] or 1)
+    # a character has one place's share; it may be a seed of no length but one, so the two sets are apart
+    first = seeds.select("piece", F.log(F.col("freq") / F.lit(total)).alias("score"), F.lit(False).alias("is_char"))
+    first = first.unionByName(chars.select("piece", F.lit(math.log(1.0 / total)).alias("score"), F.lit(True).alias("is_char")))
+    scores = stored(_keyed(first), "unigram-scores")
+    held = stored(_held(table, "w", scores, max_len), "unigram-held")
+    while True:
+        for _ in range(sub_iterations):
+            n, least = scores.agg(F.count("*"), F.min("score")).first()
+            if not n:
+                return scores.select("piece", "score", "is_char")
+            counts = stored(_expected_counts(table, held, scores, max_len, least - UNK_PENALTY), "unigram-counts")
+            by_piece = counts.where("key is not null")
+            sum_ = by_piece.agg(F.sum("e")).first()[0] or 1.0
+            if history is not None:
+                history.append((n, counts.where("key is null").first()["e"]))
+            share = F.greatest(F.coalesce("e", F.lit(0.0)), F.lit(1e-12)) / F.lit(sum_)
+            scores = stored(
+                scores.select("piece", "is_char", "key").join(by_piece, "key", "left").select("piece", F.log(share).alias("score"), "is_char", "key", F.coalesce("e", F.lit(0.0)).alias("e")),
+                "unigram-scores",
+            )
+        if n <= vocab_size:
+            return scores.select("piece", "score", "is_char")
+        room = max(vocab_size, int(n * shrink))
+        n_chars = scores.where("is_char").count()
+        rest = scores.where("not is_char")
+        least = scores.agg(F.min("score")).first()[0]
+        losses = stored(_losses(rest, n - n_chars, scores, max_len, least - UNK_PENALTY), "unigram-losses")
+        kept = _cut(losses, "loss", max(0, room - n_chars), n - n_chars).select("piece")
+        scores = stored(scores.where("is_char").unionByName(rest.join(kept, "piece", "left_semi")), "unigram-scores")
+
+
+def _cut(rows: DataFrame, value: str, n: int, n_rows: int) -> DataFrame:
+    """The ``n`` rows of largest ``value`` (ties: smaller piece), by a two-phase rank. ``rows`` is a written table."""
+    if n >= n_rows:
+        return rows
+    falling = rows.withColumn("falling", -F.col(value))
+    ranked = O.global_positions(falling, ["falling", "piece"], O.quantile_bucketing(falling, "falling", n_rows), out="rank")
+    return ranked.where(F.col("rank") < n).drop("falling", "rank")
 
 
 def train_unigram(
@@ -141,50 +321,13 @@ def train_unigram(
     """Learned pieces ``[(piece, log_prob)]``, most probable first, exactly
     ``vocab_size`` long when the seeds allow it (characters always kept)."""
     V.TrainingOptions(max(vocab_size, V.SMALLEST_VOCABULARY), coverage, "unigram")
-    words = V.word_counts(texts, text_col).where(~F.col("word").isin(*T.USER_DEFINED))
-    # the distinct-word table is the unit of parallel EM work: keep it spread
-    # over the configured shuffle parallelism (small tables would otherwise be
-    # coalesced into a few partitions and run the E-step on a few cores)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    wtab = (
-        words.select(F.concat(F.lit(T.WORD_BOUNDARY), F.col("word")).alias("w"), "cnt")
-        .repartition(parts, "w")
-        .checkpoint(eager=True)
-    )
-    chars = [r["ch"] for r in V.alphabet_from_counts(V.weighted_char_counts(wtab), coverage).collect()]
-    seeds = V.seed_pieces_from_counts(wtab.select(F.col("w").alias("word"), "cnt"), seed_size, max_len)
-    seed_rows = [(r["piece"], r["freq"]) for r in seeds.where(F.length("piece") > 1).collect()]
-    if len(seed_rows) + len(chars) > MAX_PIECES_BROADCAST:
-        raise options.OptionError([f"seed_size gives {len(seed_rows) + len(chars)} pieces, over the {MAX_PIECES_BROADCAST} a task may hold"])
-    total = float(sum(f for _, f in seed_rows)) or 1.0
-    char_set = set(chars)
-    scores = {p: math.log(f / total) for p, f in seed_rows}
-    for ch in chars:
-        scores.setdefault(ch, math.log(1.0 / total))
-    schema = "piece string, ecount double"
-    while True:
-        for _ in range(sub_iterations):
-            unk = min(scores.values()) - UNK_PENALTY
-            bc = spark.sparkContext.broadcast(scores)
-            stats = wtab.mapInPandas(_e_step(bc, max_len, unk), schema).groupBy("piece").agg(F.sum("ecount").alias("e"))
-            got = {r["piece"]: r["e"] for r in stats.collect()}
-            bc.unpersist()
-            loglik = got.pop("", 0.0)
-            if history is not None:
-                history.append((len(scores), loglik))
-            tot = sum(got.values()) or 1.0
-            scores = {p: math.log(max(got.get(p, 0.0), 1e-12) / tot) for p in scores}
-        if len(scores) <= vocab_size:
-            break
-        target = max(vocab_size, int(len(scores) * shrink))
-        room = max(0, target - len(char_set))
-        rest = spark.createDataFrame([(p, got.get(p, 0.0)) for p in scores if p not in char_set], schema)
-        bc = spark.sparkContext.broadcast(scores)
-        losses = rest.repartition(parts).mapInPandas(_losses(bc, max_len, unk), "piece string, loss double")
-        kept = losses.orderBy(F.desc("loss"), F.asc("piece")).limit(room).collect()
-        bc.unpersist()
-        scores = {p: scores[p] for p in [*chars, *(r["piece"] for r in kept)]}
-    return sorted(scores.items(), key=lambda kv: (-kv[1], kv[0]))
+    words = stored(V.word_counts(texts, text_col).where(~F.col("word").isin(*T.USER_DEFINED)), "words")
+    learned = unigram_pieces(words, vocab_size, seed_size=seed_size, max_len=max_len, shrink=shrink,
+                             sub_iterations=sub_iterations, coverage=coverage, history=history)
+    # the learned table is as large as the vocabulary (or the alphabet, of at most all code points)
+    rows = learned.limit(max(vocab_size, 0x110000) + 1).collect()
+    options.check(pieces=(len(rows), options.Rule(lambda n: n <= MAX_PIECES_BROADCAST, f"up to {MAX_PIECES_BROADCAST}")))
+    return sorted(((r["piece"], r["score"]) for r in rows), key=lambda kv: (-kv[1], kv[0]))
 
 
 def unigram_piece_table(spark: SparkSession, learned: list[tuple[str, float]]) -> DataFrame:

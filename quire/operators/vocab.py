@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from quire import options
 from quire.functions import text as T
 from quire.operators import offsets as O
-from quire.session import shared_path
+from quire.operators import suffixes as S
+from quire.operators.merges import train_merges
+from quire.session import stored
 
 # Model names and the least vocabulary the trainer accepts.
 SMALLEST_VOCABULARY = 100
@@ -62,13 +64,6 @@ def word_vocabulary(texts: DataFrame, vocab_size: int, text_col: str = "text") -
     return _learned_words(counts, vocab_size)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written once to the shared folder: what reads it several times does not count the corpus again."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _learned_words(counts: DataFrame, vocab_size: int) -> DataFrame:
     top = O.top_n(counts, vocab_size, "cnt", [F.asc("word")])
     return top.select(
@@ -204,22 +199,24 @@ def bpe_merges(
     text_col: str = "text",
     merges_per_round: int = 1,
 ) -> list[tuple[int, str, str, int]]:
-    """Pair-merge vocabulary (E5).
-
-    The (word, freq, symbols) table is distributed; each round counts pairs
-    with a map-side partial aggregate, fetches only the best pairs (ties:
-    left, then right symbol, ascending) and rewrites symbols with a string
-    replace, which merges non-overlapping occurrences left to right. Lineage
-    is cut with a reliable checkpoint every few rounds.
-
-    ``merges_per_round = 1`` is the exact merge order. With m > 1 a round
-    applies up to m of the best pairs that share no symbol: their counts do
-    not change each other, so each is merged with the count it has; the one
-    difference from the exact order is that a pair created by a merge of the
-    same round can only win from the next round on.
+    """Pair-merge vocabulary (E5): ``(index, left, right, places)`` of every merge.
+
+    ``merges_per_round = 1`` is the exact merge order, found in batches of many merges per pass
+    (:func:`quire.operators.merges.train_merges`). With m > 1 a round applies up to m of the
+    best pairs that share no symbol: their counts do not change each other, so each is merged
+    with the count it has; the one difference from the exact order is that a pair created by a
+    merge of the same round can only win from the next round on.
     """
     options.check(merges_per_round=(merges_per_round, options.COUNT))
     wc = word_counts(texts, text_col).where(~F.col("word").isin(*T.USER_DEFINED))
+    if merges_per_round == 1:
+        return train_merges(wc, n_merges, stored)
+    return merges_by_rounds(wc, n_merges, merges_per_round, checkpoint_every)
+
+
+def merges_by_rounds(wc: DataFrame, n_merges: int, merges_per_round: int, checkpoint_every: int = 8) -> list[tuple[int, str, str, int]]:
+    """One job per round: all pairs counted, the best ones merged by a string replace, which joins
+    non-overlapping occurrences left to right. Lineage is cut with a reliable checkpoint every few rounds."""
     wc = wc.select(symbol_string(F.col("word")).alias("s"), F.col("cnt").alias("freq"))
     # written before the first round: a round reads words and counts, never the corpus
     wc = stored(wc.where(F.length("s") > 0), "bpe-words")
@@ -257,8 +254,10 @@ def bpe_piece_table(spark: SparkSession, texts: DataFrame, n_merges: int, *, cov
     """Pair-merge piece table (E5): the alphabet of ``▁word`` symbols, then one
     piece per merge in merge order; score = -(merge index). With
     ``vocab_size`` the table (fixed pieces included) never exceeds it."""
-    wc = word_counts(texts, text_col).where(~F.col("word").isin(*T.USER_DEFINED))
-    wc = wc.select(F.concat(F.lit(T.WORD_BOUNDARY), F.col("word")).alias("w"), "cnt")
+    options.check(merges_per_round=(merges_per_round, options.COUNT))
+    # counted once: the alphabet and the merges read the written table
+    words = stored(word_counts(texts, text_col).where(~F.col("word").isin(*T.USER_DEFINED)), "words")
+    wc = words.select(F.concat(F.lit(T.WORD_BOUNDARY), F.col("word")).alias("w"), "cnt")
     kept = alphabet_from_counts(weighted_char_counts(wc), coverage)
     chars = [r["ch"] for r in kept.orderBy("rk").collect()]  # bounded by the code points
     if vocab_size is not None:
@@ -266,7 +265,10 @@ def bpe_piece_table(spark: SparkSession, texts: DataFrame, n_merges: int, *, cov
         if room < 0:
             raise options.OptionError([f"vocab_size leaves no room for the {len(chars)} characters of the alphabet: {vocab_size}"])
         n_merges = min(n_merges, room)
-    merges = bpe_merges(texts, n_merges, text_col=text_col, merges_per_round=merges_per_round)
+    if merges_per_round == 1:
+        merges = train_merges(words, n_merges, stored)
+    else:
+        merges = merges_by_rounds(words, n_merges, merges_per_round)
     rows, seen = [], set()
     for ch in chars:
         rows.append((ch, 0.0))
@@ -291,21 +293,20 @@ def seed_pieces(texts: DataFrame, n_seeds: int, max_len: int = 16, text_col: str
 
 
 def seed_pieces_from_counts(wc: DataFrame, n_seeds: int, max_len: int = 16) -> DataFrame:
-    """Every sub-string of a distinct word up to ``max_len`` characters, counted
-    with the word's frequency. Kept: the ``n_seeds`` best by frequency x length
-    (then piece). ``wc``: ``(word, cnt)``."""
-    starts = wc.select("word", "cnt", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("st"))
-    subs = starts.select(
-        "cnt",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(max_len), F.length("word") - F.col("st") + 1)),
-                lambda n: F.substring(F.col("word"), F.col("st"), n),
-            )
-        ).alias("piece"),
-    )
-    agg = subs.groupBy("piece").agg(F.sum("cnt").cast("long").alias("freq"))
-    scored = stored(agg.withColumn("score", F.col("freq") * F.length("piece")), "seeds")
+    """Every sub-string of a distinct word up to ``max_len`` characters, counted with the word's
+    frequency. Kept: the ``n_seeds`` best by frequency x length (then piece). ``wc``: ``(word, cnt)``.
+
+    Sub-strings come as intervals of sorted suffixes (:mod:`quire.operators.suffixes`); those of an
+    interval are spelt out only where the longest of them can be among the best.
+    """
+    found = stored(S.intervals(wc, max_len), "intervals")
+    longest = found.select((F.col("freq") * F.length("text")).alias("score"))
+    n = longest.count()
+    if n > n_seeds:  # the n best of the longest ones bound the n best of all from below
+        error = 0.001
+        bound = longest.approxQuantile("score", [max(0.0, 1.0 - n_seeds / n - 2 * error)], error)[0]
+        found = found.where(F.col("freq") * F.length("text") >= F.lit(bound).cast("long"))
+    scored = stored(S.spelt(found).withColumn("score", F.col("freq") * F.length("piece")), "seeds")
     return O.top_n(scored, n_seeds, "score", [F.asc("piece")]).drop("rk")
 
 

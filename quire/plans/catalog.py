@@ -197,6 +197,16 @@ def d_block_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.buffered_shuffle(st, P.SEED, P.SHUFFLE_BUFFER).select("spos", "doc_id")
 
 
+@register("d_buffer_shuffle")
+def d_buffer_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buffered shuffle by the buffer's own law (D2) over the doc_id-ordered stream."""
+    from quire.operators import order as D
+
+    n = C.count_rows(spark, sf_dir, "documents")
+    st = D.stream_positions(C.table(spark, sf_dir, "documents").select("doc_id"), "doc_id", n_rows=n)
+    return D.buffer_shuffle(st, P.SEED, P.SHUFFLE_BUFFER, n).select("spos", "doc_id")
+
+
 @register("d_shard_contig")
 def d_shard_contig(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contiguous shards over 3 workers (D3)."""
@@ -741,38 +751,33 @@ def _stage(df: DataFrame, base: str) -> DataFrame:
     return df.sparkSession.read.parquet(base)
 
 
-def _arrivals(staged: DataFrame, base: str, order_col: str, stream: Callable[[DataFrame], DataFrame], n_chunks: int = 4) -> DataFrame:
-    """Run ``stream`` over ``staged`` in ``n_chunks`` arrivals of growing ``order_col``.
+def _arrivals(staged: DataFrame, base: str, cut: F.Column, arrive: Callable[[DataFrame], None], n_chunks: int = 4) -> None:
+    """``arrive`` for each of ``n_chunks`` arrivals of ``staged``; ``cut`` is the arrival a row comes with.
 
-    An arrival is written by as many tasks as it takes, then the stream runs over all that
-    is new, from the same checkpoint: the order of arrival is the order of the chunks, and
-    within one the state function orders by the carried position.
+    An arrival is written by as many tasks as it takes, then the stream reads all that is new.
     """
-    from quire.streaming import pack_stream as J
-
     spark = staged.sparkSession
-    lo, hi = staged.agg(F.min(order_col), F.max(order_col)).first()
-    if lo is None:
-        lo = hi = 0
-    width = max(1, -(-(hi - lo + 1) // n_chunks))
-    out = None
     for c in range(n_chunks):
-        part = staged.where((F.col(order_col) >= lo + c * width) & (F.col(order_col) < lo + (c + 1) * width))
-        part.write.mode("append").parquet(f"{base}/source")
-        src = spark.readStream.schema(staged.schema).parquet(f"{base}/source")
-        out = J.run_available(spark, stream(src), f"{base}/sink", f"{base}/checkpoint")
-    return out
+        staged.where(cut == c).write.mode("append").parquet(f"{base}/source")
+        arrive(spark.readStream.schema(staged.schema).parquet(f"{base}/source"))
+
+
+def _quarter(staged: DataFrame, column: str, n_chunks: int = 4) -> F.Column:
+    """Which of ``n_chunks`` equal ranges of ``column`` a row is in."""
+    lo, hi = staged.agg(F.min(column), F.max(column)).first()
+    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // n_chunks))
+    return F.floor((F.col(column) - F.lit(lo or 0)) / F.lit(width))
 
 
 @register("j_pack")
 def j_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streaming pack with per-shard state."""
+    """Streaming pack over four arrivals, each with a part of every shard."""
     return _stream_packed(spark, sf_dir, None, True)
 
 
 @register("j_pack_limit")
 def j_pack_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streaming pack of the first MAX_SAMPLES documents of each shard, counted in the state
+    """Streaming pack of the first MAX_SAMPLES documents of each shard, counted over arrivals
     (J3), with each shard's padded tail (J2)."""
     return _stream_packed(spark, sf_dir, P.MAX_SAMPLES, False)
 
@@ -781,9 +786,13 @@ def _stream_packed(spark: SparkSession, sf_dir: str, max_samples: int | None, dr
     from quire.streaming import pack_stream as J
 
     base = shared_path(spark, "jpack")
-    staged = _stage(C.token_stream(spark, sf_dir).select("shard", "pos", "doc_id", "ids"), f"{base}/staged")
-    out = _arrivals(staged, base, "pos", lambda src: J.stream_pack(src, P.SEQ_LEN, max_samples=max_samples))
-    blocks = J.flush_tails(out, P.SEQ_LEN, drop_last=drop_last)
+    staged = _stage(C.token_stream(spark, sf_dir).select("shard", "pos", "doc_id", "ids"), f"{base}/staged-source")
+    # every arrival has a part of every shard: shards are ranges of pos, arrivals quarters of each shard
+    bounds = staged.groupBy("shard").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    part = F.floor((F.col("pos") - F.col("lo")) * 4 / (F.col("hi") - F.col("lo") + 1))
+    staged = _stage(staged.join(bounds, "shard").withColumn("part", part).drop("lo", "hi"), f"{base}/parted-source")
+    _arrivals(staged, base, F.col("part"), lambda src: J.pack_arrival(spark, src, P.SEQ_LEN, base, max_samples=max_samples))
+    blocks = J.packed_blocks(spark, base, P.SEQ_LEN, drop_last=drop_last)
     return blocks.select(
         "shard", "block_id",
         T.ids_text(F.col("input_ids")).alias("input_ids"),
@@ -794,12 +803,13 @@ def _stream_packed(spark: SparkSession, sf_dir: str, max_samples: int | None, dr
 
 @register("j_metrics")
 def j_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streaming metric log with a best-so-far flag kept in keyed state."""
+    """Streaming metric log with a best-so-far flag (J4): minima of step ranges, and the ledger's best per tag."""
     from quire.streaming import pack_stream as J
 
     base = shared_path(spark, "jmetrics")
-    staged = _stage(_event_metrics(spark, sf_dir), f"{base}/staged")
-    return _arrivals(staged, base, "step", J.stream_best)
+    staged = _stage(_event_metrics(spark, sf_dir), f"{base}/staged-source")
+    _arrivals(staged, base, _quarter(staged, "step"), lambda src: J.best_arrival(spark, src, base))
+    return J.best_rows(spark, base)
 
 
 @register("a_stream")
@@ -812,8 +822,8 @@ def a_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     glob = f"{sf_dir.rstrip('/')}/documents*.parquet"
     reg = R.SourceRegistry([R.SourceSpec(genre="all", path=glob)])
     src = R.stream_source(spark, reg, "all").select("doc_id", "text")
-    out = J.run_available(spark, src, f"{base}/sink", f"{base}/checkpoint")
-    return out.select("doc_id", F.length("text").alias("n_chars"))
+    J.run_available(spark, src, f"{base}/sink", f"{base}/checkpoint")
+    return spark.read.schema(src.schema).parquet(f"{base}/sink").select("doc_id", F.length("text").alias("n_chars"))
 
 
 # --------------------------------------------------------------------------- sinks, sub-word model
@@ -937,6 +947,45 @@ def e_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.bpe_piece_table(spark, C.table(spark, sf_dir, "documents"), P.BPE_FULL_MERGES)
 
 
+def _merge_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import vocab as V
+
+    return V.bpe_piece_table(spark, C.table(spark, sf_dir, "documents"), P.BPE_VOCAB_MERGES)
+
+
+def _merge_encoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from quire.operators import merges as M
+
+    pieces = _merge_pieces(spark, sf_dir)
+    return pieces, M.encode_merges(C.table(spark, sf_dir, "documents"), pieces, MERGE_PIECES)
+
+
+# the alphabet is bounded by the code points
+MERGE_PIECES = T.FIRST_LEARNED_ID + P.BPE_VOCAB_MERGES + 0x110000
+
+
+@register("e_bpe_vocabulary")
+def e_bpe_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair-merge vocabulary of BPE_VOCAB_MERGES merges (E5), beyond what SQL can unroll; rows-only check."""
+    return _merge_pieces(spark, sf_dir)
+
+
+@register("f_bpe")
+def f_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair-merge encode of every document with the learned merges (F1); rows-only check."""
+    _, enc = _merge_encoded(spark, sf_dir)
+    return enc.select("doc_id", F.size("ids").alias("n_ids"), F.md5(T.ids_text(F.col("ids"))).alias("ids_md5"))
+
+
+@register("f_bpe_text")
+def f_bpe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded text of the pair-merge encode (F1, F6): the words of every document, one blank between them."""
+    from quire.operators import encode as E
+
+    pieces, enc = _merge_encoded(spark, sf_dir)
+    return E.decode_ids(enc, pieces, MERGE_PIECES).select("doc_id", F.md5("text").alias("text_md5"))
+
+
 # --------------------------------------------------------------------------- reports asked for by the quirks table
 
 

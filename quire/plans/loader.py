@@ -75,7 +75,7 @@ def pretrain_batches(
     # positions, shuffle and shards on narrow rows: (pos, genre, doc_id, salt)
     stream = stream.select("pos", "genre", "doc_id", "salt")
     if shuffle:
-        stream = D.buffered_shuffle(stream, shuffle_seed, shuffle_buffer_size, pos_col="pos", out="spos")
+        stream = D.buffer_shuffle(stream, shuffle_seed, shuffle_buffer_size, n, pos_col="pos", out="spos")
         stream = stream.drop("pos").withColumnRenamed("spos", "pos")
     stream = stream.withColumn("shard", D.contiguous_shard(F.col("pos"), n, workers))
 

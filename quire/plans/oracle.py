@@ -7,6 +7,8 @@ lambdas use the ``lambda x: ...`` form.
 
 from __future__ import annotations
 
+import unicodedata
+
 from quire.plans import params as P
 from quire.sources import registry as R
 
@@ -292,6 +294,28 @@ SELECT (pos // {P.SHUFFLE_BUFFER}) * {P.SHUFFLE_BUFFER}
 FROM p
 """
 
+def cte_buffer(src: str, name: str) -> str:
+    """``name`` (doc_id, pos, n): the rows of ``src`` (doc_id, pos0) as a shuffle buffer hands them out."""
+    b, seed = P.SHUFFLE_BUFFER, P.SEED
+    return f"""
+{name}_slot AS (
+  SELECT doc_id, pos0, count(*) OVER () AS n,
+         CASE WHEN pos0 < {b} THEN pos0 ELSE CAST('0x' || substr(md5('{seed}:slot:' || CAST(pos0 - {b} AS VARCHAR)), 1, 13) AS BIGINT) % {b} END AS slot
+  FROM {src}
+),
+{name}_out AS (SELECT *, lead(pos0) OVER (PARTITION BY slot ORDER BY pos0) - {b} AS leaves FROM {name}_slot),
+{name} AS (
+  SELECT doc_id, n, coalesce(leaves, greatest(n - {b}, 0) + row_number() OVER (
+           PARTITION BY leaves IS NULL ORDER BY md5('{seed}:' || CAST(doc_id AS VARCHAR) || ':' || CAST(pos0 AS VARCHAR)), pos0) - 1) AS pos
+  FROM {name}_out
+)"""
+
+
+ORACLE["d_buffer_shuffle"] = f"""
+WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos0 FROM documents),{cte_buffer("p", "shuffled")}
+SELECT pos AS spos, doc_id FROM shuffled
+"""
+
 _SHARD3 = """
 CAST(CASE WHEN n // 3 = 0 THEN pos
           WHEN pos < (n % 3) * (n // 3 + 1) THEN pos // (n // 3 + 1)
@@ -400,6 +424,35 @@ SELECT doc_id,
 FROM n
 """
 
+
+
+def _compatibility_rows() -> str:
+    """VALUES of every character that a compatibility mapping changes, with its full decomposition (by rule, from
+    the Unicode data of Python). NFKC is NFC of the text with these in place."""
+    rows = []
+    for c in (*range(0xD800), *range(0xE000, 0x110000)):
+        ch = chr(c)
+        if (full := unicodedata.normalize("NFKD", ch)) != unicodedata.normalize("NFD", ch):
+            rows.append("(" + repr(c) + ", '" + full.replace("'", "''") + "')")
+    return ", ".join(rows)
+
+
+_Q = chr(39) * 2
+ORACLE["b_nfkc"] = f"""
+WITH compat(c, full) AS (VALUES {_compatibility_rows()}),
+raw AS (SELECT doc_id, replace(replace(replace(replace(text, '«', '"'), '»', '"'), '…', '...'), '’', '{_Q}') AS t FROM documents),
+ch AS (SELECT doc_id, unnest(string_split(t, '')) AS x, unnest(range(len(string_split(t, '')))) AS i FROM raw),
+full_ AS (SELECT doc_id, nfc_normalize(coalesce(string_agg(coalesce(full, x), '' ORDER BY i), '')) AS t
+          FROM ch LEFT JOIN compat ON c = ord(x) GROUP BY doc_id),
+nmt AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[\x00-\x08\x0B\x0E-\x1F\x7F\x{{8F}}\x{{9F}}]', '', 'g'),
+          '[\t\n\r\x0C\x{{1680}}\x{{2000}}-\x{{200F}}\x{{2028}}\x{{2029}}\x{{205F}}\x{{2581}}\x{{3000}}\x{{FEFF}}\x{{FFFD}}]', ' ', 'g') AS t FROM full_),
+n AS (SELECT doc_id, trim(regexp_replace(t, '[ \t\n\r]+', ' ', 'g')) AS x FROM nmt)
+SELECT doc_id,
+       md5(CASE WHEN length(x) > 0 THEN '▁' || replace(x, ' ', '▁') ELSE x END) AS norm_md5,
+       CAST(length(CASE WHEN length(x) > 0 THEN '▁' || replace(x, ' ', '▁') ELSE x END) AS INTEGER) AS n_chars
+FROM n
+"""
+
 CTE_BENC = [CTE_WORDS, CTE_VOCAB, words_of("benchmark", "item_id", "text", "bw"), cte_encode("bw", "item_id", "benc")]
 
 ORACLE["b_prompt_crop"] = _q(
@@ -790,14 +843,9 @@ ORACLE["g_loader"] = (
     + ",\n".join(c.strip() for c in (CTE_WORDS.replace("FROM documents WHERE", "FROM documents WHERE"), CTE_VOCAB, cte_encode()))
     + f""",
 mpos AS (SELECT doc_id, row_number() OVER (ORDER BY k) - 1 AS pos0 FROM mixed),
-lpos AS (
-  SELECT doc_id,
-         (pos0 // {P.SHUFFLE_BUFFER}) * {P.SHUFFLE_BUFFER}
-           + row_number() OVER (PARTITION BY pos0 // {P.SHUFFLE_BUFFER}
-                                ORDER BY md5('{P.SEED}:' || CAST(doc_id AS VARCHAR) || ':' || CAST(pos0 AS VARCHAR)), pos0) - 1 AS pos,
-         count(*) OVER () AS n
-  FROM mpos
-),
+"""
+    + cte_buffer("mpos", "lpos").strip()
+    + """,
 """
     + cte_shards("lpos", W).strip()
     + ",\n"
@@ -1024,3 +1072,5 @@ ORACLE["f_subword_text"] = _q(
     CTE_WORDS,
     body="SELECT doc_id, md5(array_to_string(ws, ' ')) AS text_md5 FROM wl WHERE len(ws) > 0",
 )
+
+ORACLE["f_bpe_text"] = ORACLE["f_subword_text"]

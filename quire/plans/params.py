@@ -8,7 +8,7 @@ BATCH_SIZE = 8  # packed samples per batch
 EVAL_BATCH = 4  # collated evaluation rows per batch
 ACCUMULATE = 4  # batches per optimizer update
 EVAL_MAX_LEN = 1024  # truncation of evaluation texts (incl. <s> and </s>)
-MAX_EVAL_BATCHES = 6  # evaluation stops after this many batches
+MAX_EVAL_BATCHES = 30  # evaluation stops after this many batches
 CHECKPOINT_INTERVAL = 128  # steps between evaluations
 CROP = 16  # context crop of prompts
 ALPHA = 0.1  # add-alpha smoothing of the bigram model
@@ -33,6 +33,7 @@ SINGLE_GENRE = "literature"
 BPE_MERGES = 3
 SEED_PIECES = 1000
 SEED_MAX_LEN = 16
-UNIGRAM_VOCAB = 500
-UNIGRAM_SEEDS = 2000
-BPE_FULL_MERGES = 24
+UNIGRAM_VOCAB = 12_000
+UNIGRAM_SEEDS = 1_000_000
+BPE_FULL_MERGES = 24  # of the run that SQL unrolls
+BPE_VOCAB_MERGES = 3000  # of the vocabulary that encodes

@@ -65,6 +65,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root}/quire-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df, name: str):
+    """Written once to the shared folder and read back: what reads it several times does not run its plan again."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 SCAN_PARTITIONS = "spark.quire.scanPartitions"
 
 

@@ -80,9 +80,8 @@ def test_stream_pack_limit_counts_per_shard(spark):
     st = C.token_stream(spark, SF_SMALL)
     base = shared_path(spark, "test-jlimit")
     st.write.parquet(f"{base}/src")
-    src = spark.readStream.schema(st.schema).parquet(f"{base}/src")
-    out = J.run_available(spark, J.stream_pack(src, 16, max_samples=5), f"{base}/sink", f"{base}/ck")
-    blocks = J.flush_tails(out, 16, drop_last=False).collect()
+    J.pack_arrival(spark, spark.readStream.schema(st.schema).parquet(f"{base}/src"), 16, base, max_samples=5)
+    blocks = J.packed_blocks(spark, base, 16, drop_last=False).collect()
     from quire.operators import order as D
     from quire.operators import offsets as O
     from quire.operators import pack as G
