@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from quire import options
 from quire.functions import text as T
 from quire.operators import offsets as O
+from quire.session import stored
 from quire.sources import registry as R
 
 # The names of the three stopping rules.
@@ -122,18 +123,19 @@ def _n_expr(ns: list[int]) -> F.Column:
 
 def exhaustion_points(
     spark: SparkSession, counts: list[int], weights: list[float], seed: int, first_only: bool = False
-) -> tuple[int, list[int | None]]:
-    """Draws needed and ``k_s`` per source (None: not reached). Starts near the expected number of
-    draws and doubles until every source, or with ``first_only`` any source, has been read to its end."""
+) -> tuple[DataFrame, list[int | None]]:
+    """The draws ``(k, gi, occ)``, a written table, and ``k_s`` per source (None: not reached). Starts near the
+    expected number of draws and doubles until every source, or with ``first_only`` any source, has been read
+    to its end. The mix reads its draws from the same table."""
     cum = cumulative(weights)
     expected = [c / w for c, w in zip(counts, weights)]
     n = math.ceil(1.2 * (min(expected) if first_only else max(expected))) + 1000
     while True:
-        d = draws(spark, n, seed, cum)
+        d = stored(draws(spark, n, seed, cum), "draws")
         rows = d.where(F.col("occ") == _n_expr(counts) - 1).groupBy("gi").agg(F.min("k").alias("ks")).collect()
         ks = {r["gi"]: r["ks"] for r in rows}
         if len(ks) == len(counts) or first_only and ks:
-            return n, [ks.get(i) for i in range(len(counts))]
+            return d, [ks.get(i) for i in range(len(counts))]
         n *= 2
 
 
@@ -192,9 +194,9 @@ def interleave_plan(
     counts = [int(counted.get(g, 0)) for g in genres]
     options.reject([f"source {g!r} has no rows to draw" for g, c in zip(genres, counts) if not c])
     first = strategy == "first_exhausted"
-    _, ks = exhaustion_points(spark, counts, weights, seed, first)
+    d, ks = exhaustion_points(spark, counts, weights, seed, first)
     cut = min(k for k in ks if k is not None) if first else max(ks)
-    d = draws(spark, cut + 1, seed, cumulative(weights))  # earlier draws do not depend on later ones
+    d = d.where(F.col("k") <= cut)  # earlier draws do not depend on later ones
     n_col = _n_expr(counts)
     if strategy == "all_exhausted":
         d = d.withColumn("row", F.pmod(F.col("occ"), n_col))

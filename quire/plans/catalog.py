@@ -857,7 +857,8 @@ def a_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _unigram(spark: SparkSession, sf_dir: str) -> list:
     from quire.operators import unigram as U
 
-    return U.train_unigram(spark, C.table(spark, sf_dir, "documents"), P.UNIGRAM_VOCAB, seed_size=P.UNIGRAM_SEEDS)
+    docs = C.table(spark, sf_dir, "documents")
+    return C.trained(spark, ("unigram", sf_dir), lambda: U.train_unigram(spark, docs, P.UNIGRAM_VOCAB, seed_size=P.UNIGRAM_SEEDS))
 
 
 @register("e_unigram")
@@ -950,7 +951,8 @@ def e_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _merge_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators import vocab as V
 
-    return V.bpe_piece_table(spark, C.table(spark, sf_dir, "documents"), P.BPE_VOCAB_MERGES)
+    docs = C.table(spark, sf_dir, "documents")
+    return C.trained(spark, ("merges", sf_dir), lambda: V.bpe_piece_table(spark, docs, P.BPE_VOCAB_MERGES))
 
 
 def _merge_encoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -51,6 +51,17 @@ def reset_query_scope() -> None:
     _MODEL.clear()
 
 
+_TRAINED: dict = {}
+
+
+def trained(spark: SparkSession, key: tuple, train):
+    """A sub-word vocabulary that several queries use, trained once per application and input."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _TRAINED:
+        _TRAINED[key] = train()
+    return _TRAINED[key]
+
+
 def word_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(vocab, pieces) of the word model, learned once per query."""
     key = (id(spark), sf_dir, P.VOCAB_SIZE)

@@ -438,14 +438,14 @@ def _compatibility_rows() -> str:
 
 
 _Q = chr(39) * 2
-ORACLE["b_nfkc"] = f"""
-WITH compat(c, full) AS (VALUES {_compatibility_rows()}),
+ORACLE["b_nfkc"] = rf"""
+WITH compat(c, decomposed) AS (VALUES {_compatibility_rows()}),
 raw AS (SELECT doc_id, replace(replace(replace(replace(text, '«', '"'), '»', '"'), '…', '...'), '’', '{_Q}') AS t FROM documents),
 ch AS (SELECT doc_id, unnest(string_split(t, '')) AS x, unnest(range(len(string_split(t, '')))) AS i FROM raw),
-full_ AS (SELECT doc_id, nfc_normalize(coalesce(string_agg(coalesce(full, x), '' ORDER BY i), '')) AS t
+composed AS (SELECT doc_id, nfc_normalize(coalesce(string_agg(coalesce(decomposed, x), '' ORDER BY i), '')) AS t
           FROM ch LEFT JOIN compat ON c = ord(x) GROUP BY doc_id),
 nmt AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[\x00-\x08\x0B\x0E-\x1F\x7F\x{{8F}}\x{{9F}}]', '', 'g'),
-          '[\t\n\r\x0C\x{{1680}}\x{{2000}}-\x{{200F}}\x{{2028}}\x{{2029}}\x{{205F}}\x{{2581}}\x{{3000}}\x{{FEFF}}\x{{FFFD}}]', ' ', 'g') AS t FROM full_),
+          '[\t\n\r\x0C\x{{1680}}\x{{2000}}-\x{{200F}}\x{{2028}}\x{{2029}}\x{{205F}}\x{{2581}}\x{{3000}}\x{{FEFF}}\x{{FFFD}}]', ' ', 'g') AS t FROM composed),
 n AS (SELECT doc_id, trim(regexp_replace(t, '[ \t\n\r]+', ' ', 'g')) AS x FROM nmt)
 SELECT doc_id,
        md5(CASE WHEN length(x) > 0 THEN '▁' || replace(x, ' ', '▁') ELSE x END) AS norm_md5,
