@@ -24,6 +24,9 @@ from quire.operators import pack as G
 from quire.sources import registry as R
 
 
+TOKENS_PER_TASK = 2_000_000  # of documents that are cut into blocks
+
+
 def pretrain_batches(
     spark: SparkSession,
     registry: R.SourceRegistry,
@@ -90,6 +93,10 @@ def pretrain_batches(
     # narrow rows, written once: the running sums, the totals and the last join read them
     lengths = lengths.select("shard", "pos", "genre", "doc_id", "salt", "L").checkpoint(eager=True)
     offs = G.narrow_offsets(lengths, O.position_bucketing("pos", n, spark), keep=("genre", "doc_id", "salt"))
+    # narrow rows look like work for one task, but each brings a document's tokens with the next
+    # join: they are dealt by the number of tokens, which Spark cannot know
+    total = lengths.agg(F.sum("L")).first()[0] or 0
+    offs = offs.repartition(max(spark.sparkContext.defaultParallelism, -(-total // TOKENS_PER_TASK)), "shard", "pos")
     toks = F.concat("ids", F.array(F.lit(T.EOS_ID))) if add_eos_between_samples else F.col("ids")
     rows = plan.attach(offs, encoded.select("doc_id", "genre", toks.alias("toks")))
     blocks = G.cut_blocks(rows, seq_length, drop_last=drop_last_sample, ignore_index=ignore_index)
