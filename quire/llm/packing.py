@@ -19,6 +19,7 @@ their own. An empty table gives no rows. Columns beside the id and the text are
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quire.llm.common import materialise, text_bytes, unused
+from quire.llm.common import LOWER_ASCII, materialise, text_bytes, unused
 from quire.llm.words import groups
 
 CAPACITY = 4096
 END_ID = 1
 PIECES_PER_GROUP = 20_000
-KNOWN_WORDS = 400_000  # words whose ids a Python worker keeps
+KNOWN_WORDS = 1_000_000  # words whose ids a Python worker keeps
+WORDS_AT_ONCE, STRINGS_AT_ONCE = 256, 64
+# between an ASCII letter or digit and a mark; what stands before may be a letter of another script, so not there
+_BEFORE_MARK = re.compile(rb"(?<=[a-z0-9])(?=[!-/:-@\[-`{-~])")
 
 _ENCODERS: dict = {}
 
@@ -41,8 +45,9 @@ _ENCODERS: dict = {}
 class WordEncoder:
     """Ids of texts as little-endian 32-bit bytes, by way of the ids of their words.
 
-    For tokenizers that drop white space and never join across it: a text's ids are those of
-    its blank-separated words, one after another. Strings of special tokens are ordinary text.
+    For tokenizers that lower-case, drop white space and never join across it, nor across the
+    place between a letter or digit and a mark: a text's ids are those of its parts, one after
+    another. Strings of special tokens are ordinary text. A worker remembers the parts it knows.
     """
 
     def __init__(self, path: str):
@@ -60,15 +65,26 @@ class WordEncoder:
         return _ENCODERS[path]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
+        words = [_BEFORE_MARK.sub(b" ", t.translate(LOWER_ASCII)).split() for t in texts]
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
         new = list(set().union(*words).difference(self.known))
-        if new:
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            self.known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
+        for k in range(0, len(new), WORDS_AT_ONCE * STRINGS_AT_ONCE):
+            self._learn(new[k : k + WORDS_AT_ONCE * STRINGS_AT_ONCE])
         return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode words by the hundred as one text: a token belongs to the word it begins in."""
+        runs = [words[k : k + WORDS_AT_ONCE] for k in range(0, len(words), WORDS_AT_ONCE)]
+        texts = [[w.decode() for w in r] for r in runs]
+        found = self.tokenizer.encode_batch([" ".join(t) for t in texts], add_special_tokens=False)
+        for run, text, e in zip(runs, texts, found):
+            starts = np.cumsum([0, *[len(w) + 1 for w in text]])
+            begin = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
+            cuts = (4 * np.searchsorted(begin, starts)).tolist()
+            raw = np.asarray(e.ids, "<u4").tobytes()
+            self.known.update(zip(run, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
+
 
 def encode_pieces(
     docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text"
