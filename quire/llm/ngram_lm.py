@@ -85,8 +85,9 @@ class Level:
     probabilities; both work on arrays that the operating system pages in.
     """
 
-    def __init__(self, keys: np.ndarray, prob: np.ndarray, width: int):
-        """``keys`` distinct and sorted, ``prob`` in (0, 1], ``width`` above every word id."""
+    def __init__(self, keys: np.ndarray, prob: np.ndarray, width: int, scale: tuple[float, float] | None = None):
+        """``keys`` distinct and sorted, ``prob`` in (0, 1], ``width`` above every word id. ``scale``: the least
+        logarithm and the step of the codes; the level's own range without it."""
         self.width, self.n = width, len(keys)
         context, word = keys // width, keys % width
         node, start = np.unique(context, return_index=True)
@@ -95,9 +96,11 @@ class Level:
         base = np.concatenate([[0], np.cumsum(last + 1)])
         run = word + np.repeat(base[:-1], np.diff(pointer)) if len(keys) else word
         log = np.log10(prob) if len(prob) else np.zeros(0)
-        self.low = float(log.min()) if len(log) else 0.0
-        self.step = max((float(log.max()) - self.low) / (LEVELS - 1), 1e-12) if len(log) else 1.0
-        codes = (np.rint((log - self.low) / self.step) + 1).astype(np.uint16)
+        if scale is None:
+            low = float(log.min()) if len(log) else 0.0
+            scale = low, max((float(log.max()) - low) / (LEVELS - 1), 1e-12) if len(log) else 1.0
+        self.low, self.step = scale
+        codes = encode(log, self.low, self.step)
         self.contexts = EliasFano.build(node, int(node[-1]) + 1 if len(node) else 1)
         self.pointers = EliasFano.build(pointer, len(keys) + 1)
         self.successors = EliasFano.build(run, int(base[-1]) + 1)
@@ -151,6 +154,17 @@ class Level:
         return np.where(at >= 0, self.codes[np.maximum(at, 0)], 0)
 
 
+def encode(log: np.ndarray, low: float, step: float) -> np.ndarray:
+    """16-bit codes of base-10 logarithms from ``low`` on; 0 is left for what is not in the level."""
+    return (np.rint((log - low) / step) + 1).astype(np.uint16)
+
+
+def scale_of(tokens: int, mass: float) -> tuple[float, float]:
+    """(least logarithm, step) of the codes: c / (total + M) lies between 1 / (N + M) and 1, in every shard and batch."""
+    low = -np.log10(tokens + mass)
+    return float(low), max(float(-low / (LEVELS - 1)), 1e-12)
+
+
 def decode(codes: np.ndarray, low: float, step: float) -> np.ndarray:
     return np.where(codes > 0, 10.0 ** (low + (codes.astype(np.float64) - 1) * step), 0.0)
 
@@ -290,14 +304,21 @@ class Batch:
             if len(w):
                 yield int(shard[w[0]]), w + own
 
-    def answer(self, width: int, replies: dict[int, dict], mass: float, p: np.ndarray) -> np.ndarray:
-        """Interpolate the next level over ``p``; then step to longer contexts."""
+    def answer(self, width: int, replies: dict[int, dict], mass: float, scale: tuple[float, float], p: np.ndarray) -> np.ndarray:
+        """Interpolate the next level over ``p``; then step to longer contexts.
+
+        What the batch counts itself takes the same codes as in the trie, so scores do not depend
+        on how documents fall into batches.
+        """
         keys, ok, which = self.grams(width)
         here = np.bincount(which[self.train[ok]], minlength=len(keys))
         total = np.zeros(len(keys), np.int64)
         total[which] = self.context_count[ok]
         # right for n-grams that train in this batch alone; the shards have those that train in others too
-        own, node, count, shared = here / (total + mass), np.full(len(keys), -1, np.int64), here.copy(), np.zeros(len(keys), bool)
+        seen = np.flatnonzero(here)
+        codes = np.zeros(len(keys), np.uint16)
+        codes[seen] = encode(np.log10(here[seen] / (total[seen] + mass)), *scale)
+        own, node, count, shared = decode(codes, *scale), np.full(len(keys), -1, np.int64), here.copy(), np.zeros(len(keys), bool)
         for s, w in self.dealt(keys):
             r = replies[s]
             others = unpack(r["counts"]) - 1  # -1: no other batch holds it
@@ -367,7 +388,7 @@ def answer_words(asked: DataFrame, shards: int) -> DataFrame:
     return asked.repartition(shards, "shard").sortWithinPartitions("shard", "batch").mapInArrow(run, _REPLY)
 
 
-def answer_grams(asked: DataFrame, shards: int, level: int, width: int, mass: float, last: bool) -> DataFrame:
+def answer_grams(asked: DataFrame, shards: int, level: int, width: int, mass: float, tokens: int, last: bool) -> DataFrame:
     """One level of every shard: build the trie from the training counts, answer all that was asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,7 +403,7 @@ def answer_grams(asked: DataFrame, shards: int, level: int, width: int, mass: fl
                 total[inverse[at : at + len(k)]] = np.repeat(unpack(r["totals"]), np.diff(np.append(first, len(k))))
                 at += len(k)
             seen = np.flatnonzero(count > 0)
-            trie = Level(every[seen], count[seen] / (total[seen] + mass), width)
+            trie = Level(every[seen], count[seen] / (total[seen] + mass), width, scale_of(tokens, mass))
             at_all = trie.find(every)
             codes = trie.code(at_all)
             shared = np.bincount(inverse, minlength=len(every)) > 1  # held by several batches
@@ -411,7 +432,7 @@ def _replayed(left: pa.Table, right: pa.Table, shards: int, width: int, upto: in
     p = (batch.count + 1.0) / (n + v + 1.0)
     batch.base = np.log10(p)
     for level in range(2, upto):
-        p = batch.answer(width, replies.get(level, {}), mass, p)
+        p = batch.answer(width, replies.get(level, {}), mass, scale_of(n, mass), p)
     return batch, p
 
 
@@ -422,8 +443,8 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER, mass: flo
     Null and empty texts have one token, the end mark. Null doc_ids stay null. Repeated rows
     train as often as they occur and score alike. A table without training rows: counts of
     0 and N = V = 0 (score log10(1) = 0 per token). Empty table: no rows. Other columns are
-    not read. Texts are read once; nothing depends on how many partitions the table has but
-    the last bits of the quantised codes.
+    not read. Texts are read once; nothing depends on how many partitions the table has or how
+    documents fall into batches.
     """
     if order < 1:
         raise ValueError("the order is 1 or more")
@@ -474,7 +495,7 @@ def _score(batches: DataFrame, order: int, mass: float) -> DataFrame:
         if width * max(tokens, width) >= 1 << 62:
             raise ValueError("node and word ids of this corpus do not fit 62 bits: lower the order")
         asked = batches.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(sender(level), _ASKED)
-        level_replies = materialise(answer_grams(asked, shards, level, width, mass, level == order), f"lm-level{level}")
+        level_replies = materialise(answer_grams(asked, shards, level, width, mass, n, level == order), f"lm-level{level}")
         replies = replies.unionByName(level_replies)
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:

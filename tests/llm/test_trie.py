@@ -33,9 +33,12 @@ def test_scores_do_not_depend_on_the_batches(spark, order):
     rows = [(i, sentence(rng, 25) + f" only{i} here{i} " + sentence(rng, 5), "en", "s", 1) for i in range(120)]
     rows += [(200 + i, rows[i][1], "en", "s", 1) for i in range(0, 120, 3)]
     want = {i: w[4] for (i, *_), w in zip(rows, counted(rows, order, [crc_mod(i, 7) == 2 for i, *_ in rows]), strict=True)}
-    for size in (200, 1 << 20):
-        got = ngram_lm.score_texts(frame(spark, rows).repartition(2), fold(F.col("doc_id"), 7) == 2, order, tokens_per_batch=size).collect()
+    scores = []
+    for size, parts in ((200, 2), (1 << 20, 2), (700, 5)):
+        got = ngram_lm.score_texts(frame(spark, rows).repartition(parts), fold(F.col("doc_id"), 7) == 2, order, tokens_per_batch=size).collect()
         assert len(got) == len(rows) and all(abs(r.score - want[r.doc_id]) < 0.03 for r in got)
+        scores.append(sorted((r.doc_id, r.score) for r in got))
+    assert scores[0] == scores[1] == scores[2]
 
 
 def test_own_contexts_ask_no_shard():
