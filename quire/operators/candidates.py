@@ -57,10 +57,16 @@ def _top_k_rows(scores: np.ndarray, ids: np.ndarray, kk: int) -> tuple[np.ndarra
     return np.concatenate(rows_out), np.concatenate(items_out), np.concatenate(scores_out)
 
 
+def _usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """Rows with an id and a vector without nulls: the others have no score."""
+    whole = F.forall(vec_col, lambda x: x.isNotNull())
+    return rows.where(F.col(id_col).isNotNull() & (F.size(vec_col) > 0) & F.coalesce(whole, F.lit(False)))
+
+
 def _vector_blocks(rows: DataFrame, n: int, block: int, id_col: str, vec_col: str, name: str) -> tuple[DataFrame, int]:
     """``(name, ids, vectors)``: one row per block, packed on the executors, and the number of blocks."""
     count = max(1, -(-n // block))
-    dealt = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    dealt = _usable(rows, id_col, vec_col).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     dealt = dealt.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
 
     def pack(key: tuple, t: pa.Table) -> pa.Table:
@@ -91,7 +97,8 @@ def inner_product_top_k(
     Any number of items; with ``max_items`` given, more rows are refused. Both sides are
     packed into blocks on the executors and meet as tiles, one context block against one
     item block; a tile gives each of its contexts at most k rows, which are merged per
-    context. No pair rows are made and nothing passes through the driver.
+    context. No pair rows are made and nothing passes through the driver. Rows without an id,
+    without a vector or with a null component are neither contexts nor items.
     """
     n_items = items.count()
     few = options.Rule(lambda n: max_items is None or n <= max_items, f"a vocabulary of up to {max_items} rows")

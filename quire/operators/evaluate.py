@@ -87,3 +87,22 @@ def metric_log(train: DataFrame, interval: int, evaluation: DataFrame | None = N
         evaluation = spans.where(F.col("last") == F.col("step")).drop("last")
     at = evaluation.where(F.pmod(F.col("step") + 1, F.lit(interval)) == 0)
     return tr.unionByName(at.select("step", F.lit(val_tag).alias("tag"), "value"))
+
+
+def sample_log(train: DataFrame, interval: int, samples: DataFrame, tag: str = "Sample") -> DataFrame:
+    """Text-valued rows of the metric log (A9, H8): at every checkpoint step one row per sample,
+    ``(step, tag, value, text)`` with the tag ``Sample/<name>`` and no value.
+
+    ``samples`` has ``(step, name, text)``: the text generated for each fixed prompt at that step;
+    a null step stands for every checkpoint. ``train``: ``(step, ...)``, the steps of the run.
+    """
+    at = train.where(F.pmod(F.col("step") + 1, F.lit(interval)) == 0).select("step").distinct()
+    own = samples.where(F.col("step").isNotNull()).join(at, "step")
+    # the fixed prompts are few: as an array they meet each checkpoint without a join of pairs
+    fixed = samples.where(F.col("step").isNull()).agg(F.sort_array(F.collect_list(F.struct("name", "text"))).alias("s")).first()["s"]
+    made = [F.struct(F.lit(r["name"]).alias("name"), F.lit(r["text"]).alias("text")) for r in fixed or []]
+    rows = own.select("step", "name", "text")
+    if made:
+        rows = rows.unionByName(at.select("step", F.explode(F.array(*made)).alias("s")).select("step", "s.name", "s.text"))
+    label = F.concat(F.lit(f"{tag}/"), F.col("name").cast("string"))
+    return rows.select("step", label.alias("tag"), F.lit(None).cast("double").alias("value"), "text")

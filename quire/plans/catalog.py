@@ -621,6 +621,27 @@ def h_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("step", "tag", F.round("value", 6).alias("value"))
 
 
+@register("h_samples")
+def h_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text samples of the metric log (A9, H8): the two first evaluation prompts at every checkpoint step."""
+    from quire.operators import evaluate as H
+
+    train = C.table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), "value")
+    prompts = C.table(spark, sf_dir, "benchmark").where("item_id < 2")  # the run's two fixed prompts
+    samples = prompts.select(F.lit(None).cast("long").alias("step"), F.col("item_id").alias("name"), F.substring("text", 1, 100).alias("text"))
+    return H.sample_log(train, P.CHECKPOINT_INTERVAL, samples).select("step", "tag", "text")
+
+
+@register("a_block_order")
+def a_block_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training blocks (A7) as a trainer gets them from the files in the manifest's order."""
+    from quire.sources import sinks as K
+
+    out = K.write_blocks(packed(spark, sf_dir), f"{shared_path(spark, 'ordered')}/blocks")
+    rows = K.read_blocks(spark, out)
+    return rows.select("shard", "place", "block_id", F.md5(T.ids_text(F.col("input_ids"))).alias("ids_md5"))
+
+
 @register("a_metric_long")
 def a_metric_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide per-batch evaluation scalars unpivoted to the long metric log."""
@@ -638,11 +659,11 @@ def a_metric_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("i_scores")
 def i_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top SCORE_TOP_K items per context vector by normed inner product."""
+    """Top SCORE_TOP_K items per context vector by normed inner product (I0); contexts are the ids divisible by 20."""
     from quire.operators import candidates as I
 
     emb = C.table(spark, sf_dir, "embeddings")
-    out = I.inner_product_top_k(emb, emb, P.SCORE_TOP_K)
+    out = I.inner_product_top_k(emb.where("vec_id % 20 = 0"), emb, P.SCORE_TOP_K)
     return out.select(F.col("vec_id").alias("ctx_id"), "rank", "item_id", F.round("score", 6).alias("score"))
 
 

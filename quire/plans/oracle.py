@@ -749,7 +749,7 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
 ),
 c AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x)) / len(v) + 1e-6) AS rms FROM v),
-sc AS (SELECT c.vec_id AS ctx_id, i.vec_id AS item_id, list_dot_product(c.v, i.v) / c.rms AS score FROM c, v i),
+sc AS (SELECT c.vec_id AS ctx_id, i.vec_id AS item_id, list_dot_product(c.v, i.v) / c.rms AS score FROM c, v i WHERE c.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY ctx_id ORDER BY score DESC, item_id ASC) AS rk FROM sc)
 SELECT ctx_id, CAST(rk AS INTEGER) AS rank, item_id, round(score, 6) AS score FROM r WHERE rk <= {P.SCORE_TOP_K}
 """
@@ -1074,3 +1074,15 @@ ORACLE["f_subword_text"] = _q(
 )
 
 ORACLE["f_bpe_text"] = ORACLE["f_subword_text"]
+
+ORACLE["h_samples"] = f"""
+SELECT event_id AS step, 'Sample/' || item_id AS tag, substr(text, 1, 100) AS text
+FROM events, benchmark WHERE item_id < 2 AND (event_id + 1) % {P.CHECKPOINT_INTERVAL} = 0
+"""
+
+ORACLE["a_block_order"] = _q(
+    CTE_WORDS, CTE_VOCAB, cte_encode(), CTE_STREAM, CTE_BLOCKS,
+    body="""
+SELECT shard, row_number() OVER (PARTITION BY shard ORDER BY block_id) - 1 AS place, block_id, md5(input_ids) AS ids_md5 FROM blocks
+""",
+)

@@ -6,7 +6,7 @@ through one task); readers take the folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire import options
@@ -61,12 +61,47 @@ def write_corpus(lines: DataFrame, out_dir: str) -> str:
     return out_dir
 
 
+MANIFEST = "_manifest"  # readers of the folder pass over names with an underscore
+
+
 def write_blocks(blocks: DataFrame, out_dir: str) -> str:
-    """Training blocks as parquet partitioned by shard (A7); a trainer reads one shard per worker."""
-    blocks.write.mode("overwrite").partitionBy("shard").parquet(out_dir)
+    """Training blocks as parquet partitioned by shard (A7), in stream order, with a manifest.
+
+    Blocks are dealt in ranges of (shard, block) and sorted, so every file holds consecutive
+    blocks of one shard in order. The manifest has a row per file: shard, first_block,
+    last_block, n_blocks, file (relative to ``out_dir``). It is written aside and moved into
+    place last, in one step: a folder with a manifest is complete.
+    """
+    spark = blocks.sparkSession
+    dealt = blocks.repartitionByRange("shard", "block_id").sortWithinPartitions("shard", "block_id")
+    dealt.write.mode("overwrite").partitionBy("shard").parquet(out_dir)
+    files = spark.read.parquet(out_dir).select("shard", "block_id", F.col("_metadata.file_path").alias("path"))
+    rows = files.groupBy("shard", "path").agg(
+        F.min("block_id").alias("first_block"), F.max("block_id").alias("last_block"), F.count("*").alias("n_blocks")
+    )
+    file = F.regexp_extract("path", "(shard=[^/]*/[^/]*)$", 1).alias("file")
+    manifest = rows.select("shard", "first_block", "last_block", "n_blocks", file)
+    manifest.write.mode("overwrite").parquet(f"{out_dir}/{MANIFEST}-new")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out_dir)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    made, place = (spark._jvm.org.apache.hadoop.fs.Path(f"{out_dir}/{n}") for n in (f"{MANIFEST}-new", MANIFEST))
+    if not fs.rename(made, place):
+        raise RuntimeError(f"the manifest could not be moved to {place}")
     return out_dir
 
 
+def read_blocks(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The blocks of :func:`write_blocks` with ``place``, their position in their shard as a trainer gets them that
+    reads the shard's files in the manifest's order, row after row. A folder without a manifest is an error."""
+    manifest = spark.read.parquet(f"{out_dir}/{MANIFEST}")
+    before = Window.partitionBy("shard").orderBy("first_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = manifest.select("file", F.coalesce(F.sum("n_blocks").over(before), F.lit(0)).alias("base"))  # a row per file
+    rows = spark.read.parquet(out_dir).withColumns({
+        "file": F.regexp_extract(F.col("_metadata.file_path"), "(shard=[^/]*/[^/]*)$", 1), "row": F.col("_metadata.row_index")
+    })
+    return rows.join(bases, "file").withColumn("place", F.col("base") + F.col("row")).drop("file", "row", "base")
+
+
 def write_pieces(pieces: DataFrame, out_dir: str) -> str:
     """Piece table (A8) as parquet and JSON lines; bounded by the vocabulary size."""
     pieces.write.mode("overwrite").parquet(f"{out_dir}/parquet")
@@ -75,7 +110,7 @@ def write_pieces(pieces: DataFrame, out_dir: str) -> str:
 
 
 def append_metrics(metrics: DataFrame, out_dir: str) -> str:
-    """Append ``(run, step, tag, value)`` rows to the metric log."""
+    """Append ``(run, step, tag, value)`` rows, or with ``text`` those of samples too, to the metric log."""
     metrics.write.mode("append").parquet(out_dir)
     return out_dir
 

@@ -8,3 +8,10 @@ def test_no_bound_on_items(spark, monkeypatch):
     monkeypatch.setattr(type(emb), "count", lambda self: 6_000_000)
     got = I.inner_product_top_k(emb, emb, 5, ctx_block=6_000_000, item_block=1_000_000).collect()
     assert len(got) == 100 and all(r.item_id == 20 - r["rank"] for r in got if r.vec_id > 0)
+
+
+def test_rows_without_a_vector_take_no_part(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [None, 2.0]), (None, [5.0, 5.0]), (4, [3.0, 1.0]), (5, [])]
+    emb = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.vec_id, r["rank"], r.item_id) for r in I.inner_product_top_k(emb, emb, 5).collect()}
+    assert got == {(1, 1, 4), (1, 2, 1), (4, 1, 4), (4, 2, 1)}
