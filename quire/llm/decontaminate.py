@@ -1,26 +1,29 @@
 """Operator 6, benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of all words of all documents, in a hashed table of fixed size.
-2. Passages are TF-IDF vectors over the benchmark's words; a randomised SVD of the passage
-   matrix gives the latent space: every task sketches its passages (Y = A'A X for a seeded
-   random X), the sketches are summed by blocks of terms, and the Gram matrix is rebuilt
-   from them by the Nystroem formula together with the benchmark's own passages, which are
-   rows of the matrix too, weighted like the whole corpus so that no item is truncated away.
-3. Every passage of every text is compared with every item by cosine in the latent space;
-   the norm of the passage counts all its words. Passages follow the item's length: items
+2. Passages are TF-IDF vectors over the benchmark's words and the CONTEXT words of largest
+   mass in the corpus; a randomised SVD of the passage matrix A gives the latent space: every
+   task sketches its passages (Y = A'A X, where X are seeded random combinations of the
+   items), the sketches are summed by blocks of terms, and the Gram matrix is rebuilt from
+   them by the Nystroem formula. The space has at most SKETCH directions and half as many as
+   there are items; the items are folded in, so their latent vectors hold the words that stand
+   beside theirs in the corpus, and of their own words what the space keeps.
+3. Every passage of every text is compared with every item by the cosine of the passage with
+   the item's latent vector (its components that hold MASS of its squared length); the norm
+   of the passage counts all its words. Passages follow the item's length: items
    of 2^(k-1/2) to 2^(k+1/2) words meet windows of 2^k words, 2^(k-1) apart, so a copy fills
    most of a window and most of a copy lies in one.
 4. Candidates are verified on the words around the passage: longest common subsequence in
    any stretch of twice the item's length, and, for paraphrases, the item's answer (its
    last sentence, or what follows its last question mark).
-5. Cosines pass over copies whose other words are heavy, so stretches are candidates by
-   their words too: a stretch that reaches the LCS limit of L of an item's n words holds at
+5. Latent cosines pass over copies whose other words are heavy and over items whose words
+   stand nowhere else, so candidates are the union with stretches found by their words: a stretch that reaches the LCS limit of L of an item's n words holds at
    least m of its n - L + m heaviest words, whatever m is. That is a bound, not a cut.
 6. Beside both, the heaviest words in a row of each item (ANCHOR of them) are looked
    up at every word of every text and the item compared there word by word, so that a copy
    without a change is found at any length and between any other words.
 
-TF weight is sqrt(tf), so squared norms add up over words: a passage whose benchmark words
+TF weight is sqrt(tf), so squared norms add up over words: a passage whose known words
 hold less than cosine^2 of its squared norm cannot reach the cosine and is passed over
 without a product. That is a bound, not a cut.
 
@@ -48,6 +51,8 @@ DF_BITS = 20
 HALF = 16  # half a window of the corpus sketch
 ANCHOR = 4  # words in a row by which copies without a change are looked up
 SKETCH = 32  # random directions of the corpus sketch
+CONTEXT = 2048  # words of the latent space beside the benchmark's own
+MASS = 0.95  # share of a latent vector's squared length that its kept components hold
 COSINE = 0.35
 LCS_ALONE = 0.8
 LCS_WITH_ANSWER = 0.55
@@ -192,10 +197,17 @@ class Items:
 
 
 class Passages:
-    """Texts -> term ids (or -1) and squared idf weights of their words, in half-window blocks."""
+    """Texts -> term ids (or -1) and squared idf weights of their words, in half-window blocks.
 
-    def __init__(self, terms: dict[bytes, int], weight2: np.ndarray):
+    Words whose bucket is the i-th of ``context`` have the id ``len(terms) + i``.
+    """
+
+    def __init__(self, terms: dict[bytes, int], weight2: np.ndarray, context: np.ndarray | None = None):
         self.weight2 = weight2
+        self.context = None
+        if context is not None:
+            self.context = np.full(1 << DF_BITS, -1, np.int32)
+            self.context[context] = len(terms) + np.arange(len(context))
         hashes = hash_terms(terms)
         self.order = np.argsort(hashes)
         self.sorted = hashes[self.order]
@@ -205,11 +217,11 @@ class Passages:
     def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h, first = hash_words(texts, _TABLE)
         at = buckets(h)
-        term = np.full(len(h), -1, np.int32)
+        term = np.full(len(h), -1, np.int32) if self.context is None else self.context[at]
         maybe = np.flatnonzero(self.some[at])
         if len(maybe):
             k = np.minimum(np.searchsorted(self.sorted, h[maybe]), len(self.sorted) - 1)
-            term[maybe] = np.where(self.sorted[k] == h[maybe], self.order[k], -1)
+            term[maybe] = np.where(self.sorted[k] == h[maybe], self.order[k], -1)  # a term's bucket is no context
         return term, self.weight2[at], first
 
     def groups(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, list, np.ndarray, np.ndarray, np.ndarray]]:
@@ -317,16 +329,32 @@ def sum_rows(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return index[start], np.add.reduceat(values, start, axis=0)
 
 
-def corpus_sketch(docs: DataFrame, items: Items, weight2: np.ndarray, sketch: int = SKETCH, seed: int = 5) -> np.ndarray:
-    """Y = A'A X, terms x sketch, over the non-overlapping windows A of all texts."""
-    n = len(items.terms)
-    x = np.random.default_rng(seed).standard_normal((n, sketch)).astype(np.float32)
-    held = docs.sparkSession.sparkContext.broadcast((items.terms, weight2.astype(np.float32), term_weights(items, weight2), x))
+def context_buckets(df: np.ndarray, weight2: np.ndarray, items: Items, size: int = CONTEXT) -> np.ndarray:
+    """The ``size`` buckets of largest mass, documents x squared weight, that hold no word of the items; sorted."""
+    mass = df * weight2
+    mass[buckets(hash_terms(items.terms))] = 0.0
+    top = np.lexsort((np.arange(len(mass)), -mass))[:size]
+    return np.sort(top[mass[top] > 0])
+
+
+def start_vectors(b: np.ndarray, sketch: int, seed: int) -> np.ndarray:
+    """Seeded random combinations of the items: the sketch looks at what stands beside their words."""
+    return b @ np.random.default_rng(seed).standard_normal((b.shape[1], sketch))
+
+
+def corpus_sketch(
+    docs: DataFrame, items: Items, weight2: np.ndarray, context: np.ndarray, sketch: int = SKETCH, seed: int = 5
+) -> np.ndarray:
+    """Y = A'A X, terms and context x sketch, over the non-overlapping windows A of all texts."""
+    weight = space_weights(items, weight2, context)
+    n, own = len(weight), len(items.terms)
+    x = start_vectors(item_vectors(items, weight), sketch, seed)[:own].astype(np.float32)  # the items have no context words
+    held = docs.sparkSession.sparkContext.broadcast((items.terms, weight2.astype(np.float32), context, weight, x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, w2, weight, x = held.value
-        passages = Passages(terms, w2)
-        y = np.zeros((len(terms), x.shape[1]), np.float64)
+        terms, w2, context, weight, x = held.value
+        passages = Passages(terms, w2, context)
+        y = np.zeros((n, x.shape[1]), np.float64)
         for b in batches:
             for _, _, term, _, starts in passages.groups(t.as_py() for t in b.column(0)):
                 hit = np.flatnonzero(term >= 0)
@@ -334,16 +362,21 @@ def corpus_sketch(docs: DataFrame, items: Items, weight2: np.ndarray, sketch: in
                 block = hit // HALF
                 row = np.searchsorted(starts, block, side="right") - 1
                 window = starts[row] * 2 + (block - starts[row]) // 2  # pairs of blocks within a text
-                if not len(hit):
+                told = np.unique(window[term[hit] < own])  # a window without a word of the items adds nothing
+                if not len(told):
                     continue
-                win, t, v = sparse_windows(term[hit], weight, window, len(terms))
+                keep = np.zeros(window[-1] + 1, bool)
+                keep[told] = True
+                keep = keep[window]
+                win, t, v = sparse_windows(term[hit[keep]], weight, window[keep], n)
                 v = v.astype(np.float32)[:, None]
-                w, z = sum_rows(win, v * x[t])
+                mine = t < own
+                w, z = sum_rows(win[mine], v[mine] * x[t[mine]])
                 part = v * z[np.searchsorted(w, win)]
                 order = np.argsort(t, kind="stable")
                 t, s = sum_rows(t[order], part[order])
                 y[t] += s
-        for at in range(0, len(terms), TERM_BLOCK):
+        for at in range(0, n, TERM_BLOCK):
             if y[at : at + TERM_BLOCK].any():
                 raw = y[at : at + TERM_BLOCK].astype(np.float32).tobytes()
                 yield pa.record_batch([pa.array([at // TERM_BLOCK], pa.int32()), pa.array([raw], pa.binary())], names=["part", "counts"])
@@ -361,9 +394,14 @@ def term_weights(items: Items, weight2: np.ndarray) -> np.ndarray:
     return np.sqrt(weight2[buckets(hash_terms(items.terms))]).astype(np.float32)
 
 
+def space_weights(items: Items, weight2: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Weights of the items' words, then of the context."""
+    return np.concatenate([term_weights(items, weight2), np.sqrt(weight2[context])]).astype(np.float32)
+
+
 def item_vectors(items: Items, weight: np.ndarray) -> np.ndarray:
-    """terms x items, columns of length 1 (0 where an item has no weighted word)."""
-    b = np.zeros((len(items.terms), len(items.ids)))
+    """words of the space x items, columns of length 1 (0 where an item has no weighted word)."""
+    b = np.zeros((len(weight), len(items.ids)))
     for j, w in enumerate(items.words):
         t, c = np.unique(np.array(w), return_counts=True)
         b[t, j] = np.sqrt(c) * weight[t]
@@ -371,26 +409,30 @@ def item_vectors(items: Items, weight: np.ndarray) -> np.ndarray:
     return b / np.where(norm > 0, norm, 1.0)
 
 
-def latent_items(items: Items, weight: np.ndarray, y: np.ndarray, seed: int = 5) -> np.ndarray:
-    """terms x items: every item projected on the latent space, scaled to length 1 there.
+def latent_items(items: Items, weight: np.ndarray, y: np.ndarray, seed: int = 5, mass: float = MASS) -> np.ndarray:
+    """words of the space x items: every item projected on the latent space, scaled to length 1 there.
 
-    A passage's product with a column, over the passage's whole norm, is its latent cosine.
+    A passage's product with a column, over the passage's whole norm, is its latent cosine. An
+    item of which the space keeps nothing (its words stand in no passage) has a column of zeros.
     """
     b = item_vectors(items, weight)
-    n, l = y.shape
-    x = np.random.default_rng(seed).standard_normal((n, l)).astype(np.float32).astype(np.float64)
-    mass = max(float(np.trace(x.T @ y)) / max(l, 1), 1.0)  # estimates the squared norm of the corpus passages
-    q, _ = np.linalg.qr(np.hstack([y, b]))
-    core = x.T @ y
+    x = start_vectors(b, y.shape[1], seed)
+    q, _ = np.linalg.qr(y)
+    qy, core = q.T @ y, x.T @ y
     # Nystroem: A'A ~ Y (X'Y)^+ Y'
-    qy, qb = q.T @ y, q.T @ b
-    gram = qy @ np.linalg.pinv((core + core.T) / 2, rcond=1e-10, hermitian=True) @ qy.T + mass * (qb @ qb.T)
+    gram = qy @ np.linalg.pinv((core + core.T) / 2, rcond=1e-10, hermitian=True) @ qy.T
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    rank = min(len(values), b.shape[1] + l // 2)
-    v = q @ vectors[:, np.argsort(values)[::-1][:rank]]
+    best = np.argsort(values)[::-1][: max(1, min(y.shape[1], b.shape[1] // 2))]
+    v = q @ vectors[:, best[values[best] > 1e-9 * max(values.max(), 0.0)]]
     latent = v @ (v.T @ b)
+    size = latent**2
+    order = np.argsort(-size, axis=0, kind="stable")
+    before = np.cumsum(np.take_along_axis(size, order, axis=0), axis=0) - np.take_along_axis(size, order, axis=0)
+    kept = np.zeros(latent.shape, bool)
+    np.put_along_axis(kept, order, before < mass * size.sum(axis=0), axis=0)
+    latent = np.where(kept, latent, 0.0)
     norm = np.linalg.norm(latent, axis=0)
-    return (latent / np.where(norm > 0, norm, 1.0)).astype(np.float32)
+    return (latent / np.where(norm > 1e-12, norm, np.inf)).astype(np.float32)
 
 
 # --- steps 3 and 4: candidates and verification ---------------------------------------------
@@ -523,18 +565,21 @@ def find_leaks(
         items = Items.of([(r.item_id, r.text) for r in part.toLocalIterator()])
         if not items.ids:
             continue
-        y = corpus_sketch(docs, items, weight2)
-        found = _search(docs, items, weight2, latent_items(items, term_weights(items, weight2), y), schema, cosine, lcs_alone, lcs_with_answer, answer_lcs)
+        context = context_buckets(df, weight2, items)
+        y = corpus_sketch(docs, items, weight2, context)
+        latent = latent_items(items, space_weights(items, weight2, context), y)
+        found = _search(docs, items, weight2, context, latent, schema, cosine, lcs_alone, lcs_with_answer, answer_lcs)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _search(docs: DataFrame, items: Items, weight2, latent, schema: str, cosine: float, *limits: float) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast((items, weight2.astype(np.float32), term_weights(items, weight2), latent))
+def _search(docs: DataFrame, items: Items, weight2, context, latent, schema: str, cosine: float, *limits: float) -> DataFrame:
+    weight = space_weights(items, weight2, context)
+    held = docs.sparkSession.sparkContext.broadcast((items, weight2.astype(np.float32), context, weight, latent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, w2_table, weight, latent = held.value
-        passages = Passages(items.terms, w2_table)
+        items, w2_table, context, weight, latent = held.value
+        passages = Passages(items.terms, w2_table, context)
         verifier = Verifier(items, *limits)
         copies = Copies(items, weight)
         shared = Shared(items, weight, min(limits[:2]))
@@ -545,7 +590,8 @@ def _search(docs: DataFrame, items: Items, weight2, latent, schema: str, cosine:
         classes = [(h, of, np.ascontiguousarray(latent[:, of])) for h, of in classes]
         for b in batches:
             best: dict[tuple[int, int], tuple] = {}
-            for done, term, w2, first in passages.runs(t.as_py() for t in b.column(2)):
+            for done, known, w2, first in passages.runs(t.as_py() for t in b.column(2)):
+                term = np.where(known < len(items.terms), known, -1)  # words of the items; known: the context's too
                 exact = {(r, item): at for r, item, at in copies.find(term, first)}
                 for (r, item), at in exact.items():
                     if whole[item]:
@@ -555,12 +601,12 @@ def _search(docs: DataFrame, items: Items, weight2, latent, schema: str, cosine:
                         continue
                     stretch = slice(first[r] + lo, first[r] + hi)
                     if hit := verifier.check(item, term[stretch].tolist()):
-                        cos = passage_cosine(term[stretch], w2[stretch], weight, latent[:, item])
+                        cos = passage_cosine(known[stretch], w2[stretch], weight, latent[:, item])
                         key = r + done, item
                         if key not in best or (*hit, cos) > best[key][:3]:
                             best[key] = (*hit, cos, lo)
                 for half, of, vectors in classes:
-                    rows, padded, weights, starts = blocks_of(term, w2, first, half)
+                    rows, padded, weights, starts = blocks_of(known, w2, first, half)
                     if not len(rows):
                         continue
                     for k, j, at, cos in candidates(padded, weights, starts, weight, vectors, cosine, half):

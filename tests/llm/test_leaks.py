@@ -158,3 +158,38 @@ def test_few_documents_have_weights(spark):
         rows = [(i, f"text {i} one of the very rare items here" if i == 0 else f"other text {i}", "en", "s", 1) for i in range(n)]
         got = decontaminate.find_leaks(frame(spark, rows), bench).collect()
         assert [(r.doc_id, r.item_id) for r in got] == [(0, 1)]
+
+
+def test_latent_vectors_hold_what_stands_beside_an_item(spark):
+    """Passages that say an item in other words, which share its company in the corpus: plain cosines
+    pass over them, latent ones find them, and other items' passages stay apart."""
+    rng = random.Random(31)
+    n_topics = 12
+    own = [[f"own{k}x{i}" for i in range(16)] for k in range(n_topics)]
+    other = [[f"other{k}x{i}" for i in range(12)] for k in range(n_topics)]
+    rows = []
+    for i in range(600):
+        k = i % n_topics
+        rows.append((i, " ".join(rng.sample(own[k], 8) + rng.sample(other[k], 7) + [f"w{rng.randrange(300)}x" for _ in range(8)]), "en", "s", 1))
+    docs = frame(spark, rows)
+    # two items a topic: the space has half as many directions as there are items
+    items = decontaminate.Items.of([(2 * k + half, " ".join(w[6 * half :][:10])) for k, w in enumerate(own) for half in (0, 1)])
+    n, df = decontaminate.document_frequencies(docs)
+    weight2 = np.log((df + 1.0) / (n + decontaminate.SMOOTH)) ** 2
+    context = decontaminate.context_buckets(df, weight2, items)
+    weight = decontaminate.space_weights(items, weight2, context)
+    y = decontaminate.corpus_sketch(docs, items, weight2, context)
+    latent, plain = decontaminate.latent_items(items, weight, y), decontaminate.item_vectors(items, weight).astype(np.float32)
+    assert (np.einsum("ij,ij->j", latent, plain) < 0.95).all()  # no item is its own latent vector
+    assert (np.linalg.norm(latent[len(items.terms) :], axis=0) > 0.2).all()  # words beside the items' own
+    texts = [" ".join([*own[k][7:9], *other[k][:8], *(f"w{i}x" for i in range(6))]) for k in range(n_topics)]
+    passages = decontaminate.Passages(items.terms, weight2.astype(np.float32), context)
+
+    def found(vectors):
+        out = set()
+        for rows, _, known, w2, starts in passages.groups(texts):
+            out |= {(int(rows[r]), j) for r, j, _, _ in decontaminate.candidates(known, w2, starts, weight, vectors, decontaminate.COSINE)}
+        return out
+
+    assert not found(plain)
+    assert found(latent) == {(k, j) for k in range(n_topics) for j in (2 * k, 2 * k + 1)}
