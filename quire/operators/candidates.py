@@ -13,13 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import options
 from quire.functions import text as T
+from quire.session import stored
 
 RMS_EPS = 1e-6
+ROUNDING = 1e-9  # relative room of the norm bounds
 
 
 # --------------------------------------------------------------------------- I0
@@ -58,26 +61,94 @@ def _top_k_rows(scores: np.ndarray, ids: np.ndarray, kk: int) -> tuple[np.ndarra
 
 
 def _usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """Rows with an id and a vector without nulls: the others have no score."""
-    whole = F.forall(vec_col, lambda x: x.isNotNull())
-    return rows.where(F.col(id_col).isNotNull() & (F.size(vec_col) > 0) & F.coalesce(whole, F.lit(False)))
+    """``(id, v)`` of the rows with an id and a vector of finite numbers: the others have no score."""
+    whole = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = rows.where(F.col(id_col).isNotNull() & (F.size(vec_col) > 0) & F.coalesce(whole, F.lit(False)))
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
 
 
-def _vector_blocks(rows: DataFrame, n: int, block: int, id_col: str, vec_col: str, name: str) -> tuple[DataFrame, int]:
-    """``(name, ids, vectors)``: one row per block, packed on the executors, and the number of blocks."""
-    count = max(1, -(-n // block))
-    dealt = _usable(rows, id_col, vec_col).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    dealt = dealt.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
+def _matrix(vectors: pa.Array, n: int) -> np.ndarray:
+    return np.ascontiguousarray(vectors.flatten().to_numpy(zero_copy_only=False).reshape(n, -1), np.float64)
+
+
+def _context_blocks(rows: DataFrame, n: int, block: int) -> DataFrame:
+    """``(cb, ci, cv)``: one row per block of contexts, dealt by hash and packed on the executors."""
+    dealt = rows.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // block)))).cast("int"))
 
     def pack(key: tuple, t: pa.Table) -> pa.Table:
-        ids = t.column("id").to_numpy()
-        flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        v = _matrix(t.column("v").combine_chunks(), t.num_rows)
         return pa.table({
-            name: pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()),
-            "vectors": pa.array([np.ascontiguousarray(flat, np.float64).tobytes()], pa.binary()),
+            "cb": pa.array([key[0].as_py()], pa.int32()), "ci": pa.array([t.column("id").to_numpy().astype(np.int64).tobytes()], pa.binary()),
+            "cv": pa.array([v.tobytes()], pa.binary()),
         })
 
-    return dealt.groupBy(name).applyInArrow(pack, f"{name} int, ids binary, vectors binary"), count
+    return dealt.groupBy("cb").applyInArrow(pack, "cb int, ci binary, cv binary")
+
+
+def norm_blocks(rows: DataFrame, n: int, block: int) -> DataFrame:
+    """``(ib, part, ii, iv, top)``: items in blocks of falling norm, ``top`` the largest norm of a part.
+
+    Blocks are ranges of (norm, hash of the id), so equal norms are dealt over blocks too; a
+    block that came out larger than ``block`` rows has several parts.
+    """
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    order = [F.desc("norm"), F.xxhash64("id")]
+    dealt = rows.withColumn("norm", norm).repartitionByRange(max(1, -(-n // block)), *order).sortWithinPartitions(*order)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ib, part = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for at in range(0, b.num_rows, block):
+                some = b.slice(at, block)
+                yield pa.record_batch(
+                    [pa.array([ib], pa.int32()), pa.array([part], pa.int32()),
+                     pa.array([some.column(0).to_numpy().astype(np.int64).tobytes()], pa.binary()),
+                     pa.array([_matrix(some.column(1), some.num_rows).tobytes()], pa.binary()),
+                     pa.array([float(np.max(some.column(2).to_numpy()))], pa.float64())],
+                    names=["ib", "part", "ii", "iv", "top"],
+                )
+                part += 1
+
+    return dealt.mapInArrow(pack, "ib int, part int, ii binary, iv binary, top double")
+
+
+def _normed(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
+    ctx = np.frombuffer(ids, np.int64)
+    x = np.frombuffer(vectors, np.float64).reshape(len(ctx), -1)
+    return ctx, x / np.sqrt(np.mean(x * x, axis=1, keepdims=True) + RMS_EPS)
+
+
+def with_bars(contexts: DataFrame, head: DataFrame, k: int) -> DataFrame:
+    """Context blocks with ``bars``, a lower bound of each context's k-th score, and ``least``, the norm
+    under which no item reaches any of them. ``head`` is one part of the items, that of the largest norms."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                _, xn = _normed(r["ci"], r["cv"])
+                y = np.frombuffer(r["iv"], np.float64).reshape(len(r["ii"]) // 8, -1)
+                norm = np.linalg.norm(xn, axis=1)
+                bars = np.full(len(xn), -np.inf)
+                if len(y) >= k:
+                    # room for the rounding of products of these lengths; items that tie with the k-th still count
+                    bars = np.partition(xn @ y.T, len(y) - k, axis=1)[:, len(y) - k] - ROUNDING * norm * r["top"]
+                least = np.divide(bars, norm, out=np.full(len(xn), -np.inf), where=norm > 0).min(initial=np.inf)
+                yield pa.record_batch(
+                    [pa.array([r["cb"]], pa.int32()), pa.array([r["ci"]], pa.binary()), pa.array([r["cv"]], pa.binary()),
+                     pa.array([bars.tobytes()], pa.binary()), pa.array([least], pa.float64())],
+                    names=["cb", "ci", "cv", "bars", "least"],
+                )
+
+    met = contexts.withColumn("one", F.lit(0)).join(F.broadcast(head.withColumn("one", F.lit(0))), "one")  # one part: bounded
+    return met.select("cb", "ci", "cv", "ii", "iv", "top").mapInArrow(bound, "cb int, ci binary, cv binary, bars binary, least double")
+
+
+def needed_tiles(contexts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``(cb, ib)`` of the blocks whose largest norm can reach a bar of the context block."""
+    tops = blocks.groupBy("ib").agg(F.max("top").alias("top"))
+    last = tops.agg(F.max("ib")).first()[0] or 0
+    pairs = contexts.select("cb", "least", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("ib"))
+    return pairs.join(tops, "ib").where(F.col("top") * (1 + ROUNDING) >= F.col("least")).select("cb", "ib")
 
 
 def inner_product_top_k(
@@ -94,31 +165,35 @@ def inner_product_top_k(
 ) -> DataFrame:
     """Top-k items per context by ``rms_norm(context) . item``.
 
-    Any number of items; with ``max_items`` given, more rows are refused. Both sides are
-    packed into blocks on the executors and meet as tiles, one context block against one
-    item block; a tile gives each of its contexts at most k rows, which are merged per
-    context. No pair rows are made and nothing passes through the driver. Rows without an id,
-    without a vector or with a null component are neither contexts nor items.
+    Any number of items; with ``max_items`` given, more rows are refused. Items lie in blocks
+    of falling norm. The first part of them gives every context a bar under its k-th score; a
+    block meets a context block only if its largest norm can reach one of its bars, and inside
+    such a tile only the contexts whose own bar can be reached are multiplied. The bars are
+    bounds, so the result is exact. A tile gives each of its contexts at most k rows, which are
+    merged per context. No pair rows are made and no vectors pass through the driver. Rows
+    without an id, without a vector or with a null or non-finite component are neither contexts
+    nor items.
     """
     n_items = items.count()
     few = options.Rule(lambda n: max_items is None or n <= max_items, f"a vocabulary of up to {max_items} rows")
     options.check(k=(k, options.COUNT), items=(n_items, few))
-    left, n_left = _vector_blocks(contexts, contexts.count(), ctx_block, ctx_col, vec_col, "cb")
-    right, n_right = _vector_blocks(items, n_items, item_block, item_col, vec_col, "ib")
-    left = left.select("cb", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("ib"), F.col("ids").alias("ci"), F.col("vectors").alias("cv"))
-    right = right.select("ib", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("cb"), F.col("ids").alias("ii"), F.col("vectors").alias("iv"))
+    blocks = stored(norm_blocks(_usable(items, item_col, vec_col), n_items, item_block), "item-blocks")
+    left = _context_blocks(_usable(contexts, ctx_col, vec_col), contexts.count(), ctx_block)
+    left = stored(with_bars(left, blocks.orderBy("ib", "part").limit(1), k), "context-blocks")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                ctx, ids = np.frombuffer(r["ci"], np.int64), np.frombuffer(r["ii"], np.int64)
-                x = np.frombuffer(r["cv"], np.float64).reshape(len(ctx), -1)
+                ctx, xn = _normed(r["ci"], r["cv"])
+                ids, bars = np.frombuffer(r["ii"], np.int64), np.frombuffer(r["bars"], np.float64)
                 y = np.frombuffer(r["iv"], np.float64).reshape(len(ids), -1)
-                xn = x / np.sqrt(np.mean(x * x, axis=1, keepdims=True) + RMS_EPS)
-                rows, found, values = _top_k_rows(xn @ y.T, ids, min(k, len(ids)))
-                yield pa.record_batch([pa.array(ctx[rows]), pa.array(found), pa.array(values)], names=[ctx_col, "item_id", "score"])
+                some = np.flatnonzero(np.linalg.norm(xn, axis=1) * r["top"] * (1 + ROUNDING) >= bars)
+                rows, found, values = _top_k_rows(xn[some] @ y.T, ids, min(k, len(ids)))
+                rows = some[rows]
+                over = values >= bars[rows]
+                yield pa.record_batch([pa.array(ctx[rows[over]]), pa.array(found[over]), pa.array(values[over])], names=[ctx_col, "item_id", "score"])
 
-    tiles = left.join(right, ["cb", "ib"]).select("ci", "cv", "ii", "iv")
+    tiles = needed_tiles(left, blocks).join(left, "cb").join(blocks, "ib").select("ci", "cv", "bars", "ii", "iv", "top")
     best = tiles.mapInArrow(score, f"`{ctx_col}` long, item_id long, score double")
     w = Window.partitionBy(ctx_col).orderBy(F.desc("score"), F.asc("item_id"))
     return best.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select(ctx_col, "rank", "item_id", "score")

@@ -1,5 +1,7 @@
 """Inner-product top-k takes any number of items."""
 
+import numpy as np
+
 from quire.operators import candidates as I
 
 
@@ -15,3 +17,32 @@ def test_rows_without_a_vector_take_no_part(spark):
     emb = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {(r.vec_id, r["rank"], r.item_id) for r in I.inner_product_top_k(emb, emb, 5).collect()}
     assert got == {(1, 1, 4), (1, 2, 1), (4, 1, 4), (4, 2, 1)}
+    odd = [(5, [float("nan"), 1.0]), (6, [float("inf"), 1.0])]
+    emb = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
+    assert {(r.vec_id, r["rank"], r.item_id) for r in I.inner_product_top_k(emb, emb, 5).collect()} == got
+
+
+def test_blocks_under_the_bars_are_passed_over(spark):
+    """Norms of very different size: equal to all scores, from few tiles."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((40, 8))
+    x[7] = 0.0  # all its scores tie: the smallest ids win, wherever their blocks are
+    y = rng.standard_normal((900, 8)) * (0.99 ** np.arange(900))[rng.permutation(900), None]
+    y[100:104] = y[100]  # ties of equal vectors
+    frame = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    for k in (1, 5, 60):
+        got = {(r.vec_id, r["rank"]): (r.item_id, r.score) for r in I.inner_product_top_k(frame(x), frame(y), k, ctx_block=8, item_block=50).collect()}
+        xn = x / np.sqrt(np.mean(x * x, axis=1, keepdims=True) + I.RMS_EPS)
+        for c, s in enumerate(xn @ y.T):
+            s = np.round(s, 12)
+            order = np.lexsort((np.arange(900), -s))[:k]
+            assert np.allclose([got[c, r + 1][1] for r in range(k)], s[order], rtol=0, atol=1e-9)
+            assert [got[c, r + 1][0] for r in range(k)] == order.tolist() or k > 1 and len(set(s[order])) < k
+        assert [got[7, r + 1][0] for r in range(k)] == list(range(k))
+    blocks = I.norm_blocks(I._usable(frame(y), "vec_id", "embedding"), 900, 50).cache()
+    sizes = [len(r.ii) // 8 for r in blocks.collect()]
+    assert sum(sizes) == 900 and max(sizes) <= 50
+    left = I._context_blocks(I._usable(frame(np.delete(x, 7, axis=0)), "vec_id", "embedding"), 40, 8)
+    pairs = I.needed_tiles(I.with_bars(left, blocks.orderBy("ib", "part").limit(1), 5), blocks)
+    n_all = left.count() * blocks.select("ib").distinct().count()
+    assert 0 < pairs.count() < n_all / 2
