@@ -9,6 +9,7 @@ pick, or temperature -> top-k -> top-p -> softmax -> draw.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ from quire.session import stored
 
 RMS_EPS = 1e-6
 ROUNDING = 1e-9  # relative room of the norm bounds
+GROUP = 16  # item blocks that meet a context block in one task
 
 
 # --------------------------------------------------------------------------- I0
@@ -118,9 +120,22 @@ def _normed(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ctx, x / np.sqrt(np.mean(x * x, axis=1, keepdims=True) + RMS_EPS)
 
 
+def head_block(blocks: DataFrame, rows: int) -> DataFrame:
+    """``(ii, iv, top)``: about ``rows`` items of the largest norms as one row, whatever the size of the parts."""
+    size = blocks.agg(F.count("*").alias("parts"), F.sum(F.octet_length("ii") / 8).alias("items")).first()
+    n = max(1, math.ceil(rows * size["parts"] / size["items"])) if size["parts"] else 1
+
+    def join(key: tuple, t: pa.Table) -> pa.Table:
+        whole = [pa.array([b"".join(t.column(c).to_pylist())], pa.binary()) for c in ("ii", "iv")]
+        return pa.table({"ii": whole[0], "iv": whole[1], "top": pa.array([max(t.column("top").to_pylist())], pa.float64())})
+
+    first = blocks.orderBy("ib", "part").limit(n).select(F.least("part", F.lit(0)).alias("one"), "ii", "iv", "top")
+    return first.groupBy("one").applyInArrow(join, "ii binary, iv binary, top double")
+
+
 def with_bars(contexts: DataFrame, head: DataFrame, k: int) -> DataFrame:
     """Context blocks with ``bars``, a lower bound of each context's k-th score, and ``least``, the norm
-    under which no item reaches any of them. ``head`` is one part of the items, that of the largest norms."""
+    under which no item reaches any of them. ``head`` is one row of items of the largest norms."""
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,7 +154,7 @@ def with_bars(contexts: DataFrame, head: DataFrame, k: int) -> DataFrame:
                     names=["cb", "ci", "cv", "bars", "least"],
                 )
 
-    met = contexts.withColumn("one", F.lit(0)).join(F.broadcast(head.withColumn("one", F.lit(0))), "one")  # one part: bounded
+    met = contexts.withColumn("one", F.lit(0)).join(F.broadcast(head.withColumn("one", F.lit(0))), "one")  # one block: bounded
     return met.select("cb", "ci", "cv", "ii", "iv", "top").mapInArrow(bound, "cb int, ci binary, cv binary, bars binary, least double")
 
 
@@ -151,6 +166,35 @@ def needed_tiles(contexts: DataFrame, blocks: DataFrame) -> DataFrame:
     return pairs.join(tops, "ib").where(F.col("top") * (1 + ROUNDING) >= F.col("least")).select("cb", "ib")
 
 
+class _Best:
+    """The best k items so far of every context of a block."""
+
+    def __init__(self, ids: bytes, vectors: bytes, bars: bytes, k: int):
+        self.ctx, self.xn = _normed(ids, vectors)
+        self.norm = np.linalg.norm(self.xn, axis=1)
+        self.bars, self.k = np.frombuffer(bars, np.float64).copy(), k
+        self.row, self.item, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray, top: float) -> None:
+        some = np.flatnonzero(self.norm * top * (1 + ROUNDING) >= self.bars)
+        if not len(some):
+            return
+        row, item, score = _top_k_rows(self.xn[some] @ vectors.reshape(len(ids), -1).T, ids, min(self.k, len(ids)))
+        row = some[row]
+        over = score >= self.bars[row]
+        row, item, score = (np.concatenate(x) for x in ((self.row, row[over]), (self.item, item[over]), (self.score, score[over])))
+        order = np.lexsort((item, -score, row))
+        row, item, score = row[order], item[order], score[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        kth = rank == self.k - 1
+        self.bars[row[kth]] = np.maximum(self.bars[row[kth]], score[kth] - ROUNDING * self.norm[row[kth]] * top)
+        kept = rank < self.k
+        self.row, self.item, self.score = row[kept], item[kept], score[kept]
+
+    def rows(self, name: str) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(self.ctx[self.row]), pa.array(self.item), pa.array(self.score)], names=[name, "item_id", "score"])
+
+
 def inner_product_top_k(
     contexts: DataFrame,
     items: DataFrame,
@@ -166,10 +210,11 @@ def inner_product_top_k(
     """Top-k items per context by ``rms_norm(context) . item``.
 
     Any number of items; with ``max_items`` given, more rows are refused. Items lie in blocks
-    of falling norm. The first part of them gives every context a bar under its k-th score; a
-    block meets a context block only if its largest norm can reach one of its bars, and inside
+    of falling norm. The first of them give every context a bar under its k-th score; a block
+    meets a context block only if its largest norm can reach one of its bars, and inside
     such a tile only the contexts whose own bar can be reached are multiplied. The bars are
-    bounds, so the result is exact. A tile gives each of its contexts at most k rows, which are
+    bounds, so the result is exact. GROUP blocks in a row meet a context block in one task, by
+    falling norm, where the best k so far are kept and raise the bars; the groups' best are
     merged per context. No pair rows are made and no vectors pass through the driver. Rows
     without an id, without a vector or with a null or non-finite component are neither contexts
     nor items.
@@ -179,21 +224,27 @@ def inner_product_top_k(
     options.check(k=(k, options.COUNT), items=(n_items, few))
     blocks = stored(norm_blocks(_usable(items, item_col, vec_col), n_items, item_block), "item-blocks")
     left = _context_blocks(_usable(contexts, ctx_col, vec_col), contexts.count(), ctx_block)
-    left = stored(with_bars(left, blocks.orderBy("ib", "part").limit(1), k), "context-blocks")
+    left = stored(with_bars(left, head_block(blocks, item_block), k), "context-blocks")
+    if left.isEmpty():
+        return left.select(F.lit(0).cast("long").alias(ctx_col), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("score"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, done = None, None
         for b in batches:
-            for r in b.to_pylist():
-                ctx, xn = _normed(r["ci"], r["cv"])
-                ids, bars = np.frombuffer(r["ii"], np.int64), np.frombuffer(r["bars"], np.float64)
-                y = np.frombuffer(r["iv"], np.float64).reshape(len(ids), -1)
-                some = np.flatnonzero(np.linalg.norm(xn, axis=1) * r["top"] * (1 + ROUNDING) >= bars)
-                rows, found, values = _top_k_rows(xn[some] @ y.T, ids, min(k, len(ids)))
-                rows = some[rows]
-                over = values >= bars[rows]
-                yield pa.record_batch([pa.array(ctx[rows[over]]), pa.array(found[over]), pa.array(values[over])], names=[ctx_col, "item_id", "score"])
-
-    tiles = needed_tiles(left, blocks).join(left, "cb").join(blocks, "ib").select("ci", "cv", "bars", "ii", "iv", "top")
+            for i in range(b.num_rows):
+                r = {n: b.column(j)[i].as_py() for j, n in enumerate(b.schema.names)}
+                if (r["cb"], r["grp"]) != now:
+                    if done is not None:
+                        yield done.rows(ctx_col)
+                    now, done = (r["cb"], r["grp"]), _Best(r["ci"], r["cv"], r["bars"], k)
+                done.meet(np.frombuffer(r["ii"], np.int64), np.frombuffer(r["iv"], np.float64), r["top"])
+        if done is not None:
+            yield done.rows(ctx_col)
+
+    pairs = needed_tiles(left, blocks).withColumn("grp", F.floor(F.col("ib") / GROUP).cast("int"))
+    ctx = left.join(pairs.select("cb", "grp").distinct(), "cb")
+    met = pairs.join(blocks, "ib").join(ctx, ["cb", "grp"]).sortWithinPartitions("cb", "grp", "ib", "part")
+    tiles = met.select("cb", "grp", "ci", "cv", "bars", "ii", "iv", "top")
     best = tiles.mapInArrow(score, f"`{ctx_col}` long, item_id long, score double")
     w = Window.partitionBy(ctx_col).orderBy(F.desc("score"), F.asc("item_id"))
     return best.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select(ctx_col, "rank", "item_id", "score")

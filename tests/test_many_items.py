@@ -43,6 +43,13 @@ def test_blocks_under_the_bars_are_passed_over(spark):
     sizes = [len(r.ii) // 8 for r in blocks.collect()]
     assert sum(sizes) == 900 and max(sizes) <= 50
     left = I._context_blocks(I._usable(frame(np.delete(x, 7, axis=0)), "vec_id", "embedding"), 40, 8)
-    pairs = I.needed_tiles(I.with_bars(left, blocks.orderBy("ib", "part").limit(1), 5), blocks)
+    pairs = I.needed_tiles(I.with_bars(left, I.head_block(blocks, 50), 5), blocks)
     n_all = left.count() * blocks.select("ib").distinct().count()
     assert 0 < pairs.count() < n_all / 2
+
+
+def test_no_items_or_no_contexts(spark):
+    emb = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    for left, right in ((emb, emb.where("false")), (emb.where("false"), emb)):
+        got = I.inner_product_top_k(left, right, 5)
+        assert got.columns == ["vec_id", "rank", "item_id", "score"] and got.count() == 0
