@@ -53,3 +53,12 @@ def test_no_items_or_no_contexts(spark):
     for left, right in ((emb, emb.where("false")), (emb.where("false"), emb)):
         got = I.inner_product_top_k(left, right, 5)
         assert got.columns == ["vec_id", "rank", "item_id", "score"] and got.count() == 0
+
+
+def test_every_context_has_its_items(spark, tmp_path):
+    from quire.plans import catalog
+
+    rows = [(i, [float(i), 1.0]) for i in range(30)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = catalog.QUERIES["i_scores"](spark, str(tmp_path)).collect()
+    assert {r.ctx_id for r in got} == set(range(30)) and len(got) == 150
