@@ -5,7 +5,7 @@ built; the blocks are one DataFrame over those tables. Positions, the shuffle an
 are computed on narrow rows (draw, position, document id); every distinct
 document is encoded once (an oversampling mix repeats documents many times),
 and its token ids join the stream once, salted for repeated documents. Then
-packing shuffles pieces by (shard, block).
+packing shuffles pieces by (shard, span of blocks).
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from quire.operators import mix as M
 from quire.operators import offsets as O
 from quire.operators import order as D
 from quire.operators import pack as G
+from quire.session import stored
 from quire.sources import registry as R
 
 
@@ -85,7 +86,9 @@ def pretrain_batches(
     # every distinct document is encoded once and written to the shared folder
     # (it feeds two joins: lengths, then ids); documents without tokens drop
     # out at the first join, after sharding (B2 after D3)
-    encoded = encode(sources).checkpoint(eager=True)
+    encoded = stored(encode(sources), "loader-tokens")
+    # token ids that fit move as two bytes: a mix repeats documents, so their tokens are most of what is shuffled
+    narrow = "smallint" if (encoded.agg(F.max(F.array_max("ids"))).first()[0] or 0) < 1 << 15 else "int"
     eos = 1 if add_eos_between_samples else 0
     lengths = plan.attach(stream, encoded.select("doc_id", "genre", (F.size("ids") + F.lit(eos)).alias("L")))
     if max_samples is not None:
@@ -98,6 +101,7 @@ def pretrain_batches(
     total = lengths.agg(F.sum("L")).first()[0] or 0
     offs = offs.repartition(max(spark.sparkContext.defaultParallelism, -(-total // TOKENS_PER_TASK)), "shard", "pos")
     toks = F.concat("ids", F.array(F.lit(T.EOS_ID))) if add_eos_between_samples else F.col("ids")
+    toks = toks.cast(f"array<{narrow}>")
     rows = plan.attach(offs, encoded.select("doc_id", "genre", toks.alias("toks")))
     blocks = G.cut_blocks(rows, seq_length, drop_last=drop_last_sample, ignore_index=ignore_index)
     return G.batches(blocks, batch_size, order_col="block_id", drop_last_batch=drop_last_batch).select(
