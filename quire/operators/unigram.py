@@ -5,17 +5,16 @@ Training is expectation-maximisation over the distinct-word table, with the scor
 * seeds: the maximal repeated sub-strings of ``▁word`` by sorted suffixes
   (:mod:`quire.operators.suffixes`), the ``seed_size`` best by frequency x length, plus every
   character of the alphabet (characters are never pruned);
-* words are dealt over parts of bounded size; which pieces a part's words hold is found once;
-* E-step: a part's words meet the scores of its pieces (a co-group), and array operations run
-  forward-backward over the lattices of all its words of one length at once; expected counts
-  are summed in the task;
+* the scores of a round are a broadcast of keys and scores (``seed_size`` and the alphabet bound it);
+* E-step: a task goes through its words, and array operations run forward-backward over the
+  lattices of many words of one length at once; expected counts are summed in the task;
 * M-step: the sums per piece over their total are the new scores, a written table;
 * pruning, by the shrink factor until the requested size is reached, keeps the pieces without
   which the likelihood loses most: losses are computed like the E-step, over pieces in place of
   words, and the cut is a two-phase rank.
 
-Only single numbers (a total, a least score, row counts) come to the driver, and in the end the
-learned pieces, whose number is the vocabulary size. Pieces are keyed by a 64-bit hash of their
+Single numbers (a total, row counts) come to the driver, and per round the key and score of every
+piece left, whose number the parameters bound. Pieces are keyed by a 64-bit hash of their
 characters inside the training loop. Encoding is a Viterbi best path per distinct word of an
 Arrow batch, with byte fallback for characters outside the table.
 """
@@ -41,7 +40,8 @@ from quire.session import stored
 MAX_PIECES_BROADCAST = 2_000_000
 MEMO_WORDS = 1_000_000  # segmented words a task remembers
 UNK_PENALTY = 10.0
-WORDS_PER_PART = 20_000
+WORDS_PER_FILE = 200_000
+ROWS_OUT = 1 << 16
 CELLS = 1 << 19  # lattice edges that are worked on at once
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -73,21 +73,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def piece_keys(words: list[str], max_len: int) -> np.ndarray:
-    """Keys (words x starts x lengths) of all sub-strings of words of one length; 0 where there is none.
+def piece_keys(words: list[str], max_len: int) -> Iterator[np.ndarray]:
+    """Keys (starts x words) of all sub-strings of words of one length, for lengths 1, 2 and so on.
 
     A key is a polynomial hash of the mixed characters, mixed with the length.
     """
     n = len(words[0])
     codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n)
-    value = _mixed(codes.astype(np.uint64) + _ODD)
-    out = np.zeros((len(words), n, min(max_len, n)), np.uint64)
-    run = np.zeros((len(words), n), np.uint64)
-    for l in range(1, out.shape[2] + 1):
-        run = run[:, : n - l + 1] * _ODD + value[:, l - 1 :]
+    value = _mixed(codes.T.astype(np.uint64) + _ODD)
+    run = np.zeros(value.shape, np.uint64)
+    for l in range(1, min(max_len, n) + 1):
+        run = run[: n - l + 1] * _ODD + value[l - 1 :]
         key = _mixed(run ^ _mixed(np.full(1, l, np.uint64)))
-        out[:, : n - l + 1, l - 1] = np.where(key == 0, np.uint64(1), key)
-    return out
+        yield np.where(key == 0, np.uint64(1), key)
 
 
 def key_of(pieces: list[str]) -> np.ndarray:
@@ -96,57 +94,95 @@ def key_of(pieces: list[str]) -> np.ndarray:
     lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
     for n in np.unique(lengths[lengths > 0]):
         of = np.flatnonzero(lengths == n)
-        out[of] = piece_keys([pieces[k] for k in of], int(n))[:, 0, -1]
+        *_, whole = piece_keys([pieces[k] for k in of], int(n))
+        out[of] = whole[0]
     return out.view(np.int64)
 
 
+class Places:
+    """Places of keys in a sorted array of them, by their leading bits: keys are hashes, so few share these."""
+
+    def __init__(self, keys: np.ndarray):
+        self.n = len(keys)
+        bits = max(1, self.n.bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.keys = np.append(keys, np.uint64(2**64 - 1))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of every key or of the next one, whether it is there)."""
+        at = self.first[(keys >> self.shift).astype(np.int64)]
+        below = np.flatnonzero(self.keys[at] < keys)
+        while len(below):
+            at[below] += 1
+            below = below[self.keys[at[below]] < keys[below]]
+        return at, (self.keys[at] == keys) & (at < self.n)
+
+
 class Lattices:
-    """The lattices of words of one length: edges by start and length, with scores and places in the key table."""
+    """The lattices of words of one length: edges by start and length, with scores and places in the key table.
 
-    def __init__(self, words: list[str], keys: np.ndarray, scores: np.ndarray, max_len: int, unk: float, whole: bool = True):
+    Arrays are kept as lengths x starts x words, so that every step goes over words that lie side by side.
+    """
+
+    def __init__(self, words: list[str], keys: np.ndarray | Places, scores: np.ndarray, max_len: int, unk: float, whole: bool = True):
         """``keys`` is sorted. Without ``whole`` a word's own piece is no edge."""
-        found = piece_keys(words, max_len)
-        at = np.searchsorted(keys, found)
-        at[at == len(keys)] = 0
-        self.known = (keys[at] == found) & (found != 0) if len(keys) else np.zeros(found.shape, bool)
-        if not whole and found.shape[2] == found.shape[1]:
-            self.known[:, 0, -1] = False
-        self.at = at
-        self.scores = np.where(self.known, scores[at] if len(keys) else 0.0, -np.inf)
-        self.scores[:, :, 0] = np.where(self.known[:, :, 0], self.scores[:, :, 0], unk)
+        table = keys if isinstance(keys, Places) else Places(keys)
+        n = len(words[0])
+        shape = (min(max_len, n), n, len(words))
+        self._known, self._at, self._scores = np.zeros(shape, bool), np.zeros(shape, np.int32), np.full(shape, -np.inf)
+        for l, found in enumerate(piece_keys(words, max_len), 1):
+            at, known = table.find(found.ravel())
+            if l == n and not whole:
+                known[:] = False
+            at[~known] = 0
+            starts, kind = n - l + 1, found.shape
+            self._known[l - 1, :starts], self._at[l - 1, :starts] = known.reshape(kind), at.reshape(kind)
+            if table.n:
+                self._scores[l - 1, :starts] = np.where(known, scores[at], -np.inf).reshape(kind)
+        self._scores[0] = np.where(self._known[0], self._scores[0], unk)
+        self.known = self._known.T
 
     def _forward(self, join: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-        b, n, most = self.scores.shape
-        alpha = np.full((b, n + 1), -np.inf)
-        alpha[:, 0] = 0.0
+        most, n, b = self._scores.shape
+        alpha = np.zeros((n + 1, b))
         for j in range(1, n + 1):
-            terms = [alpha[:, j - l] + self.scores[:, j - l, l - 1] for l in range(1, min(most, j) + 1)]
-            alpha[:, j] = join(np.stack(terms))
+            l = np.arange(min(most, j))
+            alpha[j] = join(alpha[j - 1 - l] + self._scores[l, j - 1 - l])
         return alpha
 
     def best(self) -> np.ndarray:
         """Score of the best path of every word."""
-        return self._forward(lambda t: t.max(axis=0))[:, -1]
+        return self._forward(lambda t: t.max(axis=0))[-1]
 
-    def expected(self) -> tuple[np.ndarray, np.ndarray]:
-        """(log-likelihood of every word, probability that a path takes an edge: words x starts x lengths)."""
-        b, n, most = self.scores.shape
+    def _edges(self) -> tuple[np.ndarray, np.ndarray]:
+        most, n, b = self._scores.shape
         alpha = self._forward(_log_sum)
-        beta = np.full((b, n + 1), -np.inf)
-        beta[:, n] = 0.0
+        beta = np.zeros((n + 1, b))
         for i in range(n - 1, -1, -1):
-            beta[:, i] = _log_sum(np.stack([beta[:, i + l] + self.scores[:, i, l - 1] for l in range(1, min(most, n - i) + 1)]))
-        z = alpha[:, n]
-        p = np.zeros(self.scores.shape)
+            m = min(most, n - i)
+            beta[i] = _log_sum(beta[i + 1 : i + 1 + m] + self._scores[:m, i])
+        z = alpha[n]
+        p = np.zeros(self._scores.shape)
         for l in range(1, most + 1):
-            p[:, : n - l + 1, l - 1] = np.exp(alpha[:, : n - l + 1] + self.scores[:, : n - l + 1, l - 1] + beta[:, l:] - z[:, None])
+            np.exp(alpha[: n - l + 1] + self._scores[l - 1, : n - l + 1] + beta[l:] - z, out=p[l - 1, : n - l + 1])
         return z, p
 
+    def expected(self) -> tuple[np.ndarray, np.ndarray]:
+        """(log-likelihood of every word, probability that a path takes an edge: words x starts x lengths)."""
+        z, p = self._edges()
+        return z, p.T
+
+    def counted(self, counts: np.ndarray, n_keys: int) -> tuple[float, np.ndarray]:
+        """(log-likelihood of words that stand ``counts`` times, expected count of every key)."""
+        z, p = self._edges()
+        p *= counts
+        return float(counts @ z), np.bincount(self._at[self._known], p[self._known], n_keys)
+
 
 def _log_sum(terms: np.ndarray) -> np.ndarray:
-    most = terms.max(axis=0)
-    with np.errstate(divide="ignore"):  # no path: log(0)
-        return most + np.log(np.exp(terms - np.where(np.isfinite(most), most, 0.0)).sum(axis=0))
+    most = terms.max(axis=0)  # finite: one character always is an edge
+    return most + np.log(np.exp(terms - most).sum(axis=0))
 
 
 def by_length(words: list[str], max_len: int) -> Iterator[np.ndarray]:
@@ -161,75 +197,69 @@ def by_length(words: list[str], max_len: int) -> Iterator[np.ndarray]:
 # --------------------------------------------------------------------------- tables of the training loop
 
 
-def _dealt(words: DataFrame, column: str, n_words: int) -> DataFrame:
-    """``words`` with the part that each is dealt to."""
-    spark = words.sparkSession
-    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return words.withColumn("part", F.pmod(F.xxhash64(column), F.lit(max(least, -(-n_words // WORDS_PER_PART)))))
-
+class Model:
+    """The scores of a round's pieces as a broadcast: keys sorted, and their scores.
 
-def _held(words: DataFrame, column: str, scores: DataFrame, max_len: int) -> DataFrame:
-    """(part, key): the pieces of ``scores`` that the words of a part hold."""
+    Their number is bounded by ``seed_size`` and the alphabet (16 bytes a piece), whatever the number of words,
+    so no word has to be shuffled to the scores it needs.
+    """
 
-    def keys(group: pa.Table) -> pa.Table:
-        words, found = group.column(column).to_pylist(), []
-        for of in by_length(words, max_len):
-            k = np.unique(piece_keys([words[i] for i in of], max_len))
-            found.append(k[k != 0])
-        found = np.unique(np.concatenate([np.zeros(0, np.uint64), *found])).view(np.int64)
-        return pa.table({"part": pa.array(np.full(len(found), group.column("part")[0].as_py(), np.int64)), "key": pa.array(found)})
+    def __init__(self, scores: DataFrame):
+        held = scores.select("key", "score").toArrow()
+        keys, values = held.column("key").to_numpy().astype(np.int64).view(np.uint64), held.column("score").to_numpy().astype(np.float64)
+        order = np.argsort(keys)
+        self.n, self.least = len(keys), float(values.min()) if len(keys) else 0.0
+        self.held = scores.sparkSession.sparkContext.broadcast((keys[order], values[order]))
 
-    every = words.groupBy("part").applyInArrow(keys, "part long, key long")
-    return every.join(scores.select("key"), "key", "left_semi")
+    def __enter__(self) -> Model:
+        return self
 
+    def __exit__(self, *_) -> None:
+        self.held.destroy()
 
-def _sorted_scores(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys sorted, their scores, the order)."""
-    keys = group.column("key").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], group.column("score").to_numpy()[order], order
 
+def _expected_counts(words: DataFrame, model: Model, max_len: int) -> DataFrame:
+    """(key, e): expected counts of pieces; the log-likelihood has a null key. ``words``: w, cnt.
 
-def _expected_counts(words: DataFrame, held: DataFrame, scores: DataFrame, max_len: int, unk: float) -> DataFrame:
-    """(key, e): expected counts of pieces; the log-likelihood has a null key. ``words``: part, w, cnt."""
+    A task goes through its words batch by batch and gives one row per piece that they hold.
+    """
+    held, unk = model.held, model.least - UNK_PENALTY
 
-    def run(words: pa.Table, pieces: pa.Table) -> pa.Table:
-        keys, values, _ = _sorted_scores(pieces)
-        texts, counts = words.column("w").to_pylist(), words.column("cnt").to_numpy().astype(np.float64)
-        sums, total = np.zeros(len(keys)), 0.0
-        for of in by_length(texts, max_len):
-            lattices = Lattices([texts[i] for i in of], keys, values, max_len, unk)
-            z, p = lattices.expected()
-            total += float(counts[of] @ z)
-            p *= counts[of][:, None, None]
-            sums += np.bincount(lattices.at[lattices.known], p[lattices.known], len(keys))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values = held.value
+        places, sums, total = Places(keys), np.zeros(len(keys)), 0.0
+        for b in batches:
+            texts, counts = b.column("w").to_pylist(), b.column("cnt").to_numpy().astype(np.float64)
+            for of in by_length(texts, max_len):
+                z, e = Lattices([texts[i] for i in of], places, values, max_len, unk).counted(counts[of], len(keys))
+                total += z
+                sums += e
         some = np.flatnonzero(sums)
-        return pa.table({
-            "key": pa.concat_arrays([pa.array(keys[some].view(np.int64)), pa.nulls(1, pa.int64())]),
-            "e": pa.array(np.append(sums[some], total)),
-        })
+        made = pa.RecordBatch.from_arrays([
+            pa.concat_arrays([pa.array(keys[some].view(np.int64)), pa.nulls(1, pa.int64())]),
+            pa.array(np.append(sums[some], total)),
+        ], names=["key", "e"])
+        yield from (made.slice(k, ROWS_OUT) for k in range(0, made.num_rows, ROWS_OUT))
 
-    scored = held.join(scores.select("key", "score"), "key").select("part", "key", "score")
-    both = words.select("part", "w", "cnt").groupBy("part").cogroup(scored.groupBy("part"))
-    return both.applyInArrow(run, "key long, e double").groupBy("key").agg(F.sum("e").alias("e"))
+    return words.select("w", "cnt").mapInArrow(run, "key long, e double").groupBy("key").agg(F.sum("e").alias("e"))
 
 
-def _losses(pieces: DataFrame, n_pieces: int, scores: DataFrame, max_len: int, unk: float) -> DataFrame:
+def _losses(pieces: DataFrame, model: Model, max_len: int) -> DataFrame:
     """(piece, loss) of ``pieces`` (piece, score, e): what the likelihood loses without a piece, its expected
     count times the score it has over the best path through other pieces."""
+    held, unk = model.held, model.least - UNK_PENALTY
 
-    def run(words: pa.Table, others: pa.Table) -> pa.Table:
-        keys, values, _ = _sorted_scores(others)
-        texts, count, score = words.column("piece").to_pylist(), words.column("e").to_numpy(), words.column("score").to_numpy()
-        best = np.zeros(len(texts))
-        for of in by_length(texts, max_len):
-            best[of] = Lattices([texts[i] for i in of], keys, values, max_len, unk, whole=False).best()
-        return pa.table({"piece": words.column("piece"), "loss": pa.array(count * (score - best))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values = held.value
+        places = Places(keys)
+        for b in batches:
+            texts, count, score = b.column("piece").to_pylist(), b.column("e").to_numpy(), b.column("score").to_numpy()
+            best = np.zeros(len(texts))
+            for of in by_length(texts, max_len):
+                best[of] = Lattices([texts[i] for i in of], places, values, max_len, unk, whole=False).best()
+            yield pa.RecordBatch.from_arrays([b.column("piece"), pa.array(count * (score - best))], names=["piece", "loss"])
 
-    dealt = _dealt(pieces, "piece", n_pieces)
-    scored = _held(dealt, "piece", scores, max_len).join(scores.select("key", "score"), "key").select("part", "key", "score")
-    both = dealt.select("part", "piece", "score", "e").groupBy("part").cogroup(scored.groupBy("part"))
-    return both.applyInArrow(run, "piece string, loss double")
+    return pieces.select("piece", "score", "e").mapInArrow(run, "piece string, loss double")
 
 
 def _keyed(pieces: DataFrame) -> DataFrame:
@@ -256,8 +286,12 @@ def unigram_pieces(
     """(piece, score, is_char) of the learned pieces, a written table of ``vocab_size`` rows when the seeds
     allow it (characters always kept). ``words``: word, cnt, words unique. ``history`` takes the
     (number of pieces, log-likelihood) of every E-step."""
+    spark = words.sparkSession
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     table = words.select(F.concat(F.lit(T.WORD_BOUNDARY), F.col("word")).alias("w"), "cnt")
-    table = stored(_dealt(table, "w", words.count()), "unigram-words")
+    # words of one length lie together: the lattices of a batch are few and large
+    dealt = table.repartition(max(least, -(-words.count() // WORDS_PER_FILE)), "w")
+    table = stored(dealt.sortWithinPartitions(F.length("w")), "unigram-words")
     chars = V.alphabet_from_counts(V.weighted_char_counts(table), coverage).select(F.col("ch").alias("piece"))
     seeds = S.repeats(stored(S.intervals(table.select(F.col("w").alias("word"), "cnt"), max_len), "intervals"))
     seeds = stored(seeds.withColumn("worth", F.col("freq") * F.length("piece")), "unigram-repeats")
@@ -269,18 +303,18 @@ def unigram_pieces(
     first = seeds.select("piece", F.log(F.col("freq") / F.lit(total)).alias("score"), F.lit(False).alias("is_char"))
     first = first.unionByName(chars.select("piece", F.lit(math.log(1.0 / total)).alias("score"), F.lit(True).alias("is_char")))
     scores = stored(_keyed(first), "unigram-scores")
-    held = stored(_held(table, "w", scores, max_len), "unigram-held")
+    n_chars = scores.where("is_char").count()
     while True:
         for _ in range(sub_iterations):
-            n, least = scores.agg(F.count("*"), F.min("score")).first()
-            if not n:
-                return scores.select("piece", "score", "is_char")
-            counts = stored(_expected_counts(table, held, scores, max_len, least - UNK_PENALTY), "unigram-counts")
-            by_piece = counts.where("key is not null")
-            sum_ = by_piece.agg(F.sum("e")).first()[0] or 1.0
+            with Model(scores) as model:
+                if not (n := model.n):
+                    return scores.select("piece", "score", "is_char")
+                counts = stored(_expected_counts(table, model, max_len), "unigram-counts")
+            sum_, fit = counts.agg(F.sum(F.when(F.col("key").isNotNull(), F.col("e"))), F.max(F.when(F.col("key").isNull(), F.col("e")))).first()
             if history is not None:
-                history.append((n, counts.where("key is null").first()["e"]))
-            share = F.greatest(F.coalesce("e", F.lit(0.0)), F.lit(1e-12)) / F.lit(sum_)
+                history.append((n, fit))
+            by_piece = counts.where("key is not null")
+            share = F.greatest(F.coalesce("e", F.lit(0.0)), F.lit(1e-12)) / F.lit(sum_ or 1.0)
             scores = stored(
                 scores.select("piece", "is_char", "key").join(by_piece, "key", "left").select("piece", F.log(share).alias("score"), "is_char", "key", F.coalesce("e", F.lit(0.0)).alias("e")),
                 "unigram-scores",
@@ -288,10 +322,9 @@ def unigram_pieces(
         if n <= vocab_size:
             return scores.select("piece", "score", "is_char")
         room = max(vocab_size, int(n * shrink))
-        n_chars = scores.where("is_char").count()
         rest = scores.where("not is_char")
-        least = scores.agg(F.min("score")).first()[0]
-        losses = stored(_losses(rest, n - n_chars, scores, max_len, least - UNK_PENALTY), "unigram-losses")
+        with Model(scores) as model:
+            losses = stored(_losses(rest, model, max_len), "unigram-losses")
         kept = _cut(losses, "loss", max(0, room - n_chars), n - n_chars).select("piece")
         scores = stored(scores.where("is_char").unionByName(rest.join(kept, "piece", "left_semi")), "unigram-scores")
 

@@ -117,3 +117,28 @@ def test_training_is_the_same_over_any_partitions(spark):
     chars = {r.ch for r in V.alphabet_from_counts(V.weighted_char_counts(
         V.word_counts(texts).select(F.concat(F.lit(T.WORD_BOUNDARY), "word").alias("w"), "cnt"))).collect()}
     assert chars <= set(got[0])
+
+
+def test_places_of_keys():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 7, 5000):
+        keys = np.unique(rng.integers(1, 2**64 - 1, n, np.uint64) >> np.uint64(3))  # crowded in the lower eighth
+        asked = np.concatenate([keys, keys + np.uint64(1), rng.integers(1, 2**64 - 1, 100, np.uint64)])
+        at, known = U.Places(keys).find(asked)
+        assert list(known) == list(np.isin(asked, keys)) and (keys[at[known]] == asked[known]).all()
+
+
+def test_words_are_not_shuffled_to_the_scores(spark):
+    """An E-step moves sums per piece only; the round's scores are held by every task."""
+    rows = [(p, math.log(0.1), int(k)) for p, k in zip("abc", U.key_of(list("abc")))] + [("ab", math.log(0.3), int(U.key_of(["ab"])[0]))]
+    scores = spark.createDataFrame(rows, "piece string, score double, key long")
+    words = spark.createDataFrame([("ab", 3), ("c", 2), ("abc", 1)], "w string, cnt long").repartition(3).localCheckpoint()
+    with U.Model(scores) as model:
+        counts = U._expected_counts(words, model, 16)
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+        got = {r.key: r.e for r in counts.collect()}
+    assert plan.count("Exchange ") == 1 and "Join" not in plan and "CoGroup" not in plan
+    both = 0.3 / (0.3 + 0.01)  # the share of the piece ab among the paths of ab
+    want = {"ab": 4 * both, "a": 4 * (1 - both), "b": 4 * (1 - both), "c": 3.0}
+    assert {p: got[k] for p, _, k in rows} == pytest.approx(want)
+    assert got[None] == pytest.approx(4 * math.log(0.31) + 3 * math.log(0.1))
