@@ -119,9 +119,14 @@ def _packed(rows: DataFrame, before: DataFrame, S: int, eos_id: int | None, max_
     if lo is not None and lo > 0:
         bucketing = O.dense_range_bucketing("pos", lo, hi, O.buckets_for(hi - lo + 1, spark.sparkContext.defaultParallelism))
     if max_samples is not None:
+        # ranked without the token arrays, in shards that still take documents; one row per shard cuts the rows
         counted = before.select("shard", F.col("n_samples").alias("__n"))
-        ranked = O.global_positions(docs, ["pos"], bucketing, partition_cols=("shard",), out="__k").join(counted, "shard", "left")
-        docs = ranked.where(F.col("__k") + F.coalesce("__n", F.lit(0)) < max_samples).select(*docs.columns)
+        narrow = docs.select("shard", "pos").join(F.broadcast(counted), "shard", "left")
+        narrow = narrow.where(F.coalesce("__n", F.lit(0)) < max_samples)
+        ranked = O.global_positions(narrow, ["pos"], bucketing, partition_cols=("shard",), out="__k")
+        within = ranked.where(F.col("__k") + F.coalesce("__n", F.lit(0)) < max_samples)
+        last = within.groupBy("shard").agg(F.max("pos").alias("__last"))
+        docs = docs.join(F.broadcast(last), "shard").where(F.col("pos") <= F.col("__last")).select(*docs.columns)
     toks = F.concat("ids", F.array(F.lit(eos_id))) if eos_id is not None else F.col("ids")
     docs = docs.select("shard", "pos", toks.alias("toks"))
     # what the last arrival left over comes first

@@ -123,6 +123,24 @@ def test_buffer_shuffle_is_the_buffer(spark, monkeypatch, n, B):
     assert got == want
 
 
+def test_a_limit_ranks_no_token_arrays(spark, monkeypatch):
+    """Positions are ranked on narrow rows, and not at all in shards that have their documents."""
+    ranked, positions = [], O.global_positions
+
+    def spy(df, *a, **kw):
+        ranked.append((set(df.columns), df.select("shard").distinct().count()))
+        return positions(df, *a, **kw)
+
+    monkeypatch.setattr(O, "global_positions", spy)
+    base = shared_path(spark, "t-narrow")
+    rows = [(0, p, p, [p + 5, p + 6]) for p in range(20)] + [(1, p, p, [p + 5]) for p in (20, 45)]
+    arrive(spark, base, rows[:21], max_samples=4)
+    arrive(spark, base, [(0, p, p, [9]) for p in range(30, 40)] + rows[21:], max_samples=4)
+    assert not any("ids" in names for names, _ in ranked) and [n for _, n in ranked] == [2, 1]
+    ids = [t for r in sorted(J.packed_blocks(spark, base, 4, drop_last=False).collect()) for t, m in zip(r.input_ids, r.attention_mask) if m]
+    assert ids == [5, 6, 2, 6, 7, 2, 7, 8, 2, 8, 9, 2, 25, 2, 50, 2]
+
+
 @pytest.mark.parametrize("q", [Q.g_loader, Q.g_loader_tail, Q.g_loader_subword])
 def test_loader_blocks_are_dealt_by_block(spark, q):
     """The blocks are put together after an exchange on (shard, block), not with one task per shard."""
