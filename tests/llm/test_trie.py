@@ -47,3 +47,31 @@ def test_own_contexts_ask_no_shard():
     b.shards = 4
     keys = np.array([-20, -11, 5, 9, 40])
     assert sorted(k for _, w in b.dealt(keys) for k in keys[w]) == [5, 9, 40]
+
+
+def test_packed_grams_do_not_grow_with_the_shards():
+    """A key's shard is told once: as many keys in more shards take no more bytes, and come back as they were."""
+    rng = np.random.default_rng(4)
+    words, contexts = 20_000, 200_000
+    sizes = []
+    for shards in (1, 12, 96):
+        width = (words // shards + 2) * shards + 1
+        keys = np.unique(rng.integers(0, contexts, 300_000) * width + np.minimum(rng.zipf(1.3, 300_000), words))
+        mine = [(s, keys[keys % shards == s]) for s in range(shards)]
+        packed = [ngram_lm.pack_grams(k, width, shards) for _, k in mine]
+        assert all(np.array_equal(ngram_lm.unpack_grams(p, width, shards, s), k) for p, (s, k) in zip(packed, mine, strict=True))
+        assert max(len(k) for _, k in mine) < 2 * len(keys) / shards
+        sizes.append(sum(map(len, packed)))
+    assert sizes[2] < 1.15 * sizes[1]
+    assert sizes[2] < 0.75 * sum(len(ngram_lm.pack(k, True)) for _, k in mine)
+    assert np.array_equal(ngram_lm.unpack_grams(ngram_lm.pack_grams(np.zeros(0, np.int64), 13, 12), 13, 12, 3), np.zeros(0))
+
+
+def test_answers_move_once(spark, tmp_path, monkeypatch):
+    """Batches and answers are bucketed alike: the last join of a model of three levels has no shuffle."""
+    plans, write = [], ngram_lm.materialise
+    monkeypatch.setattr(ngram_lm, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    rows = [(i, f"a b c{i}", "en", "s", 1) for i in range(40)]
+    assert ngram_lm.score_texts(frame(spark, rows), fold(F.col("doc_id"), 7) == 2, 3, tokens_per_batch=20).count() == 40
+    assert "FlatMapCoGroupsInArrow" in plans[-1] and "Exchange" not in plans[-1]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("quire_lm_")]
