@@ -9,6 +9,7 @@ from quire.operators import offsets as O
 from quire.operators import pack as G
 from quire.operators import token_files as K
 from quire.plans import catalog as Q
+from quire.sources import sinks as S
 from tests.conftest import SF_SMALL
 
 SCHEMA = "shard int, pos long, doc_id long, ids array<int>"
@@ -62,3 +63,17 @@ def test_the_loader_without_a_file_system(spark, monkeypatch):
     got = sorted(Q.g_loader_tail(spark, SF_SMALL).collect())
     monkeypatch.setattr(K, "new_folder", lambda docs: None)
     assert sorted(Q.g_loader_tail(spark, SF_SMALL).collect()) == got
+
+
+def test_ordered_blocks_are_written_without_a_shuffle_of_blocks(spark, monkeypatch, tmp_path):
+    """Only addresses are dealt in ranges; files and manifest keep the order of the stream."""
+    frame = type(spark.range(1))
+    dealt, deal = [], frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, *a: dealt.append(self.columns) or deal(self, *a))
+    monkeypatch.setattr(K, "STRETCH_TOKENS", 256)
+    monkeypatch.setattr(K, "TOKENS_PER_TASK", 4096)
+    rows = S.read_blocks(spark, S.write_blocks(Q.packed(spark, SF_SMALL, ordered=True), str(tmp_path / "blocks"), ordered=True)).collect()
+    assert all(r.place == r.block_id for r in rows)
+    assert sorted((r.shard, r.block_id, r.input_ids) for r in rows) == sorted(
+        (r.shard, r.block_id, r.input_ids) for r in Q.packed(spark, SF_SMALL).collect())
+    assert dealt and not any("input_ids" in names for names in dealt)
