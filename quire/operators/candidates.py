@@ -20,11 +20,10 @@ from pyspark.sql import functions as F
 
 from quire import options
 from quire.functions import text as T
-from quire.session import stored
+from quire.session import small_batches, stored
 
 RMS_EPS = 1e-6
 ROUNDING = 1e-9  # relative room of the norm bounds
-GROUP = 16  # item blocks that meet a context block in one task
 
 
 # --------------------------------------------------------------------------- I0
@@ -75,7 +74,9 @@ def _matrix(vectors: pa.Array, n: int) -> np.ndarray:
 
 def _context_blocks(rows: DataFrame, n: int, block: int) -> DataFrame:
     """``(cb, ci, cv)``: one row per block of contexts, dealt by hash and packed on the executors."""
-    dealt = rows.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // block)))).cast("int"))
+    blocks = max(1, -(-n // block))
+    # a partition for each block: the blocks are then stored in files enough for many tasks
+    dealt = rows.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition(blocks, "cb")
 
     def pack(key: tuple, t: pa.Table) -> pa.Table:
         v = _matrix(t.column("v").combine_chunks(), t.num_rows)
@@ -159,11 +160,11 @@ def with_bars(contexts: DataFrame, head: DataFrame, k: int) -> DataFrame:
 
 
 def needed_tiles(contexts: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``(cb, ib)`` of the blocks whose largest norm can reach a bar of the context block."""
-    tops = blocks.groupBy("ib").agg(F.max("top").alias("top"))
-    last = tops.agg(F.max("ib")).first()[0] or 0
-    pairs = contexts.select("cb", "least", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("ib"))
-    return pairs.join(tops, "ib").where(F.col("top") * (1 + ROUNDING) >= F.col("least")).select("cb", "ib")
+    """Context blocks beside the item blocks whose largest norm can reach one of their bars.
+
+    A join on a comparison: Spark pairs the partitions of both sides, which every task reads where
+    they are stored, or sends a small side to all tasks. No block is shuffled per pair."""
+    return contexts.join(blocks, blocks["top"] * (1 + ROUNDING) >= contexts["least"])
 
 
 class _Best:
@@ -213,9 +214,10 @@ def inner_product_top_k(
     of falling norm. The first of them give every context a bar under its k-th score; a block
     meets a context block only if its largest norm can reach one of its bars, and inside
     such a tile only the contexts whose own bar can be reached are multiplied. The bars are
-    bounds, so the result is exact. GROUP blocks in a row meet a context block in one task, by
-    falling norm, where the best k so far are kept and raise the bars; the groups' best are
-    merged per context. No pair rows are made and no vectors pass through the driver. Rows
+    bounds, so the result is exact. A context block meets the item blocks of a partition in one task,
+    where the best k so far are kept and raise the bars; the partitions' best are
+    merged per context. No pair rows are made, no vectors pass through the driver, and a block is
+    shuffled once, when it is made. Rows
     without an id, without a vector or with a null or non-finite component are neither contexts
     nor items.
     """
@@ -233,18 +235,16 @@ def inner_product_top_k(
         for b in batches:
             for i in range(b.num_rows):
                 r = {n: b.column(j)[i].as_py() for j, n in enumerate(b.schema.names)}
-                if (r["cb"], r["grp"]) != now:
+                if r["cb"] != now:
                     if done is not None:
                         yield done.rows(ctx_col)
-                    now, done = (r["cb"], r["grp"]), _Best(r["ci"], r["cv"], r["bars"], k)
+                    now, done = r["cb"], _Best(r["ci"], r["cv"], r["bars"], k)
                 done.meet(np.frombuffer(r["ii"], np.int64), np.frombuffer(r["iv"], np.float64), r["top"])
         if done is not None:
             yield done.rows(ctx_col)
 
-    pairs = needed_tiles(left, blocks).withColumn("grp", F.floor(F.col("ib") / GROUP).cast("int"))
-    ctx = left.join(pairs.select("cb", "grp").distinct(), "cb")
-    met = pairs.join(blocks, "ib").join(ctx, ["cb", "grp"]).sortWithinPartitions("cb", "grp", "ib", "part")
-    tiles = met.select("cb", "grp", "ci", "cv", "bars", "ii", "iv", "top")
+    small_batches(items.sparkSession)  # a tile has megabytes
+    tiles = needed_tiles(left, blocks).select("cb", "ci", "cv", "bars", "ii", "iv", "top")
     best = tiles.mapInArrow(score, f"`{ctx_col}` long, item_id long, score double")
     w = Window.partitionBy(ctx_col).orderBy(F.desc("score"), F.asc("item_id"))
     return best.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select(ctx_col, "rank", "item_id", "score")

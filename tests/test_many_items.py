@@ -1,6 +1,7 @@
 """Inner-product top-k takes any number of items."""
 
 import numpy as np
+import pytest
 
 from quire.operators import candidates as I
 
@@ -62,3 +63,20 @@ def test_every_context_has_its_items(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = catalog.QUERIES["i_scores"](spark, str(tmp_path)).collect()
     assert {r.ctx_id for r in got} == set(range(30)) and len(got) == 150
+
+
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_no_block_is_shuffled_per_pair(spark, monkeypatch, threshold):
+    """Item blocks go from their files to the tiles, with a small side or two large ones."""
+    emb = spark.createDataFrame([(i, [float(i % 13), 1.0, float(i % 7)]) for i in range(400)], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, I.inner_product_top_k(emb, emb, 5).collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        out = I.inner_product_top_k(emb, emb, 5, ctx_block=50, item_block=40)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, out.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(ib#" not in plan and "hashpartitioning(cb#" not in plan, plan
+    assert ("CartesianProduct" if threshold == "-1" else "BroadcastNestedLoopJoin") in plan
